@@ -26,3 +26,88 @@ ORACLE["elements"] = with_(PAGES, TOK, ELS) + (
 ORACLE["element_attrs"] = with_(PAGES, TOK, ELS, S.attrs_cte()) + (
     "SELECT a.page_id, a.open_pos, e.tag, a.name, a.value FROM el_attrs a "
     "JOIN elements e USING (page_id, open_pos)")
+
+
+# ---------------------------------------------------------------- conversion
+from . import convert_sql as CV  # noqa: E402
+
+_DOC = CV.documents_sql()
+
+ORACLE["main_content"] = _DOC + "SELECT page_id, root_open, root_end FROM root"
+ORACLE["remove_default"] = _DOC + "SELECT page_id, pos, kind, tag FROM t2"
+ORACLE["subtree_removal"] = _DOC + "SELECT page_id, pos, kind, tag FROM kt"
+ORACLE["text_content"] = _DOC + (
+    "SELECT p.page_id, p.open_pos AS pos, string_agg(t.text, '' ORDER BY t.pos) AS text FROM ke p JOIN kt t "
+    "ON t.page_id = p.page_id AND t.kind = 'text' AND t.pos > p.open_pos AND t.pos < p.end_pos "
+    "WHERE p.tag = 'p' GROUP BY p.page_id, p.open_pos")
+ORACLE["page_meta"] = _DOC + "SELECT page_id, title, source, author, description FROM page_meta"
+ORACLE["links"] = _DOC + "SELECT page_id, pos, href_raw, href_clean, text FROM links"
+ORACLE["headings"] = _DOC + "SELECT page_id, pos, level, text, id, slug FROM headings"
+ORACLE["heading_slugs"] = _DOC + "SELECT page_id, pos, slug FROM headings"
+ORACLE["toc"] = _DOC + "SELECT page_id, toc FROM toc"
+ORACLE["convert_to_markdown"] = _DOC + "SELECT page_id, body AS markdown, toc FROM documents"
+ORACLE["build_front_matter"] = _DOC + "SELECT page_id, front_matter FROM documents"
+ORACLE["build_output"] = _DOC + f"SELECT page_id, {CV.output_expr()} AS markdown FROM documents"
+ORACLE["convert_pages"] = _DOC + f"SELECT page_id, url, host, {CV.output_expr()} AS markdown FROM documents"
+
+# ---------------------------------------------------------------- scalar functions
+_TITLES = "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS input FROM pages"
+_DOCS = "SELECT doc_id, text AS input FROM documents"
+ORACLE["slugify"] = f"SELECT page_id, input, {S.slugify('input')} AS output FROM ({_TITLES})"
+ORACLE["escape_yaml"] = f"SELECT doc_id, {S.escape_yaml('input')} AS output FROM ({_DOCS})"
+ORACLE["escape_info_string"] = f"SELECT doc_id, {S.escape_info_string('input')} AS output FROM ({_DOCS})"
+ORACLE["post_process_markdown"] = f"SELECT doc_id, {S.post_process_markdown('input')} AS output FROM ({_DOCS})"
+ORACLE["squash_title"] = f"SELECT doc_id, {S.squash_ws('input')} AS output FROM ({_DOCS})"
+ORACLE["escape_markdown_text"] = f"SELECT doc_id, {S.escape_markdown_text('input')} AS output FROM ({_DOCS})"
+_FM = ("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'title: ' || lang || chr(10) || '---' || chr(10) || text "
+       "WHEN 1 THEN '  ---' || chr(13) || chr(10) || 'title: x' || chr(13) || chr(10) || '  ---  ' || chr(13) || chr(10) || text "
+       "WHEN 2 THEN '---' || chr(10) || 'title: ' || lang || chr(10) || 'No closing' || chr(10) || text ELSE text END AS input "
+       "FROM documents")
+_fm_f, _fm_c = S.strip_front_matter("input")
+ORACLE["strip_front_matter"] = f"SELECT doc_id, {_fm_f} AS front_matter, {_fm_c} AS content FROM ({_FM})"
+_TF = ("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(10) || '  ' || chr(10) || text || chr(10) || chr(9) || chr(10) "
+       "WHEN 1 THEN chr(13) || chr(10) || text || chr(13) || chr(10) || chr(13) || chr(10) ELSE text END AS input FROM documents")
+ORACLE["trim_fence_padding"] = f"SELECT doc_id, {S.trim_fence_padding('input')} AS output FROM ({_TF})"
+_FNE = ("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE '' END AS a, "
+        "CASE p_partkey % 4 WHEN 2 THEN '  ' || p_name || ' ' WHEN 3 THEN ' ' || chr(9) END AS b, "
+        "CASE WHEN p_partkey % 4 <> 3 THEN p_brand END AS c FROM part")
+ORACLE["first_non_empty"] = f"SELECT p_partkey, {S.first_non_empty('a', 'b', 'c')} AS output FROM ({_FNE})"
+_FL = ("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ' [' || p_size::VARCHAR || '] ' WHEN 1 THEN '[[' || p_brand || ']]' "
+       "ELSE p_brand END AS input FROM part")
+ORACLE["footnote_label"] = f"SELECT p_partkey, input, {S.footnote_label('input')} AS output FROM ({_FL})"
+_IP = ("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR || 'px' WHEN 1 THEN ' -' || p_size::VARCHAR "
+       "WHEN 2 THEN p_brand WHEN 3 THEN NULL ELSE p_size::VARCHAR || '.5' END AS input FROM part")
+ORACLE["int_prefix"] = f"SELECT p_partkey, input, {S.int_prefix('input')} AS output FROM ({_IP})"
+_SS = ("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'a' || p_partkey::VARCHAR || '.jpg 320w, b' || p_partkey::VARCHAR || '.jpg ' || p_size::VARCHAR || '0w' "
+       "WHEN 1 THEN 'n' || p_partkey::VARCHAR || '.jpg 1x, r' || p_partkey::VARCHAR || '.jpg 2x' "
+       "WHEN 2 THEN 'only' || p_partkey::VARCHAR || '.jpg' WHEN 3 THEN ' , ' ELSE 'x.jpg 1.5x, y.jpg 150w, z.jpg' END AS input FROM part")
+ORACLE["best_srcset"] = f"SELECT p_partkey, input, {S.best_srcset('input')} AS output FROM ({_SS})"
+ORACLE["decode_entities"] = with_(PAGES, TOK) + (
+    f"SELECT page_id, pos, {S.decode_entities('tok')} AS text FROM tokens WHERE kind = 'text' AND strpos(tok, '&') > 0")
+ORACLE["retrieved_at"] = ("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS retrieved FROM orders")
+
+# ---------------------------------------------------------------- URL functions
+ORACLE["resolve_url"] = with_(PAGES, TOK, ELS, S.attrs_cte()) + (
+    f"SELECT e.page_id, e.open_pos, a.value AS href, {S.resolve_url('a.value', 'p.url')} AS resolved FROM elements e "
+    "JOIN pg p USING (page_id) LEFT JOIN el_attrs a ON a.page_id = e.page_id AND a.open_pos = e.open_pos AND a.name = 'href' "
+    "WHERE e.tag = 'a'")
+_UC = ("SELECT p_partkey, CASE p_partkey % 12 "
+       "WHEN 0 THEN '../a/' || p_partkey::VARCHAR || '/./b' "
+       "WHEN 1 THEN '//CDN.Example.COM:443/x/' || p_partkey::VARCHAR "
+       "WHEN 2 THEN '?utm_source=x&id=' || p_partkey::VARCHAR || '&fbclid=z' "
+       "WHEN 3 THEN '#fn' || p_partkey::VARCHAR WHEN 4 THEN '' "
+       "WHEN 5 THEN 'HTTP://Www.Example.com:80/p q/' || p_partkey::VARCHAR || '?Ref=a&keep=1#frag' "
+       "WHEN 6 THEN 'mailto:a' || p_partkey::VARCHAR || '@example.org' "
+       "WHEN 7 THEN 'img/café-' || p_partkey::VARCHAR || '.png' "
+       "WHEN 8 THEN 'https://example.com/?gclid=1&mc_cid=2&MC_EID=3' "
+       "WHEN 9 THEN '/root/' || p_partkey::VARCHAR || '?a&&b=2&utm_medium=m' "
+       "WHEN 10 THEN 'javascript:void(' || p_partkey::VARCHAR || ')' "
+       "ELSE 'https://example.org:8080/x/' || p_partkey::VARCHAR || '/../y#a-' || p_partkey::VARCHAR END AS href, "
+       "'https://site' || (p_partkey % 7)::VARCHAR || '.example.org/d/' || p_partkey::VARCHAR || '?q=1#top' AS base FROM part")
+ORACLE["resolve_url_forms"] = f"SELECT p_partkey, href, {S.resolve_url('href', 'base')} AS resolved FROM ({_UC})"
+ORACLE["strip_tracking"] = (
+    f"SELECT p_partkey, href, {S.strip_tracking(S.resolve_url('href', 'base'))} AS output FROM ({_UC}) "
+    f"UNION ALL SELECT page_id + 1000000000, url, {S.strip_tracking('url')} FROM pages")
+ORACLE["url_provider"] = f"SELECT page_id, url, {S.url_provider('url')} AS provider FROM pages"
+ORACLE["target_id"] = f"SELECT p_partkey, href, {S.target_id('href', 'base')} AS target_id FROM ({_UC})"
+ORACLE["link_exempt"] = f"SELECT p_partkey, href, {S.clean_href('href', 'base')} AS href_clean FROM ({_UC})"

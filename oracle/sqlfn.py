@@ -306,3 +306,16 @@ def attrs_cte(src: str = "elements") -> str:
     )
 
 
+
+
+def best_srcset(x: str) -> str:
+    entries = f"list_filter(list_transform(string_split(coalesce({x}, ''), ','), lambda e: {trim_ws('e')}), lambda e: e <> '')"
+    parts = f"string_split_regex(e, {q('[' + WS + ']+')})"
+    desc = f"coalesce({parts}[2], '')"
+    num = rx(desc, r"([0-9.]+)(w|x)", 1)
+    unit = rx(desc, r"([0-9.]+)(w|x)", 2)
+    val = f"TRY_CAST(nullif({rx(num, r'^([0-9]*\.?[0-9]*)', 1)}, '') AS DOUBLE)"
+    score = f"coalesce(CASE WHEN {unit} = 'w' THEN {val} WHEN {unit} = 'x' THEN {val} * 100 ELSE 1.0 END, 1.0)"
+    cands = (f"list_filter(list_transform({entries}, lambda e, i: {{'score': {score}, 'neg_idx': -(i - 1), "
+             f"'url': {parts}[1]}}), lambda c: c.url <> '')")
+    return f"CASE WHEN len({cands}) > 0 THEN list_sort({cands}, 'DESC')[1].url END"

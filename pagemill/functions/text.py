@@ -57,7 +57,7 @@ def first_non_empty(*cols) -> Column:
 def first_non_empty_array(arr) -> Column:
     """F3 over an array column: first non-blank element, trimmed; NULL if none."""
     trimmed = F.transform(_c(arr), lambda x: trim_ws(x))
-    return F.element_at(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")), 1)
+    return F.try_element_at(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")), F.lit(1))
 
 
 def escape_yaml(c) -> Column:
@@ -196,3 +196,26 @@ def decode_entities(c) -> Column:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     out = F.replace(out, F.lit("&amp;"), F.lit("&"))
     return F.when(F.instr(s, "&") > 0, out).otherwise(s)
+
+
+def best_srcset(c) -> Column:
+    """F2: URL of the highest-scored srcset candidate (first on ties); NULL if none.
+
+    Score: the number of a ``w`` descriptor, 100x that of an ``x`` descriptor,
+    else 1.
+    """
+    entries = F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), ","), lambda e: trim_ws(e)),
+                       lambda e: e != "")
+
+    def cand(e, i):
+        parts = F.split(e, f"[{WS}]+", 2)
+        url = parts.getItem(0)
+        desc = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+        num = F.regexp_extract(desc, r"([0-9.]+)(w|x)", 1)
+        unit = F.regexp_extract(desc, r"([0-9.]+)(w|x)", 2)
+        val = F.regexp_extract(num, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
+        score = F.when(unit == "w", val).when(unit == "x", val * 100).otherwise(F.lit(1.0))
+        return F.struct(F.coalesce(score, F.lit(1.0)).alias("score"), (-i).alias("neg_idx"), url.alias("url"))
+
+    cands = F.filter(F.transform(entries, cand), lambda x: x["url"] != "")
+    return F.when(F.size(cands) > 0, F.array_max(cands)["url"])

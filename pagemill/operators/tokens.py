@@ -137,7 +137,7 @@ def elements(tokens: DataFrame) -> DataFrame:
     )
     out = opens.select(
         "page_id", "tag", F.col("pos").alias("open_pos"), end_pos.alias("end_pos"),
-        explicit.alias("explicit"), "tok",
+        explicit.alias("explicit"), "tok", F.col("kind").alias("ekind"),
     )
     return out.withColumn(
         "stop_pos", F.when(F.col("explicit"), F.col("end_pos") + 1).otherwise(F.col("end_pos"))

@@ -13,8 +13,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import decode_entities
 from ..operators import tokens as T
 from ..sources.tables import partition_pages, scan_pages
+from .materialize import materialize
 
 
 class Corpus:
@@ -39,7 +41,10 @@ class Corpus:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return T.tokenize(self.pages)
+        """Tokens plus decoded ``text`` of text tokens, written once."""
+        t = T.tokenize(self.pages)
+        t = t.withColumn("text", F.when(F.col("kind") == "text", decode_entities(F.col("tok"))))
+        return materialize(t)
 
     @cached_property
     def elements(self) -> DataFrame:
@@ -47,12 +52,13 @@ class Corpus:
 
     @cached_property
     def elements_attrs(self) -> DataFrame:
-        """Elements with ``attrs``, ``id`` and ``class`` (open and void tags only)."""
+        """Elements with ``attrs``, ``id``, ``class`` and the page ``host``, written once."""
         e = T.attributes(self.elements)
-        return e.withColumn("id", T.attr("attrs", "id")).withColumn("class", T.attr("attrs", "class"))
+        e = e.withColumn("id", T.attr("attrs", "id")).withColumn("class", T.attr("attrs", "class"))
+        e = e.join(self.page_info.select("page_id", "host"), "page_id")
+        return materialize(e)
 
     @cached_property
     def texts(self) -> DataFrame:
         """Text tokens with decoded character data: ``(page_id, pos, text)``."""
-        return self.tokens.filter(F.col("kind") == "text").select(
-            "page_id", "pos", T.text_of(F.col("tok")).alias("text"))
+        return self.tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")

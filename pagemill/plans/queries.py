@@ -28,7 +28,7 @@ def q_scan_pages(spark, d):
 
 @register("tokens")
 def q_tokens(spark, d):
-    return Corpus.from_dir(spark, d).tokens
+    return Corpus.from_dir(spark, d).tokens.drop("text")
 
 
 @register("elements")
@@ -41,3 +41,289 @@ def q_elements(spark, d):
 def q_element_attrs(spark, d):
     e = Corpus.from_dir(spark, d).elements_attrs
     return e.select("page_id", "open_pos", "tag", F.explode("attrs").alias("name", "value"))
+
+
+# ---------------------------------------------------------------- conversion
+def _conv(spark, d):
+    from .convert import Conversion
+    return Conversion(spark, Corpus.from_dir(spark, d))
+
+
+@register("main_content")
+def q_main_content(spark, d):
+    """Content root per page (open/end position of the chosen element)."""
+    return _conv(spark, d).root
+
+
+@register("remove_default")
+def q_remove_default(spark, d):
+    """P1 (+P2): content tokens left after the selector removals."""
+    return _conv(spark, d).after_selectors.select("page_id", "pos", "kind", "tag")
+
+
+@register("subtree_removal")
+def q_subtree_removal(spark, d):
+    """Content tokens left after every removal sweep."""
+    return _conv(spark, d).cleaned_tokens.select("page_id", "pos", "kind", "tag")
+
+
+@register("text_content")
+def q_text_content(spark, d):
+    """A1: text of every kept paragraph, in document order."""
+    from .intervals import assign_owner, ordered_concat
+    c = _conv(spark, d)
+    p = c.kept_elements.filter(F.col("tag") == "p").select("page_id", "open_pos", "end_pos")
+    txt = c.cleaned_tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")
+    owned = assign_owner(txt, p, "p")
+    t = ordered_concat(owned, ["page_id", "p_open"], "pos", "text")
+    return t.select("page_id", F.col("p_open").alias("pos"), "text")
+
+
+@register("page_meta")
+def q_page_meta(spark, d):
+    return _conv(spark, d).page_meta
+
+
+@register("links")
+def q_links(spark, d):
+    return _conv(spark, d).links
+
+
+@register("headings")
+def q_headings(spark, d):
+    return _conv(spark, d).headings
+
+
+@register("heading_slugs")
+def q_heading_slugs(spark, d):
+    return _conv(spark, d).headings.select("page_id", "pos", "slug")
+
+
+@register("toc")
+def q_toc(spark, d):
+    return _conv(spark, d).toc
+
+
+@register("convert_to_markdown")
+def q_convert_to_markdown(spark, d):
+    c = _conv(spark, d)
+    return c.body.join(c.toc, "page_id").select("page_id", F.col("body").alias("markdown"), "toc")
+
+
+@register("build_front_matter")
+def q_build_front_matter(spark, d):
+    return _conv(spark, d).documents.select("page_id", "front_matter")
+
+
+@register("build_output")
+def q_build_output(spark, d):
+    return _conv(spark, d).documents.select("page_id", "markdown")
+
+
+@register("convert_pages")
+def q_convert_pages(spark, d):
+    """R8 flagship: one Markdown document per page."""
+    return _conv(spark, d).documents.select("page_id", "url", "host", "markdown")
+
+
+# ---------------------------------------------------------------- scalar functions
+from ..functions import text as X  # noqa: E402
+from ..functions import urls as U  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def _titles(spark, d):
+    p = table(spark, d, "pages").select("page_id", "html")
+    return p.select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("input"))
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("input"))
+
+
+@register("slugify")
+def q_slugify(spark, d):
+    return _titles(spark, d).select("page_id", "input", X.slugify("input").alias("output"))
+
+
+@register("escape_yaml")
+def q_escape_yaml(spark, d):
+    return _docs(spark, d).select("doc_id", X.escape_yaml("input").alias("output"))
+
+
+@register("escape_info_string")
+def q_escape_info_string(spark, d):
+    return _docs(spark, d).select("doc_id", X.escape_info_string("input").alias("output"))
+
+
+@register("post_process_markdown")
+def q_post_process(spark, d):
+    return _docs(spark, d).select("doc_id", X.post_process_markdown("input").alias("output"))
+
+
+@register("squash_title")
+def q_squash_title(spark, d):
+    return _docs(spark, d).select("doc_id", X.squash_ws("input").alias("output"))
+
+
+@register("escape_markdown_text")
+def q_escape_md(spark, d):
+    return _docs(spark, d).select("doc_id", X.escape_markdown_text("input").alias("output"))
+
+
+def _fm_inputs(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "lang", "text")
+    k = F.col("doc_id") % 4
+    inp = (F.when(k == 0, F.concat(F.lit("---\ntitle: "), F.col("lang"), F.lit("\n---\n"), F.col("text")))
+           .when(k == 1, F.concat(F.lit("  ---\r\ntitle: x\r\n  ---  \r\n"), F.col("text")))
+           .when(k == 2, F.concat(F.lit("---\ntitle: "), F.col("lang"), F.lit("\nNo closing\n"), F.col("text")))
+           .otherwise(F.col("text")))
+    return t.select("doc_id", inp.alias("input"))
+
+
+@register("strip_front_matter")
+def q_strip_front_matter(spark, d):
+    r = _fm_inputs(spark, d).select("doc_id", X.strip_front_matter("input").alias("r"))
+    return r.select("doc_id", "r.front_matter", "r.content")
+
+
+@register("trim_fence_padding")
+def q_trim_fence(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 3
+    inp = (F.when(k == 0, F.concat(F.lit("\n  \n"), F.col("text"), F.lit("\n\t\n")))
+           .when(k == 1, F.concat(F.lit("\r\n"), F.col("text"), F.lit("\r\n\r\n")))
+           .otherwise(F.col("text")))
+    return t.select("doc_id", X.trim_fence_padding(inp).alias("output"))
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+@register("first_non_empty")
+def q_first_non_empty(spark, d):
+    p = _parts(spark, d)
+    k = F.col("p_partkey") % 4
+    a = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("   ")).otherwise(F.lit(""))
+    b = F.when(k == 2, F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).when(k == 3, F.lit(" \t"))
+    c = F.when(k != 3, F.col("p_brand"))
+    return p.select("p_partkey", X.first_non_empty(a, b, c).alias("output"))
+
+
+@register("footnote_label")
+def q_footnote_label(spark, d):
+    p = _parts(spark, d)
+    k = F.col("p_partkey") % 3
+    inp = (F.when(k == 0, F.concat(F.lit(" ["), F.col("p_size").cast("string"), F.lit("] ")))
+           .when(k == 1, F.concat(F.lit("[["), F.col("p_brand"), F.lit("]]")))
+           .otherwise(F.col("p_brand")))
+    return p.select("p_partkey", inp.alias("input"), X.footnote_label(inp).alias("output"))
+
+
+@register("int_prefix")
+def q_int_prefix(spark, d):
+    p = _parts(spark, d)
+    k = F.col("p_partkey") % 5
+    inp = (F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.lit("px")))
+           .when(k == 1, F.concat(F.lit(" -"), F.col("p_size").cast("string")))
+           .when(k == 2, F.col("p_brand"))
+           .when(k == 3, F.lit(None).cast("string"))
+           .otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5"))))
+    return p.select("p_partkey", inp.alias("input"), X.int_prefix(inp).alias("output"))
+
+
+@register("best_srcset")
+def q_best_srcset(spark, d):
+    p = _parts(spark, d)
+    k = F.col("p_partkey") % 5
+    s = F.col("p_size").cast("string")
+    key = F.col("p_partkey").cast("string")
+    inp = (F.when(k == 0, F.concat(F.lit("a"), key, F.lit(".jpg 320w, b"), key, F.lit(".jpg "), s, F.lit("0w")))
+           .when(k == 1, F.concat(F.lit("n"), key, F.lit(".jpg 1x, r"), key, F.lit(".jpg 2x")))
+           .when(k == 2, F.concat(F.lit("only"), key, F.lit(".jpg")))
+           .when(k == 3, F.lit(" , "))
+           .otherwise(F.concat(F.lit("x.jpg 1.5x, y.jpg 150w, z.jpg"))))
+    return p.select("p_partkey", inp.alias("input"), X.best_srcset(inp).alias("output"))
+
+
+@register("decode_entities")
+def q_decode_entities(spark, d):
+    t = Corpus.from_dir(spark, d).tokens.filter((F.col("kind") == "text") & (F.instr("tok", "&") > 0))
+    return t.select("page_id", "pos", X.decode_entities(F.col("tok")).alias("text"))
+
+
+@register("retrieved_at")
+def q_retrieved_at(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return o.select("o_orderkey", X.retrieved_at("o_orderdate").alias("retrieved"))
+
+
+# ---------------------------------------------------------------- URL functions
+def _nav_hrefs(spark, d):
+    c = Corpus.from_dir(spark, d)
+    a = c.elements_attrs.filter(F.col("tag") == "a").select("page_id", "open_pos", T.attr("attrs", "href").alias("href"))
+    return a.join(c.page_info.select("page_id", "url"), "page_id")
+
+
+@register("resolve_url")
+def q_resolve_url(spark, d):
+    a = _nav_hrefs(spark, d)
+    return a.select("page_id", "open_pos", "href", U.resolve_url(F.col("href"), F.col("url")).alias("resolved"))
+
+
+def _url_cases(spark, d):
+    """Relative/absolute URL forms built from part rows, resolved against a page-like base."""
+    p = _parts(spark, d)
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    base = F.concat(F.lit("https://site"), (k % 7).cast("string"), F.lit(".example.org/d/"), key, F.lit("?q=1#top"))
+    m = k % 12
+    href = (F.when(m == 0, F.concat(F.lit("../a/"), key, F.lit("/./b")))
+            .when(m == 1, F.concat(F.lit("//CDN.Example.COM:443/x/"), key))
+            .when(m == 2, F.concat(F.lit("?utm_source=x&id="), key, F.lit("&fbclid=z")))
+            .when(m == 3, F.concat(F.lit("#fn"), key))
+            .when(m == 4, F.lit(""))
+            .when(m == 5, F.concat(F.lit("HTTP://Www.Example.com:80/p q/"), key, F.lit("?Ref=a&keep=1#frag")))
+            .when(m == 6, F.concat(F.lit("mailto:a"), key, F.lit("@example.org")))
+            .when(m == 7, F.concat(F.lit("img/café-"), key, F.lit(".png")))
+            .when(m == 8, F.concat(F.lit("https://example.com/?gclid=1&mc_cid=2&MC_EID=3")))
+            .when(m == 9, F.concat(F.lit("/root/"), key, F.lit("?a&&b=2&utm_medium=m")))
+            .when(m == 10, F.concat(F.lit("javascript:void("), key, F.lit(")")))
+            .otherwise(F.concat(F.lit("https://example.org:8080/x/"), key, F.lit("/../y#a-"), key)))
+    return p.select("p_partkey", href.alias("href"), base.alias("base"))
+
+
+@register("resolve_url_forms")
+def q_resolve_url_forms(spark, d):
+    c = _url_cases(spark, d)
+    return c.select("p_partkey", "href", U.resolve_url(F.col("href"), F.col("base")).alias("resolved"))
+
+
+@register("strip_tracking")
+def q_strip_tracking(spark, d):
+    c = _url_cases(spark, d)
+    r = U.resolve_url(F.col("href"), F.col("base"))
+    pg = table(spark, d, "pages").select(F.col("page_id").alias("p_partkey"), F.col("url").alias("href"),
+                                          U.strip_tracking(F.col("url")).alias("output"))
+    return c.select("p_partkey", "href", U.strip_tracking(r).alias("output")).unionByName(
+        pg.select(F.col("p_partkey") + 1000000000, "href", "output").toDF("p_partkey", "href", "output"))
+
+
+@register("url_provider")
+def q_url_provider(spark, d):
+    pg = table(spark, d, "pages").select("page_id", "url")
+    return pg.select("page_id", "url", U.url_provider(F.col("url")).alias("provider"))
+
+
+@register("target_id")
+def q_target_id(spark, d):
+    c = _url_cases(spark, d)
+    return c.select("p_partkey", "href", U.target_id(F.col("href"), F.col("base")).alias("target_id"))
+
+
+@register("link_exempt")
+def q_link_exempt(spark, d):
+    """Empty, javascript: and #fragment links keep their href; others are cleaned."""
+    c = _url_cases(spark, d)
+    return c.select("p_partkey", "href", U.clean_href(F.col("href"), F.col("base")).alias("href_clean"))

@@ -26,6 +26,10 @@ DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # attribute maps keep the first duplicate (see operators.tokens.parse_attrs)
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # A union of two page-partitioned inputs may report their partitioning,
+    # but AQE can re-plan one side to another partition count and the zip
+    # then fails; keep the union's partitioning unknown instead.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -33,7 +37,8 @@ def configure(spark: SparkSession) -> SparkSession:
     conf = spark.conf
     for key, value in DEFAULTS.items():
         try:
-            if key in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.mapKeyDedupPolicy"):
+            if key in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.mapKeyDedupPolicy",
+                       "spark.sql.unionOutputPartitioning"):
                 conf.set(key, value)
             elif conf.get(key, None) is None:
                 conf.set(key, value)
