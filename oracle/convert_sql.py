@@ -214,7 +214,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     ctes.append(
         "lt0 AS (SELECT page_id, pos, kind, tag, sum(CASE WHEN tag IN ('ul','ol') AND kind = 'open' THEN 1 "
         "WHEN tag IN ('ul','ol') AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos "
-        "ROWS UNBOUNDED PRECEDING) AS depth FROM kt WHERE tag IN ('ul','ol','li') AND kind IN ('open','close'))")
+        "ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM kt WHERE tag IN ('ul','ol','li') AND kind IN ('open','close'))")
     ctes.append(
         "lt1 AS (SELECT *, last_value(CASE WHEN tag IN ('ul','ol') THEN {'p': pos, 't': tag} END IGNORE NULLS) "
         "OVER (PARTITION BY page_id, depth ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lst FROM lt0 WHERE kind = 'open')")

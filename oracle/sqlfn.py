@@ -286,7 +286,7 @@ def elements_cte() -> str:
         f"el_e AS (SELECT page_id, tag, pos AS open_pos, "
         f"CASE WHEN kind <> 'open' THEN pos WHEN nxt_kind = 'close' THEN nxt_pos "
         f"ELSE coalesce({implied}, 1073741824) END AS end_pos, "
-        f"(kind <> 'open' OR coalesce(nxt_kind = 'close', false)) AS explicit, tok FROM el_j),\n"
+        f"(kind <> 'open' OR coalesce(nxt_kind = 'close', false)) AS explicit, tok, kind AS ekind FROM el_j),\n"
         "elements AS (SELECT *, CASE WHEN explicit THEN end_pos + 1 ELSE end_pos END AS stop_pos FROM el_e)"
     )
 
