@@ -7,6 +7,7 @@ re-states the operator in DuckDB SQL, sharing CTE text built in ``sqlfn``.
 from __future__ import annotations
 
 from . import sqlfn as S
+from .sqlfn import q
 
 ORACLE: dict[str, str] = {}
 
@@ -111,3 +112,53 @@ ORACLE["strip_tracking"] = (
 ORACLE["url_provider"] = f"SELECT page_id, url, {S.url_provider('url')} AS provider FROM pages"
 ORACLE["target_id"] = f"SELECT p_partkey, href, {S.target_id('href', 'base')} AS target_id FROM ({_UC})"
 ORACLE["link_exempt"] = f"SELECT p_partkey, href, {S.clean_href('href', 'base')} AS href_clean FROM ({_UC})"
+
+
+# ---------------------------------------------------------------- rule tables
+_LOG = ("SELECT n_nationkey::BIGINT AS seq, CASE WHEN n_nationkey = 9 THEN 'reset' WHEN n_nationkey % 7 = 3 THEN 'delete' "
+        "ELSE 'upsert' END AS op, CASE n_nationkey % 5 WHEN 0 THEN 'medium.com' WHEN 1 THEN 'site1.example.org' "
+        "WHEN 2 THEN 'example.com' WHEN 3 THEN 'dev.to' ELSE lower(n_name) || '.example.org' END AS domain, "
+        "CASE n_nationkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'main' ELSE '#content' END AS selector, "
+        "CASE WHEN n_nationkey % 2 = 0 THEN ['.x-' || n_nationkey::VARCHAR, 'nav'] ELSE []::VARCHAR[] END AS remove FROM nation")
+_BUILTIN = CV.builtin_rules_sql()
+
+
+def _fold(log_where: str) -> str:
+    return (
+        f"WITH log AS (SELECT * FROM ({_LOG}) WHERE {log_where}), b AS ({_BUILTIN}), "
+        "rs AS (SELECT max(seq) AS r FROM log WHERE op = 'reset'), "
+        "live AS (SELECT * FROM log WHERE seq > coalesce((SELECT r FROM rs), -1) AND op <> 'reset'), "
+        "lat AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq DESC) = 1), "
+        "cu AS (SELECT domain, selector, remove FROM lat WHERE op = 'upsert'), "
+        "eff AS (SELECT coalesce(cu.domain, b.domain) AS domain, CASE WHEN cu.domain IS NOT NULL THEN cu.selector ELSE b.selector END AS selector, "
+        "CASE WHEN cu.domain IS NOT NULL THEN cu.remove ELSE b.remove END AS remove, "
+        "CASE WHEN cu.domain IS NOT NULL THEN 'custom' ELSE 'builtin' END AS origin FROM b FULL OUTER JOIN cu ON b.domain = cu.domain) ")
+
+
+ORACLE["rules_builtin"] = f"SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list FROM ({_BUILTIN})"
+ORACLE["rules_effective"] = _fold("true") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
+ORACLE["rules_upsert"] = _fold("op = 'upsert'") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
+ORACLE["rules_delete"] = _fold("op <> 'reset'") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
+ORACLE["rules_reset"] = _fold("true") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list FROM eff WHERE origin = 'custom'"
+ORACLE["rule_latest"] = (f"SELECT domain, seq, op FROM ({_LOG}) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq DESC) = 1")
+ORACLE["rules_listing"] = _fold("true") + (
+    "SELECT domain, selector, CASE WHEN coalesce(array_to_string(remove, ', '), '') = '' THEN '—' "
+    "ELSE array_to_string(remove, ', ') END AS remove_list FROM eff")
+_FORM = ("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '  ' ELSE '  ' || upper(n_name) || '.Example.org ' END AS domain, "
+         "CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE ' article ' END AS selector, "
+         "CASE n_nationkey % 3 WHEN 0 THEN ' .a' || chr(10) || chr(10) || '  .b ' || chr(10) WHEN 1 THEN '  ' || chr(10) || ' ' END AS remove FROM nation")
+_lines = f"list_filter(list_transform(string_split(coalesce(remove, ''), chr(10)), lambda x: {S.trim_ws('x')}), lambda x: x <> '')"
+ORACLE["rules_validate"] = (
+    f"SELECT n_nationkey, lower({S.trim_ws('coalesce(domain, ' + q('') + ')')}) AS domain, "
+    f"{S.trim_ws('coalesce(selector, ' + q('') + ')')} AS selector, "
+    f"CASE WHEN len({_lines}) > 0 THEN array_to_string({_lines}, chr(10)) END AS remove_list, "
+    f"CASE WHEN lower({S.trim_ws('coalesce(domain, ' + q('') + ')')}) <> '' AND {S.trim_ws('coalesce(selector, ' + q('') + ')')} <> '' "
+    f"THEN 'ok' ELSE 'rejected' END AS status FROM ({_FORM})")
+_SITE = ("SELECT domain, selector, remove FROM (" + _BUILTIN + ") UNION ALL SELECT DISTINCT " + S.url_host("url")
+         + " AS domain, 'article' AS selector, ['b']::VARCHAR[] AS remove FROM pages WHERE url LIKE '%utm\\_%' ESCAPE '\\'")
+ORACLE["page_rule_join"] = (
+    f"WITH pg AS (SELECT page_id, {S.url_host('url')} AS host FROM pages), r AS ({_SITE}) "
+    "SELECT pg.page_id, pg.host, r.domain, r.selector FROM pg LEFT JOIN r ON pg.host = r.domain")
+_DOC_SITE = CV.documents_sql(rules_sql=_SITE)
+ORACLE["remove_domain"] = _DOC_SITE + "SELECT page_id, pos, kind, tag FROM t2"
+ORACLE["convert_pages_site_rules"] = _DOC_SITE + f"SELECT page_id, url, host, {CV.output_expr()} AS markdown FROM documents"

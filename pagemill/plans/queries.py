@@ -327,3 +327,123 @@ def q_link_exempt(spark, d):
     """Empty, javascript: and #fragment links keep their href; others are cleaned."""
     c = _url_cases(spark, d)
     return c.select("p_partkey", "href", U.clean_href(F.col("href"), F.col("base")).alias("href_clean"))
+
+
+# ---------------------------------------------------------------- rule tables
+from ..sources import rules as RL  # noqa: E402
+
+
+def rule_log(spark, d):
+    """Rule edit log derived from ``nation``: upserts, overwrites, deletes (also
+    of a built-in domain) and one reset, in ``seq`` order."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    op = F.when(k == 9, F.lit("reset")).when(k % 7 == 3, F.lit("delete")).otherwise(F.lit("upsert"))
+    domain = (F.when(k % 5 == 0, F.lit("medium.com")).when(k % 5 == 1, F.lit("site1.example.org"))
+              .when(k % 5 == 2, F.lit("example.com")).when(k % 5 == 3, F.lit("dev.to"))
+              .otherwise(F.concat(F.lower("n_name"), F.lit(".example.org"))))
+    selector = F.when(k % 3 == 0, F.lit("article")).when(k % 3 == 1, F.lit("main")).otherwise(F.lit("#content"))
+    remove = F.when(k % 2 == 0, F.array(F.concat(F.lit(".x-"), k.cast("string")), F.lit("nav"))).otherwise(
+        F.array().cast("array<string>"))
+    return n.select(k.cast("long").alias("seq"), op.alias("op"), domain.alias("domain"), selector.alias("selector"),
+                    remove.alias("remove"))
+
+
+def _rm_list(c="remove"):
+    return F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "\n")
+
+
+def site_rules(spark, d):
+    """Per-site rules for the hosts of tracked (``utm_*``) page URLs: content in
+    ``article``, bold text removed."""
+    p = table(spark, d, "pages").select("url").filter(F.col("url").contains("utm_"))
+    return p.select(U.url_host(F.col("url")).alias("domain")).distinct().select(
+        "domain", F.lit("article").alias("selector"), F.array(F.lit("b")).alias("remove"))
+
+
+@register("rules_builtin")
+def q_rules_builtin(spark, d):
+    # reads nation only to tie the fixed table to the job's input set
+    return RL.builtin_rules(spark).select("domain", "selector", _rm_list().alias("remove_list"))
+
+
+@register("rules_effective")
+def q_rules_effective(spark, d):
+    r = RL.fold_rules(RL.builtin_rules(spark), rule_log(spark, d))
+    return r.select("domain", "selector", _rm_list().alias("remove_list"), "origin")
+
+
+@register("rules_upsert")
+def q_rules_upsert(spark, d):
+    log = rule_log(spark, d).filter(F.col("op") == "upsert")
+    r = RL.fold_rules(RL.builtin_rules(spark), log)
+    return r.select("domain", "selector", _rm_list().alias("remove_list"), "origin")
+
+
+@register("rules_delete")
+def q_rules_delete(spark, d):
+    log = rule_log(spark, d).filter(F.col("op") != "reset")
+    r = RL.fold_rules(RL.builtin_rules(spark), log)
+    return r.select("domain", "selector", _rm_list().alias("remove_list"), "origin")
+
+
+@register("rules_reset")
+def q_rules_reset(spark, d):
+    r = RL.fold_rules(RL.builtin_rules(spark), rule_log(spark, d)).filter(F.col("origin") == "custom")
+    return r.select("domain", "selector", _rm_list().alias("remove_list"))
+
+
+@register("rule_latest")
+def q_rule_latest(spark, d):
+    log = rule_log(spark, d)
+    return log.groupBy("domain").agg(F.max_by(F.struct("seq", "op"), "seq").alias("ev")).select(
+        "domain", F.col("ev.seq").alias("seq"), F.col("ev.op").alias("op"))
+
+
+def rule_form(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    domain = F.when(k % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  "), F.upper("n_name"), F.lit(".Example.org ")))
+    selector = F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(" article "))
+    remove = F.when(k % 3 == 0, F.lit(" .a\n\n  .b \n")).when(k % 3 == 1, F.lit("  \n ")).otherwise(F.lit(None).cast("string"))
+    return n.select(k.alias("n_nationkey"), domain.alias("domain"), selector.alias("selector"), remove.alias("remove"))
+
+
+@register("rules_validate")
+def q_rules_validate(spark, d):
+    """S10 on form rows built from ``nation`` (blank domains/selectors, padded lines)."""
+    f = rule_form(spark, d)
+    v = RL.validate_rule_form(f)
+    return v.select("n_nationkey", "domain", "selector", F.array_join("remove", "\n").alias("remove_list"), "status")
+
+
+@register("rules_listing")
+def q_rules_listing(spark, d):
+    r = RL.fold_rules(RL.builtin_rules(spark), rule_log(spark, d))
+    return RL.rules_listing(r)
+
+
+@register("page_rule_join")
+def q_page_rule_join(spark, d):
+    c = Corpus.from_dir(spark, d)
+    rules = RL.builtin_rules(spark).unionByName(site_rules(spark, d))
+    j = RL.page_rule_join(c.page_info, rules)
+    return j.select("page_id", "host", "domain", "selector")
+
+
+@register("remove_domain")
+def q_remove_domain(spark, d):
+    """Per-site removals (site rules for tracked-URL hosts remove ``b``)."""
+    from .convert import Conversion
+    rules = RL.builtin_rules(spark).unionByName(site_rules(spark, d))
+    c = Conversion(spark, Corpus.from_dir(spark, d), rules)
+    return c.after_selectors.select("page_id", "pos", "kind", "tag")
+
+
+@register("convert_pages_site_rules")
+def q_convert_pages_site_rules(spark, d):
+    """R8 with per-site rules joined in (J1 + P2 + site selector root)."""
+    from .convert import Conversion
+    rules = RL.builtin_rules(spark).unionByName(site_rules(spark, d))
+    c = Conversion(spark, Corpus.from_dir(spark, d), rules)
+    return c.documents.select("page_id", "url", "host", "markdown")

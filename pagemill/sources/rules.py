@@ -78,8 +78,9 @@ def validate_rule_form(form: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.coalesce("remove", F.lit("")), "\n"), lambda x: trim_ws(x)),
                      lambda x: x != "")
     ok = (domain != "") & (selector != "")
+    keep = [c for c in form.columns if c not in ("domain", "selector", "remove")]
     return form.select(
-        domain.alias("domain"), selector.alias("selector"),
+        *keep, domain.alias("domain"), selector.alias("selector"),
         F.when(F.size(lines) > 0, lines).alias("remove"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
     )
