@@ -162,3 +162,12 @@ ORACLE["page_rule_join"] = (
 _DOC_SITE = CV.documents_sql(rules_sql=_SITE)
 ORACLE["remove_domain"] = _DOC_SITE + "SELECT page_id, pos, kind, tag FROM t2"
 ORACLE["convert_pages_site_rules"] = _DOC_SITE + f"SELECT page_id, url, host, {CV.output_expr()} AS markdown FROM documents"
+
+# ---------------------------------------------------------------- streaming, status, report
+ORACLE["stream_convert"] = ORACLE["convert_pages"]
+ORACLE["stream_rules"] = _fold("true") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list FROM eff WHERE origin = 'custom'"
+ORACLE["conversion_status"] = ("SELECT page_id, CASE WHEN coalesce(length(html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, "
+                               "CASE WHEN coalesce(length(html), 0) = 0 THEN 'page has no html' END AS error FROM pages")
+ORACLE["run_report"] = _DOC + (
+    f"SELECT d.host, CASE WHEN coalesce(length(p.html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS pages, "
+    f"sum(length({CV.output_expr()}))::BIGINT AS chars FROM documents d JOIN pages p USING (page_id) GROUP BY ALL")

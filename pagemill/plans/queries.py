@@ -447,3 +447,55 @@ def q_convert_pages_site_rules(spark, d):
     rules = RL.builtin_rules(spark).unionByName(site_rules(spark, d))
     c = Conversion(spark, Corpus.from_dir(spark, d), rules)
     return c.documents.select("page_id", "url", "host", "markdown")
+
+
+# ---------------------------------------------------------------- streaming, status, report
+def _scratch(spark, name):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("stream_convert")
+def q_stream_convert(spark, d):
+    """G1: the pages file consumed as a stream (availableNow), converted per
+    micro-batch; the appended output must equal the batch ``convert_pages``."""
+    from ..streaming.stream import PAGES_SCHEMA, stream_convert
+    out, ck = _scratch(spark, "stream-out"), _scratch(spark, "stream-ck")
+    q = stream_convert(spark, f"{d.rstrip('/')}/pages*.parquet", out, ck)
+    q.awaitTermination()
+    _ = PAGES_SCHEMA
+    return spark.read.parquet(out).select("page_id", "url", "host", "markdown")
+
+
+@register("stream_rules")
+def q_stream_rules(spark, d):
+    """The nation-derived rule log consumed as a stream and folded into the
+    custom-rule table; equals the batch fold's custom rows."""
+    from ..streaming.stream import stream_rules
+    log_dir, custom, ck = _scratch(spark, "rule-log"), _scratch(spark, "rules"), _scratch(spark, "rules-ck")
+    log = rule_log(spark, d)
+    log.write.parquet(log_dir)
+    q = stream_rules(spark, log_dir, custom, ck, log.schema)
+    q.awaitTermination()
+    return spark.read.parquet(custom).select("domain", "selector", _rm_list().alias("remove_list"))
+
+
+@register("conversion_status")
+def q_conversion_status(spark, d):
+    """Per-page status and error message."""
+    from ..streaming.stream import convert_batch
+    pages = table(spark, d, "pages")
+    return convert_batch(spark, pages).select("page_id", "status", "error")
+
+
+@register("run_report")
+def q_run_report(spark, d):
+    """Pages and Markdown characters per host and status (partial
+    aggregation before the shuffle, so a hot host is pre-aggregated)."""
+    from ..streaming.stream import convert_batch
+    docs = convert_batch(spark, table(spark, d, "pages"))
+    return docs.groupBy("host", "status").agg(F.count("*").alias("pages"),
+                                             F.sum(F.length("markdown")).cast("long").alias("chars"))
