@@ -17,7 +17,10 @@ from . import sqlfn as S
 from .sqlfn import inlist, q
 
 ATTR_NAMES = ["id", "class", "href", "title", "style", "hidden", "aria-hidden", "width", "height", "name",
-              "content", "src", "alt", "srcset", "type", "rel", "role"]
+              "content", "src", "alt", "srcset", "type", "rel", "role", "data-src", "data-original", "data-lazy-src",
+              "data-src-large", "data-image-src", "data-srcset", "data-lazy-srcset", "data-original-srcset", "data-url",
+              "aria-label", "data-title", "data-language", "data-lang", "lang", "data-rehype-pretty-code-figure",
+              "data-rehype-pretty-code-title"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 

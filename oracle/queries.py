@@ -171,3 +171,13 @@ ORACLE["conversion_status"] = ("SELECT page_id, CASE WHEN coalesce(length(html),
 ORACLE["run_report"] = _DOC + (
     f"SELECT d.host, CASE WHEN coalesce(length(p.html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS pages, "
     f"sum(length({CV.output_expr()}))::BIGINT AS chars FROM documents d JOIN pages p USING (page_id) GROUP BY ALL")
+
+# ---------------------------------------------------------------- fragment relations
+from . import extract_sql as EX  # noqa: E402
+
+ORACLE["images"] = EX.images_sql()
+ORACLE["media"] = EX.media_sql()
+ORACLE["svgs"] = EX.svgs_sql()
+ORACLE["code_blocks"] = EX.code_sql()
+ORACLE["table_cells"] = EX.table_cells_sql()
+ORACLE["render_table"] = EX.render_table_sql()

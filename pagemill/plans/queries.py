@@ -499,3 +499,53 @@ def q_run_report(spark, d):
     docs = convert_batch(spark, table(spark, d, "pages"))
     return docs.groupBy("host", "status").agg(F.count("*").alias("pages"),
                                              F.sum(F.length("markdown")).cast("long").alias("chars"))
+
+
+# ---------------------------------------------------------------- fragment relations
+def _frag(spark, d, name):
+    from ..sources.fragments import fragment_pages
+    from .convert import Conversion
+    pages = fragment_pages(spark, d, name).withColumn("host", U.url_host(F.col("url")))
+    return Conversion(spark, Corpus(spark, pages))
+
+
+@register("images")
+def q_images(spark, d):
+    """E3 + P6 + P12 + J4 + F2 on image fragments built from ``part``."""
+    from ..operators.extract import images
+    return images(_frag(spark, d, "frag_images"))
+
+
+@register("media")
+def q_media(spark, d):
+    """E4 + A6 + J5 + F11 on media fragments built from ``part``."""
+    from ..operators.extract import media
+    return media(_frag(spark, d, "frag_media"))
+
+
+@register("svgs")
+def q_svgs(spark, d):
+    """E5 / P7 on SVG fragments built from ``part``."""
+    from ..operators.extract import svgs
+    return svgs(_frag(spark, d, "frag_svg"))
+
+
+@register("code_blocks")
+def q_code_blocks(spark, d):
+    """E8 + F14 + F16 + J6 + J7 + R3 on code fragments built from ``part``."""
+    from ..operators.extract import code_blocks
+    return code_blocks(_frag(spark, d, "frag_code"))
+
+
+@register("table_cells")
+def q_table_cells(spark, d):
+    """E11 on table fragments built from ``supplier``."""
+    from ..operators.extract import table_cells
+    return table_cells(_frag(spark, d, "frag_tables"))
+
+
+@register("render_table")
+def q_render_table(spark, d):
+    """GFM text of each table."""
+    from ..operators.extract import render_tables, table_cells
+    return render_tables(table_cells(_frag(spark, d, "frag_tables")))
