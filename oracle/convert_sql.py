@@ -7,7 +7,7 @@ statement of the same semantics.
 from __future__ import annotations
 
 from pagemill.functions.text import WS
-from pagemill.operators.clean import EMPTY_EXEMPT, MEDIA_CONTENT_TAGS, MEDIA_TAGS
+from pagemill.operators.clean import EMPTY_EXEMPT, MEDIA_CONTENT_TAGS, MEDIA_TAGS, REPLACED_TAGS
 from pagemill.operators.select import ATTR_SEL_RE, COMP_RE, DEFAULT_REMOVE_SELECTORS, OPS
 from pagemill.operators.tokens import BLOCK_TAGS
 from pagemill.plans.convert import ROOT_FALLBACK
@@ -150,17 +150,20 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     hidden = (f"(a_hidden IS NOT NULL OR a_aria_hidden = 'true' "
               f"OR regexp_matches(lower(coalesce(a_style, '')), '(^|;)\\s*display\\s*:\\s*none\\s*(!important\\s*)?(;|$)') "
               f"OR regexp_matches(lower(coalesce(a_style, '')), '(^|;)\\s*visibility\\s*:\\s*hidden\\s*(!important\\s*)?(;|$)'))")
-    ctes.append(f"live AS (SELECT e.* FROM ce e WHERE e.tag NOT IN {inlist(MEDIA_TAGS)} AND EXISTS (SELECT 1 FROM t2 "
+    ctes.append("sv AS (SELECT e.* FROM ce e WHERE EXISTS (SELECT 1 FROM t2 WHERE t2.page_id = e.page_id "
+                "AND t2.pos = e.open_pos AND t2.kind IN ('open','void','raw')))")
+    ctes.append(f"live AS (SELECT e.* FROM ce e WHERE e.tag NOT IN {inlist(MEDIA_TAGS)} AND e.tag NOT IN {inlist(REPLACED_TAGS)} AND EXISTS (SELECT 1 FROM t2 "
                 f"WHERE t2.page_id = e.page_id AND t2.pos = e.open_pos AND t2.kind IN ('open','void','raw')))")
     ctes.append(
         f"inside AS (SELECT e.page_id, e.open_pos, "
         f"count(t.pos) FILTER (WHERE t.kind = 'text' AND {S.trim_ws('t.text')} <> '') AS w_text, "
-        f"count(t.pos) FILTER (WHERE t.kind IN ('open','void') AND t.tag IN {inlist(MEDIA_CONTENT_TAGS)}) AS w_media "
+        f"count(t.pos) FILTER (WHERE t.kind IN ('open','void') AND t.tag IN {inlist(MEDIA_CONTENT_TAGS)}) AS w_media, "
+        f"count(t.pos) FILTER (WHERE t.kind IN ('open','void') AND t.tag IN {inlist(REPLACED_TAGS)}) AS w_repl "
         f"FROM live e LEFT JOIN t2 t ON t.page_id = e.page_id AND t.pos > e.open_pos AND t.pos < e.end_pos "
         f"GROUP BY e.page_id, e.open_pos)")
     ctes.append(
         f"iv3 AS (SELECT e.page_id, e.open_pos, e.stop_pos FROM live e JOIN inside USING (page_id, open_pos) "
-        f"WHERE {hidden} OR (w_text + w_media = 0 AND e.tag NOT IN {inlist(EMPTY_EXEMPT)} AND e.ekind <> 'raw'))")
+        f"WHERE {hidden} OR (w_text + w_media + w_repl = 0 AND e.tag NOT IN {inlist(EMPTY_EXEMPT)} AND e.ekind <> 'raw'))")
     ctes.append(f"t3 AS ({not_covered('t2', 'iv3')})")
     tiny = ("(coalesce(TRY_CAST(" + S.rx("coalesce(a_width, '0')", f"^[{WS}]*([+-]?[0-9]+)", 1) + " AS INTEGER), 0) BETWEEN 1 AND 31 "
             "AND coalesce(TRY_CAST(" + S.rx("coalesce(a_height, '0')", f"^[{WS}]*([+-]?[0-9]+)", 1) + " AS INTEGER), 0) BETWEEN 1 AND 31)")
@@ -206,6 +209,24 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"coalesce((SELECT coalesce(a_content, '') FROM mt WHERE mt.page_id = p.page_id AND a_name = 'author'), '') AS author, "
         f"coalesce((SELECT coalesce(a_content, '') FROM mt WHERE mt.page_id = p.page_id AND a_name = 'description'), '') AS description "
         f"FROM pg p LEFT JOIN ttl_t tt USING (page_id))")
+    # replacements (media, svg, code, tables, images)
+    from . import extract_sql as EX
+    ctes += EX.all_ctes()
+    esc = S.escape_markdown_text("description")
+    ctes.append(
+        "repl0 AS (SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
+        "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
+        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code "
+        "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
+        "UNION ALL SELECT page_id, pos, markdown FROM x_images)")
+    ctes.append(
+        "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md FROM repl0 r JOIN ce e USING (page_id, open_pos) "
+        "WHERE EXISTS (SELECT 1 FROM kt WHERE kt.page_id = r.page_id AND kt.pos = r.open_pos AND kt.kind IN ('open','void')))")
+    ctes.append("rt AS (SELECT t.* FROM kt t WHERE NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = t.page_id "
+                "AND t.pos > r.open_pos AND t.pos < r.stop_pos))")
+    ctes.append("kr AS (SELECT e.* FROM ke e WHERE EXISTS (SELECT 1 FROM rt WHERE rt.page_id = e.page_id AND rt.pos = e.open_pos "
+                "AND rt.kind IN ('open','void','raw')) AND NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = e.page_id "
+                "AND r.open_pos = e.open_pos))")
     # render
     ctes.append(
         "kin AS (SELECT e.page_id, e.open_pos, (SELECT count(*) FROM kt t WHERE t.page_id = e.page_id AND t.kind IN ('open','void') "
@@ -245,7 +266,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"WHEN e.tag = 'li' THEN chr(10) WHEN e.tag IN ('br','hr') THEN NULL "
         f"WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN chr(10) || chr(10) END")
     ctes.append(
-        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, {open_md} AS omd, {close_md} AS cmd FROM ke e "
+        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, {open_md} AS omd, {close_md} AS cmd FROM kr e "
         f"LEFT JOIN headings hh ON hh.page_id = e.page_id AND hh.pos = e.open_pos "
         f"LEFT JOIN links l ON l.page_id = e.page_id AND l.pos = e.open_pos "
         f"LEFT JOIN unwrap u ON u.page_id = e.page_id AND u.open_pos = e.open_pos "
@@ -253,12 +274,13 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     blockish = f"((kind IN ('open','close','void') AND tag IN {inlist(BLOCK_TAGS)}) OR kind = 'raw')"
     ctes.append(
         f"nb AS (SELECT *, coalesce(lag({blockish}) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b "
-        f"FROM kt WINDOW w AS (PARTITION BY page_id ORDER BY pos))")
+        f"FROM rt WINDOW w AS (PARTITION BY page_id ORDER BY pos))")
     ctes.append(
         f"frags AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, omd AS md FROM frag_el "
         f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, cmd FROM frag_el WHERE ekind = 'open' "
         f"UNION ALL SELECT page_id, pos, 1, 0, {S.escape_markdown_text(S.collapse_inline_ws('text'))} FROM nb "
-        f"WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)))")
+        f"WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '')")
     ctes.append(
         f"body AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
         f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "

@@ -1,9 +1,11 @@
-"""DuckDB oracle for the extraction relations over fragment pages."""
+"""DuckDB oracle for the extraction relations (as CTE blocks over the
+conversion CTEs ``pg ke kt ce t2 sv``), reused by the fragment queries and by
+the rendering oracle."""
 
 from __future__ import annotations
 
-from pagemill.operators.extract import CLASS_LANGUAGE_RE
 from pagemill.functions.text import WS
+from pagemill.operators.extract import CLASS_LANGUAGE_RE
 
 from . import convert_sql as CV
 from . import sqlfn as S
@@ -11,23 +13,16 @@ from .fragments_sql import fragment_sql
 from .sqlfn import q
 
 
-def _base(name: str) -> str:
-    ctes = CV.convert_ctes(pages_sql=fragment_sql(name))
-    ctes.append("sv AS (SELECT e.* FROM ce e WHERE EXISTS (SELECT 1 FROM t2 WHERE t2.page_id = e.page_id "
-                "AND t2.pos = e.open_pos AND t2.kind IN ('open','void','raw')))")
-    return "WITH " + ",\n".join(ctes) + ",\n"
-
-
 def ft(*cols: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({c}, '')" for c in cols) + ")"
 
 
 def text_in(el: str, toks: str) -> str:
-    return (f"(SELECT string_agg(t.text, '' ORDER BY t.pos) FROM {toks} t WHERE t.page_id = {el}.page_id AND t.kind = 'text' "
-            f"AND t.pos > {el}.open_pos AND t.pos < {el}.end_pos)")
+    return (f"(SELECT string_agg(tq.text, '' ORDER BY tq.pos) FROM {toks} tq WHERE tq.page_id = {el}.page_id "
+            f"AND tq.kind = 'text' AND tq.pos > {el}.open_pos AND tq.pos < {el}.end_pos)")
 
 
-def images_sql() -> str:
+def images_ctes() -> list[str]:
     lazy = "coalesce(" + ", ".join(
         f"CASE WHEN coalesce({CV.col(a)}, '') <> '' AND NOT starts_with({CV.col(a)}, 'data:') THEN {CV.col(a)} END"
         for a in ["data-src", "data-original", "data-lazy-src", "data-src-large", "data-image-src"]) + ")"
@@ -37,44 +32,44 @@ def images_sql() -> str:
     chosen = "coalesce(i.lazy, i.from_srcset, f.from_picture)"
     src = (f"CASE WHEN {chosen} IS NOT NULL THEN {S.resolve_url(chosen, 'p.url')} "
            f"WHEN coalesce(i.a_src, '') <> '' THEN {S.resolve_url('i.a_src', 'p.url')} ELSE '' END")
-    alt, title = S.trim_ws("coalesce(i.a_alt, '')"), S.trim_ws("coalesce(i.a_title, '')")
     md = (f"CASE WHEN src <> '' THEN '![' || {S.trim_ws('alt')} || '](' || src || "
           f"CASE WHEN {S.trim_ws('title')} <> '' THEN ' \"' || {S.trim_ws('title')} || '\"' ELSE '' END || ')' ELSE '' END")
-    _ = (alt, title)
-    return _base("frag_images") + (
-        f"img AS (SELECT e.*, {lazy} AS lazy, {fs} AS from_srcset FROM ke e WHERE tag = 'img'),\n"
-        "pic AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'picture'),\n"
-        f"srcs AS (SELECT page_id, open_pos AS pos, {S.best_srcset(ft('a_data_srcset', 'a_srcset', 'a_data_src'))} AS best "
-        "FROM ke WHERE tag = 'source' AND (a_srcset IS NOT NULL OR a_data_srcset IS NOT NULL OR a_data_src IS NOT NULL)),\n"
-        "fsrc AS (SELECT p.page_id, p.open_pos AS pic_open, arg_min(s.best, s.pos) AS from_picture FROM pic p JOIN srcs s "
-        "ON s.page_id = p.page_id AND s.pos > p.open_pos AND s.pos < p.end_pos WHERE s.best IS NOT NULL GROUP BY ALL),\n"
-        "imgp AS (SELECT i.*, (SELECT max(p.open_pos) FROM pic p WHERE p.page_id = i.page_id AND i.open_pos > p.open_pos "
-        "AND i.open_pos < p.end_pos) AS pic_open FROM img i),\n"
-        f"res AS (SELECT i.page_id, i.open_pos AS pos, {src} AS src, coalesce(i.a_alt, '') AS alt, coalesce(i.a_title, '') AS title, "
-        f"{S.int_prefix('i.a_width')} AS width, {S.int_prefix('i.a_height')} AS height FROM imgp i JOIN pg p USING (page_id) "
-        "LEFT JOIN fsrc f ON f.page_id = i.page_id AND f.pic_open = i.pic_open)\n"
-        f"SELECT page_id, pos, src, alt, title, width, height, {md} AS markdown FROM res")
-
-
-def media_sql() -> str:
+    return [
+        f"xi_img AS (SELECT e.*, {lazy} AS lazy, {fs} AS from_srcset FROM ke e WHERE tag = 'img')",
+        "xi_pic AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'picture')",
+        f"xi_srcs AS (SELECT page_id, open_pos AS pos, {S.best_srcset(ft('a_data_srcset', 'a_srcset', 'a_data_src'))} AS best "
+        "FROM ke WHERE tag = 'source' AND (a_srcset IS NOT NULL OR a_data_srcset IS NOT NULL OR a_data_src IS NOT NULL))",
+        "xi_fsrc AS (SELECT p.page_id, p.open_pos AS pic_open, arg_min(s.best, s.pos) AS from_picture FROM xi_pic p JOIN xi_srcs s "
+        "ON s.page_id = p.page_id AND s.pos > p.open_pos AND s.pos < p.end_pos WHERE s.best IS NOT NULL GROUP BY ALL)",
+        "xi_imgp AS (SELECT i.*, (SELECT max(p.open_pos) FROM xi_pic p WHERE p.page_id = i.page_id AND i.open_pos > p.open_pos "
+        "AND i.open_pos < p.end_pos) AS pic_open FROM xi_img i)",
+        f"xi_res AS (SELECT i.page_id, i.open_pos AS pos, {src} AS src, coalesce(i.a_alt, '') AS alt, coalesce(i.a_title, '') AS title, "
+        f"{S.int_prefix('i.a_width')} AS width, {S.int_prefix('i.a_height')} AS height FROM xi_imgp i JOIN pg p USING (page_id) "
+        "LEFT JOIN xi_fsrc f ON f.page_id = i.page_id AND f.pic_open = i.pic_open)",
+        f"x_images AS (SELECT page_id, pos, src, alt, title, width, height, {md} AS markdown FROM xi_res)",
+    ]
+
+
+def media_ctes() -> list[str]:
     own = ft("m.a_src", "m.a_data_src", "m.a_data_url")
     raw = f"coalesce({own}, CASE WHEN m.tag IN ('video','audio') THEN n.nested END, '')"
-    return _base("frag_media") + (
-        "m0 AS (SELECT * FROM sv WHERE tag IN ('iframe','video','audio')),\n"
-        f"srcs AS (SELECT page_id, open_pos AS pos, {ft('a_src', 'a_data_src', 'a_data_url')} AS s FROM sv "
-        "WHERE tag = 'source' AND (a_src IS NOT NULL OR a_data_src IS NOT NULL OR a_data_url IS NOT NULL)),\n"
-        "nest AS (SELECT m.page_id, m.open_pos, arg_min(coalesce(s.s, ''), s.pos) AS nested FROM m0 m JOIN srcs s "
-        "ON s.page_id = m.page_id AND s.pos > m.open_pos AND s.pos < m.end_pos WHERE m.tag IN ('video','audio') GROUP BY ALL),\n"
-        f"m1 AS (SELECT m.page_id, m.open_pos, m.tag AS type, CASE WHEN {raw} <> '' THEN {S.resolve_url(raw, 'p.url')} ELSE '' END AS murl, "
-        f"coalesce({ft('m.a_title', 'm.a_aria_label', 'm.a_data_title')}, '') AS title FROM m0 m JOIN pg p USING (page_id) "
-        "LEFT JOIN nest n USING (page_id, open_pos)),\n"
-        f"m2 AS (SELECT *, CASE WHEN murl <> '' THEN {S.url_provider('murl')} ELSE '' END AS provider FROM m1)\n"
-        "SELECT page_id, open_pos AS pos, type, murl AS url, provider, title, concat_ws(' — ', 'Embedded ' || type, "
+    return [
+        "xm_m0 AS (SELECT * FROM sv WHERE tag IN ('iframe','video','audio'))",
+        f"xm_srcs AS (SELECT page_id, open_pos AS pos, {ft('a_src', 'a_data_src', 'a_data_url')} AS s FROM sv "
+        "WHERE tag = 'source' AND (a_src IS NOT NULL OR a_data_src IS NOT NULL OR a_data_url IS NOT NULL))",
+        "xm_nest AS (SELECT m.page_id, m.open_pos, arg_min(coalesce(s.s, ''), s.pos) AS nested FROM xm_m0 m JOIN xm_srcs s "
+        "ON s.page_id = m.page_id AND s.pos > m.open_pos AND s.pos < m.end_pos WHERE m.tag IN ('video','audio') GROUP BY ALL)",
+        f"xm_m1 AS (SELECT m.page_id, m.open_pos, m.tag AS type, CASE WHEN {raw} <> '' THEN {S.resolve_url(raw, 'p.url')} ELSE '' END AS murl, "
+        f"coalesce({ft('m.a_title', 'm.a_aria_label', 'm.a_data_title')}, '') AS title FROM xm_m0 m JOIN pg p USING (page_id) "
+        "LEFT JOIN xm_nest n USING (page_id, open_pos))",
+        f"xm_m2 AS (SELECT *, CASE WHEN murl <> '' THEN {S.url_provider('murl')} ELSE '' END AS provider FROM xm_m1)",
+        "x_media AS (SELECT page_id, open_pos AS pos, type, murl AS url, provider, title, concat_ws(' — ', 'Embedded ' || type, "
         "CASE WHEN provider <> '' THEN 'from ' || provider END, CASE WHEN title <> '' THEN '\"' || title || '\"' END, "
-        "CASE WHEN murl <> '' THEN murl END) AS description FROM m2")
+        "CASE WHEN murl <> '' THEN murl END) AS description FROM xm_m2)",
+    ]
 
 
-def svgs_sql() -> str:
+def svgs_ctes() -> list[str]:
     w, h = S.int_prefix("s.a_width"), S.int_prefix("s.a_height")
 
     def child(tag):
@@ -83,19 +78,20 @@ def svgs_sql() -> str:
     par = ("(SELECT max(f.open_pos) FROM sv f WHERE f.page_id = s.page_id AND f.open_pos < s.open_pos "
            "AND s.open_pos < f.stop_pos)")
     desc = ft("title", "dsc", "aria")
-    return _base("frag_svg") + (
-        f"s1 AS (SELECT s.page_id, s.open_pos, ({w} > 0 AND {w} < 48 AND {h} > 0 AND {h} < 48) AS icon, "
+    return [
+        f"xs_1 AS (SELECT s.page_id, s.open_pos, ({w} > 0 AND {w} < 48 AND {h} > 0 AND {h} < 48) AS icon, "
         f"{S.trim_ws('s.a_aria_label')} AS aria, {child('title')} AS title, {child('desc')} AS dsc, {par} AS parent_open, "
-        f"coalesce(length({S.trim_ws(text_in('s', 't2'))}), 0) AS svg_len FROM sv s WHERE s.tag = 'svg'),\n"
-        f"s2 AS (SELECT s1.*, coalesce((SELECT length({S.trim_ws(text_in('pp', 't2'))}) FROM sv pp WHERE pp.page_id = s1.page_id "
-        f"AND pp.open_pos = s1.parent_open), 0) AS parent_len FROM s1),\n"
-        f"s3 AS (SELECT *, CASE WHEN icon THEN 'removed' WHEN {desc} IS NOT NULL THEN 'described' "
-        f"WHEN parent_open IS NOT NULL AND parent_len > svg_len THEN 'removed' ELSE 'diagram' END AS action FROM s2)\n"
-        f"SELECT page_id, open_pos AS pos, action, CASE WHEN action = 'described' THEN '[SVG: ' || {desc} || ']' "
-        f"WHEN action = 'diagram' THEN '[SVG diagram]' END AS description FROM s3")
+        f"coalesce(length({S.trim_ws(text_in('s', 't2'))}), 0) AS svg_len FROM sv s WHERE s.tag = 'svg')",
+        f"xs_2 AS (SELECT xs_1.*, coalesce((SELECT length({S.trim_ws(text_in('pp', 't2'))}) FROM sv pp WHERE pp.page_id = xs_1.page_id "
+        f"AND pp.open_pos = xs_1.parent_open), 0) AS parent_len FROM xs_1)",
+        f"xs_3 AS (SELECT *, CASE WHEN icon THEN 'removed' WHEN {desc} IS NOT NULL THEN 'described' "
+        f"WHEN parent_open IS NOT NULL AND parent_len > svg_len THEN 'removed' ELSE 'diagram' END AS action FROM xs_2)",
+        f"x_svgs AS (SELECT page_id, open_pos AS pos, action, CASE WHEN action = 'described' THEN '[SVG: ' || {desc} || ']' "
+        f"WHEN action = 'diagram' THEN '[SVG diagram]' END AS description FROM xs_3)",
+    ]
 
 
-def code_sql() -> str:
+def code_ctes() -> list[str]:
     def cls(c):
         return (f"list_filter(list_transform(string_split_regex(coalesce({c}, ''), {q('[' + WS + ']+')}), "
                 f"lambda t: regexp_extract(t, {q(CLASS_LANGUAGE_RE)}, 1)), lambda x: x <> '')")
@@ -104,52 +100,78 @@ def code_sql() -> str:
     lang = S.first_non_empty("p.a_data_language", "p.a_data_language", "p.a_data_lang", "p.a_lang", "c.a_data_language",
                              "c.a_data_language", "c.a_data_lang", "c.a_lang", "f.a_data_language", first_cls)
     title0 = S.first_non_empty("p.a_data_title", "p.a_data_title", "p.a_title", "c.a_data_title", "c.a_title", "fig_title")
-    return _base("frag_code") + (
-        "pre AS (SELECT * FROM ke WHERE tag = 'pre'),\n"
-        "pc AS (SELECT p.page_id, p.open_pos, (SELECT min(c.open_pos) FROM ke c WHERE c.page_id = p.page_id AND c.tag = 'code' "
+    return [
+        "xc_pre AS (SELECT * FROM ke WHERE tag = 'pre')",
+        "xc_pc AS (SELECT p.page_id, p.open_pos, (SELECT min(c.open_pos) FROM ke c WHERE c.page_id = p.page_id AND c.tag = 'code' "
         "AND c.open_pos > p.open_pos AND c.open_pos < p.end_pos) AS code_open, "
         "(SELECT max(f.open_pos) FROM ke f WHERE f.page_id = p.page_id AND f.a_data_rehype_pretty_code_figure IS NOT NULL "
-        "AND p.open_pos > f.open_pos AND p.open_pos < f.end_pos) AS f_open FROM pre p),\n"
-        "ftl AS (SELECT f.page_id, f.open_pos AS f_open, (SELECT " + text_in("tt", "kt") + " FROM ke tt WHERE tt.page_id = f.page_id "
+        "AND p.open_pos > f.open_pos AND p.open_pos < f.end_pos) AS f_open FROM xc_pre p)",
+        "xc_ftl AS (SELECT f.page_id, f.open_pos AS f_open, (SELECT " + text_in("tt", "kt") + " FROM ke tt WHERE tt.page_id = f.page_id "
         "AND tt.a_data_rehype_pretty_code_title IS NOT NULL AND tt.open_pos > f.open_pos AND tt.open_pos < f.end_pos "
-        "ORDER BY tt.open_pos LIMIT 1) AS fig_title FROM ke f WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL),\n"
-        f"cb AS (SELECT p.page_id, p.open_pos, lower({lang}) AS language, {title0} AS title0, "
-        f"coalesce(nullif({text_in('c', 'kt')}, ''), {text_in('p', 'kt')}, '') AS code_raw FROM pre p JOIN pc USING (page_id, open_pos) "
-        "LEFT JOIN ke c ON c.page_id = p.page_id AND c.open_pos = pc.code_open "
-        "LEFT JOIN ke f ON f.page_id = p.page_id AND f.open_pos = pc.f_open "
-        "LEFT JOIN ftl ON ftl.page_id = p.page_id AND ftl.f_open = pc.f_open),\n"
-        f"cb2 AS (SELECT page_id, open_pos, language, CASE WHEN title0 IS NOT NULL THEN {S.squash_ws('title0')} END AS title, "
-        f"{S.trim_fence_padding('code_raw')} AS code FROM cb),\n"
-        f"cb3 AS (SELECT *, concat_ws(' ', language, CASE WHEN title IS NOT NULL THEN 'title=\"' || {S.escape_info_string('title')} "
-        f"|| '\"' END) AS info FROM cb2)\n"
-        "SELECT page_id, open_pos AS pos, language, title, code, '```' || CASE WHEN info <> '' THEN ' ' || info ELSE '' END "
-        "|| chr(10) || code || chr(10) || '```' AS markdown FROM cb3")
-
-
-def table_cells_ctes() -> str:
+        "ORDER BY tt.open_pos LIMIT 1) AS fig_title FROM ke f WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL)",
+        f"xc_cb AS (SELECT p.page_id, p.open_pos, lower({lang}) AS language, {title0} AS title0, "
+        f"coalesce(nullif({text_in('c', 'kt')}, ''), {text_in('p', 'kt')}, '') AS code_raw FROM xc_pre p JOIN xc_pc USING (page_id, open_pos) "
+        "LEFT JOIN ke c ON c.page_id = p.page_id AND c.open_pos = xc_pc.code_open "
+        "LEFT JOIN ke f ON f.page_id = p.page_id AND f.open_pos = xc_pc.f_open "
+        "LEFT JOIN xc_ftl ON xc_ftl.page_id = p.page_id AND xc_ftl.f_open = xc_pc.f_open)",
+        f"xc_cb2 AS (SELECT page_id, open_pos, language, CASE WHEN title0 IS NOT NULL THEN {S.squash_ws('title0')} END AS title, "
+        f"{S.trim_fence_padding('code_raw')} AS code FROM xc_cb)",
+        f"xc_cb3 AS (SELECT *, concat_ws(' ', language, CASE WHEN title IS NOT NULL THEN 'title=\"' || {S.escape_info_string('title')} "
+        f"|| '\"' END) AS info FROM xc_cb2)",
+        "x_code AS (SELECT page_id, open_pos AS pos, language, title, code, '```' || CASE WHEN info <> '' THEN ' ' || info ELSE '' END "
+        "|| chr(10) || code || chr(10) || '```' AS markdown FROM xc_cb3)",
+    ]
+
+
+def tables_ctes() -> list[str]:
     clean = f"replace({S.trim_ws(S.rr('coalesce(txt, ' + q('') + ')', r'[ \t\n\r\f]+', ' '))}, '|', '\\|')"
-    return _base("frag_tables") + (
-        "tb AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'table'),\n"
-        "trs AS (SELECT r.page_id, r.open_pos, r.end_pos, (SELECT max(t.open_pos) FROM tb t WHERE t.page_id = r.page_id "
-        "AND r.open_pos > t.open_pos AND r.open_pos < t.end_pos) AS t_open FROM ke r WHERE r.tag = 'tr'),\n"
-        "trs2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, t_open ORDER BY open_pos) AS row FROM trs WHERE t_open IS NOT NULL),\n"
-        "cl AS (SELECT c.page_id, c.open_pos, c.end_pos, c.tag, (SELECT max(r.open_pos) FROM trs2 r WHERE r.page_id = c.page_id "
-        "AND c.open_pos > r.open_pos AND c.open_pos < r.end_pos) AS r_open FROM ke c WHERE c.tag IN ('td','th')),\n"
-        f"cl2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id, c.r_open ORDER BY c.open_pos) AS col, "
-        f"{text_in('c', 'kt')} AS txt FROM cl c WHERE r_open IS NOT NULL),\n"
-        f"cells AS (SELECT c.page_id, r.t_open AS table_pos, r.row, c.col, c.tag = 'th' AS is_header, {clean} AS text "
-        "FROM cl2 c JOIN trs2 r ON r.page_id = c.page_id AND r.open_pos = c.r_open)\n")
+    return [
+        "xt_tb AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'table')",
+        "xt_trs AS (SELECT r.page_id, r.open_pos, r.end_pos, (SELECT max(t.open_pos) FROM xt_tb t WHERE t.page_id = r.page_id "
+        "AND r.open_pos > t.open_pos AND r.open_pos < t.end_pos) AS t_open FROM ke r WHERE r.tag = 'tr')",
+        "xt_trs2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, t_open ORDER BY open_pos) AS row FROM xt_trs WHERE t_open IS NOT NULL)",
+        "xt_cl AS (SELECT c.page_id, c.open_pos, c.end_pos, c.tag, (SELECT max(r.open_pos) FROM xt_trs2 r WHERE r.page_id = c.page_id "
+        "AND c.open_pos > r.open_pos AND c.open_pos < r.end_pos) AS r_open FROM ke c WHERE c.tag IN ('td','th'))",
+        f"xt_cl2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id, c.r_open ORDER BY c.open_pos) AS col, "
+        f"{text_in('c', 'kt')} AS txt FROM xt_cl c WHERE r_open IS NOT NULL)",
+        f"x_cells AS (SELECT c.page_id, r.t_open AS table_pos, r.row, c.col, c.tag = 'th' AS is_header, {clean} AS text "
+        "FROM xt_cl2 c JOIN xt_trs2 r ON r.page_id = c.page_id AND r.open_pos = c.r_open)",
+        "xt_rows AS (SELECT page_id, table_pos, row, '|' || string_agg(' ' || text || ' |', '' ORDER BY col) AS line "
+        "FROM x_cells GROUP BY ALL)",
+        "xt_nc AS (SELECT page_id, table_pos, count(*) AS n FROM x_cells WHERE row = 1 GROUP BY ALL)",
+        "xt_rows2 AS (SELECT r.page_id, r.table_pos, r.row, CASE WHEN r.row = 1 THEN r.line || chr(10) || '|' || "
+        "repeat(' --- |', coalesce(xt_nc.n, 1)) ELSE r.line END AS line FROM xt_rows r LEFT JOIN xt_nc USING (page_id, table_pos))",
+        "x_tables AS (SELECT page_id, table_pos, string_agg(line, chr(10) ORDER BY row) AS markdown FROM xt_rows2 GROUP BY ALL)",
+    ]
+
+
+def all_ctes() -> list[str]:
+    return images_ctes() + media_ctes() + svgs_ctes() + code_ctes() + tables_ctes()
+
+
+def _standalone(name: str, select: str) -> str:
+    return CV.documents_sql(pages_sql=fragment_sql(name)) + select
+
+
+def images_sql() -> str:
+    return _standalone("frag_images", "SELECT page_id, pos, src, alt, title, width, height, markdown FROM x_images")
+
+
+def media_sql() -> str:
+    return _standalone("frag_media", "SELECT page_id, pos, type, url, provider, title, description FROM x_media")
+
+
+def svgs_sql() -> str:
+    return _standalone("frag_svg", "SELECT page_id, pos, action, description FROM x_svgs")
+
+
+def code_sql() -> str:
+    return _standalone("frag_code", "SELECT page_id, pos, language, title, code, markdown FROM x_code")
 
 
 def table_cells_sql() -> str:
-    return table_cells_ctes() + "SELECT page_id, table_pos, row, col, is_header, text FROM cells"
+    return _standalone("frag_tables", "SELECT page_id, table_pos, row, col, is_header, text FROM x_cells")
 
 
 def render_table_sql() -> str:
-    return table_cells_ctes().rstrip("\n") + (
-        ",\nrows_ AS (SELECT page_id, table_pos, row, '|' || string_agg(' ' || text || ' |', '' ORDER BY col) AS line "
-        "FROM cells GROUP BY ALL),\n"
-        "nc AS (SELECT page_id, table_pos, count(*) AS n FROM cells WHERE row = 1 GROUP BY ALL),\n"
-        "rows2 AS (SELECT r.page_id, r.table_pos, r.row, CASE WHEN r.row = 1 THEN r.line || chr(10) || '|' || "
-        "repeat(' --- |', coalesce(nc.n, 1)) ELSE r.line END AS line FROM rows_ r LEFT JOIN nc USING (page_id, table_pos))\n"
-        "SELECT page_id, table_pos, string_agg(line, chr(10) ORDER BY row) AS markdown FROM rows2 GROUP BY ALL")
+    return _standalone("frag_tables", "SELECT page_id, table_pos, markdown FROM x_tables")

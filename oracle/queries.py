@@ -181,3 +181,10 @@ ORACLE["svgs"] = EX.svgs_sql()
 ORACLE["code_blocks"] = EX.code_sql()
 ORACLE["table_cells"] = EX.table_cells_sql()
 ORACLE["render_table"] = EX.render_table_sql()
+
+from .fragments_sql import fragment_sql  # noqa: E402
+
+_FRAG_ALL = " UNION ALL ".join(
+    f"SELECT page_id + {i * 1_000_000_000} AS page_id, url, html FROM ({fragment_sql(n)})"
+    for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables"]))
+ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT page_id, body AS markdown FROM body"

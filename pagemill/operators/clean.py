@@ -21,6 +21,9 @@ MEDIA_CONTENT_TAGS = ["img", "video", "audio"]
 # [ours] void tags and table cells are never removed as "empty" (keeps line
 # breaks, rules and table shape).
 EMPTY_EXEMPT = ["br", "hr", "wbr", "td", "th", "col", "input"]
+# Embedded media and SVGs are replaced by descriptions before cleaning: they
+# are neither hidden nor empty, and they count as content of their ancestors.
+REPLACED_TAGS = ["iframe", "video", "audio", "svg"]
 
 
 def removal_intervals(els: DataFrame, matched: DataFrame) -> DataFrame:
@@ -30,7 +33,21 @@ def removal_intervals(els: DataFrame, matched: DataFrame) -> DataFrame:
 
 def remove_selectors(tokens: DataFrame, els: DataFrame, rules: DataFrame, by_host: bool = False) -> DataFrame:
     """P1 (defaults, scope '*') / P2 (per-site, scope = host): drop matched subtrees."""
-    matched = S.match(S.facts(els), S.conditions(rules), by_host=by_host)
+    return remove_selector_sets(tokens, els, [(rules, by_host)])
+
+
+def remove_selector_sets(tokens: DataFrame, els: DataFrame, rule_sets) -> DataFrame:
+    """P1 + P2 in one sweep: the union of all matched subtrees is removed at once.
+
+    Removing subtrees is order-independent (a node inside an already removed
+    subtree is gone either way), so the default and per-site selector lists
+    share one match over the element facts and one sweep over the tokens.
+    """
+    f = S.facts(els)
+    matched = None
+    for rules, by_host in rule_sets:
+        m = S.match(f, S.conditions(rules), by_host=by_host).select("page_id", "open_pos")
+        matched = m if matched is None else matched.unionByName(m)
     return sweep_keep(tokens, removal_intervals(els, matched))
 
 
@@ -45,26 +62,30 @@ def is_hidden(attrs_col: str = "attrs"):
     )
 
 
-def hidden_and_empty(tokens: DataFrame, els: DataFrame) -> DataFrame:
-    """P4 + P5 in one pass over the tokens left by P1/P2.
+def hidden_and_empty(tokens: DataFrame, els: DataFrame, extra_intervals: DataFrame | None = None) -> DataFrame:
+    """P4 + P5 (+ any ``extra_intervals``, e.g. P6 tiny images) in one sweep
+    over the tokens left by P1/P2.
 
-    Emptiness is judged on those tokens (hidden children still count), as in
-    the single document-order pass it re-states. Media tags are exempt.
+    Emptiness is judged on those tokens (hidden children and tiny images still
+    count), as in the single document-order pass it re-states. Media tags are
+    exempt.
     """
     kept_open = tokens.filter(F.col("kind").isin("open", "void", "raw")).select("page_id", F.col("pos").alias("open_pos"))
     live = els.join(kept_open, ["page_id", "open_pos"], "left_semi")
-    live = live.filter(~F.col("tag").isin(*MEDIA_TAGS))
+    live = live.filter(~F.col("tag").isin(*MEDIA_TAGS) & ~F.col("tag").isin(*REPLACED_TAGS))
     pts = tokens.select(
         "page_id", "pos",
         F.when((F.col("kind") == "text") & (trim_ws(F.col("text")) != ""), 1).otherwise(0).alias("w_text"),
         F.when(F.col("kind").isin("open", "void") & F.col("tag").isin(*MEDIA_CONTENT_TAGS), 1).otherwise(0).alias("w_media"),
-        F.when(F.col("kind") == "repl", 1).otherwise(0).alias("w_repl"),
+        F.when(F.col("kind").isin("open", "void") & F.col("tag").isin(*REPLACED_TAGS), 1).otherwise(0).alias("w_repl"),
     )
     inside = interval_sums(pts, live.select("page_id", "open_pos", "end_pos"), ["w_text", "w_media", "w_repl"])
     cand = live.join(inside, ["page_id", "open_pos"], "left")
     empty = ((F.coalesce("w_text", F.lit(0)) + F.coalesce("w_media", F.lit(0)) + F.coalesce("w_repl", F.lit(0))) == 0) \
         & ~F.col("tag").isin(*EMPTY_EXEMPT) & (F.col("ekind") != "raw")
     drop = cand.filter(is_hidden() | empty).select("page_id", "open_pos", "stop_pos")
+    if extra_intervals is not None:
+        drop = drop.unionByName(extra_intervals.select("page_id", "open_pos", "stop_pos"))
     return sweep_keep(tokens, drop)
 
 

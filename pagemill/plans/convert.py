@@ -123,17 +123,15 @@ class Conversion:
                 extra = self.spark.createDataFrame(
                     [("*", 100 + i, s) for i, s in enumerate(self.opt.extra_remove)], S.RULE_SCHEMA)
                 defaults = defaults.unionByName(extra)
-            t = C.remove_selectors(t, e, defaults)
-            return C.remove_selectors(t, e, self._site_removals(), by_host=True)
+            return C.remove_selector_sets(t, e, [(defaults, False), (self._site_removals(), True)])
         return self._memo("after_selectors", build)
 
     @property
     def cleaned_tokens(self) -> DataFrame:
         def build():
-            t = C.hidden_and_empty(self.after_selectors, self.content_elements)
             tiny = self.content_elements.filter((F.col("tag") == "img") & C.tiny_image()).select(
                 "page_id", "open_pos", "stop_pos")
-            return materialize(sweep_keep(t, tiny))
+            return materialize(C.hidden_and_empty(self.after_selectors, self.content_elements, tiny))
         return self._memo("cleaned_tokens", build)
 
     @property
@@ -221,10 +219,51 @@ class Conversion:
                             F.coalesce("description", F.lit("")).alias("description"))
         return self._memo("page_meta", build)
 
+    # ------------------------------------------------------------ replacements
+    @property
+    def replacements(self) -> DataFrame:
+        """Elements rendered as one Markdown fragment: media quotes (E4/A6),
+        SVG descriptions (E5), fenced code (E8/R3), GFM tables (R6), images (E3).
+        ``(page_id, open_pos, stop_pos, md)``; only elements still in the
+        cleaned token stream count.
+        """
+        def build():
+            from ..operators import extract as EX
+            esc = X.escape_markdown_text
+            m = EX.media(self).select("page_id", F.col("pos").alias("open_pos"),
+                                      F.concat(F.lit("\n\n> "), esc(F.col("description")), F.lit("\n\n")).alias("md"))
+            s = EX.svgs(self).select("page_id", F.col("pos").alias("open_pos"),
+                                     F.when(F.col("action") == "removed", F.lit("")).otherwise(
+                                         F.concat(F.lit("\n\n"), F.col("description"), F.lit("\n\n"))).alias("md"))
+            c = EX.code_blocks(self).select("page_id", F.col("pos").alias("open_pos"),
+                                            F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"))
+            t = EX.render_tables(EX.table_cells(self)).select(
+                "page_id", F.col("table_pos").alias("open_pos"),
+                F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"))
+            i = EX.images(self).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
+            r = m.unionByName(s).unionByName(c).unionByName(t).unionByName(i)
+            kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
+                "page_id", F.col("pos").alias("open_pos"))
+            r = r.join(kept, ["page_id", "open_pos"], "left_semi")
+            r = r.join(self.content_elements.select("page_id", "open_pos", "stop_pos"), ["page_id", "open_pos"])
+            return materialize(r)
+        return self._memo("replacements", build)
+
+    @property
+    def render_tokens(self) -> DataFrame:
+        """Cleaned tokens without the insides of replaced elements."""
+        def build():
+            iv = self.replacements.select("page_id", (F.col("open_pos") + 1).alias("open_pos"), "stop_pos")
+            return sweep_keep(self.cleaned_tokens, iv)
+        return self._memo("render_tokens", build)
+
     # ------------------------------------------------------------ render
     def _render_elements(self) -> DataFrame:
         """Element open/close Markdown."""
-        e = self.kept_elements
+        opens = self.render_tokens.filter(F.col("kind").isin("open", "void", "raw")).select(
+            "page_id", F.col("pos").alias("open_pos"))
+        e = self.kept_elements.join(opens, ["page_id", "open_pos"], "left_semi").join(
+            self.replacements.select("page_id", "open_pos"), ["page_id", "open_pos"], "left_anti")
         h = self.headings.select("page_id", F.col("pos").alias("open_pos"), F.col("id").alias("hid"))
         e = e.join(h, ["page_id", "open_pos"], "left")
         e = e.join(self.links.select("page_id", F.col("pos").alias("open_pos"), "href_clean"), ["page_id", "open_pos"], "left")
@@ -305,7 +344,7 @@ class Conversion:
                          F.col("lst.t").alias("list_tag"), "ordinal")
 
     def _render_text(self) -> DataFrame:
-        t = self.cleaned_tokens
+        t = self.render_tokens
         blockish = (F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*BLOCK_TAGS)) | F.col("kind").isin("raw")
         w = Window.partitionBy("page_id").orderBy("pos")
         t = t.withColumn("_b", blockish).withColumn("_prev_b", F.lag("_b", 1, True).over(w)).withColumn(
@@ -320,7 +359,9 @@ class Conversion:
     def body(self) -> DataFrame:
         """A4: two-level ordered aggregation of the fragments -> ``(page_id, body)``."""
         def build():
-            frags = self._render_elements().unionByName(self._render_text())
+            repl = self.replacements.select("page_id", F.col("open_pos").alias("k1"), F.lit(1).alias("k2"),
+                                            F.lit(0).alias("k3"), "md").filter(F.col("md") != "")
+            frags = self._render_elements().unionByName(self._render_text()).unionByName(repl)
             frags = frags.withColumn("chunk", F.floor(F.col("k1") / CHUNK).cast("int"))
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "md")))
             part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))

@@ -549,3 +549,21 @@ def q_render_table(spark, d):
     """GFM text of each table."""
     from ..operators.extract import render_tables, table_cells
     return render_tables(table_cells(_frag(spark, d, "frag_tables")))
+
+
+FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables"]
+
+
+@register("render_fragments")
+def q_render_fragments(spark, d):
+    """R1-R7 on all fragment views together: Markdown body with media quotes,
+    SVG descriptions, fenced code, GFM tables and images (page_id offset by view)."""
+    from ..sources.fragments import fragment_pages
+    from .convert import Conversion
+    pages = None
+    for i, name in enumerate(FRAGMENT_VIEWS):
+        p = fragment_pages(spark, d, name).withColumn("page_id", F.col("page_id") + F.lit(i * 1_000_000_000))
+        pages = p if pages is None else pages.unionByName(p)
+    pages = pages.withColumn("host", U.url_host(F.col("url")))
+    c = Conversion(spark, Corpus(spark, pages))
+    return c.body.select("page_id", F.col("body").alias("markdown"))

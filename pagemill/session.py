@@ -57,6 +57,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Local data is a few MB: AQE would fold each shuffle into 1-2
+        # partitions and leave most cores idle on CPU-bound per-token work.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -99,10 +99,14 @@ def _small(rules: DataFrame) -> bool:
         return False
 
 
-def page_rule_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``pages(page_id, host, ...)`` left-joined to the rule of the exact host."""
+def page_rule_join(pages: DataFrame, rules: DataFrame, small: bool | None = None) -> DataFrame:
+    """``pages(page_id, host, ...)`` left-joined to the rule of the exact host.
+
+    The rule table is broadcast only when its row count is checked to be
+    within ``BROADCAST_MAX_RULES``; otherwise both sides shuffle on the host.
+    """
     r = rules.select("domain", "selector", "remove")
-    r = F.broadcast(r) if _small(rules) else r
+    r = F.broadcast(r) if (_small(rules) if small is None else small) else r
     return pages.join(r, pages["host"] == r["domain"], "left")
 
 
