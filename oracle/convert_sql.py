@@ -113,8 +113,25 @@ def not_covered(toks: str, iv: str) -> str:
             f"AND t.pos >= i.open_pos AND t.pos < i.stop_pos)")
 
 
-def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = None, rules_sql: str | None = None) -> list[str]:
+def canonical_ctes(alternates_sql: str) -> list[str]:
+    fm_f, fm_c = S.strip_front_matter(S.trim_ws("coalesce(a.text, '')"))
+    return [
+        f"canon_link AS (SELECT e.page_id, {S.resolve_url('e.a_href', 'p.url')} AS href FROM ee e JOIN pg p USING (page_id) "
+        "WHERE e.tag = 'link' AND e.a_rel = 'alternate' AND e.a_type = 'text/markdown' AND coalesce(e.a_href, '') <> '' "
+        "QUALIFY row_number() OVER (PARTITION BY e.page_id ORDER BY e.open_pos) = 1)",
+        f"alts AS ({alternates_sql})",
+        f"canon0 AS (SELECT l.page_id, {S.trim_ws(fm_c)} AS content FROM canon_link l JOIN alts a ON a.url = l.href "
+        "WHERE a.status BETWEEN 200 AND 299)",
+        "canon AS (SELECT page_id, content FROM canon0 WHERE content <> '' "
+        "QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY content) = 1)",
+    ]
+
+
+def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = None, rules_sql: str | None = None,
+                 alternates_sql: str | None = None) -> list[str]:
     ctes = base_ctes(pages_sql or "SELECT page_id, url, html FROM pages", rules_sql)
+    if alternates_sql:
+        ctes += canonical_ctes(alternates_sql)
     # root
     root_vals = ", ".join(f"('*', {r}, {q(s)})" for r, s in ROOT_FALLBACK)
     ctes += selector_ctes("rg", f"SELECT * FROM (VALUES {root_vals}) t(scope, rule_ord, selector)")
@@ -131,7 +148,9 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "root AS (SELECT p.page_id, coalesce(b.open_pos, -1) AS root_open, coalesce(b.end_pos, 1073741824) AS root_end "
         "FROM pg p LEFT JOIN (SELECT * FROM root_c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rule_ord, open_pos) = 1) b "
         "USING (page_id))")
-    ctes.append("ct AS (SELECT t.* FROM tx t JOIN root r USING (page_id) WHERE t.pos > r.root_open AND t.pos < r.root_end)")
+    skip = " AND t.page_id NOT IN (SELECT page_id FROM canon)" if alternates_sql else ""
+    ctes.append("ct AS (SELECT t.* FROM tx t JOIN root r USING (page_id) WHERE t.pos > r.root_open AND t.pos < r.root_end"
+                + skip + ")")
     ctes.append("ce AS (SELECT e.* FROM ee e JOIN root r USING (page_id) WHERE e.open_pos > r.root_open AND e.open_pos < r.root_end)")
     # P1 / P2
     dvals = ", ".join(f"('*', {i}, {q(s)})" for i, s in enumerate(DEFAULT_REMOVE_SELECTORS))
@@ -291,6 +310,14 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
 def documents_sql(retrieved: str = "2025-01-01T00:00:00.000Z", **kw) -> str:
     ctes = convert_ctes(**kw)
     fm = S.build_front_matter("m.title", "m.source", "m.author", "m.description", q(retrieved))
+    if kw.get("alternates_sql"):
+        ctes.append(
+            f"documents AS (SELECT p.page_id, p.url, p.host, {fm} AS front_matter, "
+            f"CASE WHEN c.content IS NOT NULL THEN '' ELSE t.toc END AS toc, coalesce(c.content, b.body) AS body, "
+            f"CASE WHEN c.content IS NOT NULL THEN 'canonical' ELSE 'converted' END AS origin FROM pg p "
+            f"JOIN page_meta m USING (page_id) JOIN toc t USING (page_id) JOIN body b USING (page_id) "
+            f"LEFT JOIN canon c USING (page_id))")
+        return "WITH " + ",\n".join(ctes) + "\n"
     ctes.append(
         f"documents AS (SELECT p.page_id, p.url, p.host, {fm} AS front_matter, t.toc, b.body FROM pg p "
         f"JOIN page_meta m USING (page_id) JOIN toc t USING (page_id) JOIN body b USING (page_id))")

@@ -188,3 +188,17 @@ _FRAG_ALL = " UNION ALL ".join(
     f"SELECT page_id + {i * 1_000_000_000} AS page_id, url, html FROM ({fragment_sql(n)})"
     for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables"]))
 ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT page_id, body AS markdown FROM body"
+
+# ---------------------------------------------------------------- canonical path
+_ALTS = ("SELECT 'https://site' || (s_suppkey % 7)::VARCHAR || '.example.org/' || CASE WHEN s_suppkey % 3 = 1 THEN 'd/md/' "
+         "ELSE 'md/' END || s_suppkey::VARCHAR || '.md' AS url, CASE WHEN s_suppkey % 5 = 4 THEN 404 ELSE 200 END AS status, "
+         "CASE s_suppkey % 4 WHEN 0 THEN '---' || chr(10) || 'title: Doc ' || s_suppkey::VARCHAR || chr(10) || '---' || chr(10) "
+         "|| chr(10) || '# Doc ' || s_suppkey::VARCHAR || chr(10) || chr(10) || s_name || chr(10) "
+         "WHEN 1 THEN '   ' || chr(10) || ' ' WHEN 2 THEN '---' || chr(10) || 'unclosed: ' || s_suppkey::VARCHAR || chr(10) || s_name "
+         "ELSE '  # Plain ' || s_suppkey::VARCHAR || '  ' END AS text FROM supplier")
+_DOC_ALT = CV.documents_sql(pages_sql=fragment_sql("frag_alternate"), alternates_sql=_ALTS)
+ORACLE["canonical_link"] = _DOC_ALT + "SELECT page_id, href FROM canon_link"
+ORACLE["canonical_join"] = _DOC_ALT + "SELECT page_id, content FROM canon"
+ORACLE["canonical_pages_semi"] = _DOC_ALT + (
+    "SELECT p.page_id, EXISTS (SELECT 1 FROM ct WHERE ct.page_id = p.page_id) AS converted FROM pg p")
+ORACLE["convert_pages_canonical"] = _DOC_ALT + f"SELECT page_id, url, origin, {CV.output_expr()} AS markdown FROM documents"

@@ -49,13 +49,27 @@ class Conversion:
     """All relations of one conversion run; attributes are lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, corpus: Corpus, rules: DataFrame | None = None,
-                 options: Options | None = None):
+                 options: Options | None = None, alternates: DataFrame | None = None):
         self.spark = spark
         self.corpus = corpus
         self.rules = rules if rules is not None else R.builtin_rules(spark)
         self.opt = options or Options()
+        self.alternates = alternates
         self._cache: dict = {}
 
+    # ------------------------------------------------------------ canonical
+    @property
+    def canonical(self) -> DataFrame | None:
+        """``(page_id, content)`` of pages whose published Markdown wins, or None."""
+        if self.alternates is None:
+            return None
+
+        def build():
+            from ..sources.canonical import canonical_content, canonical_link
+            links = canonical_link(self.elements, self.corpus.page_info)
+            return materialize(canonical_content(links, self.alternates))
+        return self._memo("canonical", build)
+
     def _memo(self, key, fn):
         if key not in self._cache:
             self._cache[key] = fn()
@@ -97,6 +111,8 @@ class Conversion:
     def content_tokens(self) -> DataFrame:
         def build():
             t = self.corpus.tokens.join(self.root, "page_id")
+            if self.canonical is not None:  # J9: pages with usable alternates skip conversion
+                t = t.join(self.canonical.select("page_id"), "page_id", "left_anti")
             return materialize(t.filter((F.col("pos") > F.col("root_open")) & (F.col("pos") < F.col("root_end"))).drop(
                 "root_open", "root_end"))
         return self._memo("content_tokens", build)
@@ -377,10 +393,17 @@ class Conversion:
             p = self.corpus.page_info
             m = self.page_meta
             d = p.join(m, "page_id").join(self.toc, "page_id").join(self.body, "page_id")
+            if self.canonical is not None:  # canonical content wins, without a TOC
+                d = d.join(self.canonical, "page_id", "left").select(
+                    *[c for c in d.columns if c not in ("toc", "body")],
+                    F.when(F.col("content").isNotNull(), F.lit("")).otherwise(F.col("toc")).alias("toc"),
+                    F.coalesce("content", "body").alias("body"),
+                    F.when(F.col("content").isNotNull(), F.lit("canonical")).otherwise(F.lit("converted")).alias("origin"))
             fm = X.build_front_matter(F.col("title"), F.col("source"), F.col("author"), F.col("description"),
                                       F.lit(self.opt.retrieved))
             d = d.withColumn("front_matter", fm)
-            return d.select("page_id", "url", "host", "front_matter", "toc", "body",
+            origin = F.col("origin") if "origin" in d.columns else F.lit("converted")
+            return d.select("page_id", "url", "host", "front_matter", "toc", "body", origin.alias("origin"),
                             X.build_output(F.col("front_matter"), F.col("toc"), F.col("body")).alias("markdown"))
         return self._memo("documents", build)
 

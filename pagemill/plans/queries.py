@@ -567,3 +567,41 @@ def q_render_fragments(spark, d):
     pages = pages.withColumn("host", U.url_host(F.col("url")))
     c = Conversion(spark, Corpus(spark, pages))
     return c.body.select("page_id", F.col("body").alias("markdown"))
+
+
+# ---------------------------------------------------------------- canonical path
+def _alt_conv(spark, d):
+    from ..sources.canonical import crawled_alternates
+    from ..sources.fragments import fragment_pages
+    from .convert import Conversion
+    pages = fragment_pages(spark, d, "frag_alternate").withColumn("host", U.url_host(F.col("url")))
+    return Conversion(spark, Corpus(spark, pages), alternates=crawled_alternates(spark, d))
+
+
+@register("canonical_link")
+def q_canonical_link(spark, d):
+    """First Markdown alternate link per page, resolved."""
+    from ..sources.canonical import canonical_link
+    c = _alt_conv(spark, d)
+    return canonical_link(c.elements, c.corpus.page_info)
+
+
+@register("canonical_join")
+def q_canonical_join(spark, d):
+    """S13 + F7: usable alternate content per page."""
+    return _alt_conv(spark, d).canonical
+
+
+@register("canonical_pages_semi")
+def q_canonical_pages_semi(spark, d):
+    """Pages that skip conversion (content tokens exist only for the others)."""
+    c = _alt_conv(spark, d)
+    converted = c.content_tokens.select("page_id").distinct().withColumn("converted", F.lit(True))
+    return c.corpus.page_info.select("page_id").join(converted, "page_id", "left").select(
+        "page_id", F.coalesce("converted", F.lit(False)).alias("converted"))
+
+
+@register("convert_pages_canonical")
+def q_convert_pages_canonical(spark, d):
+    """R8 with published Markdown alternates joined in."""
+    return _alt_conv(spark, d).documents.select("page_id", "url", "origin", "markdown")

@@ -51,6 +51,11 @@ RECIPES = {
         '<article><pre><code>plain {k}</code></pre></article>',
         '<article><pre title="  Demo   {k} "><code data-lang="SQL" title="q">select {s};</code></pre></article>',
     ]),
+    "frag_alternate": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
+        '<html><head><title>Doc {k}</title><link rel="alternate" type="text/markdown" href="/md/{k}.md"></head><body><article><h1>Doc {k}</h1><p>{n}</p></article></body></html>',
+        '<html><head><title>Doc {k}</title><link rel="alternate" type="text/html" href="/alt/{k}"><link rel="alternate" type="text/markdown" href="md/{k}.md"></head><body><main><h2>Page {k}</h2><p>{n}</p></main></body></html>',
+        '<html><head><title>Doc {k}</title></head><body><article><h1>No alternate {k}</h1><p>{n}</p></article></body></html>',
+    ]),
     "frag_tables": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',
