@@ -237,7 +237,8 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
         "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code "
         "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
-        "UNION ALL SELECT page_id, pos, markdown FROM x_images)")
+        "UNION ALL SELECT page_id, pos, markdown FROM x_images "
+        "UNION ALL SELECT page_id, pos, markdown FROM x_figures)")
     ctes.append(
         "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md FROM repl0 r JOIN ce e USING (page_id, open_pos) "
         "WHERE EXISTS (SELECT 1 FROM kt WHERE kt.page_id = r.page_id AND kt.pos = r.open_pos AND kt.kind IN ('open','void')))")
@@ -299,7 +300,8 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, cmd FROM frag_el WHERE ekind = 'open' "
         f"UNION ALL SELECT page_id, pos, 1, 0, {S.escape_markdown_text(S.collapse_inline_ws('text'))} FROM nb "
         f"WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '')")
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt "
+        f"WHERE rt.page_id = repl.page_id AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")
     ctes.append(
         f"body AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
         f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "

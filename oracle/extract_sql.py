@@ -145,8 +145,31 @@ def tables_ctes() -> list[str]:
     ]
 
 
+def figures_ctes() -> list[str]:
+    cap = S.trim_ws("coalesce(" + text_in("c", "kt") + ", '')")
+    return [
+        "xf_fig AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'figure')",
+        "xf_own AS (SELECT i.page_id, i.pos, i.markdown, (SELECT max(f.open_pos) FROM xf_fig f WHERE f.page_id = i.page_id "
+        "AND i.pos > f.open_pos AND i.pos < f.end_pos) AS f_open FROM x_images i)",
+        "xf_cnt AS (SELECT page_id, f_open, count(*) AS n_img FROM xf_own WHERE f_open IS NOT NULL GROUP BY ALL)",
+        "xf_md AS (SELECT page_id, f_open, string_agg(markdown, chr(10) || chr(10) ORDER BY pos) AS img_md FROM xf_own "
+        "WHERE f_open IS NOT NULL AND markdown <> '' GROUP BY ALL)",
+        f"xf_cap AS (SELECT f.page_id, f.open_pos AS f_open, (SELECT {cap} FROM ke c WHERE c.page_id = f.page_id "
+        "AND c.tag = 'figcaption' AND c.open_pos > f.open_pos AND c.open_pos < f.end_pos ORDER BY c.open_pos LIMIT 1) AS caption "
+        "FROM xf_fig f)",
+        "x_figures AS (SELECT c.page_id, c.f_open AS pos, c.n_img::BIGINT AS images, coalesce(cp.caption, '') AS caption, "
+        "chr(10) || chr(10) || coalesce(m.img_md, '') || CASE WHEN coalesce(cp.caption, '') <> '' THEN chr(10) || chr(10) "
+        "|| '_' || cp.caption || '_' ELSE '' END || chr(10) || chr(10) AS markdown FROM xf_cnt c "
+        "LEFT JOIN xf_md m USING (page_id, f_open) LEFT JOIN xf_cap cp USING (page_id, f_open))",
+    ]
+
+
 def all_ctes() -> list[str]:
-    return images_ctes() + media_ctes() + svgs_ctes() + code_ctes() + tables_ctes()
+    return images_ctes() + media_ctes() + svgs_ctes() + code_ctes() + tables_ctes() + figures_ctes()
+
+
+def figures_sql() -> str:
+    return _standalone("frag_figures", "SELECT page_id, pos, images, caption, markdown FROM x_figures")
 
 
 def _standalone(name: str, select: str) -> str:

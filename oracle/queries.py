@@ -186,7 +186,7 @@ from .fragments_sql import fragment_sql  # noqa: E402
 
 _FRAG_ALL = " UNION ALL ".join(
     f"SELECT page_id + {i * 1_000_000_000} AS page_id, url, html FROM ({fragment_sql(n)})"
-    for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables"]))
+    for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures"]))
 ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT page_id, body AS markdown FROM body"
 
 # ---------------------------------------------------------------- canonical path
@@ -202,3 +202,6 @@ ORACLE["canonical_join"] = _DOC_ALT + "SELECT page_id, content FROM canon"
 ORACLE["canonical_pages_semi"] = _DOC_ALT + (
     "SELECT p.page_id, EXISTS (SELECT 1 FROM ct WHERE ct.page_id = p.page_id) AS converted FROM pg p")
 ORACLE["convert_pages_canonical"] = _DOC_ALT + f"SELECT page_id, url, origin, {CV.output_expr()} AS markdown FROM documents"
+
+ORACLE["figures"] = EX.figures_sql()
+ORACLE["write_documents"] = ORACLE["convert_pages"]

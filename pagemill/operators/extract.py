@@ -274,3 +274,30 @@ def render_tables(cells: DataFrame) -> DataFrame:
                                                    F.repeat(F.lit(" --- |"), F.coalesce("n", F.lit(1)).cast("int"))))
         .otherwise(F.col("line")))
     return ordered_concat(rows, ["page_id", "table_pos"], "row", "line", "\n", "markdown")
+
+
+# ---------------------------------------------------------------- E10 figures
+def figures(conv, imgs: DataFrame | None = None) -> DataFrame:
+    """E10 + J8: figures that contain images -> images (Markdown, blank line
+    between) and an italic caption from the first ``figcaption``. A figure
+    without an image is rendered as ordinary content instead (kept text)."""
+    e = conv.kept_elements
+    toks = conv.cleaned_tokens
+    fig = e.filter(F.col("tag") == "figure").select("page_id", "open_pos", "end_pos")
+    imgs = imgs if imgs is not None else images(conv)
+    owned = assign_owner(imgs.select("page_id", "pos", "markdown"), fig, "f")
+    with_img = owned.groupBy("page_id", "f_open").agg(F.count("*").alias("n_img"))
+    md = ordered_concat(owned.filter(F.col("markdown") != ""), ["page_id", "f_open"], "pos", "markdown", "\n\n", "img_md")
+    cap = e.filter(F.col("tag") == "figcaption").select("page_id", F.col("open_pos").alias("pos"), "end_pos")
+    cap_own = assign_owner(cap, fig, "f")
+    first_cap = cap_own.groupBy("page_id", "f_open").agg(F.min("pos").alias("c_open"))
+    first_cap = first_cap.join(cap.withColumnRenamed("pos", "c_open"), ["page_id", "c_open"])
+    ctext = element_text(first_cap.select("page_id", F.col("c_open").alias("open_pos"), "end_pos"), toks, "c")
+    first_cap = first_cap.join(ctext, ["page_id", "c_open"], "left").select(
+        "page_id", "f_open", X.trim_ws(F.coalesce("text", F.lit(""))).alias("caption"))
+    f = with_img.join(md, ["page_id", "f_open"], "left").join(first_cap, ["page_id", "f_open"], "left")
+    caption = F.coalesce("caption", F.lit(""))
+    out = F.concat(F.lit("\n\n"), F.coalesce("img_md", F.lit("")),
+                   F.when(caption != "", F.concat(F.lit("\n\n_"), caption, F.lit("_"))).otherwise(F.lit("")), F.lit("\n\n"))
+    return f.select("page_id", F.col("f_open").alias("pos"), F.col("n_img").cast("long").alias("images"),
+                    caption.alias("caption"), out.alias("markdown"))

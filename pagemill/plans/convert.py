@@ -256,8 +256,10 @@ class Conversion:
             t = EX.render_tables(EX.table_cells(self)).select(
                 "page_id", F.col("table_pos").alias("open_pos"),
                 F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"))
-            i = EX.images(self).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
-            r = m.unionByName(s).unionByName(c).unionByName(t).unionByName(i)
+            imgs = EX.images(self)
+            i = imgs.select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
+            g = EX.figures(self, imgs).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
+            r = m.unionByName(s).unionByName(c).unionByName(t).unionByName(i).unionByName(g)
             kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
                 "page_id", F.col("pos").alias("open_pos"))
             r = r.join(kept, ["page_id", "open_pos"], "left_semi")
@@ -375,8 +377,11 @@ class Conversion:
     def body(self) -> DataFrame:
         """A4: two-level ordered aggregation of the fragments -> ``(page_id, body)``."""
         def build():
-            repl = self.replacements.select("page_id", F.col("open_pos").alias("k1"), F.lit(1).alias("k2"),
-                                            F.lit(0).alias("k3"), "md").filter(F.col("md") != "")
+            live = self.render_tokens.filter(F.col("kind").isin("open", "void")).select(
+                "page_id", F.col("pos").alias("open_pos"))
+            repl = self.replacements.join(live, ["page_id", "open_pos"], "left_semi")  # not nested in another
+            repl = repl.select("page_id", F.col("open_pos").alias("k1"), F.lit(1).alias("k2"),
+                               F.lit(0).alias("k3"), "md").filter(F.col("md") != "")
             frags = self._render_elements().unionByName(self._render_text()).unionByName(repl)
             frags = frags.withColumn("chunk", F.floor(F.col("k1") / CHUNK).cast("int"))
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "md")))

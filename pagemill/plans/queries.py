@@ -551,7 +551,7 @@ def q_render_table(spark, d):
     return render_tables(table_cells(_frag(spark, d, "frag_tables")))
 
 
-FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables"]
+FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures"]
 
 
 @register("render_fragments")
@@ -605,3 +605,19 @@ def q_canonical_pages_semi(spark, d):
 def q_convert_pages_canonical(spark, d):
     """R8 with published Markdown alternates joined in."""
     return _alt_conv(spark, d).documents.select("page_id", "url", "origin", "markdown")
+
+
+@register("figures")
+def q_figures(spark, d):
+    """E10 + J8 on figure fragments built from ``part``."""
+    from ..operators.extract import figures
+    return figures(_frag(spark, d, "frag_figures"))
+
+
+@register("write_documents")
+def q_write_documents(spark, d):
+    """Documents written as parquet partitioned by host, read back."""
+    out = _scratch(spark, "documents")
+    docs = _conv(spark, d).documents.select("page_id", "url", "host", "markdown")
+    docs.write.partitionBy("host").parquet(out)
+    return spark.read.parquet(out).select("page_id", "url", "host", "markdown")

@@ -56,6 +56,12 @@ RECIPES = {
         '<html><head><title>Doc {k}</title><link rel="alternate" type="text/html" href="/alt/{k}"><link rel="alternate" type="text/markdown" href="md/{k}.md"></head><body><main><h2>Page {k}</h2><p>{n}</p></main></body></html>',
         '<html><head><title>Doc {k}</title></head><body><article><h1>No alternate {k}</h1><p>{n}</p></article></body></html>',
     ]),
+    "frag_figures": ("part", "p_partkey", "p_name", "p_size", [
+        '<article><p>Figure {k}</p><figure><img src="/f/{k}a.png" alt="First {k}"><img src="/f/{k}b.png" title="Second"><figcaption> {n} </figcaption></figure></article>',
+        '<article><p>Figure {k}</p><figure><img data-src="/f/{k}.jpg" alt="Only"></figure></article>',
+        '<article><p>Figure {k}</p><figure><figcaption>No image {k}</figcaption><p>Text {n}</p></figure></article>',
+        '<article><p>Figure {k}</p><figure><picture><source srcset="/f/{k}.webp 2x"><img src="/f/{k}.png"></picture><figcaption>Pic {k}</figcaption></figure></article>',
+    ]),
     "frag_tables": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',
