@@ -20,7 +20,7 @@ ATTR_NAMES = ["id", "class", "href", "title", "style", "hidden", "aria-hidden",
               "content", "src", "alt", "srcset", "type", "rel", "role", "data-src", "data-original", "data-lazy-src",
               "data-src-large", "data-image-src", "data-srcset", "data-lazy-srcset", "data-original-srcset", "data-url",
               "aria-label", "data-title", "data-language", "data-lang", "lang", "data-rehype-pretty-code-figure",
-              "data-rehype-pretty-code-title"]
+              "data-rehype-pretty-code-title", "data-footnote-ref"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
@@ -232,8 +232,9 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     from . import extract_sql as EX
     ctes += EX.all_ctes()
     esc = S.escape_markdown_text("description")
+    ctes += footnote_ctes()
     ctes.append(
-        "repl0 AS (SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
+        "repl0 AS (SELECT page_id, open_pos, md FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
         "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
         "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code "
         "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
@@ -303,9 +304,11 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt "
         f"WHERE rt.page_id = repl.page_id AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")
     ctes.append(
-        f"body AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
+        f"body0 AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
         f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "
         f"GROUP BY page_id) b USING (page_id))")
+    ctes.append("body AS (SELECT b.page_id, CASE WHEN coalesce(a.appendix, '') <> '' THEN b.body || chr(10) || chr(10) || a.appendix "
+                "ELSE b.body END AS body FROM body0 b LEFT JOIN fn_app a USING (page_id))")
     return ctes
 
 
@@ -319,11 +322,67 @@ def documents_sql(retrieved: str = "2025-01-01T00:00:00.000Z", **kw) -> str:
             f"CASE WHEN c.content IS NOT NULL THEN 'canonical' ELSE 'converted' END AS origin FROM pg p "
             f"JOIN page_meta m USING (page_id) JOIN toc t USING (page_id) JOIN body b USING (page_id) "
             f"LEFT JOIN canon c USING (page_id))")
-        return "WITH " + ",\n".join(ctes) + "\n"
+        return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
     ctes.append(
         f"documents AS (SELECT p.page_id, p.url, p.host, {fm} AS front_matter, t.toc, b.body FROM pg p "
         f"JOIN page_meta m USING (page_id) JOIN toc t USING (page_id) JOIN body b USING (page_id))")
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+def footnote_ctes() -> list[str]:
+    ws = q("[" + WS + "]+")
+    cls = lambda a, c: f"list_contains(string_split_regex(coalesce({a}.a_class, ''), {ws}), {q(c)})"
+    noteref = (f"(e.a_role = 'doc-noteref' OR e.a_data_footnote_ref IS NOT NULL OR {cls('e', 'footnote-ref')} "
+               f"OR {cls('e', 'fnref')})")
+    coll = S.rr("coalesce(tx_, '')", r"[ \t\n\r\f]+", " ")
+    note = S.escape_markdown_text(S.trim_ws(coll))
+    step_lab = ("CASE WHEN f.raw_label <> '' AND NOT list_contains(l.used, f.raw_label) THEN f.raw_label "
+                "ELSE (list_filter(range(f.ord, 2 * f.ord + 1), lambda n: NOT list_contains(l.used, n::VARCHAR))[1])::VARCHAR END")
+    return [
+        f"fn_a AS (SELECT e.page_id, e.open_pos AS pos, e.end_pos, e.stop_pos, e.a_href AS href, {noteref} AS noteref, "
+        f"{S.target_id('e.a_href', 'p.url')} AS target FROM ke e JOIN pg p USING (page_id) WHERE e.tag = 'a' AND e.a_href IS NOT NULL)",
+        "fn_sup AS (SELECT page_id, open_pos, end_pos, stop_pos FROM ke WHERE tag = 'sup')",
+        "fn_first AS (SELECT s.page_id, s.open_pos AS s_open, s.stop_pos AS s_stop, (SELECT min(a.pos) FROM fn_a a "
+        "WHERE a.page_id = s.page_id AND a.pos > s.open_pos AND a.pos < s.end_pos) AS apos FROM fn_sup s)",
+        "fn_r1 AS (SELECT f.page_id, 1 AS phase, f.s_open AS ref_pos, f.s_stop AS stop_pos, a.pos AS anchor_pos, a.target "
+        "FROM fn_first f JOIN fn_a a ON a.page_id = f.page_id AND a.pos = f.apos WHERE a.target <> '')",
+        "fn_r2 AS (SELECT a.page_id, 2 AS phase, a.pos AS ref_pos, a.stop_pos, a.pos AS anchor_pos, a.target FROM fn_a a "
+        "WHERE a.noteref AND a.target <> '' AND NOT EXISTS (SELECT 1 FROM fn_r1 r WHERE r.page_id = a.page_id AND r.anchor_pos = a.pos))",
+        "fn_refs0 AS (SELECT * FROM fn_r1 UNION ALL SELECT * FROM fn_r2)",
+        "fn_refs1 AS (SELECT r.*, (SELECT string_agg(t.text, '' ORDER BY t.pos) FROM kt t WHERE t.page_id = r.page_id "
+        "AND t.kind = 'text' AND t.pos > r.anchor_pos AND t.pos < a.end_pos) AS atext FROM fn_refs0 r "
+        "JOIN fn_a a ON a.page_id = r.page_id AND a.pos = r.anchor_pos)",
+        f"fn_refs AS (SELECT page_id, phase, ref_pos, stop_pos, anchor_pos, target, {S.footnote_label('coalesce(atext, ' + q('') + ')')} "
+        f"AS raw_label FROM fn_refs1)",
+        "fn_fr0 AS (SELECT * FROM fn_refs QUALIFY row_number() OVER (PARTITION BY page_id, target ORDER BY phase, ref_pos) = 1)",
+        "fn_fr AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY phase, ref_pos) AS ord FROM fn_fr0)",
+        "fn_lab(page_id, ord, target, label, used) AS (SELECT page_id, ord, target, CASE WHEN raw_label <> '' THEN raw_label ELSE '1' END, "
+        "[CASE WHEN raw_label <> '' THEN raw_label ELSE '1' END] FROM fn_fr WHERE ord = 1 "
+        f"UNION ALL SELECT f.page_id, f.ord, f.target, {step_lab}, list_append(l.used, {step_lab}) FROM fn_lab l "
+        "JOIN fn_fr f ON f.page_id = l.page_id AND f.ord = l.ord + 1)",
+        f"fn_back AS (SELECT page_id, open_pos, stop_pos FROM ke WHERE (tag = 'a' AND (a_role = 'doc-backlink' "
+        f"OR starts_with(coalesce(a_href, ''), '#fnref') OR starts_with(coalesce(a_href, ''), '#ref'))) "
+        f"OR list_contains(string_split_regex(coalesce(a_class, ''), {ws}), 'footnote-backref'))",
+        "fn_def0 AS (SELECT e.page_id, e.a_id AS target, e.open_pos, e.end_pos, e.stop_pos FROM ke e WHERE e.a_id IS NOT NULL "
+        "AND EXISTS (SELECT 1 FROM fn_lab l WHERE l.page_id = e.page_id AND l.target = e.a_id) "
+        "QUALIFY row_number() OVER (PARTITION BY e.page_id, e.a_id ORDER BY e.open_pos) = 1)",
+        "fn_def1 AS (SELECT d.*, (SELECT string_agg(t.text, '' ORDER BY t.pos) FROM kt t WHERE t.page_id = d.page_id AND t.kind = 'text' "
+        "AND t.pos > d.open_pos AND t.pos < d.end_pos AND NOT EXISTS (SELECT 1 FROM fn_back b WHERE b.page_id = t.page_id "
+        "AND t.pos >= b.open_pos AND t.pos < b.stop_pos)) AS tx_ FROM fn_def0 d)",
+        f"fn_def AS (SELECT page_id, target, open_pos, stop_pos, {note} AS note FROM fn_def1)",
+        "fn_par AS (SELECT e.page_id, e.open_pos, (SELECT max(f.open_pos) FROM ke f WHERE f.page_id = e.page_id "
+        "AND f.open_pos < e.open_pos AND e.open_pos < f.stop_pos) AS parent_open FROM ke e)",
+        "fn_cnt AS (SELECT p.page_id, p.parent_open, count(*) AS n, count(d.open_pos) AS d FROM fn_par p LEFT JOIN fn_def d "
+        "ON d.page_id = p.page_id AND d.open_pos = p.open_pos WHERE p.parent_open IS NOT NULL GROUP BY ALL)",
+        "fn_lists AS (SELECT l.page_id, l.open_pos, l.stop_pos FROM ke l JOIN fn_cnt c ON c.page_id = l.page_id "
+        "AND c.parent_open = l.open_pos WHERE l.tag IN ('ol','ul') AND c.n = c.d)",
+        "fn_app AS (SELECT l.page_id, string_agg('[^' || l.label || ']: ' || replace(d.note, chr(10), chr(10) || '    '), chr(10) "
+        "ORDER BY l.ord) AS appendix FROM fn_lab l JOIN fn_def d ON d.page_id = l.page_id AND d.target = l.target "
+        "WHERE d.note <> '' GROUP BY l.page_id)",
+        "fn_repl AS (SELECT r.page_id, r.ref_pos AS open_pos, '[^' || l.label || ']' AS md FROM fn_refs r "
+        "JOIN fn_lab l ON l.page_id = r.page_id AND l.target = r.target "
+        "UNION ALL SELECT page_id, open_pos, '' FROM fn_def UNION ALL SELECT page_id, open_pos, '' FROM fn_lists)",
+    ]
 
 
 def output_expr() -> str:

@@ -186,7 +186,7 @@ from .fragments_sql import fragment_sql  # noqa: E402
 
 _FRAG_ALL = " UNION ALL ".join(
     f"SELECT page_id + {i * 1_000_000_000} AS page_id, url, html FROM ({fragment_sql(n)})"
-    for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures"]))
+    for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures", "frag_notes"]))
 ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT page_id, body AS markdown FROM body"
 
 # ---------------------------------------------------------------- canonical path
@@ -205,3 +205,10 @@ ORACLE["convert_pages_canonical"] = _DOC_ALT + f"SELECT page_id, url, origin, {C
 
 ORACLE["figures"] = EX.figures_sql()
 ORACLE["write_documents"] = ORACLE["convert_pages"]
+
+_DOC_NOTES = CV.documents_sql(pages_sql=fragment_sql("frag_notes"))
+ORACLE["footnote_refs"] = _DOC_NOTES + "SELECT page_id, phase, ref_pos, target, raw_label FROM fn_refs"
+ORACLE["footnote_labels"] = _DOC_NOTES + "SELECT page_id, target, ord, label FROM fn_lab"
+ORACLE["footnotes"] = _DOC_NOTES + ("SELECT l.page_id, l.ord, l.label, l.target, d.note FROM fn_lab l "
+                                    "LEFT JOIN fn_def d ON d.page_id = l.page_id AND d.target = l.target")
+ORACLE["footnote_appendix"] = _DOC_NOTES + "SELECT page_id, body AS markdown FROM body"

@@ -260,6 +260,9 @@ class Conversion:
             i = imgs.select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
             g = EX.figures(self, imgs).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
             r = m.unionByName(s).unionByName(c).unionByName(t).unionByName(i).unionByName(g)
+            refs, defs, lists, _ = self.notes
+            for extra in (refs, defs, lists):
+                r = r.unionByName(extra.select("page_id", "open_pos", "md"))
             kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
                 "page_id", F.col("pos").alias("open_pos"))
             r = r.join(kept, ["page_id", "open_pos"], "left_semi")
@@ -267,6 +270,15 @@ class Conversion:
             return materialize(r)
         return self._memo("replacements", build)
 
+    @property
+    def notes(self):
+        """(reference fragments, definitions, emptied lists, appendix)."""
+        def build():
+            from ..operators.footnotes import note_replacements
+            r, d, lst, app = note_replacements(self)
+            return r, d, lst, materialize(app)
+        return self._memo("notes", build)
+
     @property
     def render_tokens(self) -> DataFrame:
         """Cleaned tokens without the insides of replaced elements."""
@@ -387,8 +399,12 @@ class Conversion:
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "md")))
             part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))
             whole = ordered_concat(part, ["page_id"], "chunk", "md", "", "raw_body")
-            return self.corpus.page_info.select("page_id").join(whole, "page_id", "left").select(
-                "page_id", X.post_process_markdown(F.coalesce("raw_body", F.lit(""))).alias("body"))
+            app = self.notes[3]
+            b = self.corpus.page_info.select("page_id").join(whole, "page_id", "left").join(app, "page_id", "left")
+            body = X.post_process_markdown(F.coalesce("raw_body", F.lit("")))
+            # A5: the footnote appendix follows the post-processed body, unprocessed
+            body = F.when(F.coalesce("appendix", F.lit("")) != "", F.concat(body, F.lit("\n\n"), F.col("appendix"))).otherwise(body)
+            return b.select("page_id", body.alias("body"))
         return self._memo("body", build)
 
     @property

@@ -551,7 +551,7 @@ def q_render_table(spark, d):
     return render_tables(table_cells(_frag(spark, d, "frag_tables")))
 
 
-FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures"]
+FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures", "frag_notes"]
 
 
 @register("render_fragments")
@@ -621,3 +621,36 @@ def q_write_documents(spark, d):
     docs = _conv(spark, d).documents.select("page_id", "url", "host", "markdown")
     docs.write.partitionBy("host").parquet(out)
     return spark.read.parquet(out).select("page_id", "url", "host", "markdown")
+
+
+# ---------------------------------------------------------------- footnotes
+@register("footnote_refs")
+def q_footnote_refs(spark, d):
+    """U3 + F12 + F13: note references in processing order."""
+    from ..operators.footnotes import references
+    return references(_frag(spark, d, "frag_notes")).select("page_id", "phase", "ref_pos", "target", "raw_label")
+
+
+@register("footnote_labels")
+def q_footnote_labels(spark, d):
+    """Labels by first reference, with clash fallback to numbers."""
+    from ..operators.footnotes import labels, references
+    return labels(references(_frag(spark, d, "frag_notes")))
+
+
+@register("footnotes")
+def q_footnotes(spark, d):
+    """E9 + J2 + P11: labelled notes with their definition text."""
+    from ..operators.footnotes import definitions, labels, references
+    c = _frag(spark, d, "frag_notes")
+    labs = labels(references(c))
+    defs = definitions(c, labs)
+    return labs.join(defs.select("page_id", "target", "note"), ["page_id", "target"], "left").select(
+        "page_id", "ord", "label", "target", "note")
+
+
+@register("footnote_appendix")
+def q_footnote_appendix(spark, d):
+    """A3 + A5 + P13: Markdown body with references, notes appendix, definitions removed."""
+    c = _frag(spark, d, "frag_notes")
+    return c.body.select("page_id", F.col("body").alias("markdown"))

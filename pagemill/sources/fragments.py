@@ -62,6 +62,12 @@ RECIPES = {
         '<article><p>Figure {k}</p><figure><figcaption>No image {k}</figcaption><p>Text {n}</p></figure></article>',
         '<article><p>Figure {k}</p><figure><picture><source srcset="/f/{k}.webp 2x"><img src="/f/{k}.png"></picture><figcaption>Pic {k}</figcaption></figure></article>',
     ]),
+    "frag_notes": ("part", "p_partkey", "p_name", "p_size", [
+        '<article><p>Claim<sup><a href="#fn1">[1]</a></sup> and more<sup><a href="#fn2">[2]</a></sup>.</p><ol><li id="fn1">First note {k} <a href="#fnref1">back</a></li><li id="fn2">Second {n}<a class="footnote-backref" href="#x">back</a></li></ol></article>',
+        '<article><p>A<sup><a href="#n{k}">1</a></sup> B<a class="fnref" href="#m{k}">[1]</a> C<sup><a href="#n{k}">1</a></sup></p><div><p id="n{k}">Note n</p><p id="m{k}">Note m {n}</p></div></article>',
+        '<article><p>X<a data-footnote-ref="" href="#d{k}">x</a> Y<sup><a href="#missing">[9]</a></sup></p><ul><li id="d{k}">Def {k}</li></ul></article>',
+        '<article><p>No notes {k}</p></article>',
+    ]),
     "frag_tables": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',
