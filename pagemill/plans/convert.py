@@ -246,23 +246,33 @@ class Conversion:
         def build():
             from ..operators import extract as EX
             esc = X.escape_markdown_text
-            m = EX.media(self).select("page_id", F.col("pos").alias("open_pos"),
-                                      F.concat(F.lit("\n\n> "), esc(F.col("description")), F.lit("\n\n")).alias("md"))
-            s = EX.svgs(self).select("page_id", F.col("pos").alias("open_pos"),
-                                     F.when(F.col("action") == "removed", F.lit("")).otherwise(
-                                         F.concat(F.lit("\n\n"), F.col("description"), F.lit("\n\n"))).alias("md"))
-            c = EX.code_blocks(self).select("page_id", F.col("pos").alias("open_pos"),
-                                            F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"))
-            t = EX.render_tables(EX.table_cells(self)).select(
-                "page_id", F.col("table_pos").alias("open_pos"),
-                F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"))
-            imgs = EX.images(self)
-            i = imgs.select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
-            g = EX.figures(self, imgs).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
-            r = m.unionByName(s).unionByName(c).unionByName(t).unionByName(i).unionByName(g)
-            refs, defs, lists, _ = self.notes
-            for extra in (refs, defs, lists):
-                r = r.unionByName(extra.select("page_id", "open_pos", "md"))
+            tags = self.present_tags
+            parts = [self.spark.createDataFrame([], "page_id long, open_pos int, md string")]
+            if tags & {"iframe", "video", "audio"}:
+                parts.append(EX.media(self).select("page_id", F.col("pos").alias("open_pos"), F.concat(
+                    F.lit("\n\n> "), esc(F.col("description")), F.lit("\n\n")).alias("md")))
+            if "svg" in tags:
+                parts.append(EX.svgs(self).select("page_id", F.col("pos").alias("open_pos"),
+                                                  F.when(F.col("action") == "removed", F.lit("")).otherwise(
+                                                      F.concat(F.lit("\n\n"), F.col("description"), F.lit("\n\n"))).alias("md")))
+            if "pre" in tags:
+                parts.append(EX.code_blocks(self).select("page_id", F.col("pos").alias("open_pos"), F.concat(
+                    F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
+            if "table" in tags:
+                parts.append(EX.render_tables(EX.table_cells(self)).select(
+                    "page_id", F.col("table_pos").alias("open_pos"),
+                    F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
+            if "img" in tags:
+                imgs = EX.images(self)
+                parts.append(imgs.select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md")))
+                if "figure" in tags:
+                    parts.append(EX.figures(self, imgs).select("page_id", F.col("pos").alias("open_pos"),
+                                                               F.col("markdown").alias("md")))
+            if self.notes is not None:
+                parts += [x.select("page_id", "open_pos", "md") for x in self.notes[:3]]
+            r = parts[0]
+            for x in parts[1:]:
+                r = r.unionByName(x)
             kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
                 "page_id", F.col("pos").alias("open_pos"))
             r = r.join(kept, ["page_id", "open_pos"], "left_semi")
@@ -270,10 +280,25 @@ class Conversion:
             return materialize(r)
         return self._memo("replacements", build)
 
+    # Tags whose relations feed rendering; a conversion builds only the
+    # sub-plans whose tags occur in the kept content (one small aggregate,
+    # bounded by this list, decides).
+    GATED_TAGS = ["iframe", "video", "audio", "svg", "pre", "table", "img", "figure", "a"]
+
+    @property
+    def present_tags(self) -> set:
+        def build():
+            rows = self.kept_elements.filter(F.col("tag").isin(*self.GATED_TAGS)).select("tag").distinct().collect()
+            return {r.tag for r in rows}
+        return self._memo("present_tags", build)
+
     @property
     def notes(self):
-        """(reference fragments, definitions, emptied lists, appendix)."""
+        """(reference fragments, definitions, emptied lists, appendix), or None
+        when the kept content has no links at all."""
         def build():
+            if "a" not in self.present_tags:
+                return None
             from ..operators.footnotes import note_replacements
             r, d, lst, app = note_replacements(self)
             return r, d, lst, materialize(app)
@@ -399,7 +424,8 @@ class Conversion:
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "md")))
             part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))
             whole = ordered_concat(part, ["page_id"], "chunk", "md", "", "raw_body")
-            app = self.notes[3]
+            app = self.notes[3] if self.notes is not None else \
+                self.spark.createDataFrame([], "page_id long, appendix string")
             b = self.corpus.page_info.select("page_id").join(whole, "page_id", "left").join(app, "page_id", "left")
             body = X.post_process_markdown(F.coalesce("raw_body", F.lit("")))
             # A5: the footnote appendix follows the post-processed body, unprocessed
