@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, tokens
 from .common import table
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = mixing.decide(docs)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {"op6_mixing": op6_mixing}
+QUERIES = {"op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
