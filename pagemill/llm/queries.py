@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokens
+from . import decontaminate, mixing, tokens
 from .common import table
 
 
@@ -23,5 +23,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op6_mixing": op6_mixing}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       digest.alias("items_sha256"), "contaminated")
+
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
