@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, tokens
+from . import decontaminate, mixing, simhash, tokens
 from .common import table
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,5 +35,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
+QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
