@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, tokens
+from . import decontaminate, mixing, simhash, substring, tokens
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,5 +40,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
