@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substring, tokens
+from . import decontaminate, langid, mixing, simhash, substring, tokens
 from .common import table
 
 
@@ -40,5 +40,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op6_mixing": op6_mixing}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = langid.identify(docs, ~langid.held_out("doc_id"))
+    return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
