@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, substring, tokens
+from . import decontaminate, langid, mixing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -46,5 +46,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op6_mixing": op6_mixing}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.score(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
