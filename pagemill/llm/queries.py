@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, simhash, substring, tokens
+from . import decontaminate, html_text, langid, mixing, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", "n_chars")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,5 +57,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_html_extraction": op4_html_extraction, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
