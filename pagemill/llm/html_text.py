@@ -97,7 +97,7 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
 
     def close(e: Element):
         to = len(texts) - (not texts[-1])
-        within = any(x.named for x in stack)
+        within = e.tag == "header" and any(x.named for x in stack)
         if e.bad and not e.core and not (e.tag == "header" and e.title and within):
             away.append((e.first, to, e.title and e.tag not in AWAY))
         elif e.named:

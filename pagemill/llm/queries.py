@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, mixing, quality, simhash, substring, tokens
+from . import decontaminate, html_text, langid, mixing, neighbours, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,5 +61,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_html_extraction": op4_html_extraction, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_html_extraction": op4_html_extraction, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
