@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, mixing, neighbours, quality, simhash, substring, tokens
+from . import decontaminate, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, tokens
 from .common import table
 
 
@@ -55,11 +55,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` name no paths: a document lies in the directory source/language/hundred of its id."""
+    docs = table(spark, sf_dir, "documents")
+    parts = [F.coalesce(F.col(c), F.lit("-")) for c in ("source", "lang")]
+    path = F.concat_ws("/", *parts, F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    rows = licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+    return rows.select("doc_id", "path", "license", "cosine", "found", "folder")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.score(docs, table(spark, sf_dir, "labels"))
     return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_html_extraction": op4_html_extraction, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_html_extraction": op4_html_extraction, "op5_token_counts": op5_token_counts, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_license_scans": op9_license_scans, "op10_quality_classifier": op10_quality_classifier, "op6_mixing": op6_mixing}
 ORACLE = {"op6_mixing": mixing.ORACLE}
