@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Stored:
+    """A DataFrame written as Parquet to the shared folder; ``read`` reads it, ``drop`` deletes the files."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = prepare(df.sparkSession)
+        self.path = f"{shared_folder(self.spark).rstrip('/')}/llm-{uuid.uuid4()}"
+        df.write.parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

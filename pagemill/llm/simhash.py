@@ -235,16 +235,36 @@ def links(prints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataFrame:
     return found.where("key IS NULL").select("a", "b").unionByName(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, seed: int = 42,
-                    bits: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """``(key, fingerprint, component_id)`` of every row; component: the smallest id that links lead to."""
-    rows = cut(with_fingerprints(docs.select(F.col(key), F.col(text).alias("__t")), "__t", size, seed).drop("__t"))
-    # a distinct fingerprint is a node, named by its rank-free value; the smallest id of its rows names the class
+def classes(docs: DataFrame, key: str, text: str, size: int, seed: int, bits: int, chunk: int) -> DataFrame:
+    """``(key, __hash, __print, __root, component_id)`` of every row: text hash, fingerprint, a fingerprint that names
+    the class, and the class's smallest id."""
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("__hash"), F.col(text).alias("__t"))
+    rows = cut(with_fingerprints(rows, "__t", size, seed).drop("__t"))
     distinct = cut(rows.groupBy("__print").agg(F.min(key).alias("__first")))
     linked = connected_components(links(distinct.select("__print"), bits, chunk))
     linked = linked.withColumnsRenamed({"node": "__print", "component": "__root"})
     named = distinct.join(linked, "__print", "left").withColumn("__root", F.coalesce("__root", "__print"))
     first = named.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    classes = named.join(first, "__root").select("__print", "component_id")
+    found = named.join(first, "__root").select("__print", "__root", "component_id")
+    return rows.join(found, "__print").select(key, "__hash", "__print", "__root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, seed: int = 42,
+                    bits: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """``(key, fingerprint, component_id)`` of every row; component: the smallest id that links lead to."""
     hexed = F.lower(F.lpad(F.hex("__print"), 16, "0")).alias("fingerprint")
-    return rows.join(classes, "__print").select(key, hexed, "component_id")
+    return classes(docs, key, text, size, seed, bits, chunk).select(key, hexed, "component_id")
+
+
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, seed: int = 42,
+                bits: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id (of rows with one id, the smallest row)."""
+    found = cut(classes(docs, key, text, size, seed, bits, chunk))
+    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("__hash").alias("hash")))
+    kept = found.groupBy("__root").agg(best.alias("b")).select(F.col("b.id").alias("__id"), F.col("b.hash").alias("__h"))
+    times = found.groupBy(F.col(key).alias("__i"), F.col("__hash").alias("__j")).agg(F.count("*").alias("__n"))
+    kept = cut(kept.join(times, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__j"))).select("__id", "__h", "__n"))
+    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")))
+    # rows that are repeated with id and text: the smallest, aggregated before the shuffle
+    again = rows.where("__n > 1").groupBy("__id", "__h").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return rows.where("__n = 1").select(*docs.columns).unionByName(again.select("__row.*"))
