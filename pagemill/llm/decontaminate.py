@@ -137,3 +137,31 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     rows = rows.drop("__text").withColumn("n_hit", n_hit)
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+pat AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS s
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM pat),
+win AS (
+  SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS s
+  FROM (SELECT * FROM d, sizes WHERE len(w) >= n) AS x, unnest(range(1, len(w) - n + 2)) AS t(p)),
+found AS (SELECT r, p, win.n AS n, item_id FROM win JOIN pat ON win.s = pat.s AND win.n = pat.n),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + n)) AS t(q) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM found WHERE item_id IS NOT NULL) AS y GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""

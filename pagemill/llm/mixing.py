@@ -8,7 +8,7 @@ Only DataFrame functions. Defined results:
 * A source takes every document ``floor(target / words)`` times; for the rest it takes documents in the
   order of a seeded hash of their id as long as at least half of the next one fits. So its words differ
   from the target by half a document at most, and reruns agree.
-* Null text has size 0; null ids and null sources are ids and a source like any other; repeated rows are
+* Null text has size 0, and a source without words takes nothing; null ids and null sources are ids and a source like any other; repeated rows are
   rows of their own; an empty table gives an empty result. Extra columns pass through ``mix``; the columns
   it adds replace input columns of the same name (``__mix_…`` names are its own).
 """
@@ -85,11 +85,12 @@ def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source:
     sources = cut(plan(rows, source, share, epochs, weights))
     rows = rows.join(small(sources, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("__mix_source")))
     here = F.substring("__mix_order", 1, 3)
-    clear = rows.where(here != F.col("__mix_bucket")).withColumn("__mix_more", (here < F.col("__mix_bucket")).cast("int"))
+    wanted = F.col("__mix_rest") > 0
+    clear = rows.where(here != F.col("__mix_bucket")).withColumn("__mix_more", (wanted & (here < F.col("__mix_bucket"))).cast("int"))
     running = Window.partitionBy("__mix_source").orderBy("__mix_order", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(here == F.col("__mix_bucket"))
     start = F.col("__mix_before") + F.coalesce(F.sum("__mix_size").over(running), F.lit(0))
-    edge = edge.withColumn("__mix_more", (start + F.col("__mix_size") / 2 <= F.col("__mix_rest")).cast("int"))
+    edge = edge.withColumn("__mix_more", (wanted & (start + F.col("__mix_size") / 2 <= F.col("__mix_rest"))).cast("int"))
     both = clear.unionByName(edge)
     added = {"size": F.col("__mix_size"), "source_size": F.col("__mix_words"), "target": F.col("__mix_target"),
              "repeats": F.col("__mix_whole") + F.col("__mix_more")}

@@ -324,3 +324,23 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     done = joined.mapInArrow(removing(window), schema)
     order = [F.col("__kept").cast("string").alias(text) if c == text else F.col(c) for c in docs.columns if c in kept or c == text]
     return done.select(*order, "n_words", "n_removed")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w
+  FROM documents),
+win AS (
+  SELECT r, p, array_to_string(w[p:p + 34], ' ') AS s
+  FROM d, unnest(range(1, len(w) - 33)) AS t(p) WHERE len(w) >= 35),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, q FROM (SELECT r, p FROM win JOIN rep USING (s)) AS x, unnest(range(p, p + 35)) AS t(q)),
+words AS (SELECT r, q, w[q] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY q) AS t, count(*) AS n
+  FROM words ANTI JOIN hit USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
