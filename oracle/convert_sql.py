@@ -158,7 +158,8 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     ctes += selector_ctes("dr", f"SELECT * FROM (VALUES {dvals}) t(scope, rule_ord, selector){extra}")
     ctes += selector_ctes("sr", "SELECT domain AS scope, (generate_subscripts(remove, 1) - 1)::INTEGER AS rule_ord, "
                                 "unnest(remove) AS selector FROM rules")
-    ctes.append(facts_cte("fc", "ce"))
+    ctes.append(f"cm AS (SELECT * FROM ce WHERE tag NOT IN {inlist(REPLACED_TAGS)})")
+    ctes.append(facts_cte("fc", "cm"))
     ctes.append(match_cte("m_dr", "fc", "dr_conds", False))
     ctes.append(match_cte("m_sr", "fc", "sr_conds", True))
     ctes.append("iv1 AS (SELECT DISTINCT e.page_id, e.open_pos, e.stop_pos FROM ce e JOIN m_dr m USING (page_id, open_pos))")
@@ -236,7 +237,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     ctes.append(
         "repl0 AS (SELECT page_id, open_pos, md FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
         "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
-        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code "
+        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code WHERE fenced "
         "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
         "UNION ALL SELECT page_id, pos, markdown FROM x_images "
         "UNION ALL SELECT page_id, pos, markdown FROM x_figures)")
@@ -266,7 +267,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     ctes.append(
         "lis AS (SELECT page_id, pos AS open_pos, depth AS list_depth, lst.t AS list_tag, "
         "row_number() OVER (PARTITION BY page_id, lst.p ORDER BY pos) AS ordinal FROM lt1 WHERE tag = 'li')")
-    link_ok = "(l.href_clean IS NOT NULL AND u.unwrap IS NULL)"
+    link_ok = f"({S.safe_href('l.href_clean')} IS NOT NULL AND u.unwrap IS NULL)"
     title = "coalesce(e.a_title, '')"
     li_open = ("chr(10) || repeat('    ', greatest(li.list_depth - 1, 0)) || CASE WHEN li.list_tag = 'ol' "
                "THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END")
@@ -294,12 +295,16 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"LEFT JOIN lis li ON li.page_id = e.page_id AND li.open_pos = e.open_pos)")
     blockish = f"((kind IN ('open','close','void') AND tag IN {inlist(BLOCK_TAGS)}) OR kind = 'raw')"
     ctes.append(
-        f"nb AS (SELECT *, coalesce(lag({blockish}) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b "
+        f"nb AS (SELECT *, coalesce(lag({blockish}) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b, "
+        f"sum(CASE WHEN tag = 'code' AND kind = 'open' THEN 1 WHEN tag = 'code' AND kind = 'close' THEN -1 ELSE 0 END) "
+        f"OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_code "
         f"FROM rt WINDOW w AS (PARTITION BY page_id ORDER BY pos))")
+    one = S.collapse_inline_ws("text")
+    trimmed = f"regexp_replace(regexp_replace({one}, CASE WHEN prev_b THEN '^ +' ELSE '^$' END, ''), CASE WHEN next_b THEN ' +$' ELSE '^$' END, '')"
     ctes.append(
         f"frags AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, omd AS md FROM frag_el "
         f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, cmd FROM frag_el WHERE ekind = 'open' "
-        f"UNION ALL SELECT page_id, pos, 1, 0, {S.escape_markdown_text(S.collapse_inline_ws('text'))} FROM nb "
+        f"UNION ALL SELECT page_id, pos, 1, 0, CASE WHEN in_code > 0 THEN {trimmed} ELSE {S.escape_markdown_text(trimmed)} END FROM nb "
         f"WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
         f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt "
         f"WHERE rt.page_id = repl.page_id AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")

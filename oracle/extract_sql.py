@@ -97,9 +97,9 @@ def code_ctes() -> list[str]:
                 f"lambda t: regexp_extract(t, {q(CLASS_LANGUAGE_RE)}, 1)), lambda x: x <> '')")
     clsl = f"list_concat({cls('p.a_class')}, {cls('c.a_class')})"
     first_cls = f"list_filter(list_transform({clsl}, lambda x: {S.trim_ws('x')}), lambda x: x <> '')[1]"
-    lang = S.first_non_empty("p.a_data_language", "p.a_data_language", "p.a_data_lang", "p.a_lang", "c.a_data_language",
-                             "c.a_data_language", "c.a_data_lang", "c.a_lang", "f.a_data_language", first_cls)
-    title0 = S.first_non_empty("p.a_data_title", "p.a_data_title", "p.a_title", "c.a_data_title", "c.a_title", "fig_title")
+    lang = S.first_non_empty("p.a_data_language", "p.a_data_lang", "p.a_lang", "c.a_data_language", "c.a_data_lang", "c.a_lang",
+                             "f.a_data_language", first_cls)
+    title0 = S.first_non_empty("p.a_data_title", "p.a_title", "c.a_data_title", "c.a_title", "fig_title")
     return [
         "xc_pre AS (SELECT * FROM ke WHERE tag = 'pre')",
         "xc_pc AS (SELECT p.page_id, p.open_pos, (SELECT min(c.open_pos) FROM ke c WHERE c.page_id = p.page_id AND c.tag = 'code' "
@@ -109,16 +109,16 @@ def code_ctes() -> list[str]:
         "xc_ftl AS (SELECT f.page_id, f.open_pos AS f_open, (SELECT " + text_in("tt", "kt") + " FROM ke tt WHERE tt.page_id = f.page_id "
         "AND tt.a_data_rehype_pretty_code_title IS NOT NULL AND tt.open_pos > f.open_pos AND tt.open_pos < f.end_pos "
         "ORDER BY tt.open_pos LIMIT 1) AS fig_title FROM ke f WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL)",
-        f"xc_cb AS (SELECT p.page_id, p.open_pos, lower({lang}) AS language, {title0} AS title0, "
+        f"xc_cb AS (SELECT p.page_id, p.open_pos, lower({lang}) AS language, {title0} AS title0, xc_pc.code_open IS NOT NULL AS fenced, "
         f"coalesce(nullif({text_in('c', 'kt')}, ''), {text_in('p', 'kt')}, '') AS code_raw FROM xc_pre p JOIN xc_pc USING (page_id, open_pos) "
         "LEFT JOIN ke c ON c.page_id = p.page_id AND c.open_pos = xc_pc.code_open "
         "LEFT JOIN ke f ON f.page_id = p.page_id AND f.open_pos = xc_pc.f_open "
         "LEFT JOIN xc_ftl ON xc_ftl.page_id = p.page_id AND xc_ftl.f_open = xc_pc.f_open)",
-        f"xc_cb2 AS (SELECT page_id, open_pos, language, CASE WHEN title0 IS NOT NULL THEN {S.squash_ws('title0')} END AS title, "
+        f"xc_cb2 AS (SELECT page_id, open_pos, fenced, language, CASE WHEN title0 IS NOT NULL THEN {S.squash_ws('title0')} END AS title, "
         f"{S.trim_fence_padding('code_raw')} AS code FROM xc_cb)",
         f"xc_cb3 AS (SELECT *, concat_ws(' ', language, CASE WHEN title IS NOT NULL THEN 'title=\"' || {S.escape_info_string('title')} "
         f"|| '\"' END) AS info FROM xc_cb2)",
-        "x_code AS (SELECT page_id, open_pos AS pos, language, title, code, '```' || CASE WHEN info <> '' THEN ' ' || info ELSE '' END "
+        "x_code AS (SELECT page_id, open_pos AS pos, fenced, language, title, code, '```' || CASE WHEN info <> '' THEN ' ' || info ELSE '' END "
         "|| chr(10) || code || chr(10) || '```' AS markdown FROM xc_cb3)",
     ]
 

@@ -7,7 +7,9 @@ expression text and returns SQL expression text.
 
 from __future__ import annotations
 
-from pagemill.functions.text import NAMED_ENTITIES, WS, WS_NO_LF
+from html.entities import name2codepoint
+
+from pagemill.functions.text import WS, WS_NO_LF
 from pagemill.functions.urls import TRACKING_KEYS, URL_RE
 from pagemill.operators.tokens import (ATTR_PATTERN, BLOCK_TAGS, INLINE_TAGS, TOKEN_PATTERN,
                                        VOID_TAGS)
@@ -129,22 +131,15 @@ def build_output(fm: str, toc: str, content: str) -> str:
             f"|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || {content} END")
 
 
-def _decode_numeric(x: str) -> str:
-    refs = f"list_distinct(regexp_extract_all({x}, '&#[xX]?[0-9a-fA-F]+;', 0))"
-    digits = rx("r", "&#[xX]?([0-9a-fA-F]+);", 1)
-    code = (f"(CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN TRY_CAST(('0x' || {digits}) AS BIGINT) "
-            f"ELSE TRY_CAST({rx(digits, '^([0-9]+)$', 1)} AS BIGINT) END)")
-    step = (f"lambda acc, r: CASE WHEN {code} > 0 AND {code} <= 1114111 "
-            f"THEN replace(acc, r, chr({code}::INTEGER)) ELSE acc END")
-    return f"list_reduce({refs}, {step}, {x})"
-
-
 def decode_entities(x: str) -> str:
-    out = _decode_numeric(x)
-    for ent, ch in NAMED_ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    out = f"replace({out}, '&amp;', '&')"
-    return f"CASE WHEN strpos({x}, '&') > 0 THEN {out} ELSE {x} END"
+    names = {f"&{n};": chr(c) for n, c in name2codepoint.items()} | {"&apos;": "'"}
+    table = f"MAP([{', '.join(map(q, names))}], [{', '.join(map(q, names.values()))}])"
+    digits = rx("r", "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = f"(CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN TRY_CAST('0x' || {digits} AS BIGINT) ELSE TRY_CAST({digits} AS BIGINT) END)"
+    one = (f"CASE WHEN NOT starts_with(r, '&') THEN r WHEN starts_with(r, '&#') THEN CASE WHEN {code} > 0 AND {code} <= 1114111 "
+           f"AND NOT {code} BETWEEN 55296 AND 57343 THEN chr({code}::INTEGER) ELSE r END ELSE coalesce({table}[r], r) END")
+    pieces = f"regexp_extract_all({x}, {q('&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&')}, 0)"
+    return f"CASE WHEN strpos({x}, '&') > 0 THEN array_to_string(list_transform({pieces}, lambda r: {one}), '') ELSE {x} END"
 
 
 # ---------------------------------------------------------------- URLs
@@ -165,10 +160,20 @@ def _encode_path(p: str) -> str:
 
 
 def _remove_dot_segments(p: str) -> str:
-    for _ in range(3):
-        p = rr(p, r"/\.(/|$)", "/")
-        p = rr(p, r"/[^/]+/\.\.(/|$)", "/")
-    return rr(p, r"^/\.\.(/|$)", "/")
+    segs = f"string_split({rr(p, '^/', '')}, '/')"
+    up, here = "('..', '.%2e', '%2e.', '%2e%2e')", "('.', '%2e')"
+    kept = (f"list_reduce({segs}, lambda acc, s: CASE WHEN lower(s) IN {up} THEN regexp_replace(acc, '/[^/]*$', '') "
+            f"WHEN lower(s) IN {here} THEN acc ELSE acc || '/' || s END, '')")
+    last = f"lower({segs}[-1])"
+    return (f"(CASE WHEN regexp_matches({p}, '(?i)(\\.|%2e)(/|$)') THEN {kept} || CASE WHEN {last} IN {up} OR {last} IN {here} "
+            f"THEN '/' ELSE '' END ELSE {p} END)")
+
+
+def safe_href(u: str) -> str:
+    h = rr(u, r"[\x00-\x20]+", "")
+    scheme = f"lower({rx(h, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)})"
+    return (f"(CASE WHEN {h} <> '' AND ({scheme} = '' OR {scheme} IN ('http', 'https', 'ftp', 'ftps', 'mailto', 'tel', 'callto', "
+            f"'sms', 'cid', 'xmpp', 'matrix')) THEN {u} END)")
 
 
 def _normalize_http(u: str) -> str:
@@ -241,7 +246,7 @@ def tokens_cte(pages: str = "pages") -> str:
     name = "lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1))"
     kind = (f"CASE WHEN tok LIKE '<!--%' THEN 'comment' WHEN tok LIKE '<!%' THEN 'doctype' "
             f"WHEN (lower(tok) LIKE '<script%' OR lower(tok) LIKE '<style%') "
-            f"AND regexp_matches(lower(tok), '</(script|style)>$') THEN 'raw' "
+            f"AND regexp_matches(lower(tok), '</(script|style)\\s*>$') THEN 'raw' "
             f"WHEN tok LIKE '</%' AND nm <> '' THEN 'close' "
             f"WHEN regexp_matches(tok, '^<[A-Za-z]') THEN CASE WHEN nm IN {inlist(VOID_TAGS)} OR tok LIKE '%/>' "
             f"THEN 'void' ELSE 'open' END ELSE 'text' END")

@@ -6,6 +6,9 @@ No Python UDFs: every function here is a composition of built-in
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,42 +162,31 @@ def retrieved_at(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-# Named character references decoded in text and attribute
-# values. ``&amp;`` is handled last so that ``&amp;lt;`` stays ``&lt;``.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&deg;", "°"),
-    ("&times;", "×"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"),
-    ("&cent;", "¢"), ("&sect;", "§"), ("&para;", "¶"),
-]
+# A character reference, a run of other text, or a lone ampersand.
+REFERENCE_OR_TEXT = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
-def _decode_numeric(s: Column) -> Column:
-    """Replace each distinct ``&#NNN;`` / ``&#xHH;`` by its code point."""
-    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#[xX]?[0-9a-fA-F]+;"), 0))
+def named_characters() -> dict[str, str]:
+    """The named character references of HTML 4 and XML, as the standard library lists them."""
+    return {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
 
-    def step(acc, ref):
-        hexform = F.lower(F.substring(ref, 3, 1)) == "x"
-        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
-        code = F.when(hexform, F.conv(digits, 16, 10)).otherwise(
-            F.regexp_extract(digits, r"^([0-9]+)$", 1)).try_cast("bigint")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        ok = code.isNotNull() & (code > 0) & (code <= 0x10FFFF)
-        return F.when(ok, F.replace(acc, ref, char)).otherwise(acc)
 
-    return F.aggregate(refs, s, step)
+def _reference(piece: Column, names: Column) -> Column:
+    digits = F.regexp_extract(piece, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(F.lower(F.substring(piece, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (F.when(~piece.startswith("&"), piece)
+            .when(piece.startswith("&#"), F.when(good, char).otherwise(piece))
+            .otherwise(F.coalesce(F.try_element_at(names, piece), piece)))
 
 
 def decode_entities(c) -> Column:
-    """decode numeric and the fixed named character references."""
+    """decode numeric and named character references, each once, in one pass over the text."""
     s = _c(c)
-    out = _decode_numeric(s)
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+    names = F.from_json(F.lit(json.dumps(named_characters())), "map<string,string>")
+    pieces = F.regexp_extract_all(s, F.lit(REFERENCE_OR_TEXT), 0)
+    out = F.array_join(F.transform(pieces, lambda p: _reference(p, names)), "")
     return F.when(F.instr(s, "&") > 0, out).otherwise(s)
 
 

@@ -20,6 +20,13 @@ SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 # Query keys removed from links (besides every ``utm_*`` key).
 TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref"]
 
+# Path segments that stand for the parent and for the folder itself.
+PARENT_SEGMENTS = ["..", ".%2e", "%2e.", "%2e%2e"]
+CURRENT_SEGMENTS = [".", "%2e"]
+
+# Schemes a rendered link may have (P9); links without a scheme are kept.
+SAFE_SCHEMES = ["http", "https", "ftp", "ftps", "mailto", "tel", "callto", "sms", "cid", "xmpp", "matrix"]
+
 
 def _part(u: Column, i: int) -> Column:
     return F.regexp_extract(u, URL_RE, i)
@@ -43,12 +50,15 @@ def _encode_path(p: Column) -> Column:
 
 
 def _remove_dot_segments(path: Column) -> Column:
-    p = path
-    for _ in range(3):
-        p = F.regexp_replace(p, r"/\.(/|$)", "/")
-        p = F.regexp_replace(p, r"/[^/]+/\.\.(/|$)", "/")
-    p = F.regexp_replace(p, r"^/\.\.(/|$)", "/")
-    return p
+    """One fold over the segments: ``..`` drops the last one kept, ``.`` nothing, others are appended."""
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    up = lambda s: F.lower(s).isin(*PARENT_SEGMENTS)
+    here = lambda s: F.lower(s).isin(*CURRENT_SEGMENTS)
+    kept = F.aggregate(segments, F.lit(""), lambda acc, s: F.when(up(s), F.regexp_replace(acc, "/[^/]*$", ""))
+                       .when(here(s), acc).otherwise(F.concat(acc, F.lit("/"), s)))
+    last = F.element_at(segments, -1)
+    folded = F.concat(kept, F.when(up(last) | here(last), F.lit("/")).otherwise(F.lit("")))
+    return F.when(F.regexp_like(path, F.lit(r"(?i)(\.|%2e)(/|$)")), folded).otherwise(path)
 
 
 def _normalize_http(u: Column) -> Column:
@@ -132,3 +142,10 @@ def clean_href(href, base) -> Column:
     h = _c(href)
     exempt = h.isNull() | (h == "") | h.startswith("javascript:") | h.startswith("#")
     return F.when(exempt, h).otherwise(strip_tracking(resolve_url(h, base)))
+
+
+def safe_href(c) -> Column:
+    """The link if it may be rendered; NULL if it is empty or has a scheme outside the allow-list."""
+    h = F.regexp_replace(_c(c), r"[\x00-\x20]+", "")
+    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.when((h != "") & ((scheme == "") | scheme.isin(*SAFE_SCHEMES)), _c(c))

@@ -42,8 +42,10 @@ def remove_selector_sets(tokens: DataFrame, els: DataFrame, rule_sets) -> DataFr
     Removing subtrees is order-independent (a node inside an already removed
     subtree is gone either way), so the default and per-site selector lists
     share one match over the element facts and one sweep over the tokens.
+    Embedded media and SVGs are described before cleaning, so they are no
+    targets themselves; they go with the subtrees they are in.
     """
-    f = S.facts(els)
+    f = S.facts(els.filter(~F.col("tag").isin(*REPLACED_TAGS)))
     matched = None
     for rules, by_host in rule_sets:
         m = S.match(f, S.conditions(rules), by_host=by_host).select("page_id", "open_pos")

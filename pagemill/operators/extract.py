@@ -182,8 +182,16 @@ def svgs(conv) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E8 code blocks
-def code_blocks(conv) -> DataFrame:
-    """E8 (+F5, F8, F14, F16, J6, J7, R3): language, title, code and fence per ``pre``."""
+# Attributes of ``pre`` and ``code`` that name the language or the title, in order.
+LANGUAGE_ATTRS = ["data-language", "data-lang", "lang"]
+TITLE_ATTRS = ["data-title", "title"]
+
+
+def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
+    """E8 (+F5, F8, F14, F16, J6, J7, R3): language, title, code and fence per ``pre``.
+
+    ``fenced_only`` leaves out a ``pre`` without a ``code`` element: it renders as text.
+    """
     e = conv.kept_elements
     toks = conv.cleaned_tokens
     pre = e.filter(F.col("tag") == "pre").select("page_id", "open_pos", "end_pos", "attrs")
@@ -226,11 +234,8 @@ def code_blocks(conv) -> DataFrame:
         return hits
 
     cls = F.concat(class_lang(pa("class")), class_lang(ca("class")))
-    lang = X.first_non_empty(pa("data-language"), pa("data-language"), pa("data-lang"), pa("lang"),
-                             ca("data-language"), ca("data-language"), ca("data-lang"), ca("lang"), fa("data-language"),
-                             X.first_non_empty_array(cls))
-    title = X.first_non_empty(pa("data-title"), pa("data-title"), pa("title"), ca("data-title"), ca("title"),
-                              F.col("fig_title"))
+    lang = X.first_non_empty(*[x(n) for x in (pa, ca) for n in LANGUAGE_ATTRS], fa("data-language"), X.first_non_empty_array(cls))
+    title = X.first_non_empty(*[x(n) for x in (pa, ca) for n in TITLE_ATTRS], F.col("fig_title"))
     title = F.when(title.isNotNull(), X.squash_ws(title))
     code_raw = F.coalesce(_truthy(F.col("code_text")), F.col("pre_text"), F.lit(""))
     code_txt = X.trim_fence_padding(code_raw)
@@ -238,6 +243,8 @@ def code_blocks(conv) -> DataFrame:
     info = F.concat_ws(" ", lang, F.when(title.isNotNull(), F.concat(F.lit('title="'), X.escape_info_string(title), F.lit('"'))))
     info = F.when(info != "", F.concat(F.lit(" "), info)).otherwise(F.lit(""))
     md = F.concat(F.lit("```"), info, F.lit("\n"), code_txt, F.lit("\n```"))
+    if fenced_only:
+        pre = pre.filter(F.col("code_open").isNotNull())
     return pre.select("page_id", F.col("open_pos").alias("pos"), lang.alias("language"), title.alias("title"),
                       code_txt.alias("code"), md.alias("markdown"))
 

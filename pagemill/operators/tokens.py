@@ -26,7 +26,7 @@ from ..functions.text import WS, decode_entities
 # (quoted attribute values may contain '>'; the possessive '*+' keeps Java's
 # regex engine from deep backtracking), text runs, and a lone '<'.
 TOKEN_PATTERN = (
-    r"""(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"""
+    r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"""
     r"""|</?[a-z!](?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+|<"""
 )
 
@@ -64,7 +64,7 @@ def tokenize(pages: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("tok").startswith("<!--"), F.lit("comment"))
         .when(F.col("tok").startswith("<!"), F.lit("doctype"))
-        .when((head.startswith("<script") | head.startswith("<style")) & F.lower("tok").rlike(r"</(script|style)>$"),
+        .when((head.startswith("<script") | head.startswith("<style")) & F.lower("tok").rlike(r"</(script|style)\s*>$"),
               F.lit("raw"))
         .when(F.col("tok").startswith("</") & (name != ""), F.lit("close"))
         .when(F.col("tok").rlike(r"^<[A-Za-z]"),

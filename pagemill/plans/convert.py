@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -256,7 +256,7 @@ class Conversion:
                                                   F.when(F.col("action") == "removed", F.lit("")).otherwise(
                                                       F.concat(F.lit("\n\n"), F.col("description"), F.lit("\n\n"))).alias("md")))
             if "pre" in tags:
-                parts.append(EX.code_blocks(self).select("page_id", F.col("pos").alias("open_pos"), F.concat(
+                parts.append(EX.code_blocks(self, fenced_only=True).select("page_id", F.col("pos").alias("open_pos"), F.concat(
                     F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
             if "table" in tags:
                 parts.append(EX.render_tables(EX.table_cells(self)).select(
@@ -327,8 +327,9 @@ class Conversion:
         tag = F.col("tag")
         level = F.substring("tag", 2, 1).cast("int")
         title = attr("attrs", "title")
-        link_open = F.when(F.col("href_clean").isNotNull() & F.col("unwrap").isNull(), F.lit("["))
-        link_close = F.when(F.col("href_clean").isNotNull() & F.col("unwrap").isNull(), F.concat(
+        linked = U.safe_href(F.col("href_clean")).isNotNull() & F.col("unwrap").isNull()
+        link_open = F.when(linked, F.lit("["))
+        link_close = F.when(linked, F.concat(
             F.lit("]("), F.col("href_clean"),
             F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")),
             F.lit(")")))
@@ -404,8 +405,15 @@ class Conversion:
         w = Window.partitionBy("page_id").orderBy("pos")
         t = t.withColumn("_b", blockish).withColumn("_prev_b", F.lag("_b", 1, True).over(w)).withColumn(
             "_next_b", F.lead("_b", 1, True).over(w))
+        code = F.when((F.col("tag") == "code") & (F.col("kind") == "open"), 1).when(
+            (F.col("tag") == "code") & (F.col("kind") == "close"), -1).otherwise(0)
+        t = t.withColumn("_code", F.sum(code).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         t = t.filter(F.col("kind") == "text")
-        md = X.escape_markdown_text(X.collapse_inline_ws(F.col("text")))
+        # no white space at the edges of a block, no escapes in inline code
+        md = X.collapse_inline_ws(F.col("text"))
+        md = F.when(F.col("_prev_b"), F.ltrim(md)).otherwise(md)
+        md = F.when(F.col("_next_b"), F.rtrim(md)).otherwise(md)
+        md = F.when(F.col("_code") > 0, md).otherwise(X.escape_markdown_text(md))
         blank = X.trim_ws(F.col("text")) == ""
         t = t.filter(~blank | ~(F.col("_prev_b") | F.col("_next_b")))
         return t.select("page_id", F.col("pos").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"), md.alias("md"))
@@ -458,7 +466,3 @@ class Conversion:
 def convert_pages(spark: SparkSession, pages: DataFrame, rules: DataFrame | None = None,
                   options: Options | None = None) -> DataFrame:
     return Conversion(spark, Corpus(spark, pages), rules, options).documents
-
-
-def _unused(c: Column) -> Column:  # pragma: no cover
-    return c

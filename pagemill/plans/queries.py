@@ -462,11 +462,10 @@ def _scratch(spark, name):
 def q_stream_convert(spark, d):
     """G1: the pages file consumed as a stream (availableNow), converted per
     micro-batch; the appended output must equal the batch ``convert_pages``."""
-    from ..streaming.stream import PAGES_SCHEMA, stream_convert
+    from ..streaming.stream import stream_convert
     out, ck = _scratch(spark, "stream-out"), _scratch(spark, "stream-ck")
     q = stream_convert(spark, f"{d.rstrip('/')}/pages*.parquet", out, ck)
     q.awaitTermination()
-    _ = PAGES_SCHEMA
     return spark.read.parquet(out).select("page_id", "url", "host", "markdown")
 
 
@@ -474,13 +473,13 @@ def q_stream_convert(spark, d):
 def q_stream_rules(spark, d):
     """The nation-derived rule log consumed as a stream and folded into the
     custom-rule table; equals the batch fold's custom rows."""
-    from ..streaming.stream import stream_rules
+    from ..streaming.stream import custom_rules, stream_rules
     log_dir, custom, ck = _scratch(spark, "rule-log"), _scratch(spark, "rules"), _scratch(spark, "rules-ck")
     log = rule_log(spark, d)
     log.write.parquet(log_dir)
     q = stream_rules(spark, log_dir, custom, ck, log.schema)
     q.awaitTermination()
-    return spark.read.parquet(custom).select("domain", "selector", _rm_list().alias("remove_list"))
+    return custom_rules(spark, custom).select("domain", "selector", _rm_list().alias("remove_list"))
 
 
 @register("conversion_status")
@@ -616,10 +615,11 @@ def q_figures(spark, d):
 
 @register("write_documents")
 def q_write_documents(spark, d):
-    """Documents written as parquet partitioned by host, read back."""
+    """Documents written as parquet by host bucket, read back."""
+    from ..sources.sink import write_documents
     out = _scratch(spark, "documents")
     docs = _conv(spark, d).documents.select("page_id", "url", "host", "markdown")
-    docs.write.partitionBy("host").parquet(out)
+    write_documents(docs, out)
     return spark.read.parquet(out).select("page_id", "url", "host", "markdown")
 
 

@@ -26,6 +26,8 @@ RULES_SCHEMA = T.StructType([
     T.StructField("remove", T.ArrayType(T.StringType())),
 ])
 
+LOG_SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), *RULES_SCHEMA.fields])
+
 # Built-in site rules (domain, content selector, removals).
 BUILTIN_RULES = [
     ("medium.com", "article", [".pw-highlight-menu", ".js-postShareWidget", "[aria-label='responses']"]),
@@ -46,13 +48,29 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BUILTIN_RULES, RULES_SCHEMA)
 
 
-def fold_rules(builtin: DataFrame, log: DataFrame) -> DataFrame:
-    """S6-S9 + W6: effective rules from the built-ins and an edit log."""
+def latest_events(log: DataFrame) -> DataFrame:
+    """``(domain, ev)``: the latest edit of each domain after the latest reset."""
     # latest reset as a one-row table joined on a constant key (scalar subquery)
     last_reset = log.filter(F.col("op") == "reset").agg(F.max("seq").alias("reset_seq")).withColumn("_k", F.lit(1))
     live = log.withColumn("_k", F.lit(1)).join(F.broadcast(last_reset), "_k", "left").drop("_k")
-    live = live.filter(F.col("seq") > F.coalesce("reset_seq", F.lit(-1))).filter(F.col("op") != "reset")
-    latest = live.groupBy("domain").agg(F.max_by(F.struct("op", "selector", "remove"), "seq").alias("ev"))
+    live = live.filter(F.col("reset_seq").isNull() | (F.col("seq") > F.col("reset_seq"))).filter(F.col("op") != "reset")
+    return live.groupBy("domain").agg(F.max_by(F.struct("seq", "op", "selector", "remove"), "seq").alias("ev"))
+
+
+def compact_log(log: DataFrame) -> DataFrame:
+    """The edits that can still matter: the latest of each domain, deletes too, and the latest reset."""
+    edits = latest_events(log).select(F.col("ev.seq").alias("seq"), F.col("ev.op").alias("op"), "domain",
+                                      F.col("ev.selector").alias("selector"), F.col("ev.remove").alias("remove"))
+    reset = log.filter(F.col("op") == "reset").agg(F.max("seq").alias("seq")).filter("seq IS NOT NULL")
+    nothing = F.lit(None).cast("string")
+    reset = reset.select("seq", F.lit("reset").alias("op"), nothing.alias("domain"), nothing.alias("selector"),
+                         F.lit(None).cast("array<string>").alias("remove"))
+    return edits.unionByName(reset)
+
+
+def fold_rules(builtin: DataFrame, log: DataFrame) -> DataFrame:
+    """S6-S9 + W6: effective rules from the built-ins and an edit log."""
+    latest = latest_events(log)
     custom = latest.filter(F.col("ev.op") == "upsert").select(
         "domain", F.col("ev.selector").alias("c_selector"), F.col("ev.remove").alias("c_remove"))
     b = builtin.select("domain", F.col("selector").alias("b_selector"), F.col("remove").alias("b_remove"))

@@ -2,8 +2,9 @@
 
 ``stream_convert`` reads newly arriving page files (parquet) as a stream,
 drops re-crawls of a URL already seen within the watermark, and converts
-each micro-batch with the batch plan (``foreachBatch``), appending the
-documents to a parquet table. The stream checkpoint lives in the folder
+each micro-batch with the batch plan (``foreachBatch``), writing the
+documents of a batch to a folder ``epoch=<id>`` of a parquet table, so a
+replayed batch replaces what it wrote before. The stream checkpoint lives in the folder
 the caller names (on a cluster: a shared location); a restarted or
 recovered query resumes exactly where it stopped.
 
@@ -68,44 +69,58 @@ def stream_convert(spark: SparkSession, source_dir: str, out_dir: str, checkpoin
     def run(batch: DataFrame, epoch_id: int) -> None:
         rules = effective_rules(spark, rules_path) if rules_path else None
         out = convert_batch(spark, batch, rules, options)
-        out.write.mode("append").parquet(out_dir)
+        # keyed by epoch: a replayed batch replaces its own output
+        out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
 
     return (src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
 
 
 def effective_rules(spark: SparkSession, custom_path: str) -> DataFrame:
-    """Built-in rules overlaid by the custom table written by ``stream_rules``."""
-    try:
-        custom = spark.read.parquet(custom_path)
-    except Exception:  # noqa: BLE001 - no edits yet
+    """Built-in rules overlaid by the latest version that ``stream_rules`` wrote (none yet: the built-ins)."""
+    log = latest_version(spark, custom_path)
+    if log is None:
         return R.builtin_rules(spark)
-    log = custom.select(F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "domain", "selector", "remove")
     return R.fold_rules(R.builtin_rules(spark), log).select("domain", "selector", "remove")
 
 
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rule log of the newest complete ``version=<n>`` folder (below ``before``), or None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop)]
+    done = [int(n.partition("=")[2]) for n in names if n.startswith("version=")
+            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.schema(R.LOG_SCHEMA).parquet(f"{path}/version={max(done)}") if done else None
+
+
+def custom_rules(spark: SparkSession, custom_path: str) -> DataFrame:
+    """The live overrides ``(domain, selector, remove)`` of the latest version."""
+    log = latest_version(spark, custom_path)
+    if log is None:
+        return spark.createDataFrame([], R.RULES_SCHEMA)
+    folded = R.fold_rules(spark.createDataFrame([], R.RULES_SCHEMA), log)
+    return folded.select("domain", "selector", "remove")
+
+
 def stream_rules(spark: SparkSession, log_dir: str, custom_path: str, checkpoint_dir: str,
                  log_schema: T.StructType):
-    """Fold each batch of rule edits into the table of custom overrides.
+    """Fold each batch of rule edits into the rule log's state, one folder ``version=<epoch>`` a batch.
 
-    The table holds live overrides only; deleting one lets the built-in rule
-    show again, a reset empties it. Each batch is folded in ``seq`` order on
-    top of the previous table, then written (via a lineage cut, since the
-    output path is also the input).
+    The state keeps what later edits are compared with: the latest edit of
+    each domain (deletes too) and the latest reset, with their ``seq``, so
+    an edit that arrives late doesn't beat a newer one. A replayed batch
+    writes its own version again, from the version before it.
     """
-    from ..plans.materialize import materialize
-
     def run(batch: DataFrame, epoch_id: int) -> None:
-        events = batch.select("seq", "op", "domain", "selector", "remove")
-        try:
-            prev = spark.read.parquet(custom_path)
-            events = prev.select(F.lit(-1).cast("long").alias("seq"), F.lit("upsert").alias("op"),
-                                 "domain", "selector", "remove").unionByName(events)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            pass
-        empty = spark.createDataFrame([], R.RULES_SCHEMA)
-        folded = materialize(R.fold_rules(empty, events).select("domain", "selector", "remove"))
-        folded.write.mode("overwrite").parquet(custom_path)
+        events = batch.select(*R.LOG_SCHEMA.names)
+        before = latest_version(spark, custom_path, before=epoch_id)
+        if before is not None:
+            events = before.unionByName(events)
+        R.compact_log(events).write.mode("overwrite").parquet(f"{custom_path}/version={epoch_id}")
 
     return (spark.readStream.schema(log_schema).parquet(log_dir).writeStream.foreachBatch(run)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
