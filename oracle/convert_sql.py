@@ -269,26 +269,23 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "row_number() OVER (PARTITION BY page_id, lst.p ORDER BY pos) AS ordinal FROM lt1 WHERE tag = 'li')")
     link_ok = f"({S.safe_href('l.href_clean')} IS NOT NULL AND u.unwrap IS NULL)"
     title = "coalesce(e.a_title, '')"
-    li_open = ("chr(10) || repeat('    ', greatest(li.list_depth - 1, 0)) || CASE WHEN li.list_tag = 'ol' "
-               "THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END")
+    marker = "CASE WHEN e.tag = 'li' THEN CASE WHEN li.list_tag = 'ol' THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END END"
     open_md = (
-        f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN chr(10) || chr(10) || repeat('#', substr(e.tag, 2, 1)::INTEGER) || ' ' "
+        f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN repeat('#', substr(e.tag, 2, 1)::INTEGER) || ' ' "
         f"WHEN e.tag IN ('b','strong') THEN '**' WHEN e.tag IN ('i','em') THEN '_' "
         f"WHEN e.tag IN ('del','s','strike') THEN '~' WHEN e.tag = 'code' THEN '`' "
         f"WHEN e.tag = 'a' THEN CASE WHEN {link_ok} THEN '[' END "
-        f"WHEN e.tag = 'br' THEN '  ' || chr(10) WHEN e.tag = 'hr' THEN chr(10) || chr(10) || '* * *' || chr(10) || chr(10) "
-        f"WHEN e.tag = 'li' THEN {li_open} WHEN e.tag = 'blockquote' THEN chr(10) || chr(10) || '> ' "
-        f"WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN chr(10) || chr(10) END")
+        f"WHEN e.tag = 'br' THEN '  ' || chr(10) WHEN e.tag = 'hr' THEN '* * *' END")
     close_md = (
-        f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN (CASE WHEN coalesce(hh.id, '') <> '' THEN ' {{#' || hh.id || '}}' ELSE '' END) || chr(10) || chr(10) "
+        f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN CASE WHEN coalesce(hh.id, '') <> '' THEN ' {{#' || hh.id || '}}' END "
         f"WHEN e.tag IN ('b','strong') THEN '**' WHEN e.tag IN ('i','em') THEN '_' "
         f"WHEN e.tag IN ('del','s','strike') THEN '~' WHEN e.tag = 'code' THEN '`' "
         f"WHEN e.tag = 'a' THEN CASE WHEN {link_ok} THEN '](' || l.href_clean || "
-        f"CASE WHEN {title} <> '' THEN ' \"' || {title} || '\"' ELSE '' END || ')' END "
-        f"WHEN e.tag = 'li' THEN chr(10) WHEN e.tag IN ('br','hr') THEN NULL "
-        f"WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN chr(10) || chr(10) END")
+        f"CASE WHEN {title} <> '' THEN ' \"' || {title} || '\"' ELSE '' END || ')' END END")
+    gap = f"CASE WHEN e.tag = 'li' THEN 1 WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN 2 END"
     ctes.append(
-        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, {open_md} AS omd, {close_md} AS cmd FROM kr e "
+        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, e.tag, {open_md} AS omd, {close_md} AS cmd, {gap} AS gap, "
+        f"{marker} AS marker FROM kr e "
         f"LEFT JOIN headings hh ON hh.page_id = e.page_id AND hh.pos = e.open_pos "
         f"LEFT JOIN links l ON l.page_id = e.page_id AND l.pos = e.open_pos "
         f"LEFT JOIN unwrap u ON u.page_id = e.page_id AND u.open_pos = e.open_pos "
@@ -299,18 +296,48 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"sum(CASE WHEN tag = 'code' AND kind = 'open' THEN 1 WHEN tag = 'code' AND kind = 'close' THEN -1 ELSE 0 END) "
         f"OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_code "
         f"FROM rt WINDOW w AS (PARTITION BY page_id ORDER BY pos))")
+    ctes.append("lr AS (SELECT * FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt WHERE rt.page_id = repl.page_id "
+                "AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")
     one = S.collapse_inline_ws("text")
     trimmed = f"regexp_replace(regexp_replace({one}, CASE WHEN prev_b THEN '^ +' ELSE '^$' END, ''), CASE WHEN next_b THEN ' +$' ELSE '^$' END, '')"
     ctes.append(
-        f"frags AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, omd AS md FROM frag_el "
-        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, cmd FROM frag_el WHERE ekind = 'open' "
-        f"UNION ALL SELECT page_id, pos, 1, 0, CASE WHEN in_code > 0 THEN {trimmed} ELSE {S.escape_markdown_text(trimmed)} END FROM nb "
-        f"WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, md FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt "
-        f"WHERE rt.page_id = repl.page_id AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")
+        f"parts AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, 0 AS k4, NULL AS md, gap AS brk, tag, NULL AS marker FROM frag_el "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 1, NULL, NULL, tag, marker FROM frag_el WHERE tag IN ('li', 'blockquote') "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, omd, NULL, tag, NULL FROM frag_el "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, tag, NULL FROM frag_el WHERE tag = 'hr' "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 0, cmd, NULL, tag, NULL FROM frag_el WHERE ekind = 'open' "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 1, NULL, NULL, tag, NULL FROM frag_el WHERE ekind = 'open' AND tag IN ('li', 'blockquote') "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 2, NULL, gap, tag, NULL FROM frag_el WHERE ekind = 'open' "
+        f"UNION ALL SELECT page_id, pos, 1, 0, 0, CASE WHEN in_code > 0 THEN {trimmed} ELSE {S.escape_markdown_text(trimmed)} END, NULL, NULL, NULL "
+        f"FROM nb WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 0, NULL, 2, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%' "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, regexp_replace(md, '^\\n+|\\n+$', '', 'g'), NULL, NULL, NULL FROM lr "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%')")
+    ctes.append(
+        "part1 AS (SELECT row_number() OVER () AS rid, page_id, k1, k2, k3, k4, nullif(md, '') AS md, brk, tag, marker FROM parts "
+        "WHERE nullif(md, '') IS NOT NULL OR brk IS NOT NULL OR (tag IN ('li', 'blockquote') AND k4 = 1))")
+    # the prefix of a part: one piece for each quote or list item that it is in
+    ctes.append(
+        "pre AS (SELECT p.rid, string_agg(CASE c.tag WHEN 'blockquote' THEN '> ' ELSE '    ' END, '' ORDER BY c.open_pos) AS prefix "
+        "FROM part1 p JOIN frag_el c ON c.page_id = p.page_id AND c.ekind = 'open' AND c.tag IN ('li', 'blockquote') "
+        "AND CASE WHEN p.k2 = 1 THEN c.open_pos < p.k1 + CASE WHEN p.k4 >= 1 THEN 1 ELSE 0 END AND c.end_pos > p.k1 "
+        "ELSE c.end_pos >= p.k1 AND (c.open_pos < -p.k3 OR (c.open_pos = -p.k3 AND p.k4 = 0)) END GROUP BY p.rid)")
+    ctes.append(
+        "part2 AS (SELECT p.*, coalesce(prefix, '') AS prefix, count(md) OVER (PARTITION BY page_id ORDER BY k1, k2, k3, k4 "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM part1 p LEFT JOIN pre USING (rid))")
+    ctes.append(
+        "gaps AS (SELECT page_id, n, coalesce(max(CASE WHEN tag IN ('ul', 'ol') AND brk IS NOT NULL AND prefix LIKE '%    ' THEN 1 ELSE brk END), 0) AS wide, "
+        "arg_min(prefix, length(prefix)) AS low, arg_max(marker, (k1, k2, k3, k4)) FILTER (WHERE marker IS NOT NULL) AS mark "
+        "FROM part2 GROUP BY page_id, n)")
+    ctes.append(
+        "frag1 AS (SELECT t.*, g.wide, g.low, CASE WHEN g.mark IS NOT NULL THEN substr(t.prefix, 1, length(t.prefix) - 4) || g.mark "
+        "ELSE t.prefix END AS first FROM part2 t JOIN gaps g USING (page_id, n) WHERE t.md IS NOT NULL)")
+    ctes.append(
+        "frags AS (SELECT page_id, k1, k2, k3, k4, CASE WHEN n = 0 THEN first WHEN wide = 0 THEN '' WHEN wide = 1 THEN chr(10) || first "
+        "ELSE chr(10) || rtrim(low, ' ') || chr(10) || first END || replace(md, chr(10), chr(10) || prefix) AS md FROM frag1)")
     ctes.append(
         f"body0 AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
-        f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "
+        f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3, k4) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "
         f"GROUP BY page_id) b USING (page_id))")
     ctes.append("body AS (SELECT b.page_id, CASE WHEN coalesce(a.appendix, '') <> '' THEN b.body || chr(10) || chr(10) || a.appendix "
                 "ELSE b.body END AS body FROM body0 b LEFT JOIN fn_app a USING (page_id))")

@@ -39,6 +39,22 @@ HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 ROOT_FALLBACK = [(1, "main"), (2, "article, main"), (3, "body")]
 
 
+# A part of a rendered page says one thing: text, a break, or that a quote or list item begins or ends.
+PART_SAYS = "md IS NOT NULL OR brk IS NOT NULL OR push IS NOT NULL OR pop IS NOT NULL"
+
+
+def _part(k1, k2, k3, k4: int, md=None, brk=None, nested=None, push=None, pop=None, marker=None):
+    """A part and its place: token, close (0) before open (1), inner closes first, place in the element."""
+    text = F.when(md != "", md) if md is not None else F.lit(None)
+    return F.struct(
+        k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), k3.cast("int").alias("k3"), F.lit(k4).alias("k4"),
+        text.cast("string").alias("md"), (F.lit(None) if brk is None else brk).cast("int").alias("brk"),
+        (F.lit(None) if nested is None else nested).cast("boolean").alias("nested"),
+        (F.lit(None) if push is None else push).cast("string").alias("push"),
+        (F.lit(None) if pop is None else pop).cast("int").alias("pop"),
+        (F.lit(None) if marker is None else marker).cast("string").alias("marker"))
+
+
 @dataclass
 class Options:
     retrieved: str = "2025-01-01T00:00:00.000Z"
@@ -314,7 +330,7 @@ class Conversion:
 
     # ------------------------------------------------------------ render
     def _render_elements(self) -> DataFrame:
-        """Element open/close Markdown."""
+        """Parts of element opens and closes."""
         opens = self.render_tokens.filter(F.col("kind").isin("open", "void", "raw")).select(
             "page_id", F.col("pos").alias("open_pos"))
         e = self.kept_elements.join(opens, ["page_id", "open_pos"], "left_semi").join(
@@ -333,41 +349,42 @@ class Conversion:
             F.lit("]("), F.col("href_clean"),
             F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")),
             F.lit(")")))
-        li_open = F.concat(F.lit("\n"), F.repeat(F.lit("    "), F.greatest(F.col("list_depth") - 1, F.lit(0))),
-                           F.when(F.col("list_tag") == "ol", F.concat(F.col("ordinal").cast("string"), F.lit(".  ")))
-                           .otherwise(F.lit("-   ")))
+        marker = F.when(F.col("list_tag") == "ol", F.concat(F.col("ordinal").cast("string"), F.lit(".  "))).otherwise(F.lit("-   "))
         open_md = (
-            F.when(tag.isin(*HEADINGS), F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), level), F.lit(" ")))
+            F.when(tag.isin(*HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(" ")))
             .when(tag.isin("b", "strong"), F.lit("**"))
             .when(tag.isin("i", "em"), F.lit("_"))
             .when(tag.isin("del", "s", "strike"), F.lit("~"))
             .when(tag == "code", F.lit("`"))
             .when(tag == "a", link_open)
             .when(tag == "br", F.lit("  \n"))
-            .when(tag == "hr", F.lit("\n\n* * *\n\n"))
-            .when(tag == "li", li_open)
-            .when(tag == "blockquote", F.lit("\n\n> "))
-            .when(tag.isin(*BLOCK_TAGS), F.lit("\n\n"))
+            .when(tag == "hr", F.lit("* * *"))
         )
         close_md = (
-            F.when(tag.isin(*HEADINGS), F.concat(
-                F.when(F.coalesce(F.col("hid"), F.lit("")) != "", F.concat(F.lit(" {#"), F.col("hid"), F.lit("}")))
-                .otherwise(F.lit("")), F.lit("\n\n")))
+            F.when(tag.isin(*HEADINGS), F.when(F.coalesce(F.col("hid"), F.lit("")) != "",
+                                               F.concat(F.lit(" {#"), F.col("hid"), F.lit("}"))))
             .when(tag.isin("b", "strong"), F.lit("**"))
             .when(tag.isin("i", "em"), F.lit("_"))
             .when(tag.isin("del", "s", "strike"), F.lit("~"))
             .when(tag == "code", F.lit("`"))
             .when(tag == "a", link_close)
-            .when(tag == "li", F.lit("\n"))
-            .when(tag.isin("br", "hr"), F.lit(None).cast("string"))
-            .when(tag.isin(*BLOCK_TAGS), F.lit("\n\n"))
         )
-        opens = e.select("page_id", F.col("open_pos").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"),
-                         open_md.alias("md"))
-        closes = e.filter(F.col("ekind") == "open").select(
-            "page_id", F.col("end_pos").alias("k1"), F.lit(0).alias("k2"), (-F.col("open_pos")).alias("k3"),
-            close_md.alias("md"))
-        return opens.unionByName(closes).filter(F.col("md").isNotNull() & (F.col("md") != ""))
+        gap = F.when(tag == "li", 1).when(tag.isin(*BLOCK_TAGS), 2)
+        is_list = tag.isin("ul", "ol")
+        holder = F.when(tag == "blockquote", F.lit("> ")).when(tag == "li", F.lit("    "))
+        mark = F.when(tag == "li", marker)
+        pos, end = F.col("open_pos"), F.col("end_pos")
+        zero, one = F.lit(0), F.lit(1)
+        opens = e.select("page_id", F.explode(F.array(
+            _part(pos, one, zero, 0, brk=gap, nested=is_list),
+            _part(pos, one, zero, 1, push=holder, marker=mark),
+            _part(pos, one, zero, 2, md=open_md),
+            _part(pos, one, zero, 3, brk=F.when(tag == "hr", 2)))).alias("f"))
+        closes = e.filter(F.col("ekind") == "open").select("page_id", F.explode(F.array(
+            _part(end, zero, -pos, 0, md=close_md),
+            _part(end, zero, -pos, 1, pop=F.length(holder)),
+            _part(end, zero, -pos, 2, brk=gap, nested=is_list))).alias("f"))
+        return opens.unionByName(closes).select("page_id", "f.*").filter(PART_SAYS)
 
     def _unwrapped_links(self) -> DataFrame:
         """A heading whose only child element is a link renders the link's content only."""
@@ -416,20 +433,72 @@ class Conversion:
         md = F.when(F.col("_code") > 0, md).otherwise(X.escape_markdown_text(md))
         blank = X.trim_ws(F.col("text")) == ""
         t = t.filter(~blank | ~(F.col("_prev_b") | F.col("_next_b")))
-        return t.select("page_id", F.col("pos").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"), md.alias("md"))
+        part = _part(F.col("pos"), F.lit(1), F.lit(0), 0, md=md)
+        return t.select("page_id", part.alias("f")).select("page_id", "f.*").filter(PART_SAYS)
+
+    def _render_replacements(self) -> DataFrame:
+        """Replaced elements: blank lines at their edges are breaks, the rest is text."""
+        live = self.render_tokens.filter(F.col("kind").isin("open", "void")).select(
+            "page_id", F.col("pos").alias("open_pos"))
+        repl = self.replacements.join(live, ["page_id", "open_pos"], "left_semi")  # not nested in another
+        edge = F.when(F.col("md").startswith("\n\n"), 2)
+        md, pos, one, zero = F.regexp_replace("md", r"^\n+|\n+$", ""), F.col("open_pos"), F.lit(1), F.lit(0)
+        rows = repl.filter(F.col("md") != "").select("page_id", F.explode(F.array(
+            _part(pos, one, zero, 0, brk=edge), _part(pos, one, zero, 2, md=md), _part(pos, one, zero, 3, brk=edge))).alias("f"))
+        return rows.select("page_id", "f.*").filter(PART_SAYS)
+
+    @staticmethod
+    def _assembled(parts: DataFrame) -> DataFrame:
+        """A4: texts with the breaks, prefixes and list markers that stand before them.
+
+        Quotes and list items push a prefix that every line in them begins
+        with. A text takes the widest break since the text before it; the
+        blank line of a wide break has the shortest prefix in between.
+        """
+        key = ["k1", "k2", "k3", "k4"]
+        events = parts.filter(F.col("push").isNotNull() | F.col("pop").isNotNull())
+        steps = events.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*key, "push", "pop", "marker"))).alias("steps"))
+        state = "struct<prefix:string,out:array<struct<k1:int,k2:int,k3:int,k4:int,marker:string,prefix:string>>>"
+
+        def step(acc, x):
+            prefix = F.when(x["push"].isNotNull(), F.concat(acc["prefix"], x["push"])).otherwise(
+                F.substring(acc["prefix"], F.lit(1), F.greatest(F.length(acc["prefix"]) - x["pop"], F.lit(0))))
+            row = F.struct(*[x[k].alias(k) for k in key], x["marker"].alias("marker"), prefix.alias("prefix"))
+            return F.struct(prefix.alias("prefix"), F.concat(acc["out"], F.array(row)).alias("out")).cast(state)
+
+        start = F.struct(F.lit("").alias("prefix"), F.array().alias("out")).cast(state)
+        held = steps.select("page_id", F.explode(F.aggregate("steps", start, step)["out"]).alias("f")).select("page_id", "f.*")
+        rows = parts.filter(F.col("push").isNull() & F.col("pop").isNull()).select("page_id", *key, "md", "brk", "nested")
+        nothing = {c: F.lit(None).cast(t) for c, t in (("md", "string"), ("brk", "int"), ("nested", "boolean"))}
+        rows = rows.withColumns({"marker": F.lit(None).cast("string"), "prefix": F.lit(None).cast("string")})
+        rows = rows.unionByName(held.withColumns(nothing))
+        w = Window.partitionBy("page_id").orderBy(*key)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        text = F.col("md").isNotNull().cast("int")
+        rows = rows.withColumn("prefix", F.coalesce(F.last("prefix", ignorenulls=True).over(so_far), F.lit("")))
+        rows = rows.withColumn("n", F.sum(text).over(so_far) - text)
+        in_item = F.coalesce("nested", F.lit(False)) & F.col("prefix").endswith("    ")
+        rows = rows.withColumn("brk", F.when(in_item, 1).otherwise(F.col("brk")))
+        gap = Window.partitionBy("page_id", "n")
+        rows = rows.withColumn("brk", F.coalesce(F.max("brk").over(gap), F.lit(0)))
+        rows = rows.withColumn("low", F.min(F.struct(F.length("prefix").alias("l"), F.col("prefix").alias("p"))).over(gap)["p"])
+        rows = rows.withColumn("marker", F.max(F.when(F.col("marker").isNotNull(), F.struct(*key, "marker"))).over(gap)["marker"])
+        first = F.when(F.col("marker").isNotNull(), F.concat(
+            F.substring("prefix", F.lit(1), F.length("prefix") - 4), F.col("marker"))).otherwise(F.col("prefix"))
+        before = (F.when(F.col("n") == 0, first).when(F.col("brk") == 0, F.lit(""))
+                  .when(F.col("brk") == 1, F.concat(F.lit("\n"), first))
+                  .otherwise(F.concat(F.lit("\n"), F.rtrim("low"), F.lit("\n"), first)))
+        md = F.concat(before, F.replace("md", F.lit("\n"), F.concat(F.lit("\n"), F.col("prefix"))))
+        return rows.filter(F.col("md").isNotNull()).select("page_id", *key, md.alias("md"))
 
     @property
     def body(self) -> DataFrame:
         """A4: two-level ordered aggregation of the fragments -> ``(page_id, body)``."""
         def build():
-            live = self.render_tokens.filter(F.col("kind").isin("open", "void")).select(
-                "page_id", F.col("pos").alias("open_pos"))
-            repl = self.replacements.join(live, ["page_id", "open_pos"], "left_semi")  # not nested in another
-            repl = repl.select("page_id", F.col("open_pos").alias("k1"), F.lit(1).alias("k2"),
-                               F.lit(0).alias("k3"), "md").filter(F.col("md") != "")
-            frags = self._render_elements().unionByName(self._render_text()).unionByName(repl)
+            parts = self._render_elements().unionByName(self._render_text()).unionByName(self._render_replacements())
+            frags = self._assembled(parts)
             frags = frags.withColumn("chunk", F.floor(F.col("k1") / CHUNK).cast("int"))
-            arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "md")))
+            arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "k4", "md")))
             part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))
             whole = ordered_concat(part, ["page_id"], "chunk", "md", "", "raw_body")
             app = self.notes[3] if self.notes is not None else \
