@@ -107,10 +107,11 @@ class Conversion:
         def build():
             els = self.elements
             g_rules = self.spark.createDataFrame([("*", r, s) for r, s in ROOT_FALLBACK], S.RULE_SCHEMA)
-            g = S.match(S.facts(els), S.conditions(g_rules))
+            # the fallback selectors name tags only; site selectors concern pages of hosts with a rule only
+            g = S.match(S.facts(els.filter(F.col("tag").isin("main", "article", "body"))), S.conditions(g_rules))
             s_rules = self.rules.select(F.col("domain").alias("scope"), F.lit(0).alias("rule_ord"), "selector")
-            s = S.match(S.facts(els), S.conditions(s_rules), by_host=True)
             with_rule = self.page_rules.filter(F.col("domain").isNotNull()).select("page_id")
+            s = S.match(S.facts(els.join(with_rule, "page_id", "left_semi")), S.conditions(s_rules), by_host=True)
             g = g.join(with_rule.withColumn("_r", F.lit(1)), "page_id", "left").filter(
                 (F.col("rule_ord") > 1) | F.col("_r").isNull()).drop("_r")
             cand = g.unionByName(s).join(els.select("page_id", "open_pos", "end_pos"), ["page_id", "open_pos"])
@@ -155,7 +156,8 @@ class Conversion:
                 extra = self.spark.createDataFrame(
                     [("*", 100 + i, s) for i, s in enumerate(self.opt.extra_remove)], S.RULE_SCHEMA)
                 defaults = defaults.unionByName(extra)
-            return C.remove_selector_sets(t, e, [(defaults, False), (self._site_removals(), True)])
+            # cut: the next sweep reads these tokens three times
+            return materialize(C.remove_selector_sets(t, e, [(defaults, False), (self._site_removals(), True)]))
         return self._memo("after_selectors", build)
 
     @property
@@ -390,7 +392,8 @@ class Conversion:
         """A heading whose only child element is a link renders the link's content only."""
         e = self.kept_elements
         pts = self.cleaned_tokens.select("page_id", "pos", F.when(F.col("kind").isin("open", "void"), 1).otherwise(0).alias("w_el"))
-        inner = interval_sums(pts, e.select("page_id", "open_pos", "end_pos"), ["w_el"])
+        spans = e.filter(F.col("tag").isin("a", *HEADINGS)).select("page_id", "open_pos", "end_pos")
+        inner = interval_sums(pts, spans, ["w_el"])
         h = e.filter(F.col("tag").isin(*HEADINGS)).join(inner, ["page_id", "open_pos"]).select(
             "page_id", "open_pos", "end_pos", F.col("w_el").alias("h_n"))
         a = e.filter(F.col("tag") == "a").join(inner, ["page_id", "open_pos"]).select(
