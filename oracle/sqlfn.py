@@ -159,7 +159,16 @@ def _encode_path(p: str) -> str:
     return f"CASE WHEN regexp_matches({p2}, '[^\\x00-\\x7F]') THEN {enc} ELSE {p2} END"
 
 
-def _remove_dot_segments(p: str) -> str:
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, so a long expression is written (and evaluated) once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _remove_dot_segments(path: str) -> str:
+    return let("dp", path, _without_dots("dp"))
+
+
+def _without_dots(p: str) -> str:
     segs = f"string_split({rr(p, '^/', '')}, '/')"
     up, here = "('..', '.%2e', '%2e.', '%2e%2e')", "('.', '%2e')"
     kept = (f"list_reduce({segs}, lambda acc, s: CASE WHEN lower(s) IN {up} THEN regexp_replace(acc, '/[^/]*$', '') "
@@ -192,7 +201,8 @@ def _normalize_http(u: str) -> str:
 
 
 def resolve_url(href: str, base: str) -> str:
-    h = rr(rr(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    trimmed = rr(rr(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    h = "hr"
     b_scheme, b_auth, b_path, b_query = _part(base, 1), _part(base, 3), _part(base, 4), _part(base, 5)
     b_path = f"(CASE WHEN {b_path} = '' THEN '/' ELSE {b_path} END)"
     prefix = f"({b_scheme} || '://' || {b_auth})"
@@ -203,11 +213,16 @@ def resolve_url(href: str, base: str) -> str:
                 f"WHEN {h} LIKE '#%' THEN {prefix} || {b_path} || {b_query} || {h} "
                 f"WHEN {h} = '' THEN {prefix} || {b_path} || {b_query} "
                 f"ELSE {prefix} || {rr(b_path, '[^/]*$', '')} || {h} END)")
-    is_http = f"(lower({_part(absolute, 1)}) IN ('http', 'https') AND {_part(absolute, 2)} <> '')"
-    return f"(CASE WHEN {is_http} THEN {_normalize_http(absolute)} ELSE {absolute} END)"
+    is_http = f"(lower({_part('ab', 1)}) IN ('http', 'https') AND {_part('ab', 2)} <> '')"
+    body = f"(CASE WHEN {is_http} THEN {_normalize_http('ab')} ELSE ab END)"
+    return let("hr", trimmed, let("ab", absolute, body))
+
+
+def strip_tracking(url: str) -> str:
+    return let("su", url, _stripped("su"))
 
 
-def strip_tracking(u: str) -> str:
+def _stripped(u: str) -> str:
     qs = rx(u, r"^[^?#]*\?([^#]*)", 1)
     has_q = f"regexp_matches({u}, '^[^?#]*\\?')"
     pairs = f"list_filter(string_split({qs}, '&'), lambda p: p <> '')"

@@ -28,6 +28,11 @@ CURRENT_SEGMENTS = [".", "%2e"]
 SAFE_SCHEMES = ["http", "https", "ftp", "ftps", "mailto", "tel", "callto", "sms", "cid", "xmpp", "matrix"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body(x)`` with ``x`` bound to ``value``: a long expression stands in the plan once, not at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _part(u: Column, i: int) -> Column:
     return F.regexp_extract(u, URL_RE, i)
 
@@ -50,6 +55,10 @@ def _encode_path(p: Column) -> Column:
 
 
 def _remove_dot_segments(path: Column) -> Column:
+    return _let(path, _without_dots)
+
+
+def _without_dots(path: Column) -> Column:
     """One fold over the segments: ``..`` drops the last one kept, ``.`` nothing, others are appended."""
     segments = F.split(F.regexp_replace(path, "^/", ""), "/")
     up = lambda s: F.lower(s).isin(*PARENT_SEGMENTS)
@@ -82,11 +91,21 @@ def resolve_url(href, base) -> Column:
     """``new URL(href, base).href``; unparsable input is returned as is."""
     h = F.regexp_replace(_c(href), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     h = F.regexp_replace(h, r"[\t\n\r]", "")
-    b = _c(base)
+    both = F.struct(h.alias("h"), _c(base).alias("b"))
+    return _let(both, lambda x: _let(_absolute(x["h"], x["b"]), _serialized))
+
+
+def _serialized(absolute: Column) -> Column:
+    is_http = F.lower(_part(absolute, 1)).isin("http", "https") & (_part(absolute, 2) != "")
+    return F.when(is_http, _normalize_http(absolute)).otherwise(absolute)
+
+
+def _absolute(h: Column, b: Column) -> Column:
+    """The reference ``h`` on the base ``b``, before normalisation."""
     b_scheme, b_auth, b_path, b_query = _part(b, 1), _part(b, 3), _part(b, 4), _part(b, 5)
     b_path = F.when(b_path == "", F.lit("/")).otherwise(b_path)
     prefix = F.concat(b_scheme, F.lit("://"), b_auth)
-    absolute = (
+    return (
         F.when(F.regexp_like(h, F.lit(SCHEME_RE)), h)
         .when(h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
         .when(h.startswith("/"), F.concat(prefix, h))
@@ -95,8 +114,6 @@ def resolve_url(href, base) -> Column:
         .when(h == "", F.concat(prefix, b_path, b_query))
         .otherwise(F.concat(prefix, F.regexp_replace(b_path, "[^/]*$", ""), h))
     )
-    is_http = F.lower(_part(absolute, 1)).isin("http", "https") & (_part(absolute, 2) != "")
-    return F.when(is_http, _normalize_http(absolute)).otherwise(absolute)
 
 
 def strip_tracking(c) -> Column:
@@ -105,7 +122,10 @@ def strip_tracking(c) -> Column:
     A query that loses a key is re-serialised (empty pairs dropped, bare keys get
     '='); an untouched query stays byte-identical; an emptied one loses its '?'.
     """
-    u = _c(c)
+    return _let(_c(c), _stripped)
+
+
+def _stripped(u: Column) -> Column:
     q = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
     has_q = F.regexp_like(u, F.lit(r"^[^?#]*\?"))
     pairs = F.filter(F.split(q, "&"), lambda p: p != "")
