@@ -20,7 +20,7 @@ ATTR_NAMES = ["id", "class", "href", "title", "style", "hidden", "aria-hidden",
               "content", "src", "alt", "srcset", "type", "rel", "role", "data-src", "data-original", "data-lazy-src",
               "data-src-large", "data-image-src", "data-srcset", "data-lazy-srcset", "data-original-srcset", "data-url",
               "aria-label", "data-title", "data-language", "data-lang", "lang", "data-rehype-pretty-code-figure",
-              "data-rehype-pretty-code-title", "data-footnote-ref"]
+              "data-rehype-pretty-code-title", "data-footnote-ref", "aria-labelledby", "aria-selected", "data-demo", "data-selected"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
@@ -174,12 +174,15 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
                 "AND t2.pos = e.open_pos AND t2.kind IN ('open','void','raw')))")
     ctes.append(f"live AS (SELECT e.* FROM ce e WHERE e.tag NOT IN {inlist(MEDIA_TAGS)} AND e.tag NOT IN {inlist(REPLACED_TAGS)} AND EXISTS (SELECT 1 FROM t2 "
                 f"WHERE t2.page_id = e.page_id AND t2.pos = e.open_pos AND t2.kind IN ('open','void','raw')))")
+    size = ["coalesce(TRY_CAST(" + S.rx(f"coalesce({a}, '0')", f"^[{WS}]*([+-]?[0-9]+)", 1) + " AS INTEGER), 0)" for a in ("a_width", "a_height")]
+    ctes.append(f"ivi AS (SELECT page_id, open_pos, stop_pos FROM ce WHERE tag = 'svg' AND {size[0]} BETWEEN 1 AND 47 AND {size[1]} BETWEEN 1 AND 47)")
+    ctes.append(f"tp AS ({not_covered('t2', 'ivi')})")
     ctes.append(
         f"inside AS (SELECT e.page_id, e.open_pos, "
         f"count(t.pos) FILTER (WHERE t.kind = 'text' AND {S.trim_ws('t.text')} <> '') AS w_text, "
         f"count(t.pos) FILTER (WHERE t.kind IN ('open','void') AND t.tag IN {inlist(MEDIA_CONTENT_TAGS)}) AS w_media, "
         f"count(t.pos) FILTER (WHERE t.kind IN ('open','void') AND t.tag IN {inlist(REPLACED_TAGS)}) AS w_repl "
-        f"FROM live e LEFT JOIN t2 t ON t.page_id = e.page_id AND t.pos > e.open_pos AND t.pos < e.end_pos "
+        f"FROM live e LEFT JOIN tp t ON t.page_id = e.page_id AND t.pos > e.open_pos AND t.pos < e.end_pos "
         f"GROUP BY e.page_id, e.open_pos)")
     ctes.append(
         f"iv3 AS (SELECT e.page_id, e.open_pos, e.stop_pos FROM live e JOIN inside USING (page_id, open_pos) "
@@ -238,6 +241,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "repl0 AS (SELECT page_id, open_pos, md FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
         "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
         "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code WHERE fenced "
+        "UNION ALL SELECT page_id, open_pos, '' FROM x_widgets "
         "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
         "UNION ALL SELECT page_id, pos, markdown FROM x_images "
         "UNION ALL SELECT page_id, pos, markdown FROM x_figures)")

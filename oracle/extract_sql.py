@@ -97,23 +97,50 @@ def code_ctes() -> list[str]:
                 f"lambda t: regexp_extract(t, {q(CLASS_LANGUAGE_RE)}, 1)), lambda x: x <> '')")
     clsl = f"list_concat({cls('p.a_class')}, {cls('c.a_class')})"
     first_cls = f"list_filter(list_transform({clsl}, lambda x: {S.trim_ws('x')}), lambda x: x <> '')[1]"
-    lang = S.first_non_empty("p.a_data_language", "p.a_data_lang", "p.a_lang", "c.a_data_language", "c.a_data_lang", "c.a_lang",
-                             "f.a_data_language", first_cls)
-    title0 = S.first_non_empty("p.a_data_title", "p.a_title", "c.a_data_title", "c.a_title", "fig_title")
+    first_in = ("(SELECT {what} FROM {src} y WHERE y.page_id = {f}.page_id AND y.open_pos > {f}.open_pos AND y.open_pos < {f}.end_pos "
+                "AND {cond} ORDER BY y.open_pos LIMIT 1)").format
+    fig_text = lambda src, toks, cond: first_in(what=text_in("y", toks), src=src, f="f", cond=cond)
+    panel = "list_contains(string_split_regex(coalesce(y.a_class, ''), " + q("[" + WS + "]+") + "), 'CodeBlockPanelTitle')"
+    has = lambda c, v: f"list_contains(string_split_regex(coalesce({c}.a_class, ''), {q('[' + WS + ']+')}), {q(v)})"
+    given_lang = "coalesce(nullif(p.a_data_language, ''), CASE WHEN xc_pc.is_first THEN xf.panel_lang END)"
+    given_title = (f"coalesce(nullif(p.a_data_title, ''), CASE WHEN xc_pc.is_first THEN "
+                   f"{ft(S.trim_ws('xf.own_panel'), S.trim_ws('xf.label'))} END)")
+    lang = S.first_non_empty(given_lang, "p.a_data_language", "p.a_data_lang", "p.a_lang", "c.a_data_language", "c.a_data_lang", "c.a_lang",
+                             "xf.a_data_language", first_cls)
+    title0 = S.first_non_empty(given_title, "p.a_data_title", "p.a_title", "c.a_data_title", "c.a_title", "xf.fig_title",
+                               "xf.panel_title", "xf.label", "xd.tab", "xd.selected")
     return [
         "xc_pre AS (SELECT * FROM ke WHERE tag = 'pre')",
+        "xw_box AS (SELECT b.* FROM ke b WHERE (b.a_data_rehype_pretty_code_figure IS NOT NULL OR b.a_role = 'figure') AND EXISTS "
+        "(SELECT 1 FROM xc_pre p WHERE p.page_id = b.page_id AND p.open_pos > b.open_pos AND p.open_pos < b.end_pos))",
+        "x_widgets AS (SELECT DISTINCT w.page_id, w.open_pos, w.stop_pos FROM ke w JOIN xw_box b ON b.page_id = w.page_id "
+        "AND w.open_pos > b.open_pos AND w.open_pos < b.end_pos WHERE w.tag = 'button' OR (b.a_data_rehype_pretty_code_figure IS NOT NULL "
+        f"AND ({has('w', 'CodeBlockPanel')} OR {has('w', 'ScrollAreaScrollbar')})) OR (b.a_role = 'figure' AND w.a_role IN ('tablist', 'combobox')))",
+        f"kw AS ({CV.not_covered('kt', 'x_widgets')})",
+        "lw AS (SELECT e.* FROM ke e WHERE NOT EXISTS (SELECT 1 FROM x_widgets w WHERE w.page_id = e.page_id "
+        "AND e.open_pos >= w.open_pos AND e.open_pos < w.stop_pos))",
+        f"x_label AS (SELECT f.page_id, f.open_pos AS pos, nullif(f.a_aria_labelledby, '') AS label_id, (SELECT {text_in('y', 'tx')} FROM ee y "
+        "WHERE y.page_id = f.page_id AND y.a_id = f.a_aria_labelledby ORDER BY y.open_pos LIMIT 1) AS label FROM ke f "
+        "WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL AND coalesce(f.a_aria_labelledby, '') <> '')",
+        f"xc_fg AS (SELECT f.page_id, f.open_pos AS f_open, f.a_data_language, "
+        f"{first_in(what='coalesce(nullif(y.a_data_language, {0}), nullif(y.a_data_lang, {0}))'.format(q('')), src='ke', f='f', cond='y.a_data_language IS NOT NULL')} AS panel_lang, "
+        f"{fig_text('ke', 'kt', panel)} AS own_panel, {fig_text('lw', 'kw', 'y.a_data_rehype_pretty_code_title IS NOT NULL')} AS fig_title, "
+        f"{fig_text('lw', 'kw', panel)} AS panel_title, (SELECT label FROM x_label l WHERE l.page_id = f.page_id AND l.pos = f.open_pos) AS label, "
+        "(SELECT min(p.open_pos) FROM xc_pre p WHERE p.page_id = f.page_id AND p.open_pos > f.open_pos AND p.open_pos < f.end_pos) AS first_pre "
+        "FROM ke f WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL)",
+        f"xc_dm AS (SELECT f.page_id, f.open_pos AS d_open, f.end_pos, {fig_text('lw', 'kw', 'y.a_role = ' + q('tab') + ' AND y.a_aria_selected = ' + q('true'))} AS tab, "
+        f"{fig_text('lw', 'kw', 'y.a_data_selected IS NOT NULL')} AS selected FROM ke f WHERE f.a_data_demo IS NOT NULL)",
         "xc_pc AS (SELECT p.page_id, p.open_pos, (SELECT min(c.open_pos) FROM ke c WHERE c.page_id = p.page_id AND c.tag = 'code' "
         "AND c.open_pos > p.open_pos AND c.open_pos < p.end_pos) AS code_open, "
         "(SELECT max(f.open_pos) FROM ke f WHERE f.page_id = p.page_id AND f.a_data_rehype_pretty_code_figure IS NOT NULL "
-        "AND p.open_pos > f.open_pos AND p.open_pos < f.end_pos) AS f_open FROM xc_pre p)",
-        "xc_ftl AS (SELECT f.page_id, f.open_pos AS f_open, (SELECT " + text_in("tt", "kt") + " FROM ke tt WHERE tt.page_id = f.page_id "
-        "AND tt.a_data_rehype_pretty_code_title IS NOT NULL AND tt.open_pos > f.open_pos AND tt.open_pos < f.end_pos "
-        "ORDER BY tt.open_pos LIMIT 1) AS fig_title FROM ke f WHERE f.a_data_rehype_pretty_code_figure IS NOT NULL)",
+        "AND p.open_pos > f.open_pos AND p.open_pos < f.end_pos) AS f_open, (SELECT max(d.d_open) FROM xc_dm d WHERE d.page_id = p.page_id "
+        "AND p.open_pos > d.d_open AND p.open_pos < d.end_pos) AS d_open, "
+        "EXISTS (SELECT 1 FROM xc_fg f WHERE f.page_id = p.page_id AND f.first_pre = p.open_pos) AS is_first FROM xc_pre p)",
         f"xc_cb AS (SELECT p.page_id, p.open_pos, lower({lang}) AS language, {title0} AS title0, xc_pc.code_open IS NOT NULL AS fenced, "
-        f"coalesce(nullif({text_in('c', 'kt')}, ''), {text_in('p', 'kt')}, '') AS code_raw FROM xc_pre p JOIN xc_pc USING (page_id, open_pos) "
+        f"coalesce(nullif({text_in('c', 'kw')}, ''), {text_in('p', 'kw')}, '') AS code_raw FROM xc_pre p JOIN xc_pc USING (page_id, open_pos) "
         "LEFT JOIN ke c ON c.page_id = p.page_id AND c.open_pos = xc_pc.code_open "
-        "LEFT JOIN ke f ON f.page_id = p.page_id AND f.open_pos = xc_pc.f_open "
-        "LEFT JOIN xc_ftl ON xc_ftl.page_id = p.page_id AND xc_ftl.f_open = xc_pc.f_open)",
+        "LEFT JOIN xc_fg xf ON xf.page_id = p.page_id AND xf.f_open = xc_pc.f_open "
+        "LEFT JOIN xc_dm xd ON xd.page_id = p.page_id AND xd.d_open = xc_pc.d_open)",
         f"xc_cb2 AS (SELECT page_id, open_pos, fenced, language, CASE WHEN title0 IS NOT NULL THEN {S.squash_ws('title0')} END AS title, "
         f"{S.trim_fence_padding('code_raw')} AS code FROM xc_cb)",
         f"xc_cb3 AS (SELECT *, concat_ws(' ', language, CASE WHEN title IS NOT NULL THEN 'title=\"' || {S.escape_info_string('title')} "
@@ -126,12 +153,16 @@ def code_ctes() -> list[str]:
 def tables_ctes() -> list[str]:
     clean = f"replace({S.trim_ws(S.rr('coalesce(txt, ' + q('') + ')', r'[ \t\n\r\f]+', ' '))}, '|', '\\|')"
     return [
-        "xt_tb AS (SELECT page_id, open_pos, end_pos FROM ke WHERE tag = 'table')",
+        "xt_ke AS (SELECT page_id, open_pos, end_pos, tag, CASE WHEN tag = 'th' THEN 'td' ELSE tag END AS g FROM ke "
+        "WHERE tag IN ('table', 'tr', 'td', 'th'))",
+        "xt_o AS (SELECT * FROM xt_ke e WHERE NOT EXISTS (SELECT 1 FROM xt_ke o WHERE o.page_id = e.page_id AND o.g = e.g "
+        "AND o.open_pos < e.open_pos AND o.end_pos > e.open_pos))",
+        "xt_tb AS (SELECT page_id, open_pos, end_pos FROM xt_o WHERE tag = 'table')",
         "xt_trs AS (SELECT r.page_id, r.open_pos, r.end_pos, (SELECT max(t.open_pos) FROM xt_tb t WHERE t.page_id = r.page_id "
-        "AND r.open_pos > t.open_pos AND r.open_pos < t.end_pos) AS t_open FROM ke r WHERE r.tag = 'tr')",
+        "AND r.open_pos > t.open_pos AND r.open_pos < t.end_pos) AS t_open FROM xt_o r WHERE r.tag = 'tr')",
         "xt_trs2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, t_open ORDER BY open_pos) AS row FROM xt_trs WHERE t_open IS NOT NULL)",
         "xt_cl AS (SELECT c.page_id, c.open_pos, c.end_pos, c.tag, (SELECT max(r.open_pos) FROM xt_trs2 r WHERE r.page_id = c.page_id "
-        "AND c.open_pos > r.open_pos AND c.open_pos < r.end_pos) AS r_open FROM ke c WHERE c.tag IN ('td','th'))",
+        "AND c.open_pos > r.open_pos AND c.open_pos < r.end_pos) AS r_open FROM xt_o c WHERE c.tag IN ('td','th'))",
         f"xt_cl2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id, c.r_open ORDER BY c.open_pos) AS col, "
         f"{text_in('c', 'kt')} AS txt FROM xt_cl c WHERE r_open IS NOT NULL)",
         f"x_cells AS (SELECT c.page_id, r.t_open AS table_pos, r.row, c.col, c.tag = 'th' AS is_header, {clean} AS text "
@@ -192,6 +223,14 @@ def code_sql() -> str:
     return _standalone("frag_code", "SELECT page_id, pos, language, title, code, markdown FROM x_code")
 
 
+def labelled_by_sql() -> str:
+    return _standalone("frag_code", "SELECT page_id, pos, label_id, label FROM x_label")
+
+
+def code_widget_removal_sql() -> str:
+    return _standalone("frag_code", "SELECT page_id, pos, kind, tag FROM kw")
+
+
 def table_cells_sql() -> str:
     return _standalone("frag_tables", "SELECT page_id, table_pos, row, col, is_header, text FROM x_cells")
 

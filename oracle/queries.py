@@ -179,6 +179,8 @@ ORACLE["images"] = EX.images_sql()
 ORACLE["media"] = EX.media_sql()
 ORACLE["svgs"] = EX.svgs_sql()
 ORACLE["code_blocks"] = EX.code_sql()
+ORACLE["labelled_by_join"] = EX.labelled_by_sql()
+ORACLE["code_widget_removal"] = EX.code_widget_removal_sql()
 ORACLE["table_cells"] = EX.table_cells_sql()
 ORACLE["render_table"] = EX.render_table_sql()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, int_prefix, trim_ws
+from ..functions.text import int_prefix, trim_ws
 from ..operators import select as S
 from ..operators.tokens import attr
 from ..plans.intervals import interval_sums, sweep_keep
@@ -81,6 +81,9 @@ def hidden_and_empty(tokens: DataFrame, els: DataFrame, extra_intervals: DataFra
         F.when(F.col("kind").isin("open", "void") & F.col("tag").isin(*MEDIA_CONTENT_TAGS), 1).otherwise(0).alias("w_media"),
         F.when(F.col("kind").isin("open", "void") & F.col("tag").isin(*REPLACED_TAGS), 1).otherwise(0).alias("w_repl"),
     )
+    # an icon is removed before emptiness is judged: neither it nor its title is content
+    icons = els.filter((F.col("tag") == "svg") & icon_svg()).select("page_id", "open_pos", "stop_pos")
+    pts = sweep_keep(pts, icons)
     inside = interval_sums(pts, live.select("page_id", "open_pos", "end_pos"), ["w_text", "w_media", "w_repl"])
     cand = live.join(inside, ["page_id", "open_pos"], "left")
     empty = ((F.coalesce("w_text", F.lit(0)) + F.coalesce("w_media", F.lit(0)) + F.coalesce("w_repl", F.lit(0))) == 0) \
@@ -98,4 +101,8 @@ def tiny_image(attrs_col: str = "attrs"):
     return (w > 0) & (w < 32) & (h > 0) & (h < 32)
 
 
-__all__ = ["remove_selectors", "hidden_and_empty", "tiny_image", "is_hidden", "WS"]
+def icon_svg(attrs_col: str = "attrs"):
+    """``0 < width < 48 and 0 < height < 48``."""
+    w = int_prefix(attr(attrs_col, "width"))
+    h = int_prefix(attr(attrs_col, "height"))
+    return (w > 0) & (w < 48) & (h > 0) & (h < 48)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators.tokens import attr
-from ..plans.intervals import RUN, assign_owner, ordered_concat
+from ..operators.clean import icon_svg
+from ..operators.tokens import attr, has_class
+from ..plans.intervals import RUN, assign_owner, ordered_concat, outermost, sweep_keep
 
 # Attribute orders of the lazy-image, srcset, media-source and
 # media-title lookups.
@@ -36,7 +37,8 @@ def _first_truthy(*cols):
 
 
 def element_text(elements: DataFrame, tokens: DataFrame, prefix: str) -> DataFrame:
-    """Text of non-nesting ``elements(page_id, open_pos, end_pos)`` -> ``(page_id, {prefix}_open, text)``."""
+    """Text of ``elements(page_id, open_pos, end_pos)`` -> ``(page_id, {prefix}_open, text)``; where elements
+    nest, a text counts for the innermost."""
     txt = tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")
     owned = assign_owner(txt, elements.select("page_id", "open_pos", "end_pos"), prefix)
     return ordered_concat(owned, ["page_id", f"{prefix}_open"], "pos", "text")
@@ -144,9 +146,7 @@ def svgs(conv) -> DataFrame:
     e = _selector_survivors(conv)
     toks = conv.after_selectors
     svg = e.filter(F.col("tag") == "svg")
-    w, h = X.int_prefix(attr("attrs", "width")), X.int_prefix(attr("attrs", "height"))
-    svg = svg.select("page_id", "open_pos", "end_pos", "stop_pos",
-                     ((w > 0) & (w < 48) & (h > 0) & (h < 48)).alias("icon"),
+    svg = svg.select("page_id", "open_pos", "end_pos", "stop_pos", icon_svg().alias("icon"),
                      X.trim_ws(attr("attrs", "aria-label")).alias("aria"))
     spans = svg.select("page_id", "open_pos", "end_pos")
 
@@ -187,13 +187,81 @@ LANGUAGE_ATTRS = ["data-language", "data-lang", "lang"]
 TITLE_ATTRS = ["data-title", "title"]
 
 
+# Widgets of code figures, which are no part of the code or of the text.
+FIGURE_WIDGET_CLASSES = ["CodeBlockPanel", "ScrollAreaScrollbar"]
+ROLE_FIGURE_WIDGET_ROLES = ["tablist", "combobox"]
+
+
+def _is_code_figure():
+    return attr("attrs", "data-rehype-pretty-code-figure").isNotNull()
+
+
+def code_widgets(conv) -> DataFrame:
+    """P10: buttons and panels inside code figures, buttons and tab lists inside ``role=figure``
+    containers; only where the container has a ``pre``. ``(page_id, open_pos, stop_pos)``."""
+    e = conv.kept_elements
+    pres = e.filter(F.col("tag") == "pre").select("page_id", F.col("open_pos").alias("pos"))
+    button = F.col("tag") == "button"
+    panel = F.lit(False)
+    for c in FIGURE_WIDGET_CLASSES:
+        panel = panel | has_class("attrs", c)
+    found = None
+    for box, widget in ((_is_code_figure(), button | panel),
+                        (attr("attrs", "role") == "figure", button | attr("attrs", "role").isin(*ROLE_FIGURE_WIDGET_ROLES))):
+        # of nested containers the outer ones hold all that the inner ones hold
+        boxes = e.filter(box).select("page_id", "open_pos", "end_pos")
+        filled = assign_owner(pres, outermost(boxes), "x").select("page_id", F.col("x_open").alias("open_pos")).distinct()
+        boxes = boxes.join(filled, ["page_id", "open_pos"])
+        inside = e.filter(widget).select("page_id", F.col("open_pos").alias("pos"), "stop_pos")
+        hit = assign_owner(inside, boxes, "x").select("page_id", F.col("pos").alias("open_pos"), "stop_pos")
+        found = hit if found is None else found.unionByName(hit)
+    return found.distinct()
+
+
+def _first_inside(inner: DataFrame, owners: DataFrame) -> DataFrame:
+    """The first of ``inner(page_id, pos, ...)`` in each owner: ``(page_id, x_open, pos, ...)``."""
+    owned = assign_owner(inner, owners, "x")
+    return owned.withColumn("_rn", F.row_number().over(Window.partitionBy("page_id", "x_open").orderBy("pos"))) \
+        .filter("_rn = 1").drop("_rn")
+
+
+def _first_text_inside(inner: DataFrame, owners: DataFrame, toks: DataFrame, name: str) -> DataFrame:
+    """Text of the first of ``inner(page_id, pos, end_pos)`` in each owner: ``(page_id, x_open, name)``."""
+    first = _first_inside(inner, owners)
+    text = element_text(first.select("page_id", F.col("pos").alias("open_pos"), "end_pos"), toks, "t")
+    text = text.select("page_id", F.col("t_open").alias("pos"), F.col("text").alias(name))
+    return first.join(text, ["page_id", "pos"], "left").select("page_id", "x_open", name)
+
+
+def labelled_by(conv) -> DataFrame:
+    """Text of the element that a code figure names in ``aria-labelledby``, the first of its id
+    anywhere in the page. ``(page_id, pos, label_id, label)``; NULL where there is none."""
+    fig = conv.kept_elements.filter(_is_code_figure()).select(
+        "page_id", F.col("open_pos").alias("pos"), _truthy(attr("attrs", "aria-labelledby")).alias("label_id"))
+    fig = fig.filter(F.col("label_id").isNotNull())
+    first = Window.partitionBy("page_id", "label_id").orderBy("open_pos")
+    named = conv.elements.select("page_id", F.col("id").alias("label_id"), "open_pos", "end_pos").join(
+        fig.select("page_id", "label_id").distinct(), ["page_id", "label_id"])
+    named = named.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    text = element_text(named.select("page_id", "open_pos", "end_pos"), conv.corpus.tokens, "l")
+    named = named.join(text.withColumnRenamed("l_open", "open_pos"), ["page_id", "open_pos"], "left").select(
+        "page_id", "label_id", F.col("text").alias("label"))
+    return fig.join(named, ["page_id", "label_id"], "left").select("page_id", "pos", "label_id", "label")
+
+
 def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
-    """E8 (+F5, F8, F14, F16, J6, J7, R3): language, title, code and fence per ``pre``.
+    """E8 (+F5, F8, F14, F16, J3, J6, J7, P10, R3): language, title, code and fence per ``pre``.
 
-    ``fenced_only`` leaves out a ``pre`` without a ``code`` element: it renders as text.
+    The first ``pre`` of a code figure takes the language of the figure's first ``data-language`` element
+    and the title of its first panel title, or else of its label, where it has none of its own; then the
+    widgets go. A ``pre`` of a demo container falls back to the selected tab. ``fenced_only`` leaves out a
+    ``pre`` without a ``code`` element: it renders as text.
     """
     e = conv.kept_elements
-    toks = conv.cleaned_tokens
+    widgets = code_widgets(conv)
+    toks = sweep_keep(conv.cleaned_tokens, widgets)
+    left = e.join(toks.filter(F.col("kind").isin("open", "void", "raw")).select("page_id", F.col("pos").alias("open_pos")),
+                  ["page_id", "open_pos"], "left_semi")
     pre = e.filter(F.col("tag") == "pre").select("page_id", "open_pos", "end_pos", "attrs")
     spans = pre.select("page_id", "open_pos", "end_pos")
     code = e.filter(F.col("tag") == "code").select("page_id", F.col("open_pos").alias("pos"), "end_pos",
@@ -203,21 +271,40 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
         .filter("_rn = 1").select("page_id", F.col("p_open").alias("open_pos"), F.col("pos").alias("code_open"),
                                   F.col("end_pos").alias("code_end"), "c_attrs")
     pre = pre.join(first_code, ["page_id", "open_pos"], "left")
-    # Closest enclosing rehype figure
-    fig = e.filter(attr("attrs", "data-rehype-pretty-code-figure").isNotNull()).select(
-        "page_id", "open_pos", "end_pos", F.col("attrs").alias("f_attrs"))
+    # Closest enclosing code figure and demo container
+    fig = e.filter(_is_code_figure()).select("page_id", "open_pos", "end_pos", F.col("attrs").alias("f_attrs"))
+    f_spans = fig.select("page_id", "open_pos", "end_pos")
+    at = pre.select("page_id", F.col("open_pos").alias("pos"))
+    demo = e.filter(attr("attrs", "data-demo").isNotNull()).select("page_id", "open_pos", "end_pos")
+    in_demo = assign_owner(at, demo, "d").select("page_id", F.col("pos").alias("open_pos"), "d_open")
+    pre = pre.join(in_demo, ["page_id", "open_pos"], "left")
     pf = assign_owner(pre.select("page_id", F.col("open_pos").alias("pos")), fig.select("page_id", "open_pos", "end_pos"), "f")
     pre = pre.join(pf.select("page_id", F.col("pos").alias("open_pos"), "f_open"), ["page_id", "open_pos"], "left")
     pre = pre.join(fig.select("page_id", F.col("open_pos").alias("f_open"), "f_attrs"), ["page_id", "f_open"], "left")
-    # Figure title element text
-    ft_el = e.filter(attr("attrs", "data-rehype-pretty-code-title").isNotNull()).select(
-        "page_id", F.col("open_pos").alias("pos"), "end_pos")
-    ft_own = assign_owner(ft_el, fig.select("page_id", "open_pos", "end_pos"), "f")
-    ft_first = ft_own.groupBy("page_id", "f_open").agg(F.min("pos").alias("t_open"))
-    ft_first = ft_first.join(ft_el.withColumnRenamed("pos", "t_open"), ["page_id", "t_open"])
-    ft_txt = element_text(ft_first.select("page_id", F.col("t_open").alias("open_pos"), "end_pos"), toks, "t")
-    ft = ft_first.join(ft_txt, ["page_id", "t_open"], "left").select("page_id", "f_open", F.col("text").alias("fig_title"))
-    pre = pre.join(ft, ["page_id", "f_open"], "left")
+    # What a figure's first pre takes from the figure, before the widgets go
+    first_pre = _first_inside(at, f_spans).select("page_id", F.col("pos").alias("open_pos"), F.lit(True).alias("is_first"))
+    pre = pre.join(first_pre, ["page_id", "open_pos"], "left")
+
+    def place(df, cond):
+        return df.filter(cond).select("page_id", F.col("open_pos").alias("pos"), "end_pos")
+
+    panel_lang = e.filter(attr("attrs", "data-language").isNotNull()).select(
+        "page_id", F.col("open_pos").alias("pos"),
+        _first_truthy(attr("attrs", "data-language"), attr("attrs", "data-lang")).alias("panel_lang"))
+    panel_lang = _first_inside(panel_lang, f_spans)
+    panel_title = has_class("attrs", "CodeBlockPanelTitle")
+    rehype_title = attr("attrs", "data-rehype-pretty-code-title").isNotNull()
+    for found in (panel_lang,
+                  _first_text_inside(place(e, panel_title), f_spans, conv.cleaned_tokens, "own_panel"),
+                  _first_text_inside(place(left, rehype_title), f_spans, toks, "fig_title"),
+                  _first_text_inside(place(left, panel_title), f_spans, toks, "panel_title"),
+                  labelled_by(conv).select("page_id", F.col("pos").alias("x_open"), "label")):
+        found = found.withColumnRenamed("x_open", "f_open").drop("pos")
+        pre = pre.join(found, ["page_id", "f_open"], "left")
+    tab = (attr("attrs", "role") == "tab") & (attr("attrs", "aria-selected") == "true")
+    for found in (_first_text_inside(place(left, tab), demo, toks, "tab"),
+                  _first_text_inside(place(left, attr("attrs", "data-selected").isNotNull()), demo, toks, "selected")):
+        pre = pre.join(found.withColumnRenamed("x_open", "d_open"), ["page_id", "d_open"], "left")
     # code text: the code element's text, else the pre's
     ctext = element_text(pre.filter(F.col("code_open").isNotNull()).select(
         "page_id", F.col("code_open").alias("open_pos"), F.col("code_end").alias("end_pos")), toks, "c")
@@ -234,8 +321,13 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
         return hits
 
     cls = F.concat(class_lang(pa("class")), class_lang(ca("class")))
-    lang = X.first_non_empty(*[x(n) for x in (pa, ca) for n in LANGUAGE_ATTRS], fa("data-language"), X.first_non_empty_array(cls))
-    title = X.first_non_empty(*[x(n) for x in (pa, ca) for n in TITLE_ATTRS], F.col("fig_title"))
+    given_lang = F.coalesce(_truthy(pa("data-language")), F.when(F.col("is_first"), F.col("panel_lang")))
+    given_title = F.coalesce(_truthy(pa("data-title")), F.when(F.col("is_first"), _first_truthy(
+        X.trim_ws("own_panel"), X.trim_ws("label"))))
+    lang = X.first_non_empty(given_lang, *[pa(n) for n in LANGUAGE_ATTRS], *[ca(n) for n in LANGUAGE_ATTRS],
+                             fa("data-language"), X.first_non_empty_array(cls))
+    title = X.first_non_empty(given_title, *[pa(n) for n in TITLE_ATTRS], *[ca(n) for n in TITLE_ATTRS],
+                              F.col("fig_title"), F.col("panel_title"), F.col("label"), F.col("tab"), F.col("selected"))
     title = F.when(title.isNotNull(), X.squash_ws(title))
     code_raw = F.coalesce(_truthy(F.col("code_text")), F.col("pre_text"), F.lit(""))
     code_txt = X.trim_fence_padding(code_raw)
@@ -251,14 +343,21 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
 
 # ---------------------------------------------------------------- E11 tables
 def table_cells(conv) -> DataFrame:
-    """``(page_id, table_pos, row, col, is_header, text)``; rows/cols 1-based in document order."""
+    """``(page_id, table_pos, row, col, is_header, text)``; rows/cols 1-based in document order.
+
+    A table inside a cell is text of that cell.
+    """
     e = conv.kept_elements
     toks = conv.cleaned_tokens
-    tables = e.filter(F.col("tag") == "table").select("page_id", "open_pos", "end_pos")
-    trs = e.filter(F.col("tag") == "tr").select("page_id", F.col("open_pos").alias("pos"), "end_pos")
+
+    def outer(*tags):
+        return outermost(e.filter(F.col("tag").isin(*tags)).select("page_id", "open_pos", "end_pos", "tag"))
+
+    tables = outer("table").select("page_id", "open_pos", "end_pos")
+    trs = outer("tr").select("page_id", F.col("open_pos").alias("pos"), "end_pos")
     tr_t = assign_owner(trs, tables, "t")
     tr_t = tr_t.withColumn("row", F.row_number().over(Window.partitionBy("page_id", "t_open").orderBy("pos")))
-    cells = e.filter(F.col("tag").isin("td", "th")).select("page_id", F.col("open_pos").alias("pos"), "end_pos", "tag")
+    cells = outer("td", "th").select("page_id", F.col("open_pos").alias("pos"), "end_pos", "tag")
     c_tr = assign_owner(cells, tr_t.select("page_id", F.col("pos").alias("open_pos"), "end_pos"), "r")
     c_tr = c_tr.withColumn("col", F.row_number().over(Window.partitionBy("page_id", "r_open").orderBy("pos")))
     c_tr = c_tr.join(tr_t.select("page_id", F.col("pos").alias("r_open"), "t_open", "row"), ["page_id", "r_open"])

@@ -276,6 +276,7 @@ class Conversion:
             if "pre" in tags:
                 parts.append(EX.code_blocks(self, fenced_only=True).select("page_id", F.col("pos").alias("open_pos"), F.concat(
                     F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
+                parts.append(EX.code_widgets(self).select("page_id", "open_pos", F.lit("").alias("md")))
             if "table" in tags:
                 parts.append(EX.render_tables(EX.table_cells(self)).select(
                     "page_id", F.col("table_pos").alias("open_pos"),

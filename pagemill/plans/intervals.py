@@ -66,28 +66,41 @@ def interval_sums(points: DataFrame, intervals: DataFrame, weights: list[str]) -
 
 
 def assign_owner(points: DataFrame, owners: DataFrame, prefix: str = "owner") -> DataFrame:
-    """Attach to each ``points(page_id, pos, ...)`` row the nearest preceding
-    ``owners(page_id, open_pos, end_pos)`` element that still contains it.
+    """Attach to each ``points(page_id, pos, ...)`` row the innermost
+    ``owners(page_id, open_pos, end_pos)`` element that contains it.
 
-    Owners of one kind are assumed not to nest (headings, links, titles, code
-    blocks); a point after an inner owner's end is left without owner.
+    Owners may nest: depth counts the owners that are open at a row, and the
+    last owner opened at that depth is the innermost one. The second window
+    sorts anew inside the page partitioning of the first, without a shuffle.
     Returns points with ``{prefix}_open``; points with no owner are dropped.
     """
     cols = points.columns
-    pts = points.withColumn("_ow", F.lit(None).cast("struct<o:int,e:int>")).withColumn("_pt", F.lit(1))
-    ow = owners.select("page_id", F.col("open_pos").alias("pos"),
-                       F.struct(F.col("open_pos").cast("int").alias("o"), F.col("end_pos").cast("int").alias("e")).alias("_ow"),
-                       F.lit(0).alias("_pt"))
+    pts = points.withColumn("_ow", F.lit(None).cast("struct<o:int,e:int>")).withColumns({"_k": F.lit(1), "_d": F.lit(0)})
+    span = F.struct(F.col("open_pos").cast("int").alias("o"), F.col("end_pos").cast("int").alias("e"))
+    # at one position: ends first, then points, then begins (a point is not inside an owner that begins at it)
+    ow = owners.select("page_id", F.inline(F.array(
+        F.struct(F.col("open_pos").cast("int").alias("pos"), span.alias("_ow"), F.lit(2).alias("_k"), F.lit(1).alias("_d")),
+        F.struct(F.col("end_pos").cast("int").alias("pos"), F.lit(None).cast("struct<o:int,e:int>").alias("_ow"),
+                 F.lit(0).alias("_k"), F.lit(-1).alias("_d")))))
     for c in cols:
         if c not in ("page_id", "pos"):
             ow = ow.withColumn(c, F.lit(None).cast(points.schema[c].dataType))
     u = pts.unionByName(ow.select(*pts.columns))
-    w = Window.partitionBy("page_id").orderBy("pos", "_pt").rowsBetween(*RUN)
-    u = u.withColumn("_cur", F.last("_ow", ignorenulls=True).over(w))
-    u = u.filter((F.col("_pt") == 1) & (F.col("_cur.e") > F.col("pos")) & (F.col("_cur.o") < F.col("pos")))
+    w = Window.partitionBy("page_id").orderBy("pos", "_k").rowsBetween(*RUN)
+    u = u.withColumn("_lvl", F.sum("_d").over(w)).filter("_k > 0")
+    by_depth = Window.partitionBy("page_id", "_lvl").orderBy("pos", "_k").rowsBetween(*RUN)
+    u = u.withColumn("_cur", F.last("_ow", ignorenulls=True).over(by_depth))
+    u = u.filter((F.col("_k") == 1) & (F.col("_cur.e") > F.col("pos")) & (F.col("_cur.o") < F.col("pos")))
     return u.select(*cols, F.col("_cur.o").alias(f"{prefix}_open"))
 
 
+def outermost(elements: DataFrame) -> DataFrame:
+    """The ``elements(page_id, open_pos, end_pos, ...)`` that no other of them contains."""
+    before = Window.partitionBy("page_id").orderBy("open_pos").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end_pos").over(before), F.lit(-1))
+    return elements.withColumn("_reach", reach).filter(F.col("_reach") <= F.col("open_pos")).drop("_reach")
+
+
 def ordered_concat(df: DataFrame, keys: list[str], order: str, value: str, sep: str = "", out: str = "text") -> DataFrame:
     """Concatenate ``value`` per ``keys`` in ``order`` (ties impossible: positions are unique)."""
     arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v"))))

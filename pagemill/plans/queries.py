@@ -536,6 +536,22 @@ def q_code_blocks(spark, d):
     return code_blocks(_frag(spark, d, "frag_code"))
 
 
+@register("labelled_by_join")
+def q_labelled_by(spark, d):
+    """Labels of code figures, found by id anywhere in the page."""
+    from ..operators.extract import labelled_by
+    return labelled_by(_frag(spark, d, "frag_code"))
+
+
+@register("code_widget_removal")
+def q_code_widget_removal(spark, d):
+    """P10 + X1: tokens left of the code fragments when the widgets of code figures are gone."""
+    from ..operators.extract import code_widgets
+    from .intervals import sweep_keep
+    c = _frag(spark, d, "frag_code")
+    return sweep_keep(c.cleaned_tokens, code_widgets(c)).select("page_id", "pos", "kind", "tag")
+
+
 @register("table_cells")
 def q_table_cells(spark, d):
     """E11 on table fragments built from ``supplier``."""

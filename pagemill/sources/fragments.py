@@ -42,6 +42,7 @@ RECIPES = {
         '<article><div><svg width="500" height="300"><desc> {n} </desc></svg></div></article>',
         '<article><div>Caption text {k}<svg width="500" height="300"><g></g></svg></div></article>',
         '<article><div><svg width="47" height="48"></svg></div></article>',
+        '<article><p>Icon {k}</p><a href="/i/{k}"><svg width="16" height="16"><title>home</title></svg></a><ul><li><svg width="8" height="8"></svg></li><li>item</li></ul></article>',
     ]),
     "frag_code": ("part", "p_partkey", "p_name", "p_size", [
         '<article><pre data-language="TypeScript"><code>\nconst x{k} = 1;\n\n</code></pre></article>',
@@ -50,6 +51,9 @@ RECIPES = {
         '<article><figure data-rehype-pretty-code-figure="" data-language="rust"><figcaption data-rehype-pretty-code-title="">src/{k}.rs</figcaption><pre><code>fn main() {}</code></pre></figure></article>',
         '<article><pre><code>plain {k}</code></pre></article>',
         '<article><pre title="  Demo   {k} "><code data-lang="SQL" title="q">select {s};</code></pre></article>',
+        '<article><h2 id="lb{k}"> Label {k} </h2><div data-rehype-pretty-code-figure="" aria-labelledby="lb{k}"><span data-language="TOML">x</span><button>Copy</button><pre><button>C</button><code>a = {s}</code></pre><p>kept {n}</p></div></article>',
+        '<article><div data-rehype-pretty-code-figure=""><div class="CodeBlockPanel"><span class="CodeBlockPanelTitle"> file {k}.css </span></div><pre><code>a b</code></pre><pre><code>b</code></pre></div></article>',
+        '<article><div data-demo=""><div role="tab" aria-selected="true">Tab {k}</div><div role="figure"><div role="tablist">all</div><pre><code class="lang-Go">x</code></pre><button>Run</button></div></div></article>',
     ]),
     "frag_alternate": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<html><head><title>Doc {k}</title><link rel="alternate" type="text/markdown" href="/md/{k}.md"></head><body><article><h1>Doc {k}</h1><p>{n}</p></article></body></html>',
@@ -72,6 +76,7 @@ RECIPES = {
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',
         '<article><table><tr><td>only {k}</td></tr></table></article>',
+        '<article><table><tr><td>1<table><tr><td>in {k}</td><td>{n}</td></tr></table>after</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></article>',
     ]),
 }
 

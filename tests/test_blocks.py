@@ -20,6 +20,14 @@ PAGES = [
     ('<p>x</p><iframe class="lead-video" src="https://www.youtube.com/embed/abc"></iframe>',
      "x\n\n> Embedded iframe — from youtube.com — https://www.youtube.com/embed/abc"),
     ("<p>caf&eacute; &rarr; &uuml; &#38;lt; &amp;amp; &#x41;</p>", "café → ü &lt; &amp; A"),
+    ("<table><tr><td>1<table><tr><td>x</td></tr></table>y</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table><p>z</p>",
+     "| 1xy | 2 |\n| --- | --- |\n| 3 | 4 |\n\nz"),
+    ('<p>a</p><a href="/x"><svg width="16" height="16"><title>t</title></svg></a><ul><li><svg width="9" height="9"></svg></li></ul>'
+     '<h2><svg width="20" height="20"></svg></h2><p>b</p>', "a\n\nb"),
+    ('<h3 id="n">Name</h3><div data-rehype-pretty-code-figure aria-labelledby="n"><i data-language="Go">g</i><button>Copy</button>'
+     "<pre><button>C</button><code>x = 1</code></pre></div>", '### Name {#n}\n\n_g_\n\n``` go title="Name"\nx = 1\n```'),
+    ('<div data-demo><p role="tab" aria-selected="true">App</p><div role="figure"><button>Run</button><pre><code>y</code></pre></div></div>',
+     'App\n\n``` title="App"\ny\n```'),
 ]
 
 
