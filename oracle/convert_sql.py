@@ -20,7 +20,7 @@ ATTR_NAMES = ["id", "class", "href", "title", "style", "hidden", "aria-hidden",
               "content", "src", "alt", "srcset", "type", "rel", "role", "data-src", "data-original", "data-lazy-src",
               "data-src-large", "data-image-src", "data-srcset", "data-lazy-srcset", "data-original-srcset", "data-url",
               "aria-label", "data-title", "data-language", "data-lang", "lang", "data-rehype-pretty-code-figure",
-              "data-rehype-pretty-code-title", "data-footnote-ref", "aria-labelledby", "aria-selected", "data-demo", "data-selected"]
+              "data-rehype-pretty-code-title", "data-footnote-ref", "aria-labelledby", "aria-selected", "data-demo", "data-selected", "start"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
@@ -269,8 +269,9 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "lt1 AS (SELECT *, last_value(CASE WHEN tag IN ('ul','ol') THEN {'p': pos, 't': tag} END IGNORE NULLS) "
         "OVER (PARTITION BY page_id, depth ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lst FROM lt0 WHERE kind = 'open')")
     ctes.append(
-        "lis AS (SELECT page_id, pos AS open_pos, depth AS list_depth, lst.t AS list_tag, "
-        "row_number() OVER (PARTITION BY page_id, lst.p ORDER BY pos) AS ordinal FROM lt1 WHERE tag = 'li')")
+        "lis AS (SELECT t.page_id, t.pos AS open_pos, t.lst.t AS list_tag, row_number() OVER (PARTITION BY t.page_id, t.lst.p ORDER BY t.pos) "
+        "- 1 + coalesce(TRY_CAST(regexp_extract(l.a_start, '^\\s*(\\d+)', 1) AS INTEGER), 1) AS ordinal FROM lt1 t "
+        "LEFT JOIN ke l ON l.page_id = t.page_id AND l.open_pos = t.lst.p WHERE t.tag = 'li')")
     link_ok = f"({S.safe_href('l.href_clean')} IS NOT NULL AND u.unwrap IS NULL)"
     title = "coalesce(e.a_title, '')"
     marker = "CASE WHEN e.tag = 'li' THEN CASE WHEN li.list_tag = 'ol' THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END END"

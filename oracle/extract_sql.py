@@ -223,6 +223,20 @@ def code_sql() -> str:
     return _standalone("frag_code", "SELECT page_id, pos, language, title, code, markdown FROM x_code")
 
 
+def sanitize_sql() -> str:
+    from pagemill.operators import sanitize as Z
+    scheme = f"lower({S.rx(S.rr('a.value', '[\\x00-\\x20]+', ''), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)})"
+    tags = S.inlist([*Z.BLOCK_TAGS, *Z.INLINE_TAGS, *Z.MORE_TAGS])
+    keep = (f"(a.name IN {S.inlist(Z.ATTRIBUTES)} OR starts_with(a.name, 'data-') OR starts_with(a.name, 'aria-')) AND "
+            f"(a.name NOT IN {S.inlist(Z.LINK_ATTRIBUTES)} OR {scheme} = '' OR {scheme} IN {S.inlist(Z.SAFE_SCHEMES)} "
+            f"OR ({scheme} = 'data' AND e.tag IN {S.inlist(Z.DATA_TAGS)}))")
+    return _standalone("frag_sanitize", (
+        f"SELECT e.page_id, e.open_pos, e.tag, k.name, k.value FROM elements e LEFT JOIN (SELECT a.* FROM el_attrs a JOIN elements e "
+        f"USING (page_id, open_pos) WHERE {keep}) k USING (page_id, open_pos) WHERE e.tag IN {tags} AND NOT EXISTS "
+        f"(SELECT 1 FROM elements x WHERE x.page_id = e.page_id AND x.tag IN {S.inlist(Z.DROPPED_WITH_CONTENT)} "
+        "AND e.open_pos >= x.open_pos AND e.open_pos < x.stop_pos)"))
+
+
 def labelled_by_sql() -> str:
     return _standalone("frag_code", "SELECT page_id, pos, label_id, label FROM x_label")
 

@@ -135,7 +135,9 @@ def _fold(log_where: str) -> str:
         "CASE WHEN cu.domain IS NOT NULL THEN 'custom' ELSE 'builtin' END AS origin FROM b FULL OUTER JOIN cu ON b.domain = cu.domain) ")
 
 
-ORACLE["rules_builtin"] = f"SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list FROM ({_BUILTIN})"
+ORACLE["rules_builtin"] = (
+    f"SELECT b.domain, b.selector, array_to_string(b.remove, chr(10)) AS remove_list, count(p.host) AS pages FROM ({_BUILTIN}) b "
+    f"LEFT JOIN (SELECT {S.url_host('url')} AS host FROM pages) p ON p.host = b.domain GROUP BY ALL")
 ORACLE["rules_effective"] = _fold("true") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
 ORACLE["rules_upsert"] = _fold("op = 'upsert'") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
 ORACLE["rules_delete"] = _fold("op <> 'reset'") + "SELECT domain, selector, array_to_string(remove, chr(10)) AS remove_list, origin FROM eff"
@@ -169,7 +171,7 @@ ORACLE["stream_rules"] = _fold("true") + "SELECT domain, selector, array_to_stri
 ORACLE["conversion_status"] = ("SELECT page_id, CASE WHEN coalesce(length(html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, "
                                "CASE WHEN coalesce(length(html), 0) = 0 THEN 'page has no html' END AS error FROM pages")
 ORACLE["run_report"] = _DOC + (
-    f"SELECT d.host, CASE WHEN coalesce(length(p.html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS pages, "
+    f"SELECT d.host, 'converted' AS origin, CASE WHEN coalesce(length(p.html), 0) = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS pages, "
     f"sum(length({CV.output_expr()}))::BIGINT AS chars FROM documents d JOIN pages p USING (page_id) GROUP BY ALL")
 
 # ---------------------------------------------------------------- fragment relations
@@ -179,6 +181,9 @@ ORACLE["images"] = EX.images_sql()
 ORACLE["media"] = EX.media_sql()
 ORACLE["svgs"] = EX.svgs_sql()
 ORACLE["code_blocks"] = EX.code_sql()
+ORACLE["sanitize"] = EX.sanitize_sql()
+ORACLE["sql_functions"] = (f"SELECT doc_id, {S.slugify('lang')} AS slug, {S.escape_yaml('text')} AS yaml, {S.squash_ws('text')} AS title, "
+                           f"{S.trim_fence_padding('text')} AS code FROM documents")
 ORACLE["labelled_by_join"] = EX.labelled_by_sql()
 ORACLE["code_widget_removal"] = EX.code_widget_removal_sql()
 ORACLE["table_cells"] = EX.table_cells_sql()

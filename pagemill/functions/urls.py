@@ -164,8 +164,19 @@ def clean_href(href, base) -> Column:
     return F.when(exempt, h).otherwise(strip_tracking(resolve_url(h, base)))
 
 
+def link_scheme(c) -> Column:
+    """The scheme of a link in lower case, '' if it has none; control characters and spaces don't hide it."""
+    return F.lower(F.regexp_extract(F.regexp_replace(_c(c), r"[\x00-\x20]+", ""), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+
+
+def safe_src(c) -> Column:
+    """The source of an image or medium if it may be rendered; else ''."""
+    scheme = link_scheme(c)
+    return F.when((scheme == "") | (scheme == "data") | scheme.isin(*SAFE_SCHEMES), _c(c)).otherwise(F.lit(""))
+
+
 def safe_href(c) -> Column:
     """The link if it may be rendered; NULL if it is empty or has a scheme outside the allow-list."""
     h = F.regexp_replace(_c(c), r"[\x00-\x20]+", "")
-    scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    scheme = link_scheme(c)
     return F.when((h != "") & ((scheme == "") | scheme.isin(*SAFE_SCHEMES)), _c(c))

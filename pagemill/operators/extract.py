@@ -94,6 +94,7 @@ def images(conv) -> DataFrame:
     src = (F.when(chosen.isNotNull(), U.resolve_url(chosen, F.col("url")))
            .when(F.coalesce(raw, F.lit("")) != "", U.resolve_url(raw, F.col("url")))
            .otherwise(F.lit("")))
+    src = U.safe_src(src)
     return img.select(
         "page_id", F.col("open_pos").alias("pos"), src.alias("src"),
         F.coalesce(attr("attrs", "alt"), F.lit("")).alias("alt"),
@@ -127,7 +128,7 @@ def media(conv) -> DataFrame:
     m = m.join(nested.withColumnRenamed("m_open", "open_pos"), ["page_id", "open_pos"], "left")
     m = m.join(conv.corpus.page_info.select("page_id", "url"), "page_id")
     raw = F.coalesce(own, F.when(F.col("tag").isin("video", "audio"), F.col("nested")), F.lit(""))
-    resolved = F.when(raw != "", U.resolve_url(raw, F.col("url"))).otherwise(F.lit(""))
+    resolved = U.safe_src(F.when(raw != "", U.resolve_url(raw, F.col("url"))).otherwise(F.lit("")))
     m = m.select("page_id", "open_pos", F.col("tag").alias("type"), resolved.alias("murl"),
                  F.coalesce(_first_truthy(*[attr("attrs", a) for a in MEDIA_TITLE_ATTRS]), F.lit("")).alias("title"))
     provider = F.when(F.col("murl") != "", U.url_provider(F.col("murl"))).otherwise(F.lit(""))

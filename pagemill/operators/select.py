@@ -42,6 +42,9 @@ COMP_RE = r"^[A-Za-z][A-Za-z0-9-]*|^\*|\.[A-Za-z0-9_-]+|#[A-Za-z0-9_-]+|\[[^\]]*
 ATTR_SEL_RE = (r"""^\[\s*([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:([*^$~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s"']*)))?\s*\]$""")
 OPS = {"=": "eq", "*=": "contains", "^=": "prefix", "$=": "suffix", "~=": "word", "|=": "dash"}
 
+# Largest table of per-site conditions that is broadcast: about 100 bytes a row.
+BROADCAST_MAX_CONDITIONS = 200_000
+
 RULE_SCHEMA = T.StructType([
     T.StructField("scope", T.StringType()),
     T.StructField("rule_ord", T.IntegerType()),
@@ -125,12 +128,14 @@ def _holds(op, val, value):
 def match(fact_rows: DataFrame, conds: DataFrame, by_host: bool = False) -> DataFrame:
     """Elements matching any selector alternative -> ``(page_id, open_pos, scope, rule_ord)``.
 
-    ``conds`` is a small rule-derived table and is broadcast (its size is
-    bounded by the number of rules, not by the corpus). With ``by_host`` the
-    condition's ``scope`` must equal the page host (per-site rules).
+    Fixed selectors are broadcast. With ``by_host`` the condition's ``scope``
+    must equal the page host (per-site rules, as many as there are sites):
+    they are broadcast if they are ``BROADCAST_MAX_CONDITIONS`` at most, else
+    both sides shuffle on host and key.
     """
-    eq = F.broadcast(conds.filter(F.col("op") == "eq"))
-    other = F.broadcast(conds.filter(F.col("op") != "eq"))
+    hint = F.broadcast if not by_host or conds.limit(BROADCAST_MAX_CONDITIONS + 1).count() <= BROADCAST_MAX_CONDITIONS else lambda x: x
+    eq = hint(conds.filter(F.col("op") == "eq"))
+    other = hint(conds.filter(F.col("op") != "eq"))
     f = fact_rows
     keys_eq = [f["key"] == eq["key"], f["val"] == eq["value"]]
     keys_ot = [f["key"] == other["key"]]

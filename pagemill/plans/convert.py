@@ -405,20 +405,15 @@ class Conversion:
                                                                   F.lit(True).alias("unwrap"))
 
     def _list_items(self) -> DataFrame:
-        """List depth, parent list tag and 1-based ordinal of each ``li``."""
-        t = self.cleaned_tokens.filter(F.col("tag").isin("ul", "ol", "li") & F.col("kind").isin("open", "close"))
-        d = F.when(F.col("tag").isin("ul", "ol") & (F.col("kind") == "open"), 1).when(
-            F.col("tag").isin("ul", "ol") & (F.col("kind") == "close"), -1).otherwise(0)
-        t = t.withColumn("depth", F.sum(d).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(
-            Window.unboundedPreceding, 0)))
-        t = t.filter(F.col("kind") == "open")
-        lst = F.when(F.col("tag").isin("ul", "ol"), F.struct(F.col("pos").alias("p"), F.col("tag").alias("t")))
-        t = t.withColumn("lst", F.last(lst, ignorenulls=True).over(
-            Window.partitionBy("page_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-        li = t.filter(F.col("tag") == "li")
-        li = li.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id", "lst.p").orderBy("pos")))
-        return li.select("page_id", F.col("pos").alias("open_pos"), F.col("depth").alias("list_depth"),
-                         F.col("lst.t").alias("list_tag"), "ordinal")
+        """Tag of the innermost list and ordinal of each ``li``, from the list's ``start`` on."""
+        e = self.kept_elements
+        start = F.regexp_extract(F.coalesce(attr("attrs", "start"), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
+        lists = e.filter(F.col("tag").isin("ul", "ol")).select(
+            "page_id", "open_pos", "end_pos", F.col("tag").alias("list_tag"), F.coalesce(start, F.lit(1)).alias("start"))
+        li = assign_owner(e.filter(F.col("tag") == "li").select("page_id", F.col("open_pos").alias("pos")), lists, "l")
+        li = li.join(lists.select("page_id", F.col("open_pos").alias("l_open"), "list_tag", "start"), ["page_id", "l_open"])
+        nth = F.row_number().over(Window.partitionBy("page_id", "l_open").orderBy("pos")) - 1
+        return li.select("page_id", F.col("pos").alias("open_pos"), "list_tag", (F.col("start") + nth).alias("ordinal"))
 
     def _render_text(self) -> DataFrame:
         t = self.render_tokens

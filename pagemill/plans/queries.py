@@ -363,8 +363,10 @@ def site_rules(spark, d):
 
 @register("rules_builtin")
 def q_rules_builtin(spark, d):
-    # reads nation only to tie the fixed table to the job's input set
-    return RL.builtin_rules(spark).select("domain", "selector", _rm_list().alias("remove_list"))
+    """The built-in rules, each with the number of crawled pages of its host."""
+    hosts = table(spark, d, "pages").groupBy(U.url_host(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
+    return RL.builtin_rules(spark).join(hosts, "domain", "left").select(
+        "domain", "selector", _rm_list().alias("remove_list"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 @register("rules_effective")
@@ -492,11 +494,11 @@ def q_conversion_status(spark, d):
 
 @register("run_report")
 def q_run_report(spark, d):
-    """Pages and Markdown characters per host and status (partial
+    """Pages and Markdown characters per host, origin and status (partial
     aggregation before the shuffle, so a hot host is pre-aggregated)."""
     from ..streaming.stream import convert_batch
     docs = convert_batch(spark, table(spark, d, "pages"))
-    return docs.groupBy("host", "status").agg(F.count("*").alias("pages"),
+    return docs.groupBy("host", "origin", "status").agg(F.count("*").alias("pages"),
                                              F.sum(F.length("markdown")).cast("long").alias("chars"))
 
 
@@ -536,6 +538,23 @@ def q_code_blocks(spark, d):
     return code_blocks(_frag(spark, d, "frag_code"))
 
 
+@register("sanitize")
+def q_sanitize(spark, d):
+    """Allowed elements and attributes of fragments with handlers, unsafe links and foreign tags."""
+    from ..operators.sanitize import sanitize
+    s = sanitize(_frag(spark, d, "frag_sanitize").elements)
+    return s.select("page_id", "open_pos", "tag", F.explode_outer("attrs").alias("name", "value"))
+
+
+@register("sql_functions")
+def q_sql_functions(spark, d):
+    """H5: string functions called from SQL."""
+    from ..functions.sql import register_functions
+    register_functions(spark)
+    return spark.sql("SELECT doc_id, slugify(lang) AS slug, escape_yaml(text) AS yaml, squash_title(text) AS title, "
+                     "trim_fence_padding(text) AS code FROM {docs}", docs=table(spark, d, "documents"))
+
+
 @register("labelled_by_join")
 def q_labelled_by(spark, d):
     """Labels of code figures, found by id anywhere in the page."""

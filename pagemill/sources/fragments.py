@@ -72,6 +72,11 @@ RECIPES = {
         '<article><p>X<a data-footnote-ref="" href="#d{k}">x</a> Y<sup><a href="#missing">[9]</a></sup></p><ul><li id="d{k}">Def {k}</li></ul></article>',
         '<article><p>No notes {k}</p></article>',
     ]),
+    "frag_sanitize": ("part", "p_partkey", "p_name", "p_size", [
+        '<article onclick="x()"><p onmouseover="y" class="c{k}" aria-label="{n}">A {k}</p><a href=" java\tscript:alert(1)" id="a">l</a><custom-el data-x="1"><b data-y="{k}">{n}</b></custom-el></article>',
+        '<article><img src="javascript:x" onerror="e" alt="{n}"><img src="data:image/png;base64,AA" alt="d"><object data="/o{k}"><p>in object</p></object><a href="data:text/html,x" title="t">d</a></article>',
+        '<article><form action="vbscript:z"><p style="color:red" title="t{k}" nonce="{s}">{n}</p></form><template><b>t</b></template><a href="https://x.org/{k}" target="_blank">ok</a></article>',
+    ]),
     "frag_tables": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',

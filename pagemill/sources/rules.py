@@ -14,11 +14,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import WS, trim_ws
+from ..functions.text import trim_ws
 
 RULES_SCHEMA = T.StructType([
     T.StructField("domain", T.StringType()),
@@ -111,10 +111,7 @@ def rules_listing(rules: DataFrame) -> DataFrame:
 
 
 def _small(rules: DataFrame) -> bool:
-    try:
-        return rules.limit(BROADCAST_MAX_RULES + 1).count() <= BROADCAST_MAX_RULES
-    except Exception:  # noqa: BLE001 - streaming or unknown size: shuffle instead
-        return False
+    return rules.limit(BROADCAST_MAX_RULES + 1).count() <= BROADCAST_MAX_RULES
 
 
 def page_rule_join(pages: DataFrame, rules: DataFrame, small: bool | None = None) -> DataFrame:
@@ -127,5 +124,3 @@ def page_rule_join(pages: DataFrame, rules: DataFrame, small: bool | None = None
     r = F.broadcast(r) if (_small(rules) if small is None else small) else r
     return pages.join(r, pages["host"] == r["domain"], "left")
 
-
-__all__ = ["builtin_rules", "fold_rules", "validate_rule_form", "rules_listing", "page_rule_join", "WS", "Window"]

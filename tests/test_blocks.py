@@ -26,6 +26,9 @@ PAGES = [
      '<h2><svg width="20" height="20"></svg></h2><p>b</p>', "a\n\nb"),
     ('<h3 id="n">Name</h3><div data-rehype-pretty-code-figure aria-labelledby="n"><i data-language="Go">g</i><button>Copy</button>'
      "<pre><button>C</button><code>x = 1</code></pre></div>", '### Name {#n}\n\n_g_\n\n``` go title="Name"\nx = 1\n```'),
+    ('<ol start="3"><li>a</li><li>b<ul><li>c</li></ul></li></ol>', "3.  a\n4.  b\n    -   c"),
+    ('<p>p</p><img src="javascript:x" alt="i"><iframe src="java\tscript:y"></iframe><img src="data:image/png;base64,AA" alt="d">',
+     "p\n\n> Embedded iframe\n\n![d](data:image/png;base64,AA)"),
     ('<div data-demo><p role="tab" aria-selected="true">App</p><div role="figure"><button>Run</button><pre><code>y</code></pre></div></div>',
      'App\n\n``` title="App"\ny\n```'),
 ]

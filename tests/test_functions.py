@@ -77,3 +77,15 @@ def test_strip_tracking_and_resolve(spark):
 def test_decode_entities(spark):
     got = one(spark, X.decode_entities, ["a &amp; b &copy; &#252; &#xFC; &amp;lt;"])
     assert got == ["a & b © ü ü &lt;"]
+
+
+def test_sql_functions(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.functions import sql, text
+    assert "slugify" in sql.register_functions(spark)
+    rows = spark.createDataFrame([(" Héllo  Wörld_x ",), ('a\\b"c\n\td',), ("[12px]",), ("\r\n \n x\n\n",), ("",), (None,)], "s string")
+    for name in sql.FUNCTIONS:
+        column = {"squash_title": text.squash_ws}.get(name) or getattr(text, name)
+        both = rows.select(F.expr(f"{name}(s)").alias("got"), column("s").alias("want")).collect()
+        assert [r.got for r in both] == [r.want for r in both], name
