@@ -9,13 +9,14 @@ if that is less; inside an ``article``, longer than 0) and a dive is a window of
 is a region. Regions shorter than a fifth of the longest are dropped where the page names no article.
 
 Defined results: null, empty and text-free pages give an empty text; any input is read to its end, unclosed
-tags end with their parents; repeated rows and null ids are rows like any other; an empty table gives an
+tags end with their parents (script and style with the page, head at the first tag or text that can't be in it); repeated rows and null ids are rows like any other; an empty table gives an
 empty result; extra columns pass through and lose to the added names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import prepare
 WIDTH, THRESHOLD = 3, 86
 
 # fixed values: elements whose content is no text, elements that are no article text, block elements, void elements
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title|head"
+RAW = set("script style noscript template svg math iframe object canvas audio video textarea select title head".split())
 AWAY = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "header"}
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul
@@ -43,10 +44,18 @@ skip hidden toc""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+# HTML elements that end an unclosed svg or math, and elements inside those that hold HTML again
+BREAKOUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p
+pre ruby s small span strong strike sub sup table tt u ul var article section main aside header footer nav figure""".split())
+HTML_AGAIN = {"foreignobject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*+>(?:.*?)(?:</\1\s*+>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"""
     r"""|<(/?)([a-z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S | re.I)
+# elements whose content is no markup, with what ends them: the end tag, or (group 1) a tag that shows it is missing
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("script", "style")} | {
+    t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>|(<{t}(?=[\s/>])|</?(?:head|body|html)(?=[\s/>]))", re.I) for t in ("title", "textarea", "iframe")}
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -70,6 +79,44 @@ def unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
+class Skipped:
+    """The open elements from one on whose content is no text; it ends with its end tag, its parent, or a tag that can't be in it."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.count: Counter = Counter()
+
+    def open(self, tag):
+        self.tags.append(tag)
+        self.count[tag] += 1
+
+    def clear(self):
+        self.tags.clear()
+        self.count.clear()
+
+    def at_head(self) -> bool:
+        return self.tags[:1] == ["head"] and (len(self.tags) == 1 or self.tags[1:] == ["title"])
+
+    def holds(self, tag: str, closing: bool, selfclosed: bool, opened: Counter) -> bool:
+        """Whether a tag belongs to the skipped element (which is kept up to date); if not, that element has ended."""
+        foreign = self.tags[0] in ("svg", "math")
+        if closing:
+            if self.count[tag]:
+                while True:
+                    last = self.tags.pop()
+                    self.count[last] -= 1
+                    if last == tag:
+                        return True
+            if not opened[tag]:
+                return True  # closes nothing
+        elif not (tag not in HEAD if self.at_head() else foreign and tag in BREAKOUT and not any(self.count[t] for t in HTML_AGAIN)):
+            if tag not in VOID and not (foreign and selfclosed):
+                self.open(tag)
+            return True
+        self.clear()
+        return False
+
+
 class Element:
     __slots__ = ("tag", "bad", "core", "first", "title", "named")
 
@@ -88,6 +135,9 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
     away: list[tuple[int, int, bool]] = []  # lines of unwanted elements
     core: list[tuple[int, int, str]] = []
     link = 0
+    skipped = Skipped()
+    opened: Counter = Counter()  # open elements by tag, outside the skipped one
+    endless: set[str] = set()  # raw elements with no end tag from here on
 
     def cut():
         nonlocal link
@@ -96,6 +146,7 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
             plain.append(0)
 
     def close(e: Element):
+        opened[e.tag] -= 1
         to = len(texts) - (not texts[-1])
         within = e.tag == "header" and any(x.named for x in stack)
         if e.bad and not e.core and not (e.tag == "header" and e.title and within):
@@ -106,14 +157,34 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
                 x.core = True
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            add(texts[-1], plain, html[at : m.start()], link)
+    while at < len(html):
+        m = TOKEN.search(html, at)
+        start = m.start() if m else len(html)
+        if start > at:
+            if skipped.tags == ["head"] and html[at:start].strip():
+                skipped.clear()
+            if not skipped.tags:
+                add(texts[-1], plain, html[at:start], link)
+        if not m:
+            break
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[2] or m[5]:
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        selfclosed = attributes.endswith("/")
+        if not closing and tag in ENDS and not (selfclosed and skipped.tags[:1] in (["svg"], ["math"])):
+            end = None if tag in endless else ENDS[tag].search(html, at)
+            if end is None and tag in ("script", "style"):
+                break
+            if end is not None and not (tag not in ("script", "style") and end[1]):
+                at = end.end()
+                continue
+            if end is None:
+                endless.add(tag)
+        if skipped.tags and skipped.holds(tag, closing, selfclosed, opened):
+            continue
+        if closing:
             if tag == "a":
                 link = 0
             if tag in BLOCK:
@@ -125,8 +196,13 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
                             cut()
                         close(stack.pop())
                     break
+            else:
+                opened[tag] = max(0, opened[tag] - 1)
+            continue
+        if tag in RAW:
+            if not (selfclosed and (tag in ("svg", "math") or re.search(r"""(?:^|[\s"'])/$""", attributes))):
+                skipped.open(tag)
             continue
-        attributes = m[4] or m[7] or ""
         if tag in BLOCK:
             cut()
             ends = CLOSES.get(tag, set()) | ({"p"} if tag not in ("td", "th", "tr") else set())
@@ -151,8 +227,7 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
         if tag in BLOCK or bad:
             link = 0 if tag in BLOCK else link
             stack.append(Element(tag, bad, len(texts) - 1))
-    if at < len(html):
-        add(texts[-1], plain, html[at:], link)
+        opened[tag] += 1
     while stack:
         close(stack.pop())
     lines = [" ".join(unescape("".join(t)).split()) for t in texts]

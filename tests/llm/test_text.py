@@ -42,6 +42,30 @@ def test_malformed_and_large():
     assert html_text.main_text(big).count("\n") == 49_999
 
 
+LONG = "It holds words enough for a surge of the sums over three lines, and then some more of them."
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><head><title>x</title><body><article><p>{LONG}</p></article></body></html>",
+    f"<html><head><title>x<body><article><p>{LONG}</p></article><svg><title>y</title></svg>",
+    f"<head><meta charset=x><noscript><img src=x></noscript><p>{LONG}",
+    f"<article><p>{LONG}<svg class=icon/></p></article>",
+    f'<article><p><math/><svg viewBox="0"><title/><path d="x"/></svg>{LONG}</p></article>',
+    f"<article><span><svg><path d=x></span><p>{LONG}</p></article>",
+    f"<article><svg class=icon><g><p>{LONG}</p></article>",
+    f"<article><div><select><option>one</div><p>{LONG}</p><div><object><p>no</p></div></article>",
+    f"<article><svg><foreignObject><p>no</p></foreignObject></svg><template><p>no</p></template><p>{LONG}</p></article>",
+    f'<article><iframe src="x" /><p>{LONG}</p></article><div><textarea>no</div>',
+])
+def test_raw_elements_end(html):
+    assert html_text.main_text(html) == LONG
+
+
+def test_many_unclosed_raw_elements():
+    assert html_text.main_text("<title>" * 20_000 + "x") == ""
+    assert html_text.main_text("<svg>" + "<g>" * 20_000 + "</x>" * 20_000) == ""
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article><h1>Title</h1>", "</article>"), "x"), (None, None, None, None), (1, "u", "", "x")],
                                "page_id long, url string, html string, text string")
