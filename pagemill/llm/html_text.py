@@ -3,10 +3,11 @@ lines, locate where the sums surge and where they dive, and keep the text betwee
 
 A line is the text of one block. Markup is stripped with what never is article text (scripts, styles, menus,
 forms, adverts, reader comments and the like, known by tag, role, class or id), and such text leaves a
-line of length 0; so does text outside ``article`` or ``main`` where a page has one. Link text has length 0.
+line of length 0. Link text has length 0.
 A surge is a window of ``width`` lines longer than ``threshold`` (or a quarter of the page's longest window,
-if that is less; inside an ``article``, longer than 0) and a dive is a window of length 0: the text between
-is a region. Regions shorter than a fifth of the longest are dropped where the page names no article.
+if that is less) and a dive is a window of length 0: the text between is a region. Regions shorter than a fifth
+of the longest are dropped. All ``article`` elements, then all ``main`` elements, take the place of the regions if
+their text is half as long at least as that of the later ones and of the longest region; so teasers don't.
 
 Defined results: null, empty and text-free pages give an empty text; any input is read to its end, unclosed
 tags end with their parents (script and style with the page, head at the first tag or text that can't be in it); repeated rows and null ids are rows like any other; an empty table gives an
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +129,14 @@ class Element:
         self.named = tag in ("article", "main") and not bad
 
 
-def lines_of(html: str) -> tuple[list[str], list[int], bool]:
-    """(lines, their lengths without links and white space, whether the page names its article)."""
+class Page(NamedTuple):
+    lines: list[str]
+    lengths: np.ndarray  # without links, white space and removed elements
+    removed: np.ndarray  # whether a line is in a removed element
+    within: dict[str, np.ndarray]  # whether it is in an article, and in a main
+
+
+def lines_of(html: str) -> Page:
     texts: list[list[str]] = [[]]
     plain: list[int] = [0]
     stack: list[Element] = []
@@ -231,25 +239,20 @@ def lines_of(html: str) -> tuple[list[str], list[int], bool]:
     while stack:
         close(stack.pop())
     lines = [" ".join(unescape("".join(t)).split()) for t in texts]
+    removed = np.zeros(len(lines), bool)
+    within = {kind: np.zeros(len(lines), bool) for kind in ("article", "main")}
+    for first, to, kind in core:
+        within[kind][first:to] = True
     lengths = np.array(plain)
-    if core:
-        inside = np.zeros(len(lines), bool)
-        kind = "article" if any(c[2] == "article" for c in core) else "main"
-        for first, to, tag in core:
-            if tag == kind:
-                inside[first:to] = True
-        if lengths[inside].sum() == 0:
-            inside[:] = True
-            core = []
-        lengths[~inside] = 0
-        lines = [x if ok else "" for x, ok in zip(lines, inside, strict=True)]
-    half = lengths.sum() / 2
+    inside = within["article"] if within["article"].any() else within["main"]
+    half = lengths[inside if lengths[inside].sum() else slice(None)].sum() / 2
     for first, to, title in away:
-        if title and lengths[first:to].sum() > half:
+        counted = lengths[first:to][inside[first:to]] if lengths[inside].sum() else lengths[first:to]
+        if title and counted.sum() > half:
             continue  # a class on the wrapper of the whole article
+        removed[first:to] = True
         lengths[first:to] = 0
-        lines[first:to] = [""] * len(lines[first:to])
-    return lines, lengths.tolist(), bool(core)
+    return Page(lines, lengths, removed, within)
 
 
 def add(texts: list[str], plain: list[int], text: str, link: int) -> None:
@@ -287,14 +290,30 @@ def regions(lengths: list[int], width: int, threshold: float) -> list[tuple[int,
 def main_text(html: str | None, width: int = WIDTH, threshold: int = THRESHOLD) -> str:
     if not html:
         return ""
-    lines, lengths, named = lines_of(html)
+    page = lines_of(html)
+    lengths = page.lengths.tolist()
     sums = [sum(lengths[i : i + width]) for i in range(len(lengths))]
-    longest = max(sums, default=0)
-    found = regions(lengths, width, 0 if named else min(threshold, longest / 4))
-    if not named and found:
-        total = [sum(lengths[a:b]) for a, b in found]
-        found = [r for r, t in zip(found, total, strict=True) if t >= max(total) / 5]
-    return "\n".join(x for a, b in found for x in lines[a:b] if x)
+    found = regions(lengths, width, min(threshold, max(sums, default=0) / 4))
+    total = [sum(lengths[a:b]) for a, b in found]
+    kept = np.zeros(len(lengths), bool)
+    for (a, b), t in zip(found, total, strict=True):
+        kept[a:b] = t >= max(total) / 5
+    kept = chosen(page, kept, max(total, default=0), width)
+    return "\n".join(x for x, ok in zip(page.lines, kept, strict=True) if ok and x)
+
+
+def chosen(page: Page, kept: np.ndarray, longest: int, width: int) -> np.ndarray:
+    """The lines of all articles, of main, or ``kept`` ones of the regions: the first of these with half of the text at least that a later one has."""
+    named = [page.within[kind] & ~page.removed for kind in ("article", "main")]
+    named = [lines if any(page.lines[i] for i in np.flatnonzero(lines)) else None for lines in named]
+    sizes = [0 if lines is None else int(page.lengths[lines].sum()) for lines in named]
+    for k, lines in enumerate(named):
+        if lines is not None and 2 * sizes[k] >= max(longest, *sizes[k + 1 :], 0):
+            surging = np.zeros(len(lines), bool)
+            for first, to in regions(np.where(lines, page.lengths, 0).tolist(), width, 0):
+                surging[first:to] = True
+            return surging & lines
+    return kept
 
 
 def extract(pages: DataFrame, *, html: str = "html", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

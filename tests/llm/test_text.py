@@ -66,6 +66,22 @@ def test_many_unclosed_raw_elements():
     assert html_text.main_text("<svg>" + "<g>" * 20_000 + "</x>" * 20_000) == ""
 
 
+PARTS = [f"{i} {LONG}" for i in range(8)]
+CARDS = "".join(f"<article class=card><h3><a href=x>Card {i}</a></h3><p>Teaser {i}.</p></article>" for i in range(3))
+
+
+@pytest.mark.parametrize("wrap", [("<main>", "</main>"), ("<div>", "</div>")])
+def test_teasers_do_not_replace_the_text(wrap):
+    text = html_text.main_text(f"<body>{wrap[0]}{''.join(f'<p>{p}' for p in PARTS)}{wrap[1]}{CARDS}</body>")
+    assert text.split("\n")[:8] == PARTS
+    if wrap[0] == "<main>":
+        assert text == "\n".join(PARTS)
+
+
+def test_articles_of_a_list_stay():
+    assert html_text.main_text(f"<main><p>Intro.</p>{''.join(f'<article><p>{p}</article>' for p in PARTS)}</main>") == "\n".join(PARTS)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article><h1>Title</h1>", "</article>"), "x"), (None, None, None, None), (1, "u", "", "x")],
                                "page_id long, url string, html string, text string")
