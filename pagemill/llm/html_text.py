@@ -8,6 +8,7 @@ A surge is a window of ``width`` lines longer than ``threshold`` (or a quarter o
 if that is less) and a dive is a window of length 0: the text between is a region. Regions shorter than a fifth
 of the longest are dropped. All ``article`` elements, then all ``main`` elements, take the place of the regions if
 their text is half as long at least as that of the later ones and of the longest region; so teasers don't.
+Of an ``article`` or ``main`` every line stays that is in no removed element, links too.
 
 Defined results: null, empty and text-free pages give an empty text; any input is read to its end, unclosed
 tags end with their parents (script and style with the page, head at the first tag or text that can't be in it); repeated rows and null ids are rows like any other; an empty table gives an
@@ -298,21 +299,18 @@ def main_text(html: str | None, width: int = WIDTH, threshold: int = THRESHOLD)
     kept = np.zeros(len(lengths), bool)
     for (a, b), t in zip(found, total, strict=True):
         kept[a:b] = t >= max(total) / 5
-    kept = chosen(page, kept, max(total, default=0), width)
+    kept = chosen(page, kept, max(total, default=0))
     return "\n".join(x for x, ok in zip(page.lines, kept, strict=True) if ok and x)
 
 
-def chosen(page: Page, kept: np.ndarray, longest: int, width: int) -> np.ndarray:
+def chosen(page: Page, kept: np.ndarray, longest: int) -> np.ndarray:
     """The lines of all articles, of main, or ``kept`` ones of the regions: the first of these with half of the text at least that a later one has."""
     named = [page.within[kind] & ~page.removed for kind in ("article", "main")]
     named = [lines if any(page.lines[i] for i in np.flatnonzero(lines)) else None for lines in named]
     sizes = [0 if lines is None else int(page.lengths[lines].sum()) for lines in named]
     for k, lines in enumerate(named):
         if lines is not None and 2 * sizes[k] >= max(longest, *sizes[k + 1 :], 0):
-            surging = np.zeros(len(lines), bool)
-            for first, to in regions(np.where(lines, page.lengths, 0).tolist(), width, 0):
-                surging[first:to] = True
-            return surging & lines
+            return lines
     return kept
 
 

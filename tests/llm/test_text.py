@@ -82,6 +82,15 @@ def test_articles_of_a_list_stay():
     assert html_text.main_text(f"<main><p>Intro.</p>{''.join(f'<article><p>{p}</article>' for p in PARTS)}</main>") == "\n".join(PARTS)
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_link_lines_of_an_article_stay(tag):
+    links = "".join(f"<li><a href=x>Reference {i}</a>" for i in range(5))
+    html = f"<{tag}><h1><a href=x>Title</a></h1><ul>{links}</ul><p>{LONG}</p><ul>{links}</ul><p>End.</p><nav>no</nav><p><a href=x>Last</a></p></{tag}><p><a href=x>no</a></p>"
+    lines = [f"Reference {i}" for i in range(5)]
+    assert html_text.main_text(html) == "\n".join(["Title", *lines, LONG, *lines, "End.", "Last"])
+    assert html_text.main_text(f"<{tag}><a href=x>Only a link</a></{tag}>") == "Only a link"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article><h1>Title</h1>", "</article>"), "x"), (None, None, None, None), (1, "u", "", "x")],
                                "page_id long, url string, html string, text string")
