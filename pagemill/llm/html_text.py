@@ -5,8 +5,9 @@ A line is the text of one block. Markup is stripped with what never is article t
 forms, adverts, reader comments and the like, known by tag, role, class or id), and such text leaves a
 line of length 0. Link text has length 0.
 A surge is a window of ``width`` lines longer than ``threshold`` (or a quarter of the page's longest window,
-if that is less) and a dive is a window of length 0: the text between is a region. Regions shorter than a fifth
-of the longest are dropped. All ``article`` elements, then all ``main`` elements, take the place of the regions if
+if that is less) and a dive is a window of length 0: the text between is a region. Removed elements separate no
+regions, and regions with texts in the same container are joined, with all of that container from its first text to its
+last; those of more link text than other text are dropped, except the longest. All ``article`` elements, then all ``main`` elements, take the place of the regions if
 their text is half as long at least as that of the later ones and of the longest region; so teasers don't.
 Of an ``article`` or ``main`` every line stays that is in no removed element, links too.
 
@@ -47,6 +48,8 @@ skip hidden toc""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
+# elements that hold blocks of their own (rather than one text's parts)
+HOLDERS = {"html", "body", "div", "section", "td", "center", "article", "main", "form", "fieldset", "details", "dialog", "aside"}
 HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 # HTML elements that end an unclosed svg or math, and elements inside those that hold HTML again
 BREAKOUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p
@@ -121,10 +124,12 @@ class Skipped:
 
 
 class Element:
-    __slots__ = ("tag", "bad", "core", "first", "title", "named")
+    __slots__ = ("tag", "bad", "core", "first", "title", "named", "above", "holder")
 
-    def __init__(self, tag, bad, first):
+    def __init__(self, tag, bad, first, above):
         self.tag, self.bad, self.first = tag, bad, first
+        self.above = above.holder if above else None  # the holder of blocks that it lies in
+        self.holder = self if tag in HOLDERS else self.above
         self.core = False  # holds an article
         self.title = False  # holds a heading of the first rank
         self.named = tag in ("article", "main") and not bad
@@ -133,6 +138,8 @@ class Element:
 class Page(NamedTuple):
     lines: list[str]
     lengths: np.ndarray  # without links, white space and removed elements
+    linked: np.ndarray  # lengths of link text, the same way
+    holders: list[Element | None]
     removed: np.ndarray  # whether a line is in a removed element
     within: dict[str, np.ndarray]  # whether it is in an article, and in a main
 
@@ -140,6 +147,8 @@ class Page(NamedTuple):
 def lines_of(html: str) -> Page:
     texts: list[list[str]] = [[]]
     plain: list[int] = [0]
+    linked: list[int] = [0]
+    holders: list[Element | None] = [None]
     stack: list[Element] = []
     away: list[tuple[int, int, bool]] = []  # lines of unwanted elements
     core: list[tuple[int, int, str]] = []
@@ -153,6 +162,8 @@ def lines_of(html: str) -> Page:
         if texts[-1]:
             texts.append([])
             plain.append(0)
+            linked.append(0)
+            holders.append(None)
 
     def close(e: Element):
         opened[e.tag] -= 1
@@ -173,7 +184,9 @@ def lines_of(html: str) -> Page:
             if skipped.tags == ["head"] and html[at:start].strip():
                 skipped.clear()
             if not skipped.tags:
-                add(texts[-1], plain, html[at:start], link)
+                add(texts[-1], linked if link else plain, html[at:start])
+                if holders[-1] is None and stack:
+                    holders[-1] = stack[-1].holder
         if not m:
             break
         at = m.end()
@@ -235,7 +248,7 @@ def lines_of(html: str) -> Page:
             cut()
         if tag in BLOCK or bad:
             link = 0 if tag in BLOCK else link
-            stack.append(Element(tag, bad, len(texts) - 1))
+            stack.append(Element(tag, bad, len(texts) - 1, stack[-1] if stack else None))
         opened[tag] += 1
     while stack:
         close(stack.pop())
@@ -253,14 +266,13 @@ def lines_of(html: str) -> Page:
             continue  # a class on the wrapper of the whole article
         removed[first:to] = True
         lengths[first:to] = 0
-    return Page(lines, lengths, removed, within)
+    return Page(lines, lengths, np.where(removed, 0, linked), holders, removed, within)
 
 
-def add(texts: list[str], plain: list[int], text: str, link: int) -> None:
+def add(texts: list[str], lengths: list[int], text: str) -> None:
     if text.strip():
         texts.append(text)
-        if not link:
-            plain[-1] += len("".join(text.split()))
+        lengths[-1] += len("".join(text.split()))
     elif texts:
         texts.append(" ")
 
@@ -292,17 +304,66 @@ def main_text(html: str | None, width: int = WIDTH, threshold: int = THRESHOLD)
     if not html:
         return ""
     page = lines_of(html)
-    lengths = page.lengths.tolist()
-    sums = [sum(lengths[i : i + width]) for i in range(len(lengths))]
-    found = regions(lengths, width, min(threshold, max(sums, default=0) / 4))
-    total = [sum(lengths[a:b]) for a, b in found]
-    kept = np.zeros(len(lengths), bool)
-    for (a, b), t in zip(found, total, strict=True):
-        kept[a:b] = t >= max(total) / 5
-    kept = chosen(page, kept, max(total, default=0))
+    kept = chosen(page, *located(page, width, threshold))
     return "\n".join(x for x, ok in zip(page.lines, kept, strict=True) if ok and x)
 
 
+def located(page: Page, width: int, threshold: int) -> tuple[np.ndarray, int]:
+    """The lines of the joined regions, and the text length of the longest of them."""
+    at = np.flatnonzero(~page.removed)  # removed elements separate nothing
+    lengths, linked = page.lengths[at].tolist(), page.linked[at].tolist()
+    holders = [page.holders[i] for i in at]
+    kept = np.zeros(len(page.lines), bool)
+    surge = min(threshold, max((sum(lengths[i : i + width]) for i in range(len(lengths))), default=0) / 4)
+    group: dict[Element | None, int] = {}  # the regions by the holders of their texts
+    found = regions(lengths, width, surge)
+    joined = list(range(len(found)))
+
+    def top(k: int) -> int:
+        while joined[k] != k:
+            joined[k] = k = joined[joined[k]]
+        return k
+
+    for k, (a, b) in enumerate(found):
+        texts: Counter = Counter()
+        for i in range(a, b):
+            texts[holders[i]] += lengths[i]
+        most = max(texts.values())
+        for h, n in texts.items():
+            if n > surge or n == most:
+                joined[top(k)] = joined[k] = top(group.setdefault(h, k))
+    owners: dict[Element | None, int | None] = {h: top(k) for h, k in group.items()}
+
+    def owner(h: Element | None) -> int | None:
+        """The joined regions that hold texts right in a holder or in one around it, other than the body."""
+        path = []
+        while h not in owners and h is not None:
+            path.append(h)
+            h = h.above
+        of = owners.get(h) if not path or h is not None and h.tag not in ("html", "body") else None
+        owners.update((x, of) for x in path)
+        return of
+
+    of = [owner(h) for h in holders]
+    for k, (a, b) in enumerate(found):
+        of[a:b] = [top(k)] * (b - a)
+    first, last = {}, {}
+    for i, n in enumerate(of):
+        if n is not None and lengths[i]:
+            first.setdefault(n, i)
+            last[n] = i
+    total, links = Counter(), Counter()
+    for i, n in enumerate(of):
+        if n is not None and first[n] <= i <= last[n]:
+            total[n] += lengths[i]
+            links[n] += linked[i]
+    longest = max(total.values(), default=0)
+    for i, n in enumerate(of):
+        if n is not None and first[n] <= i <= last[n] and (links[n] <= total[n] or total[n] == longest):
+            kept[at[i]] = True
+    return kept, longest
+
+
 def chosen(page: Page, kept: np.ndarray, longest: int) -> np.ndarray:
     """The lines of all articles, of main, or ``kept`` ones of the regions: the first of these with half of the text at least that a later one has."""
     named = [page.within[kind] & ~page.removed for kind in ("article", "main")]

@@ -91,6 +91,32 @@ def test_link_lines_of_an_article_stay(tag):
     assert html_text.main_text(f"<{tag}><a href=x>Only a link</a></{tag}>") == "Only a link"
 
 
+def wall(parts):
+    return "".join(f"<p>{p}</p>" for p in parts)
+
+
+@pytest.mark.parametrize("between", ["<aside><p>no<p>no<p>no<p>no</aside>", "<div class=related><ul><li>no<li>no<li>no<li>no</ul></div>"])
+@pytest.mark.parametrize("around", ["<div id=text>%s</div>", "<body>%s", "%s", "<div><div>%s</div></div>"])
+def test_removed_blocks_do_not_split_the_text(between, around):
+    short = ["A short opening.", *PARTS * 5, "A short end."]
+    html = wall(short[:1]) + between + wall(short[1:-1]) + between + wall(short[-1:])
+    assert html_text.main_text(around % html) == "\n".join(short)
+
+
+def test_link_lines_do_not_split_a_container():
+    links, lines = "<ul>" + "<li><a href=x>Linked</a>" * 4 + "</ul>", ["Linked"] * 4
+    menu = f"<div>{links}</div>"
+    html = f"<body>{menu}<div>{wall(['Opening.'])}{links}{wall(PARTS * 5)}{links}{wall(['The end.'])}</div>{menu}</body>"
+    assert html_text.main_text(html) == "\n".join(["Opening.", *lines, *PARTS * 5, *lines, "The end."])
+
+
+def test_regions_of_links_go():
+    links = "".join(f"<li>{i}. <a href=x>{LONG}</a>" for i in range(40))
+    menu = "<a href=x>m</a><hr>" * 4
+    html = f"<div>{wall(PARTS)}</div><div>{menu}</div><div>{wall(PARTS[:1])}</div><div>{menu}</div><div><ul>{links}</ul></div>"
+    assert html_text.main_text(html) == "\n".join(PARTS + PARTS[:1])
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article><h1>Title</h1>", "</article>"), "x"), (None, None, None, None), (1, "u", "", "x")],
                                "page_id long, url string, html string, text string")
