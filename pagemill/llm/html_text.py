@@ -3,7 +3,9 @@ lines, locate where the sums surge and where they dive, and keep the text betwee
 
 A line is the text of one block. Markup is stripped with what never is article text (scripts, styles, menus,
 forms, adverts, reader comments and the like, known by tag, role, class or id), and such text leaves a
-line of length 0. Link text has length 0.
+line of length 0. A class or id inside ``article`` or ``main`` counts as a whole, elsewhere by each of its words; it
+doesn't count on a heading, as the id of a section that begins with a heading, nor on an element that holds over half
+of the text of its ``article`` or ``main``, or of a page whose text is in neither. Link text has length 0.
 A surge is a window of ``width`` lines longer than ``threshold`` (or a quarter of the page's longest window,
 if that is less) and a dive is a window of length 0: the text between is a region. Removed elements separate no
 regions, and regions with texts in the same container are joined, with all of that container from its first text to its
@@ -44,7 +46,12 @@ HINTS = set("""ad ads advert adverts advertisement advertising adbox adsense spo
 cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal overlay share sharing
 social related recommended recommendations trending breadcrumb breadcrumbs pagination pager nav navbar navigation menu topbar toolbar
 masthead header footer sidebar sidebars aside widget widgets comment comments discussion disqus respond reply replies copyright colophon
-skip hidden toc""".split())
+skip toc""".split())
+READERS = {"comment", "comments", "disqus", "respond", "reply", "replies"}  # hints that hold with a heading too
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+OWN = {"article", "post", "entry", "story", "content"}  # whose header is a part of the text
+# an element that goes always, one that a class or id hints at, one that only an id hints at
+HARD, HINT, ID_HINT = 1, 2, 3
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "select"}
@@ -66,23 +73,36 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*+=\s*+(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element is no article text by its own tag, role, class, id or style."""
+def unwanted(tag: str, attributes: str, inside: bool) -> int:
+    """Whether an element is no article text by its own tag, role, class, id or style; inside an article or main, a
+    class or id hints at that as a whole only."""
     if tag in AWAY:
-        return True
+        return HARD
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return HARD
         if name in ("class", "id"):
-            words = [w.lower() for w in WORDS.findall(value)]
-            if any(w in HINTS and before not in ("with", "has", "no") for before, w in zip(["", *words], words, strict=False)):
-                return True
-    return False
+            whole = value.lower().split()
+            if "hidden" in whole:
+                found = HINT
+                continue
+            if tag in HEADINGS or found == HINT:
+                continue
+            if inside:
+                hints = HINTS.intersection(whole)
+            else:
+                words = [w.lower() for w in WORDS.findall(value)]
+                hints = {w for before, w in zip(["", *words], words, strict=False)
+                         if w in HINTS and before not in ("with", "has", "no") and not (w == "header" and before in OWN)}
+            if hints:
+                found = ID_HINT if name == "id" and not hints & READERS else HINT
+    return found
 
 
 class Skipped:
@@ -124,12 +144,14 @@ class Skipped:
 
 
 class Element:
-    __slots__ = ("tag", "bad", "core", "first", "title", "named", "above", "holder")
+    __slots__ = ("tag", "bad", "core", "first", "title", "named", "above", "holder", "home", "headed", "to")
 
     def __init__(self, tag, bad, first, above):
-        self.tag, self.bad, self.first = tag, bad, first
+        self.tag, self.bad, self.first, self.to = tag, bad, first, first
         self.above = above.holder if above else None  # the holder of blocks that it lies in
         self.holder = self if tag in HOLDERS else self.above
+        self.home = above and (above if above.named else above.home)  # the article or main that it lies in
+        self.headed = False  # begins with a heading
         self.core = False  # holds an article
         self.title = False  # holds a heading of the first rank
         self.named = tag in ("article", "main") and not bad
@@ -150,7 +172,7 @@ def lines_of(html: str) -> Page:
     linked: list[int] = [0]
     holders: list[Element | None] = [None]
     stack: list[Element] = []
-    away: list[tuple[int, int, bool]] = []  # lines of unwanted elements
+    away: list[Element] = []  # unwanted elements
     core: list[tuple[int, int, str]] = []
     link = 0
     skipped = Skipped()
@@ -167,12 +189,12 @@ def lines_of(html: str) -> Page:
 
     def close(e: Element):
         opened[e.tag] -= 1
-        to = len(texts) - (not texts[-1])
-        within = e.tag == "header" and any(x.named for x in stack)
-        if e.bad and not e.core and not (e.tag == "header" and e.title and within):
-            away.append((e.first, to, e.title and e.tag not in AWAY))
+        e.to = len(texts) - (not texts[-1])
+        if e.bad and not e.core and not (e.tag == "header" and e.title and e.home):
+            if not (e.bad == ID_HINT and e.tag == "section" and e.headed):  # the id of a heading's section
+                away.append(e)
         elif e.named:
-            core.append((e.first, to, e.tag))
+            core.append((e.first, e.to, e.tag))
             for x in stack:
                 x.core = True
 
@@ -239,11 +261,16 @@ def lines_of(html: str) -> Page:
         if tag == "h1":
             for x in stack:
                 x.title = True
+        if tag in HEADINGS:
+            for x in reversed(stack):
+                if x.headed or x.first < len(texts) - 1:
+                    break
+                x.headed = True
         if tag in VOID:
             continue
         if tag == "a":
             link = 1
-        bad = unwanted(tag, attributes)
+        bad = unwanted(tag, attributes, bool(stack) and (stack[-1].named or stack[-1].home is not None))
         if bad:
             cut()
         if tag in BLOCK or bad:
@@ -258,14 +285,20 @@ def lines_of(html: str) -> Page:
     for first, to, kind in core:
         within[kind][first:to] = True
     lengths = np.array(plain)
-    inside = within["article"] if within["article"].any() else within["main"]
-    half = lengths[inside if lengths[inside].sum() else slice(None)].sum() / 2
-    for first, to, title in away:
-        counted = lengths[first:to][inside[first:to]] if lengths[inside].sum() else lengths[first:to]
-        if title and counted.sum() > half:
-            continue  # a class on the wrapper of the whole article
-        removed[first:to] = True
-        lengths[first:to] = 0
+    always = [e.bad == HARD and (e.tag in AWAY or not e.title) for e in away]
+    for e, hard in zip(away, always, strict=True):
+        if hard:
+            removed[e.first : e.to] = True
+    held = np.concatenate([[0], np.cumsum(np.where(removed, 0, lengths))])  # before each line
+    named = np.concatenate([[0], np.cumsum(np.where(removed | ~(within["article"] | within["main"]), 0, lengths))])
+    for e, hard in zip(away, always, strict=True):
+        if not hard:
+            size = held[e.to] - held[e.first]
+            around = held[e.home.to] - held[e.home.first] if e.home else held[-1]
+            if 2 * size > around and (e.home or e.title or not named[-1]):
+                continue  # a class on the wrapper of the whole text
+            removed[e.first : e.to] = True
+    lengths[removed] = 0
     return Page(lines, lengths, np.where(removed, 0, linked), holders, removed, within)
 
 

@@ -117,6 +117,28 @@ def test_regions_of_links_go():
     assert html_text.main_text(html) == "\n".join(PARTS + PARTS[:1])
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<figure class='overflow-hidden'><table><tr><td>cell</table></figure><div class='md:hidden'><p>shown</div>", "cell\nshown"),
+    ("<section id=discussion><h2>Discussion</h2><p>said</section><section id='related-work'><p>others</section>", "Discussion\nsaid\nothers"),
+    ("<h2 class=related id=toc>Related</h2><div class='article-header'><h1>Title</h1></div><p class='no-widget'>x", "Related\nTitle\nx"),
+    ("<div class='lead hidden'>no</div><div class=related>no</div><section id=comments><h2>Comments</h2>no</section><p hidden>no</p>", ""),
+])
+def test_hints_inside_an_article(html, text):
+    assert html_text.main_text(f"<article><p>{LONG}</p>{html}</article>") == (LONG + "\n" + text).strip()
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "widget", "page-with-sidebar sidebar"])
+def test_hinted_wrapper_of_the_text_stays(name):
+    for wrap in ("%s", "<article>%s</article>", "<main><p>Intro.</p>%s</main>"):
+        html = wrap % f"<div class='{name}'>{wall(PARTS)}<div class=related>no</div></div>"
+        assert html_text.main_text(html) == "\n".join([*(["Intro."] if "Intro" in wrap else []), *PARTS])
+
+
+def test_article_header_without_an_article():
+    html = f"<div class='site-header'><p>{LONG}</p></div><div class='article-header'><h1>Title</h1></div><div class='content-body'>{wall(PARTS)}</div>"
+    assert html_text.main_text(html) == "\n".join(["Title", *PARTS])
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % ("<article><h1>Title</h1>", "</article>"), "x"), (None, None, None, None), (1, "u", "", "x")],
                                "page_id long, url string, html string, text string")
