@@ -198,3 +198,34 @@ def test_licence_lines_are_all_tried(spark):
     texts += [t.replace(" the", "") + "\n" + t[: len(t) // 2] for _, t in licenses.TEMPLATES]
     assert [matcher.scan(t) for t in texts] == [every.scan(t) for t in texts]
     assert all(matcher.scan(t)[0] == name for name, t in licenses.TEMPLATES)
+
+
+def test_whole_licence_files(spark):
+    """Full texts, also without their ends and with a copyright line, without a name that says so."""
+    texts = licenses.full_texts()
+    files = [(f"{name}/x", t) for name, t in texts] + [(f"{name}/y", "Copyright (c) 2020 Somebody\n" + " ".join(t[: len(t) * 19 // 20].split())) for name, t in texts]
+    got = licenses.scan_licenses(spark.createDataFrame([*files, ("MIT/z", "code")], "path string, text string")).collect()
+    same([(r.path, r.license, r.found) for r in got], [*((p, p.split("/")[0], "file") for p, _ in files), ("MIT/z", "MIT", "inherited")])
+
+
+GNU2 = """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version. */
+"""
+
+
+@pytest.mark.parametrize("text, name", [
+    (GNU2, "GPL-2.0"), (GNU2.replace("version 2", "version 3"), "GPL-3.0"), (GNU2.replace("General", "Affero General").replace("version 2", "version 3"), "AGPL-3.0"),
+    (GNU2.replace("This program", "This library").replace("General", "Lesser General").replace("version 2", "version 2.1"), "LGPL-2.1"),
+    (GNU2.replace("This program", "This library"), "GPL-2.0"),
+    ("# Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided that the following\n# conditions are met:", "BSD-3-Clause"),
+    ("We wrote it in one long spring. It took time. Released under the MIT License. It is used by many people in the world. " * 4, "MIT"),
+    ("// Licensed under the\n// Apache License,\n//\n// Version 2.0.", "Apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.", "LGPL-2.0"), ("Licensed under CC BY 3.0.", None),
+])
+def test_wrapped_headers_and_versions(text, name):
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.LEAST, licenses.full_texts())
+    found = matcher.scan("import x\n" + text + "\n" + "code here\n" * 300)
+    assert found[0] == name and found[2] < 0.5
