@@ -2,7 +2,8 @@
 
 Training (numpy, on the driver): at most ``sample`` labelled rows of the training folds, a window of
 ``span`` bytes of each, chosen by a hash of the text; so what the driver holds is ``sample × span`` bytes
-at any size of the input. Every language gets an equal share of the sample.
+at any size of the input. Every value of ``lang`` is a language and gets an equal share of the sample, of its distinct
+texts; if there are more languages than ``sample``, one window of each (network and driver then grow with them).
 
 Prediction (tasks, Arrow batches): every text is cut whole into windows of ``span`` bytes, the last one
 padded; all windows of a batch go through the network together. A convolution over embedded bytes is a sum
@@ -20,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, cut, prepare
+from .common import crc32_mod, cut, prepare, small
 
 SAMPLE, SPAN = 8_000, 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 24, 8
@@ -134,28 +135,26 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.nd
 def learn(docs: DataFrame, learnable, text: str, lang: str, sample: int, span: int) -> tuple[list[str], dict | None]:
     """The network of a bounded sample of the rows that ``learnable`` marks (the only ones whose ``lang`` is read)."""
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.rlike(F.col(text), F.lit(r"\p{L}")))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(256).collect()}
-    names = sorted(counts)
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    counts = cut(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")))
+    names = sorted(r.lang for r in counts.select("lang").collect())
     if not names:
         return [], None
     each = max(1, sample // len(names))
-    size = F.octet_length(text)
-    begin = F.pmod(F.xxhash64(F.lit(1), text), F.greatest(size - span, F.lit(0)) + 1)
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 3 * each / counts[n]))])
-    rows = rows.where(F.col(lang).isin(names)).withColumn("h", F.xxhash64(text))
-    # texts with the lowest hashes of each language: a sample that doesn't depend on how rows are dealt out
-    rows = rows.where(F.col("h").cast("double") < (share[F.col(lang)] * 2 - 1) * float(1 << 63))
-    rows = rows.select(F.col(lang).alias("lang"), "h", F.substring(F.col(text).cast("binary"), (begin + 1).cast("int"), F.lit(span)).alias("bytes"))
-    rows = cut(rows.dropDuplicates(["lang", "h"]))
-    kept = None
-    for name in names:
-        some = rows.where(F.col("lang") == name).orderBy("h").limit(each)
-        kept = some if kept is None else kept.unionByName(some)
-    found = kept.collect()
+    size = F.octet_length("text")
+    begin = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.greatest(size - span, F.lit(0)) + 1)
+    # texts with the lowest hashes of each language, some more than needed: a sample that doesn't depend on how rows are dealt out
+    share = F.lit(3.0 * each + 30) / F.col("n")
+    rows = rows.join(small(counts, 100_000), "lang").where((share >= 1) | (F.col("h").cast("double") < (share * 2 - 1) * float(1 << 63)))
+    rows = rows.select("lang", "h", F.substring(F.col("text").cast("binary"), (begin + 1).cast("int"), F.lit(span)).alias("bytes"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = cut(rows.dropDuplicates(["lang", "h"])).withColumn("r", first)
+    number = {name: i for i, name in enumerate(names)}
+    found = sorted(rows.where(F.col("r") <= each).collect(), key=lambda r: (number[r.lang], r.h))
     windows = np.zeros((len(found), span), np.uint8)
     for i, r in enumerate(found):
         windows[i, : len(r.bytes)] = np.frombuffer(bytes(r.bytes), np.uint8)
-    labels = np.array([names.index(r.lang) for r in found])
+    labels = np.array([number[r.lang] for r in found])
     return names, train(windows, labels, len(names)) if len(names) > 1 else None
 
 
@@ -163,7 +162,7 @@ def identify(docs: DataFrame, learnable, *, text: str = "text", lang: str = "lan
     """``docs`` with ``lang_pred`` and ``score``; ``learnable``: a condition on the rows to learn from."""
     spark = prepare(docs.sparkSession).sparkContext
     names, net = learn(docs, learnable, text, lang, sample, span)
-    shared = spark.broadcast(tables(net) if net else None)  # 3 MB, whatever the input
+    shared = spark.broadcast(tables(net) if net else None)  # 3 MB, and 72 numbers for each language
     fields = ("lang_pred", "score")
     kept = [c for c in docs.columns if c not in fields]
     rows = docs.select(*kept, F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False)).alias("__letters"),
@@ -174,26 +173,29 @@ def identify(docs: DataFrame, learnable, *, text: str = "text", lang: str = "lan
         for batch in batches:
             k = batch.num_columns - 2
             letters = batch.column(k).to_numpy(zero_copy_only=False).astype(bool)
-            total = np.zeros((batch.num_rows, max(1, len(names))))
+            best, score = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows)
             if t is not None:
-                weight = np.zeros(batch.num_rows)
                 values = pc.fill_null(batch.column(k + 1), b"")
                 offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
                 data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] else np.zeros(0, np.uint8)
-                row = 0
+                row, most = 0, max(1, 1_000_000 // len(names))
                 while row < len(values):  # some 1,000 windows at a time; a longer text alone
-                    to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 1000 * span, "right")) - 1)
+                    to = max(row + 1, min(row + most, int(np.searchsorted(offsets, offsets[row] + 1000 * span, "right")) - 1))
                     windows, which, lengths = cut_windows(data, offsets[row : to + 1], span)
-                    np.add.at(total, which + row, log_probabilities(t, windows) * lengths[:, None])
-                    np.add.at(weight, which + row, lengths)
+                    total = np.zeros((to - row, len(names)))
+                    weight = np.zeros(to - row)
+                    np.add.at(weight, which, lengths)
+                    for at in range(0, len(windows), 64):
+                        part = slice(at, at + 64)
+                        np.add.at(total, which[part], log_probabilities(t, windows[part]) * lengths[part, None])
+                    total = total / np.maximum(weight, 1)[:, None] * np.sqrt(np.maximum(weight / span, 1))[:, None]
+                    p = np.exp(total - total.max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                    best[row:to], score[row:to] = p.argmax(1), p.max(1)
                     row = to
-                total = total / np.maximum(weight, 1)[:, None] * np.sqrt(np.maximum(weight / span, 1))[:, None]
-            p = np.exp(total - total.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
             known = letters & bool(names)
             said = [names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(said, pa.string()), pa.array(np.where(known, p.max(1), 0.0))],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))],
                                              names=[*batch.schema.names[:k], *fields])
 
     schema = rows.drop("__letters", "__text").schema.add("lang_pred", "string").add("score", "double")

@@ -3,6 +3,8 @@
 import numpy as np
 import zlib
 
+from pyspark.sql import functions as F
+
 from pagemill.llm import langid, quality
 
 from .conftest import SF
@@ -50,6 +52,32 @@ def test_languages_hostile(hostile, empty):
     assert {r.lang_pred for r in one} == {"und", "en"}
 
 
+def coded(k):
+    """Words of two letters that only language ``k`` has."""
+    a, b = chr(97 + k % 26), chr(97 + k // 26)
+    return [f"{a}{b}{b}{a} " * (8 + n) for n in range(4)]
+
+
+def test_more_than_256_languages(spark, monkeypatch):
+    rows = [(0, "the common one of all " * n, "aaa") for n in range(1, 30)] + [(k, t, f"x{k:03}") for k in range(300) for t in coded(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda windows, labels, classes: seen.append((labels, classes)) or train(windows, labels, classes, 1))
+    found = langid.identify(docs, F.lit(True)).collect()
+    (labels, classes), = seen
+    assert classes == 301 and np.bincount(labels).tolist() == [26] + [4] * 300
+    assert len(found) == len(rows)
+
+
+def test_languages_of_copies(spark, monkeypatch):
+    """A language of a few texts, copied often, gets all of them; so does every one if there are more than windows."""
+    copies = spark.range(60_000).selectExpr("id AS doc_id", "concat('text ', id % 20, ' of copies') AS text", "'cc' AS lang")
+    others = spark.range(400).selectExpr("id AS doc_id", "concat('other ', id, ' words') AS text", "'oo' AS lang")
+    monkeypatch.setattr(langid, "train", lambda windows, labels, classes: np.bincount(labels, minlength=classes).tolist())
+    for sample, want in ((50, [20, 25]), (1, [1, 1])):
+        assert langid.learn(copies.unionByName(others), F.lit(True), "text", "lang", sample, 256) == (["cc", "oo"], want)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     marks = {r.doc_id: r.quality for r in labels.collect()}
