@@ -12,6 +12,9 @@ Defined results: null text has no words; null ids are left out of the lists of i
 count as hits); repeated items count once; empty tables give empty results or nothing hit; texts are
 searched whole, a piece of a long one at a time is never needed as its words are a flat list. Extra
 columns pass through and lose to the added names.
+
+A benchmark of more than ``round_bytes`` is searched for in rounds: each but the last writes the documents and what was
+found to the shared folder, where the table of the round before is deleted. The last table is read by the result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import Stored, prepare
 
 #: ASCII bytes that separate words become spaces, A-Z become a-z; bytes from 0x80 belong to words.
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,7 +94,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def rounds(benchmark: DataFrame, item: str, text: str, most: int):
-    """The benchmark in lists of at most ``most`` bytes (one item at least), one of them on the driver at a time."""
+    """The benchmark in lists of at most ``most`` bytes (one item at least), two of them on the driver at a time."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
     some, held = [], 0
     for row in rows.where("t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
@@ -132,8 +135,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made, batch.column(k + 3)], schema=batch.schema)
         return search
 
+    # every round but the last is written out, so that one round's tables live at a time, on the driver and in tasks
+    before, last = None, None
     for some in rounds(benchmark, item, item_text, round_bytes):
-        rows = rows.mapInArrow(searching(spark.broadcast(some)), rows.schema)
+        if before is not None:
+            shared = spark.broadcast(before)
+            done = Stored(rows.mapInArrow(searching(shared), rows.schema))
+            shared.destroy()
+            if last:
+                last.drop()
+            rows, last = done.read(), done
+        before = some
+    rows = rows.mapInArrow(searching(spark.broadcast(before)), rows.schema)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     rows = rows.drop("__text").withColumn("n_hit", n_hit)
     return rows.withColumn("contaminated", F.col("n_hit") > 0)

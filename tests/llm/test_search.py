@@ -1,8 +1,10 @@
 """op2 against brute force; op7 against brute force."""
 
+import pathlib
+
 import numpy as np
 
-from pagemill.llm import decontaminate, neighbours
+from pagemill.llm import common, decontaminate, neighbours
 from pyspark.sql import functions as F
 
 from .conftest import SF, brute_benchmark, same
@@ -76,3 +78,16 @@ def test_benchmark_empty(spark, hostile, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert found_in(empty, items) == []
     assert all(not r[2] and not r[3] for r in found_in(hostile, items.where("false")))
+
+
+def test_rounds_follow_each_other(spark, hostile, rows):
+    """One round's search in the plan of the result, one table in the shared folder, the same rows as in one round."""
+    text = next(r[1] for r in rows if r[0] == 1).split()
+    items = spark.createDataFrame([(i, " ".join(text[i : i + 12])) for i in range(0, 48, 6)], "item_id long, text string")
+    folder = pathlib.Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    found = decontaminate.find_benchmark(hostile, items, round_bytes=60)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert len(set(folder.glob("llm-*")) - before) == 1
+    same(found.collect(), decontaminate.find_benchmark(hostile, items).collect())
+    assert found.where("contaminated").count() >= 4
