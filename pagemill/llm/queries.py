@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, tokens
-from .common import table
+from . import decontaminate, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, token_files, tokens
+from .common import shared_folder, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files go to a new folder in the shared one; they are the operator's product and stay there."""
+    import public_tokenizers
+
+    path = f"{shared_folder(spark).rstrip('/')}/token-ids-{uuid.uuid4()}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -81,6 +92,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_token_files": op12_token_files,
 }
 
 #: The others can't be said in SQL; tests/llm holds them against brute force, the library or held-out labels.
