@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, token_files, tokens
+from . import decontaminate, dialogue, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, token_files, tokens
 from .common import shared_folder, table
 
 
@@ -81,6 +81,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repaired_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_token_files": op12_token_files,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: The others can't be said in SQL; tests/llm holds them against brute force, the library or held-out labels.
@@ -100,4 +105,5 @@ ORACLE = {
     "op1_substring_dedup": substring.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "op13_conversation_repair": dialogue.ORACLE,
 }
