@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, html_text, langid, licenses, mixing, neighbours, quality, simhash, substring, token_files, tokens
+from . import decontaminate, dialogue, html_text, langid, licenses, mixing, neighbours, periodic, quality, simhash, substring, token_files, tokens
 from .common import shared_folder, table
 
 
@@ -72,6 +72,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.find_runs(periodic.repeating(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.strongest(F.col("runs")).alias("best"),
+                       sha(F.array_join(lines, "")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return rows.select("doc_id", "n_runs", "best.*", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files go to a new folder in the shared one; they are the operator's product and stay there."""
     import public_tokenizers
@@ -96,6 +106,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scans": op9_license_scans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_token_files": op12_token_files,
     "op13_conversation_repair": op13_conversation_repair,
 }
