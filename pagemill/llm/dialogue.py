@@ -447,13 +447,14 @@ damaged AS (
          CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM dealt, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS c(copy) WHERE d <> 0),
 placed AS (
-  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+  SELECT *, row_number() OVER w AS i,
          lag(left(role, 1)) OVER w || left(role, 1) AS pair,
          rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
   FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM placed),
 marked AS (
   SELECT *, body = '' AS blank, body <> '' AND again > 1 AS duplicate,
-         body <> '' AND again = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS r FROM placed),
+         body <> '' AND again = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS r FROM counted),
 sums AS (
   SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
          sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated,

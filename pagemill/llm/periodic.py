@@ -254,3 +254,34 @@ def repeating(docs: DataFrame) -> DataFrame:
     index = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
     again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("w", index(i).cast("int")))
     return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+#: Every pair of equal words of a document at most a third of its words apart; stretches of neighbouring pairs.
+ORACLE = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+given AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+         CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+hashed AS (
+  SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+           list_transform(list_filter(string_split(k, ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM given, crc),
+placed AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+words AS (
+  SELECT r, i, n, w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1] AS x
+  FROM placed, unnest(range(n)) AS u(i)),
+pairs AS (SELECT p.r, p.i, s.i - p.i AS q FROM words AS p JOIN words AS s ON p.r = s.r AND p.x = s.x AND s.i > p.i AND s.i - p.i <= p.n // 3),
+stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS e FROM pairs)
+  GROUP BY r, q, e HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, s, m, min(q) AS q FROM stretches GROUP BY r, s, m),
+best AS (SELECT r, s, m, q FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(m AS DECIMAL(38, 18)) / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+lines AS (SELECT r, count(*) AS n_runs, string_agg(concat_ws(',', s, m, q) || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + m)) AS u(i)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.m AS length, best.q AS period, 1000 * best.m // best.q AS exponent_milli,
+       sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM placed LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""

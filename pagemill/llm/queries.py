@@ -116,5 +116,6 @@ ORACLE = {
     "op1_substring_dedup": substring.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
     "op13_conversation_repair": dialogue.ORACLE,
 }
