@@ -10,9 +10,9 @@ the files into memory (a store that has no mapping is read by ranges) and cuts e
 A task that fails or runs twice leaves files that no index names; the index is written once, after all tasks. A
 folder is written once: it must not hold an index yet. Files go where ``pyarrow.fs`` and Spark both reach.
 
-Words are cut at ASCII white space, which the tokenizer drops and which no token crosses (it must be one of those: a
-test holds it to the library's ids of whole texts); each word goes to the library once and then lies in a bounded cache, so
-that a long text never makes a long list of the library's objects. Each batch of words is encoded as a whole.
+A tokenizer that drops white space (its file says so) gets the words one by one; each goes to the library once and then lies
+in a bounded cache, so that a long text never makes a long list of the library's objects. A word of plain letters and
+punctuation is one or two pre-tokens, which go to the library's model without its normalizer. Other tokenizers get whole texts.
 
 Defined results: a null or empty text has only the end id; null document ids come first; repeated ids follow in the
 order of their texts' 64-bit hashes, equal rows in any order (they are dealt out by a running number, so one id may fill many
@@ -23,7 +23,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,47 +39,74 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import prepare
 from .tokens import load
 
-#: Words encoded at a time, the words a worker remembers, and the longest of them in bytes.
-WORDS_AT_ONCE, CACHE_WORDS, CACHED_BYTES = 200_000, 400_000, 64
+#: The words a worker remembers, and the longest of them in bytes.
+CACHE_WORDS, CACHED_BYTES = 300_000, 64
 #: Ids of one task of a read, and bytes of one batch that it sends.
 SLICE_IDS, SEND_BYTES = 16 << 20, 4 << 20
 
+#: The steps of a tokenizer file before its model under which white space is dropped and words are separate.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Words of one or two pre-tokens by those steps: letters of Latin-1, which have one lower case, then punctuation without apostrophes.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
 INDEX = "_index.json"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
+class Words(dict):
+    """Packed ids of words: a bounded cache before the library, which starts anew when it is full."""
+
+    def __init__(self, tokenizer, code: str, most: int):
+        super().__init__()
+        self.tokenizer, self.code, self.most = tokenizer, code, most
+        self.model, self.cores = tokenizer.model, {}
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): split(c)[0][0] for c in map(chr, range(97, 256)) if SIMPLE.fullmatch(c) and c == c.lower()}
+
+    def core(self, part: str) -> bytes:
+        """A single pre-token: the library's model alone."""
+        found = self.cores.get(part)
+        if found is None:
+            found = array(self.code, [t.id for t in self.model.tokenize(part.translate(self.letters))]).tobytes()
+            if len(self.cores) >= self.most:
+                self.cores.clear()
+            self.cores[part] = found
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        simple = SIMPLE.fullmatch(text) if len(word) <= CACHED_BYTES else None
+        if simple:
+            found = self.core(simple[1].lower()) + (self.core(simple[2]) if simple[2] else b"")
+        else:
+            found = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
-    """Ids of white-space separated words as packed integers, from a cache or the library."""
+    """Packed ids of texts: by words if the tokenizer drops white space, else whole."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
-        self.tokenizer, self.dtype, self.seen = load(path), dtype, {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of each of ``words``; short ones are remembered."""
-        new = words.difference(self.seen)
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen, new = {}, words
-        new = list(new)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        made = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(new, found, strict=True)}
-        long = {w: made.pop(w) for w in new if len(w) > CACHED_BYTES}
-        self.seen.update(made)
-        return self.seen | long if long else self.seen
-
-    def texts(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
-        """Packed ids of each text, with ``end`` after it."""
-        out: list[bytes] = []
-        some: list[list[bytes]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            some.append((text or b"").split())
-            held += len(some[-1])
-            if held >= WORDS_AT_ONCE or i + 1 == len(texts):
-                ids = self.learn({w for words in some for w in words})
-                out += [b"".join(map(ids.__getitem__, words)) + end for words in some]
-                some, held = [], 0
-        return out
+        self.tokenizer, self.code = load(path), {"<u2": "H", "<u4": "I"}[dtype]
+        if sys.byteorder != "little":
+            raise OSError("token files are written on little-endian machines")
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        whole = (parts["normalizer"], parts["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER) or parts["post_processor"]
+        self.words = None if whole else Words(self.tokenizer, self.code, CACHE_WORDS)
+
+    def text(self, text: bytes | None) -> bytes:
+        if self.words is None:
+            return array(self.code, self.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, (text or b"").split()))
 
 
 def id_type(vocabulary: int) -> str:
@@ -93,7 +123,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, *, text: st
     def run(batches):
         encoder = Encoder(tokenizer_path, dtype)
         for batch in batches:
-            ids = encoder.texts(batch.column(batch.num_columns - 1).to_pylist(), end)
+            ids = [encoder.text(t.as_py()) + end for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)

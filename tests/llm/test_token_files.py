@@ -48,11 +48,10 @@ def test_hostile_texts(spark, tmp_path, hostile, rows):
 def test_small_caches_slices_and_batches(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pairs = sorted(map(tuple, docs.select("doc_id", "text").collect()))
-    encoder = token_files.Encoder(PATH, "<u4")
     monkeypatch.setattr(token_files, "CACHE_WORDS", 50)
-    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 30)
     monkeypatch.setattr(token_files, "CACHED_BYTES", 5)
-    made = encoder.texts([t.encode() for _, t in pairs[:40]], b"")
+    encoder = token_files.Encoder(PATH, "<u4")
+    made = [encoder.text(t.encode()) for _, t in pairs[:40]]
     assert [(len(m) // 4, zlib.crc32(m)) for m in made] == [w[2:] for w in wanted(pairs[:40], None)]
     token_files.write(docs, f"{tmp_path}/b", PATH, 2)
     monkeypatch.setattr(token_files, "SLICE_IDS", 1000)
@@ -64,6 +63,28 @@ def test_small_caches_slices_and_batches(spark, tmp_path, monkeypatch):
     assert [(r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in got] == wanted(pairs)
 
 
+def test_words_of_many_characters():
+    """Letters of Latin-1 and punctuation in all places, against the library."""
+    import random
+
+    pick, encoder = random.Random(5), token_files.Encoder(PATH, "<u2")
+    signs = [chr(c) for c in range(33, 127)] + [chr(c) for c in range(0xA1, 0x180)] + ["ß", "Σ", "ı", "́", "日", "'s", "<|endoftext|>"]
+    words = [*signs, *("x" + c for c in signs), *(c + "'" for c in signs)]
+    words += ["".join(pick.choice(signs) for _ in range(pick.randrange(1, 7))) for _ in range(6000)]
+    words += ["".join(pick.choice("abcDEFéÀü") for _ in range(pick.randrange(1, 12))) + pick.choice([".", ",", "$$$", "?!", ";", "'", "...", ""]) for _ in range(6000)]
+    for w in words:
+        assert np.frombuffer(encoder.text(w.encode()), "<u2").tolist() == encoder.tokenizer.encode(w, add_special_tokens=False).ids, w
+    assert encoder.words is not None and len(encoder.words.cores) > 1000
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = token_files.Encoder(path, "<u2"), tokens.load(path)
+    for text in ("two  spaces\n\n and\ttabs ", "", "é à <|endoftext|> x"):
+        assert np.frombuffer(encoder.text(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.words is None
+
+
 def test_one_id_fills_many_parts(spark, tmp_path):
     df = spark.range(0, 3000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE 7 END AS doc_id", "concat('word', id % 2) AS text")
     token_files.write(df, f"{tmp_path}/c", PATH, None)
