@@ -101,12 +101,15 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         whole = (parts["normalizer"], parts["pre_tokenizer"]) != (NORMALIZER, PRE_TOKENIZER) or parts["post_processor"]
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = None if whole else Words(self.tokenizer, self.code, CACHE_WORDS)
 
     def text(self, text: bytes | None) -> bytes:
         if self.words is None:
             return array(self.code, self.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, (text or b"").split()))
+        text = text or b""
+        low = text.lower()  # A-Z alone: fewer words to remember; the tokenizer does it too, but for special strings
+        return b"".join(map(self.words.__getitem__, (text if any(s in low for s in self.special) else low).split()))
 
 
 def id_type(vocabulary: int) -> str:

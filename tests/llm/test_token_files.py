@@ -31,7 +31,7 @@ def found(df):
 
 def test_hostile_texts(spark, tmp_path, hostile, rows):
     odd = [(-1, "It's we'll DON'T <|endoftext|> x<|startoftext|>y"), (-2, "a\x1cb\x85c　d\x0be\x0cf g"), (-3, "ΑΣ Σ é é ́x İ ŉ"),
-           (-4, "日本 123 ½ ‘q’ \U0001F600"), (-5, "z" * 5000), (-6, "' s 'S I 'LL it' s"), (-7, " "), (1 << 40, "\x00 ​﻿")]
+           (-4, "日本 123 ½ ‘q’ \U0001F600"), (-5, "z" * 5000), (-6, "' s 'S I 'LL it' s"), (-7, " "), (-8, "A <|ENDOFTEXT|> B"), (-9, "ÀB <|endoftext|>C\tDE"), (1 << 40, "\x00 ​﻿")]
     pairs = [(r[0], r[1]) for r in rows if r[0] is not None] + odd
     df = spark.createDataFrame(pairs + [(None, None)] * 3, "doc_id long, text string").withColumn("ids", token_files.F.lit("mine"))
     token_files.write(df, f"{tmp_path}/a", PATH, 2)
