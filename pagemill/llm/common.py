@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds of whole texts at once.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -81,6 +84,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lean(run):
+    """``run`` for mapInArrow, after which the worker gives freed memory back: workers live on for later tasks."""
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+    return wrapped
+
+
 class Memo(dict):
     """A bounded cache of a pure function: it starts anew when it is full, so results never depend on it."""
 

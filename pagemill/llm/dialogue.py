@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, Stored, cut, prepare
+from .common import Memo, Stored, cut, lean, prepare
 
 #: Rows and bytes of text of a chunk (one row at least).
 CHUNK_ROWS, CHUNK_BYTES = 1024, 4 << 20
@@ -310,7 +310,7 @@ def repair(rows: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: s
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", *COLUMNS)
     lists = T.StructType([rows.schema["key"], T.StructField("part", T.IntegerType()), T.StructField("number", T.LongType()),
                           *(T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in COLUMNS)])
-    stored = Stored(rows.mapInArrow(_chunks, lists)).read()
+    stored = Stored(rows.mapInArrow(lean(_chunks), lists)).read()
 
     # chunks at the edges of partitions and of long conversations, numbered on by prefix sums over the partitions
     base, total = [], 0
@@ -351,7 +351,7 @@ def repair(rows: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: s
     none = {"piece": "CAST(NULL AS long)", "goes_on": "false", "firsts": "CAST(NULL AS array<int>)", "end": "CAST(NULL AS string)", "state": "CAST(NULL AS string)", "alone": "true"}
     whole = whole.selectExpr("key", *COLUMNS, *(f"{v} AS {k}" for k, v in none.items()))
     out = T.StructType([rows.schema["key"], *T.StructType.fromDDL(PIECE).fields])
-    pieces = whole.mapInArrow(_finish, out).unionByName(some.select(*names).mapInArrow(_finish, out))
+    pieces = whole.mapInArrow(lean(_finish), out).unionByName(some.select(*names).mapInArrow(lean(_finish), out))
     return pieces.withColumnRenamed("key", key)
 
 
@@ -405,7 +405,7 @@ def digest(pieces: DataFrame, conversations: DataFrame | None = None, *, key: st
             yield pa.RecordBatch.from_pylist(done, schema=pa.schema(list(zip(names, types, strict=True))))
 
     several = rows.where("NOT alone").repartition("key").sortWithinPartitions("key", "piece")
-    out = rows.where("alone").mapInArrow(fold, schema).unionByName(several.mapInArrow(fold, schema))
+    out = rows.where("alone").mapInArrow(lean(fold), schema).unionByName(several.mapInArrow(lean(fold), schema))
     if conversations is not None:
         zero = [F.lit(0).cast("long").alias(c) for c in ("gaps", *COUNTS)]
         lost = conversations.select(F.col(key).alias("key"), *zero, F.lit("").alias("audit"), F.lit(hashlib.sha256().hexdigest()).alias("repaired_sha256"))

@@ -3,7 +3,7 @@ lines, locate where the sums surge and where they dive, and keep the text betwee
 
 A line is the text of one block. Markup is stripped with what never is article text (scripts, styles, menus,
 forms, adverts, reader comments and the like, known by tag, role, class or id), and such text leaves a
-line of length 0. A class or id inside ``article`` or ``main`` counts as a whole, elsewhere by each of its words; it
+line of length 0. A class or id inside ``article`` or ``main`` counts as a whole or as a compound (``ad-slot``, ``post-comments``), elsewhere by each of its words; it
 doesn't count on a heading, as the id of a section that begins with a heading, nor on an element that holds over half
 of the text of its ``article`` or ``main``, or of a page whose text is in neither. Link text has length 0.
 A surge is a window of ``width`` lines longer than ``threshold`` (or a quarter of the page's longest window,
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import lean, prepare
 
 WIDTH, THRESHOLD = 3, 86
 
@@ -49,6 +49,11 @@ masthead header footer sidebar sidebars aside widget widgets comment comments di
 skip toc""".split())
 READERS = {"comment", "comments", "disqus", "respond", "reply", "replies"}  # hints that hold with a heading too
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# what adverts, share links, subscriptions and readers' comments end with in a compound name, and what a name that begins with a hint goes on with
+STRONG = set("""ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo newsletter comments disqus popup signup
+subscribe subscription cookie cookies share sharing sidebar breadcrumb breadcrumbs pagination""".split())
+BOXES = set("""area articles bar block box button buttons card container content form group icon icons inner item items link links list message
+panel posts section slot stories unit wrap wrapper zone""".split())
 OWN = {"article", "post", "entry", "story", "content"}  # whose header is a part of the text
 # an element that goes always, one that a class or id hints at, one that only an id hints at
 HARD, HINT, ID_HINT = 1, 2, 3
@@ -73,9 +78,19 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*+=\s*+(
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def compound(name: str) -> str | None:
+    """The hint in a class or id of several words: at its begin, with nothing but hints and boxes after it, or a strong one at its end."""
+    words = [w.lower() for w in WORDS.findall(name)] if ":" not in name else []
+    if len(words) < 2 or words[0] in ("with", "has", "no"):
+        return None
+    if words[0] in HINTS and words[0] != "header" and all(w in HINTS or w in BOXES for w in words[1:]):
+        return words[0]
+    return words[-1] if words[-1] in STRONG else None
+
+
 def unwanted(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is no article text by its own tag, role, class, id or style; inside an article or main, a
-    class or id hints at that as a whole only."""
+    class or id hints at that as a whole, or as a compound of hints."""
     if tag in AWAY:
         return HARD
     if not attributes or tag in ("html", "body"):
@@ -95,7 +110,7 @@ def unwanted(tag: str, attributes: str, inside: bool) -> int:
             if tag in HEADINGS or found == HINT:
                 continue
             if inside:
-                hints = HINTS.intersection(whole)
+                hints = HINTS.intersection(whole) or {h for h in map(compound, value.split()) if h}
             else:
                 words = [w.lower() for w in WORDS.findall(value)]
                 hints = {w for before, w in zip(["", *words], words, strict=False)
@@ -421,4 +436,4 @@ def extract(pages: DataFrame, *, html: str = "html", width: int = WIDTH, thresho
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), sizes],
                                              names=[*batch.schema.names[:k], "text", "n_chars"])
 
-    return rows.mapInArrow(run, rows.drop("__html").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(lean(run), rows.drop("__html").schema.add("text", "string").add("n_chars", "long"))

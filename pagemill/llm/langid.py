@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, cut, prepare, small
+from .common import crc32_mod, cut, lean, prepare, small
 
 SAMPLE, SPAN = 8_000, 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 24, 8
@@ -162,9 +162,9 @@ def identify(docs: DataFrame, learnable, *, text: str = "text", lang: str = "lan
     """``docs`` with ``lang_pred`` and ``score``; ``learnable``: a condition on the rows to learn from."""
     spark = prepare(docs.sparkSession).sparkContext
     names, net = learn(docs, learnable, text, lang, sample, span)
-    shared = spark.broadcast(tables(net) if net else None)  # 3 MB, and 72 numbers for each language
+    shared = spark.broadcast(tables(net) if net else None)  # 25 MB, and 72 numbers for each language
     fields = ("lang_pred", "score")
-    kept = [c for c in docs.columns if c not in fields]
+    kept = [c for c in docs.columns if c not in fields and c != text]
     rows = docs.select(*kept, F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False)).alias("__letters"),
                        F.col(text).cast("binary").alias("__text"))
 
@@ -195,11 +195,13 @@ def identify(docs: DataFrame, learnable, *, text: str = "text", lang: str = "lan
                     row = to
             known = letters & bool(names)
             said = [names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))],
-                                             names=[*batch.schema.names[:k], *fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *([batch.column(k + 1)] if keep else []), pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))],
+                                             names=[*batch.schema.names[:k], *(["__text"] if keep else []), *fields])
 
-    schema = rows.drop("__letters", "__text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predict, schema)
+    keep = text not in fields
+    schema = rows.drop("__letters", *([] if keep else ["__text"])).schema.add("lang_pred", "string").add("score", "double")
+    back = [F.col("__text").cast("string").alias(text) if c == text else F.col(c) for c in docs.columns if c not in fields]
+    return rows.mapInArrow(lean(predict), schema).select(*back, *fields)
 
 
 def held_out(key: str):

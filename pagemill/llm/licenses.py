@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, lean, prepare
 
 LEAST, SHARE = 0.75, 0.5
 FILE_LEAST = 0.9  # long licence texts are up to 0.89 similar to those of other families
@@ -259,7 +259,7 @@ def scan_licenses(files: DataFrame, *, path: str = "path", text: str = "text", t
     schema = rows.drop("__text").schema.add("license", "string").add("cosine", "double").add("__share", "double")
     name = F.regexp_extract(F.col("__path"), "([^/]*)$", 1)
     is_file = F.col("license").isNotNull() & ((F.col("__share") >= share) | F.coalesce(F.rlike(name, F.lit(FILE_NAME)), F.lit(False)))
-    own = cut(rows.mapInArrow(run, schema).withColumn("__file", is_file).withColumn("__folder", directory(F.col("__path"))).drop("__share", "__path"))
+    own = cut(rows.mapInArrow(lean(run), schema).withColumn("__file", is_file).withColumn("__folder", directory(F.col("__path"))).drop("__share", "__path"))
 
     counts = own.where(F.col("__file") & F.col("__folder").isNotNull()).groupBy("__folder", "license").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("__folder").orderBy(F.desc("n"), "license"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, mixed, prepare
+from .common import WORD, lean, mixed, prepare
 
 #: Words whose grammar is built at a time (a longer text alone), candidates that are extended together, and the
 #: symbols below which levels end (extensions that get there compare them one by one).
@@ -234,7 +234,7 @@ def find_runs(docs: DataFrame, *, text: str = "text", least: int = 24, times: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column, pa.array(collapsed, pa.binary()).cast(pa.string())],
                                              names=[*batch.schema.names[:-1], *names])
 
-    return rows.mapInArrow(search, schema)
+    return rows.mapInArrow(lean(search), schema)
 
 
 def strongest(runs: Column) -> Column:

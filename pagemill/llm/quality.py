@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, cut, prepare
+from .common import crc32_mod, cut, lean, prepare
 
 FEATURES, GAMMA, RIDGE, BINS = 256, 0.06, 1e-3, 512
 
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             x = pa.array([statistics(t.as_py()) for t in batch.column(k)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], x], names=[*batch.schema.names[:k], "__x"])
 
-    return rows.mapInArrow(compute, rows.drop("__text").schema.add("__x", T.ArrayType(T.DoubleType())))
+    return rows.mapInArrow(lean(compute), rows.drop("__text").schema.add("__x", T.ArrayType(T.DoubleType())))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              names=[*batch.schema.names[:k], *fields])
 
-    return rows.mapInArrow(apply, rows.drop("__x").schema.add("score", "double").add("predicted", "integer"))
+    return rows.mapInArrow(lean(apply), rows.drop("__x").schema.add("score", "double").add("predicted", "integer"))
 
 
 def held_out(key: str):

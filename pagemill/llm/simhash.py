@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, lean, prepare
 from .components import connected_components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
@@ -208,7 +208,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 4, seed:
             found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(k)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found)], names=[*batch.schema.names[:k], "__print"])
 
-    return rows.mapInArrow(compute, rows.drop("__text").schema.add("__print", "long"))
+    return rows.mapInArrow(lean(compute), rows.drop("__text").schema.add("__print", "long"))
 
 
 def links(prints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataFrame:
@@ -226,12 +226,16 @@ def links(prints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": key, "print": some[row].view(np.int64)})
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.mapInArrow(emit, "key long, print long").repartition(parts, "key").sortWithinPartitions("key", "print")
+    # dealt evenly first: a checkpoint may have few partitions, and each row makes some hundred keys
+    keyed = prints.repartition(parts).mapInArrow(lean(emit), "key long, print long").repartition(parts, "key").sortWithinPartitions("key", "print")
     found = cut(keyed.mapInArrow(links_in_buckets(bits, chunk), "a long, b long, key long, part int, prints binary"))
     large = found.where("key IS NOT NULL").select("key", "part", "prints")
-    others = large.select("key", F.col("part").alias("part2"), F.col("prints").alias("prints2"))
-    pairs = large.join(others, "key").where("part < part2").select("prints", "prints2")
-    more = pairs.repartition(parts).mapInArrow(links_between_chunks(bits), "a long, b long")
+    # every pair of a bucket's chunks meets under a key of its own
+    large = large.join(large.groupBy("key").agg(F.max("part").alias("last")), "key")
+    one = large.where("part < last").select("key", "part", F.explode(F.expr("sequence(part + 1, last)")).alias("part2"), "prints")
+    two = large.where("part > 0").select("key", F.explode(F.expr("sequence(0, part - 1)")).alias("part"), F.col("part").alias("part2"), F.col("prints").alias("prints2"))
+    pairs = one.join(two, ["key", "part", "part2"]).select("prints", "prints2")
+    more = pairs.mapInArrow(links_between_chunks(bits), "a long, b long")
     return found.where("key IS NULL").select("a", "b").unionByName(more).distinct()
 
 

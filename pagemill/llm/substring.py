@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, prepare
+from .common import lean, mixed, prepare
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -300,7 +300,7 @@ def levels(window: int, least: int = 16) -> list[int]:
 def marks_of(level: DataFrame, parts: int) -> DataFrame:
     """Deals a level's hashes, marks those that occur again and gathers the marks of each row."""
     sorted_ = level.repartition(parts, "hash").sortWithinPartitions("hash", "state")
-    marked = sorted_.mapInArrow(marking, MARKED)
+    marked = sorted_.mapInArrow(lean(marking), MARKED)
     return marked.groupBy(F.col("first").alias("__1"), F.col("second").alias("__2")).agg(F.collect_list("place").alias("__marks"))
 
 
@@ -312,16 +312,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.xxhash64(key).alias("__first"), F.xxhash64(text).alias("__second"), *kept, F.col(text).cast("binary").alias("__text"))
     on = (F.col("__first") == F.col("__1")) & (F.col("__second") == F.col("__2"))
     lengths = levels(window)
-    level = rows.select("__first", "__second", "__text").mapInArrow(first_level(window, lengths[0]), DEALT)
+    level = rows.select("__first", "__second", "__text").mapInArrow(lean(first_level(window, lengths[0])), DEALT)
     # the texts are dealt by key once; both joins read that shuffle
     texts = rows.repartition(parts, "__first", "__second")
     for i, length in enumerate(lengths[1:]):
         joined = texts.join(marks_of(level, parts), on)
         level = joined.select("__first", "__second", "__marks", *kept, "__text").mapInArrow(
-            next_level(window, length, lengths[i], i == 0), DEALT)
+            lean(next_level(window, length, lengths[i], i == 0)), DEALT)
     joined = texts.join(marks_of(level, parts), on, "left").select("__marks", *kept, "__text")
     schema = joined.drop("__marks", "__text").schema.add("__kept", "binary").add("n_words", "long").add("n_removed", "long")
-    done = joined.mapInArrow(removing(window), schema)
+    done = joined.mapInArrow(lean(removing(window)), schema)
     order = [F.col("__kept").cast("string").alias(text) if c == text else F.col(c) for c in docs.columns if c in kept or c == text]
     return done.select(*order, "n_words", "n_removed")
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import prepare
+from .common import lean, prepare
 from .tokens import load
 
 #: The words a worker remembers, and the longest of them in bytes.
@@ -129,7 +129,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, *, text: st
             ids = [encoder.text(t.as_py()) + end for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def store(path: str):

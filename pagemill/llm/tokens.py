@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, prepare
+from .common import Memo, lean, prepare
 
 #: Letters, digits and punctuation of Latin-1 and Latin Extended-A, general punctuation, and the four usual white spaces.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įĲ-ňŊ-ž‐-‧‰-⁞€]*")
@@ -74,7 +74,7 @@ def frequent_words(docs: DataFrame, text: str, rows: int, words: int) -> list[st
         yield pa.RecordBatch.from_pydict({"word": [w for w, _ in top], "n": pa.array([n for _, n in top], pa.int64())})
 
     sample = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").where(F.pmod(F.xxhash64("t"), F.lit(16)) == 0).limit(rows)
-    found = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
@@ -117,4 +117,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text: str = "text", li
     kept = [c for c in docs.columns if c not in names]
     rows = docs.select(*kept, F.col(text).alias("__text"))
     schema = rows.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(lean(count), schema)

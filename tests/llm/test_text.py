@@ -127,6 +127,23 @@ def test_hints_inside_an_article(html, text):
     assert html_text.main_text(f"<article><p>{LONG}</p>{html}</article>") == (LONG + "\n" + text).strip()
 
 
+@pytest.mark.parametrize("name", ["share-buttons", "ad-slot", "newsletter-box", "comments-area", "comment-list", "adSlot top", "post-comments",
+                                  "social_share", "related-articles", "cookie-notice", "sticky-ad", "js-x sponsored-content"])
+def test_compound_hints_inside_an_article(name):
+    for tag in ("article", "main"):
+        for what in ("class", "id"):
+            html = f"<{tag}><p>{LONG}</p><div {what}='{name}'><p>no</p><ul><li>no</ul></div><p>End.</p></{tag}>"
+            assert html_text.main_text(html) == f"{LONG}\nEnd."
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "md:hidden", "related-work", "article-header", "header-content", "no-ads", "with-sidebar", "text-block", "card-header",
+                                  "entry-content", "toc-free", "admonition", "modal-logic", "ad:slot", "shared-memory"])
+def test_other_compounds_stay(name):
+    for tag in ("article", "main"):
+        html = f"<{tag}><p>{LONG}</p><div class='{name}'><p>Kept.</p></div><p>End.</p></{tag}>"
+        assert html_text.main_text(html) == f"{LONG}\nKept.\nEnd."
+
+
 @pytest.mark.parametrize("name", ["overflow-hidden", "widget", "page-with-sidebar sidebar"])
 def test_hinted_wrapper_of_the_text_stays(name):
     for wrap in ("%s", "<article>%s</article>", "<main><p>Intro.</p>%s</main>"):
@@ -144,6 +161,8 @@ def test_pages(spark):
                                "page_id long, url string, html string, text string")
     same(html_text.extract(df).collect(), [(1, "u", "Title\n" + BODY, len("Title\n" + BODY)), (None, None, "", 0), (1, "u", "", 0)])
     assert html_text.extract(df.where("false")).collect() == []
+    clash = html_text.extract(df.withColumn("n_chars", html_text.F.lit("mine")))
+    assert [r.n_chars for r in clash.collect()] == [len("Title\n" + BODY), 0, 0]
 
 
 def wanted_tokens(rows):
