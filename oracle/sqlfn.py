@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 
 from pagemill.functions.text import WS, WS_NO_LF
 from pagemill.functions.urls import TRACKING_KEYS, URL_RE
-from pagemill.operators.tokens import (ATTR_PATTERN, BLOCK_TAGS, INLINE_TAGS, TOKEN_PATTERN,
+from pagemill.operators.tokens import (ATTR_PATTERN, BLOCK_TAGS, BOUND_TAGS, INLINE_TAGS, RAW_TEXT_OPEN, RAW_TEXT_TAGS, TOKEN_PATTERN,
                                        VOID_TAGS)
 
 
@@ -253,7 +253,7 @@ def clean_href(href: str, base: str) -> str:
 
 
 # ---------------------------------------------------------------- tokens / elements
-DUCK_TOKEN_PATTERN = TOKEN_PATTERN.replace("*+>", "*>")
+DUCK_TOKEN_PATTERN = TOKEN_PATTERN.replace("*+", "*")
 NAME_RE = r"^([^\s\"'>/=]+)"
 
 
@@ -265,10 +265,15 @@ def tokens_cte(pages: str = "pages") -> str:
             f"WHEN tok LIKE '</%' AND nm <> '' THEN 'close' "
             f"WHEN regexp_matches(tok, '^<[A-Za-z]') THEN CASE WHEN nm IN {inlist(VOID_TAGS)} OR tok LIKE '%/>' "
             f"THEN 'void' ELSE 'open' END ELSE 'text' END")
+    raw = rf"(?is)^(<(?:{'|'.join(RAW_TEXT_TAGS)}){RAW_TEXT_OPEN.replace('*+', '*')})(.*)(</[a-z]+\s*>)$"
+    piece = lambda k, r: f"{{'tok': regexp_extract(m, {q(raw)}, {k}), 'raw': {r}}}"
+    parts = (f"CASE WHEN regexp_matches(m, {q(raw)}) THEN list_filter([{piece(1, 'false')}, {piece(2, 'true')}, {piece(3, 'false')}], lambda x: x.tok <> '') "
+             f"ELSE [{{'tok': m, 'raw': false}}] END")
+    kind = "CASE WHEN raw THEN 'text' ELSE " + kind + " END"
     return (
-        f"tok_raw AS (SELECT page_id, (generate_subscripts(arr, 1) - 1)::INTEGER AS pos, unnest(arr) AS tok "
-        f"FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {q(DUCK_TOKEN_PATTERN)}, 0) AS arr FROM {pages})),\n"
-        f"tok_nm AS (SELECT page_id, pos, tok, {name} AS nm FROM tok_raw),\n"
+        f"tok_arr AS (SELECT page_id, flatten(list_transform(regexp_extract_all(coalesce(html, ''), {q(DUCK_TOKEN_PATTERN)}, 0), lambda m: {parts})) AS arr FROM {pages}),\n"
+        f"tok_raw AS (SELECT page_id, (i - 1)::INTEGER AS pos, x.tok AS tok, x.raw AS raw FROM (SELECT page_id, generate_subscripts(arr, 1) AS i, unnest(arr) AS x FROM tok_arr)),\n"
+        f"tok_nm AS (SELECT page_id, pos, tok, raw, {name} AS nm FROM tok_raw),\n"
         f"tok_k AS (SELECT page_id, pos, tok, nm, {kind} AS kind FROM tok_nm),\n"
         f"tokens AS (SELECT page_id, pos, kind, CASE WHEN kind IN ('open','close','void','raw') AND nm <> '' "
         f"THEN nm END AS tag, tok FROM tok_k)"
@@ -292,21 +297,34 @@ def elements_cte() -> str:
                f"WHEN tag = 'tr' THEN b_tr WHEN tag IN ('td','th') THEN b_cell "
                f"WHEN tag IN ('thead','tbody','tfoot') THEN b_tsec WHEN tag = 'option' THEN b_opt "
                f"WHEN tag IN {inlist(INLINE_TAGS)} THEN b_block END")
+    bound = inlist(BOUND_TAGS)
+
+    def pairs(name: str, src: str) -> str:
+        return (f"{name}_rs AS (SELECT *, sum(CASE k2 WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER "
+                f"(PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) AS rs FROM {src}),\n"
+                f"{name}_lv AS (SELECT *, CASE WHEN k2 = 'close' THEN rs + 1 ELSE rs END AS lvl FROM {name}_rs),\n"
+                f"{name}_nx AS (SELECT *, lead(k2) OVER w AS nxt_kind, lead(pos) OVER w AS nxt_pos FROM {name}_lv "
+                f"WINDOW w AS (PARTITION BY page_id, tag, lvl ORDER BY pos)),\n"
+                f"{name}_sp AS (SELECT page_id, pos, nxt_pos FROM {name}_nx WHERE k2 = 'open' AND nxt_kind = 'close' AND tag IN {bound})")
+
     return (
-        "el_rs AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER "
-        "(PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) AS rs FROM tokens "
-        "WHERE kind IN ('open','close','void','raw')),\n"
-        "el_lv AS (SELECT *, CASE WHEN kind = 'close' THEN rs + 1 ELSE rs END AS lvl FROM el_rs),\n"
-        "el_nx AS (SELECT *, lead(kind) OVER w AS nxt_kind, lead(pos) OVER w AS nxt_pos FROM el_lv "
-        "WINDOW w AS (PARTITION BY page_id, tag, lvl ORDER BY pos)),\n"
+        "el_in AS (SELECT *, kind AS k2 FROM tokens WHERE kind IN ('open','close','void','raw')),\n"
+        + pairs("ea", "el_in") + ",\n"
+        "el_x AS (SELECT DISTINCT a.page_id, a.pos FROM ea_sp a JOIN ea_sp b ON a.page_id = b.page_id AND b.pos < a.pos "
+        "AND a.pos < b.nxt_pos AND b.nxt_pos < a.nxt_pos),\n"
+        "el_in2 AS (SELECT i.* REPLACE (CASE WHEN x.pos IS NULL THEN k2 ELSE 'unclosed' END AS k2) FROM el_in i LEFT JOIN el_x x USING (page_id, pos)),\n"
+        + pairs("eb", "el_in2") + ",\n"
+        "el_ar AS (SELECT o.page_id, o.pos, min(s.nxt_pos) AS around_end FROM eb_nx o JOIN eb_sp s ON o.page_id = s.page_id "
+        "AND s.pos < o.pos AND o.pos < s.nxt_pos WHERE o.kind = 'open' GROUP BY ALL),\n"
         f"el_bd AS (SELECT page_id, pos, {bounds} FROM tokens WHERE kind IN ('open','close','void') "
         "WINDOW rv AS (PARTITION BY page_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),\n"
-        "el_j AS (SELECT n.*, b.* EXCLUDE (page_id, pos) FROM el_nx n LEFT JOIN el_bd b USING (page_id, pos) "
+        "el_j AS (SELECT n.*, b.* EXCLUDE (page_id, pos), r.around_end, CASE WHEN nxt_kind = 'close' THEN nxt_pos END AS own_end "
+        "FROM eb_nx n LEFT JOIN el_bd b USING (page_id, pos) LEFT JOIN el_ar r USING (page_id, pos) "
         "WHERE n.kind IN ('open','void','raw')),\n"
-        f"el_e AS (SELECT page_id, tag, pos AS open_pos, "
-        f"CASE WHEN kind <> 'open' THEN pos WHEN nxt_kind = 'close' THEN nxt_pos "
-        f"ELSE coalesce({implied}, 1073741824) END AS end_pos, "
-        f"(kind <> 'open' OR coalesce(nxt_kind = 'close', false)) AS explicit, tok, kind AS ekind FROM el_j),\n"
+        "el_ex AS (SELECT *, (kind <> 'open' OR coalesce(own_end <= coalesce(around_end, own_end), false)) AS explicit FROM el_j),\n"
+        f"el_e AS (SELECT page_id, tag, pos AS open_pos, CASE WHEN kind <> 'open' THEN pos WHEN explicit THEN own_end "
+        f"ELSE least(coalesce({implied}, 1073741824), coalesce(around_end, 1073741824)) END AS end_pos, "
+        f"explicit, tok, kind AS ekind FROM el_ex),\n"
         "elements AS (SELECT *, CASE WHEN explicit THEN end_pos + 1 ELSE end_pos END AS stop_pos FROM el_e)"
     )
 

@@ -2,17 +2,16 @@
 
 The DOM of a page is represented relationally:
 
-* ``tokens(page_id, pos, kind, tag, tok)`` - document-order lexical tokens, made
-  by one ``regexp_extract_all`` + ``posexplode`` per page (no shuffle: a page's
-  tokens stay in the partition that holds the page row).
-* ``elements(page_id, tag, open_pos, end_pos, stop_pos, explicit, tok)`` - an
-  element owns the tokens ``open_pos <= pos < stop_pos``; its content is
-  ``open_pos < pos < end_pos``. Open and close tags are paired with window
-  functions only (running depth per tag, then ``lead`` within a depth).
-
-Pages are hash-partitioned by ``page_id`` once, before tokenising, so every
-per-page window and every (page_id, ...) join downstream reuses that
-partitioning; the shuffled rows are whole pages, not tokens.
+* ``tokens(page_id, pos, kind, tag, tok)`` - document-order lexical tokens, made by one
+  ``regexp_extract_all`` + ``posexplode`` per page (no shuffle: a page's tokens stay in the
+  partition that holds the page row). What a raw-text element (``RAW_TEXT_TAGS``) holds is one text token.
+* ``elements(page_id, tag, open_pos, end_pos, stop_pos, explicit, tok)`` - an element owns the tokens
+  ``open_pos <= pos < stop_pos``; its content is ``open_pos < pos < end_pos``.
+
+Open and close tags are paired with window functions only: running depth per tag, then ``lead`` within
+a depth. A pair that would end after the structural element it begins in is none: its end tag belongs to an
+element further out, so such opens are left out and the others paired again. What has no end tag ends where its
+kind implies it, at the latest with the innermost structural element around it.
 """
 
 from __future__ import annotations
@@ -25,8 +24,11 @@ from ..functions.text import WS, decode_entities
 # Token pattern. Comments, whole script/style elements, tags
 # (quoted attribute values may contain '>'; the possessive '*+' keeps Java's
 # regex engine from deep backtracking), text runs, and a lone '<'.
+RAW_TEXT_TAGS = ["textarea", "title", "iframe", "xmp", "noembed"]
+RAW_TEXT_OPEN = r"""(?:\s(?:[^>"'/]|"[^"]*"|'[^']*'|/[^>])*+)?>"""
+RAW_TEXT_PATTERN = "|".join(rf"<{t}{RAW_TEXT_OPEN}.*?</{t}\s*>" for t in RAW_TEXT_TAGS)
 TOKEN_PATTERN = (
-    r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"""
+    r"""(?is)<!--.*?-->|""" + RAW_TEXT_PATTERN + r"""|<script\b.*?</script\s*>|<style\b.*?</style\s*>"""
     r"""|</?[a-z!](?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+|<"""
 )
 
@@ -41,6 +43,8 @@ BLOCK_TAGS = ["address", "article", "aside", "blockquote", "body", "caption", "d
 INLINE_TAGS = ["a", "abbr", "b", "big", "cite", "code", "del", "em", "font", "i", "ins", "kbd",
                "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub",
                "sup", "tt", "u", "var"]
+# Elements that bound what is left open in them: a paragraph or formatting doesn't.
+BOUND_TAGS = [t for t in BLOCK_TAGS if t not in ("p", "hr", "html", "body")]
 # Tags whose end may be implied, and which tokens imply it:
 #   p and inline formatting -> next block open/close
 #   li -> next li open or list close;  dt/dd -> next dt/dd open or dl close
@@ -55,14 +59,22 @@ ATTR_PATTERN = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 
 def tokenize(pages: DataFrame) -> DataFrame:
     """``pages(page_id, html, ...)`` -> ``tokens(page_id, pos, kind, tag, tok)``."""
-    toks = pages.select(
-        "page_id",
-        F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN_PATTERN), 0)).alias("pos", "tok"),
-    )
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN_PATTERN), 0)
+    whole = rf"(?is)^(<(?:{'|'.join(RAW_TEXT_TAGS)}){RAW_TEXT_OPEN})(.*)(</[a-z]+\s*>)$"
+
+    def parts(m):
+        """A raw-text element is three tokens, the middle one text whatever it looks like."""
+        item = lambda tok, raw: F.struct(tok.alias("tok"), F.lit(raw).alias("raw"))
+        piece = lambda k: F.regexp_extract(m, whole, k)
+        split = F.filter(F.array(item(piece(1), False), item(piece(2), True), item(piece(3), False)), lambda x: x["tok"] != "")
+        return F.when(F.rlike(m, F.lit(whole)), split).otherwise(F.array(item(m, False)))
+
+    toks = pages.select("page_id", F.posexplode(F.flatten(F.transform(found, parts))).alias("pos", "t")).select("page_id", "pos", "t.*")
     head = F.lower(F.substring("tok", 1, 9))
     name = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
     kind = (
-        F.when(F.col("tok").startswith("<!--"), F.lit("comment"))
+        F.when(F.col("raw"), F.lit("text"))
+        .when(F.col("tok").startswith("<!--"), F.lit("comment"))
         .when(F.col("tok").startswith("<!"), F.lit("doctype"))
         .when((head.startswith("<script") | head.startswith("<style")) & F.lower("tok").rlike(r"</(script|style)\s*>$"),
               F.lit("raw"))
@@ -86,15 +98,36 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, F.col("pos"))
 
 
-def elements(tokens: DataFrame) -> DataFrame:
-    """S3: pair tags into elements with explicit or implied ends."""
-    paired = tokens.filter(F.col("kind").isin("open", "close", "void", "raw"))
+def _paired(tags: DataFrame) -> DataFrame:
+    """Tag tokens with the kind and place of the next one of their tag and depth: an open's end tag, if it is a close."""
     by_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    t = paired.withColumn("rs", F.sum(delta).over(by_tag))
+    t = tags.withColumn("rs", F.sum(delta).over(by_tag))
     t = t.withColumn("lvl", F.when(F.col("kind") == "close", F.col("rs") + 1).otherwise(F.col("rs")))
     by_lvl = Window.partitionBy("page_id", "tag", "lvl").orderBy("pos")
-    t = t.withColumn("nxt_kind", F.lead("kind").over(by_lvl)).withColumn("nxt_pos", F.lead("pos").over(by_lvl))
+    return t.withColumn("nxt_kind", F.lead("kind").over(by_lvl)).withColumn("nxt_pos", F.lead("pos").over(by_lvl))
+
+
+def _ends_around(opens: DataFrame, paired: DataFrame) -> DataFrame:
+    """``opens(page_id, pos, ...)`` that are in a structural element, with the end of the innermost: ``around_end``."""
+    from ..plans.intervals import assign_owner
+
+    spans = paired.filter((F.col("kind") == "open") & (F.col("nxt_kind") == "close") & F.col("tag").isin(*BOUND_TAGS))
+    return assign_owner(opens, spans.select("page_id", F.col("pos").alias("open_pos"), F.col("nxt_pos").alias("end_pos")), "around", with_end=True)
+
+
+def elements(tokens: DataFrame) -> DataFrame:
+    """S3: pair tags into elements with explicit or implied ends."""
+    tags = tokens.filter(F.col("kind").isin("open", "close", "void", "raw")).select("page_id", "pos", "kind", "tag", "tok")
+    # first pairing: what ends outside the structural element it begins in has no end tag of its own
+    first = _paired(tags.select("page_id", "pos", "kind", "tag"))
+    closed = first.filter((F.col("kind") == "open") & (F.col("nxt_kind") == "close") & F.col("tag").isin(*BOUND_TAGS))
+    crossing = _ends_around(closed.select("page_id", "pos", F.col("nxt_pos").alias("end")), first).filter("around_end < end")
+    tags = tags.join(crossing.select("page_id", "pos", F.lit("unclosed").alias("other")), ["page_id", "pos"], "left")
+    tags = tags.withColumn("kind", F.coalesce("other", "kind")).drop("other")
+    t = _paired(tags)
+    t = t.withColumn("kind", F.when(F.col("kind") == "unclosed", "open").otherwise(F.col("kind")))
+    t = t.withColumn("nxt_kind", F.when(F.col("nxt_kind") == "unclosed", "open").otherwise(F.col("nxt_kind")))
 
     # Boundaries that end an element whose close tag is missing: the nearest
     # following token of each class (a running min over reversed order, so the
@@ -113,12 +146,14 @@ def elements(tokens: DataFrame) -> DataFrame:
         "b_tsec": o("thead", "tbody", "tfoot") | c("table"),
         "b_opt": o("option", "optgroup") | c("select", "datalist", "optgroup"),
     }
-    page_tokens = tokens.filter(F.col("kind").isin("open", "close", "void"))
+    page_tokens = t.filter(F.col("kind").isin("open", "close", "void"))
     bounds = page_tokens.select(
         "page_id", "pos", *[F.min(_flag(cond)).over(rev).alias(name) for name, cond in classes.items()]
     )
     opens = t.filter(F.col("kind").isin("open", "void", "raw"))
     opens = opens.join(bounds, ["page_id", "pos"], "left")
+    around = _ends_around(t.filter(F.col("kind") == "open").select("page_id", "pos"), t)
+    opens = opens.join(around.select("page_id", "pos", "around_end"), ["page_id", "pos"], "left")
     implied = (
         F.when(g == "p", F.col("b_block"))
         .when(g == "li", F.col("b_li"))
@@ -129,11 +164,12 @@ def elements(tokens: DataFrame) -> DataFrame:
         .when(g == "option", F.col("b_opt"))
         .when(g.isin(*INLINE_TAGS), F.col("b_block"))
     )
-    explicit = (k != "open") | F.coalesce(F.col("nxt_kind") == "close", F.lit(False))
+    own_end = F.when(F.col("nxt_kind") == "close", F.col("nxt_pos"))
+    explicit = (k != "open") | F.coalesce(own_end <= F.coalesce("around_end", own_end), F.lit(False))
     end_pos = (
         F.when(k != "open", F.col("pos"))
-        .when(F.col("nxt_kind") == "close", F.col("nxt_pos"))
-        .otherwise(F.coalesce(implied, F.lit(1 << 30)))
+        .when(explicit, own_end)
+        .otherwise(F.least(F.coalesce(implied, F.lit(1 << 30)), F.coalesce("around_end", F.lit(1 << 30))))
     )
     out = opens.select(
         "page_id", "tag", F.col("pos").alias("open_pos"), end_pos.alias("end_pos"),

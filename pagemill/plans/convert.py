@@ -66,7 +66,7 @@ class Conversion:
 
     def __init__(self, spark: SparkSession, corpus: Corpus, rules: DataFrame | None = None,
                  options: Options | None = None, alternates: DataFrame | None = None):
-        self.spark = spark
+        self.spark = corpus.spark  # plans of pages have a session of their own
         self.corpus = corpus
         self.rules = rules if rules is not None else R.builtin_rules(spark)
         self.opt = options or Options()
@@ -192,10 +192,10 @@ class Conversion:
             n = F.row_number().over(Window.partitionBy("page_id", "base").orderBy("open_pos")) - 1
             h = h.withColumn("n", n)
             slug = F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
-            return h.select(
+            return materialize(h.select(
                 "page_id", F.col("open_pos").alias("pos"), F.substring("tag", 2, 1).cast("int").alias("level"),
                 "text", F.when(F.coalesce(F.col("given_id"), F.lit("")) != "", F.col("given_id")).otherwise(slug).alias("id"),
-                slug.alias("slug"))
+                slug.alias("slug")))
         return self._memo("headings", build)
 
     @property
@@ -328,7 +328,7 @@ class Conversion:
         """Cleaned tokens without the insides of replaced elements."""
         def build():
             iv = self.replacements.select("page_id", (F.col("open_pos") + 1).alias("open_pos"), "stop_pos")
-            return sweep_keep(self.cleaned_tokens, iv)
+            return materialize(sweep_keep(self.cleaned_tokens, iv))  # cut: texts, elements and replacements read them
         return self._memo("render_tokens", build)
 
     # ------------------------------------------------------------ render
@@ -495,7 +495,7 @@ class Conversion:
         """A4: two-level ordered aggregation of the fragments -> ``(page_id, body)``."""
         def build():
             parts = self._render_elements().unionByName(self._render_text()).unionByName(self._render_replacements())
-            frags = self._assembled(parts)
+            frags = self._assembled(materialize(parts))
             frags = frags.withColumn("chunk", F.floor(F.col("k1") / CHUNK).cast("int"))
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "k4", "md")))
             part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))

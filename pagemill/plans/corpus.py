@@ -1,9 +1,12 @@
-"""Lazily built relations of one page corpus.
+"""The relations of one page corpus.
 
-``Corpus`` wires the operators together once per job: pages are partitioned
-by ``page_id`` a single time, then tokens, elements and attributes are
-derived from that partitioning. Everything stays lazy (no actions here), so
-Catalyst sees one plan per output and prunes what an output does not need.
+``Corpus`` takes pages to one row each, deals them out by ``page_id`` a single time and derives tokens, elements and
+attributes from that. Its relations are planned by a session of their own (``session.page_session``), in which checkpoints and
+unions keep that partitioning. ``page_info``, ``tokens`` and ``elements_attrs`` are written when they are first asked for.
+
+A page may be given more than once (crawled again): the row of the latest ``crawled_at`` counts, if there is such a
+column, then the one of the greatest url, then of the greatest html (so exact copies count once). Rows without
+``page_id`` are no pages; ``nameless`` holds them.
 """
 
 from __future__ import annotations
@@ -14,30 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
+from ..functions.urls import url_host
 from ..operators import tokens as T
-from ..sources.tables import partition_pages, scan_pages
+from ..session import page_session, taken_over
+from ..sources.tables import latest_pages, scan_pages
 from .materialize import materialize
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, pages: DataFrame, partitions: int | None = None):
-        self.spark = spark
-        self._raw_pages = pages
-        self._partitions = partitions
+    def __init__(self, spark: SparkSession, pages: DataFrame):
+        self.spark = page_session(spark)
+        self._given = taken_over(self.spark, pages)
 
     @classmethod
-    def from_dir(cls, spark: SparkSession, sf_dir: str, partitions: int | None = None) -> "Corpus":
-        return cls(spark, scan_pages(spark, sf_dir), partitions)
+    def from_dir(cls, spark: SparkSession, sf_dir: str) -> "Corpus":
+        return cls(spark, scan_pages(spark, sf_dir))
 
     @cached_property
     def pages(self) -> DataFrame:
-        """Pages hash-partitioned by ``page_id`` (the only shuffle of page rows)."""
-        return partition_pages(self._raw_pages, self._partitions)
+        """One row ``(page_id, url, html, host)`` for each page, hash-partitioned by ``page_id`` (the only shuffle of html)."""
+        return latest_pages(self._given, "html").withColumn("host", url_host(F.col("url")))
 
     @cached_property
     def page_info(self) -> DataFrame:
-        """``(page_id, url, host)`` without the html column."""
-        return self.pages.select("page_id", "url", "host")
+        """``(page_id, url, host, crawls)``, the rows of ``pages`` without the html; ``crawls``: the rows given for the page."""
+        return materialize(latest_pages(self._given).withColumn("host", url_host(F.col("url"))))
+
+    @cached_property
+    def nameless(self) -> DataFrame:
+        """``(url, host)`` of the rows without a ``page_id``."""
+        return self._given.where("page_id IS NULL").select("url", url_host(F.col("url")).alias("host"))
 
     @cached_property
     def tokens(self) -> DataFrame:

@@ -5,8 +5,9 @@ text is inside this element?", "which heading owns this text?") are answered
 with one sort per page and running aggregates, never with a range join: a
 range join would pair every token with every element of its page.
 
-All helpers keep ``page_id`` as the leading partition key, so they reuse the
-page partitioning of the token relation (no extra exchange).
+All helpers keep ``page_id`` as the leading partition key. In the plans of a
+``page_session`` unions keep the partitioning of their inputs, so they add no
+exchange of tokens (tests/test_plans.py counts them).
 """
 
 from __future__ import annotations
@@ -65,14 +66,14 @@ def interval_sums(points: DataFrame, intervals: DataFrame, weights: list[str]) -
     return probes.groupBy("page_id", F.col("_el").alias("open_pos")).agg(*agg)
 
 
-def assign_owner(points: DataFrame, owners: DataFrame, prefix: str = "owner") -> DataFrame:
+def assign_owner(points: DataFrame, owners: DataFrame, prefix: str = "owner", with_end: bool = False) -> DataFrame:
     """Attach to each ``points(page_id, pos, ...)`` row the innermost
     ``owners(page_id, open_pos, end_pos)`` element that contains it.
 
     Owners may nest: depth counts the owners that are open at a row, and the
     last owner opened at that depth is the innermost one. The second window
     sorts anew inside the page partitioning of the first, without a shuffle.
-    Returns points with ``{prefix}_open``; points with no owner are dropped.
+    Returns points with ``{prefix}_open`` (and ``{prefix}_end``); points with no owner are dropped.
     """
     cols = points.columns
     pts = points.withColumn("_ow", F.lit(None).cast("struct<o:int,e:int>")).withColumns({"_k": F.lit(1), "_d": F.lit(0)})
@@ -91,7 +92,7 @@ def assign_owner(points: DataFrame, owners: DataFrame, prefix: str = "owner") ->
     by_depth = Window.partitionBy("page_id", "_lvl").orderBy("pos", "_k").rowsBetween(*RUN)
     u = u.withColumn("_cur", F.last("_ow", ignorenulls=True).over(by_depth))
     u = u.filter((F.col("_k") == 1) & (F.col("_cur.e") > F.col("pos")) & (F.col("_cur.o") < F.col("pos")))
-    return u.select(*cols, F.col("_cur.o").alias(f"{prefix}_open"))
+    return u.select(*cols, F.col("_cur.o").alias(f"{prefix}_open"), *([F.col("_cur.e").alias(f"{prefix}_end")] if with_end else []))
 
 
 def outermost(elements: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Tokens and elements feed a dozen downstream relations; without a cut,
 Catalyst re-plans (and Spark re-runs) the regex tokenizer for each of them.
 ``materialize`` writes the relation once with a reliable ``checkpoint()``
-into the cluster's ``spark.checkpoint.dir`` (so it survives executor loss
-and keeps the page_id partitioning); ``persist`` is available for
+into the cluster's ``spark.checkpoint.dir`` (so it survives executor loss;
+in a session of ``page_session`` it keeps partitioning and order); ``persist`` is available for
 interactive use. Never a local checkpoint.
 """
 

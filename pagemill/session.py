@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. ``requireAllClusterKeysForCoPartition=false``
 # lets a join on (page_id, pos) reuse the page_id hash partitioning that the
@@ -47,6 +48,37 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: How page relations are planned: with fixed partition counts, so that a page's tokens, elements and intervals stay in
+#: one partition through checkpoints, unions and joins. Adaptive planning would forget or change the counts.
+PAGE_PLANS = {
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.unionOutputPartitioning": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def page_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application for the plans of page relations: the caller's settings, then ``PAGE_PLANS``."""
+    ensure_checkpoint_dir(spark)
+    session = spark.newSession()
+    for settings in (spark.conf.getAll, PAGE_PLANS):
+        for key, value in settings.items():
+            if key.startswith("spark.") and session.conf.isModifiable(key):
+                session.conf.set(key, value)
+    return session
+
+
+def taken_over(session: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` of another session of the application, planned by this one."""
+    name = f"taken_over_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    found = session.table(f"global_temp.{name}")
+    session.catalog.dropGlobalTempView(name)
+    return found
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests and local benchmarks (UI off, no ports beyond Spark's own)."""
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)

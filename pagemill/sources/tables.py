@@ -26,15 +26,11 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("host", url_host(F.col("url")))
 
 
-def partition_pages(pages: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition whole pages by ``page_id`` (one shuffle of page rows).
+def latest_pages(pages: DataFrame, *more: str) -> DataFrame:
+    """One row for each ``page_id``: the greatest (``crawled_at`` if it is there, url, ``more``), and ``crawls``, its rows.
 
-    Everything derived per page afterwards (tokens, elements, windows, joins
-    on ``(page_id, ...)``) inherits this partitioning, so no token row is
-    ever shuffled for page-local work.
+    Aggregated before the shuffle, so that a page crawled very often is one row from each task.
     """
-    # An explicit count (default: spark.sql.shuffle.partitions, sized by the
-    # cluster) keeps AQE from folding the page shuffle into a handful of
-    # partitions before the 100x larger token relation is exploded from it.
-    n = num_partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(n, "page_id")
+    order = [*(["crawled_at"] if "crawled_at" in pages.columns else []), "url", *more]
+    found = pages.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max(F.struct(*order)).alias("p"), F.count("*").alias("crawls"))
+    return found.select("page_id", "p.url", *(f"p.{c}" for c in more), "crawls")

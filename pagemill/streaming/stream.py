@@ -12,7 +12,7 @@ recovered query resumes exactly where it stopped.
 stream reads before each batch (stream-static: edits take effect on the
 next batch, as rule edits take effect on the next conversion).
 
-Conversion status (G3) is a column: one bad page (no html, no tokens)
+Conversion status (G3) is a column: one bad page (no html, no content, no id)
 yields an ``error`` row instead of failing the batch.
 """
 
@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.urls import url_host
 from ..plans.convert import Conversion, Options
 from ..plans.corpus import Corpus
 from ..sources import rules as R
@@ -34,20 +33,21 @@ PAGES_SCHEMA = T.StructType([
 ])
 
 
-def with_status(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """``status``/``error`` per page; pages without usable html are errors."""
-    info = pages.select("page_id", F.coalesce(F.length("html"), F.lit(0)).alias("_n"))
-    d = docs.join(info, "page_id", "left")
-    bad = F.col("_n") == 0
-    return d.withColumn("status", F.when(bad, F.lit("error")).otherwise(F.lit("ok"))).withColumn(
-        "error", F.when(bad, F.lit("page has no html"))).drop("_n")
+def with_status(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """``status``, ``error`` and ``crawls`` (rows given for the page); rows without an id are errors of their own."""
+    info = corpus.pages.select("page_id", (F.coalesce(F.length("html"), F.lit(0)) == 0).alias("_none"), "crawls")
+    error = F.when(F.col("_none"), "page has no html").when(F.col("body") == "", "page has no content")
+    docs = docs.join(info, "page_id").withColumn("error", error).drop("_none")
+    lost = corpus.nameless.withColumn("error", F.lit("page has no id")).withColumn("crawls", F.lit(1).cast("long"))
+    docs = docs.unionByName(lost, allowMissingColumns=True)
+    return docs.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
 
 
 def convert_batch(spark: SparkSession, pages: DataFrame, rules: DataFrame | None = None,
                   options: Options | None = None) -> DataFrame:
-    pages = pages.select("page_id", "url", "html").withColumn("host", url_host(F.col("url")))
-    docs = Conversion(spark, Corpus(spark, pages), rules, options).documents
-    return with_status(docs, pages)
+    """A document for each page, whatever is wrong with it (see ``with_status``); a page given more than once counts once."""
+    corpus = Corpus(spark, pages)
+    return with_status(Conversion(corpus.spark, corpus, rules, options).documents, corpus)
 
 
 def stream_convert(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
