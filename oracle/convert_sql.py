@@ -141,9 +141,28 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     ctes.append(match_cte("m_rs", "fa", "rs_conds", True))
     ctes.append("with_rule AS (SELECT DISTINCT p.page_id FROM pg p JOIN rules r ON p.host = r.domain)")
     ctes.append(
-        "root_c AS (SELECT m.page_id, m.open_pos, m.rule_ord, e.end_pos FROM "
+        "root_n AS (SELECT m.page_id, m.open_pos, m.rule_ord, e.end_pos FROM "
         "(SELECT * FROM m_rg WHERE rule_ord > 1 OR page_id NOT IN (SELECT page_id FROM with_rule) "
         "UNION ALL SELECT * FROM m_rs) m JOIN elements e USING (page_id, open_pos))")
+    blocks, boxes = "('p', 'pre', 'td', 'blockquote', 'li', 'dd')", "('article', 'main', 'section', 'div', 'td', 'body')"
+    inner = "max(e.open_pos)"  # the innermost of those that hold a place begins last
+    holds = "e.page_id = t.page_id AND e.open_pos < t.pos AND t.pos < e.end_pos"
+    ctes += [
+        "sp AS (SELECT page_id FROM pg WHERE page_id NOT IN (SELECT page_id FROM root_n WHERE rule_ord < 3))",
+        "se AS (SELECT e.page_id, e.tag, e.open_pos, e.end_pos FROM elements e JOIN sp USING (page_id))",
+        "sx AS (SELECT t.page_id, t.pos, t.text, EXISTS (SELECT 1 FROM se e WHERE e.tag = 'a' AND " + holds + ") AS linked "
+        "FROM tx t JOIN sp USING (page_id) WHERE t.kind = 'text')",
+        f"sb AS (SELECT t.page_id, t.pos, t.text, {inner} AS b FROM sx t JOIN se e ON {holds} AND e.tag IN {blocks} GROUP BY ALL)",
+        f"ss AS (SELECT page_id, b AS pos, {S.trim_ws(S.collapse_inline_ws('x'))} AS x FROM (SELECT page_id, b, string_agg(text, '' ORDER BY pos) AS x FROM sb GROUP BY ALL))",
+        "sv0 AS (SELECT page_id, pos, (1 + length(x) - length(replace(x, ',', '')) + least(length(x) // 100, 3))::DOUBLE AS s FROM ss WHERE length(x) >= 25)",
+        f"sf AS (SELECT page_id, c AS pos, sum(s) AS s FROM (SELECT t.page_id, t.pos, t.s, {inner} AS c FROM sv0 t JOIN se e ON {holds} AND e.tag IN {boxes} GROUP BY ALL) GROUP BY ALL)",
+        f"sh AS (SELECT page_id, c AS pos, s / 2 AS s FROM (SELECT t.page_id, t.pos, t.s, {inner} AS c FROM sf t JOIN se e ON {holds} AND e.tag IN {boxes} GROUP BY ALL))",
+        "st AS (SELECT page_id, pos AS open_pos, sum(s) AS s FROM (SELECT * FROM sf UNION ALL SELECT * FROM sh) GROUP BY ALL)",
+        f"sd AS (SELECT e.page_id, e.open_pos, e.end_pos, sum(length({S.trim_ws('t.text')})) AS n, coalesce(sum(length({S.trim_ws('t.text')})) FILTER (WHERE linked), 0) AS l "
+        f"FROM se e JOIN sx t ON {holds} WHERE e.tag IN {boxes} GROUP BY ALL)",
+        "root_c AS (SELECT page_id, open_pos, rule_ord, end_pos FROM root_n UNION ALL SELECT page_id, open_pos, 3, end_pos FROM (SELECT page_id, open_pos, end_pos, "
+        "s * (1 - l::DOUBLE / greatest(n, 1)) AS score FROM st JOIN sd USING (page_id, open_pos)) "
+        "QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, open_pos) = 1)"]
     ctes.append(
         "root AS (SELECT p.page_id, coalesce(b.open_pos, -1) AS root_open, coalesce(b.end_pos, 1073741824) AS root_end "
         "FROM pg p LEFT JOIN (SELECT * FROM root_c QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rule_ord, open_pos) = 1) b "

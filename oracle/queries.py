@@ -213,6 +213,9 @@ ORACLE["convert_pages_canonical"] = _DOC_ALT + f"SELECT page_id, url, origin, {C
 ORACLE["figures"] = EX.figures_sql()
 ORACLE["write_documents"] = ORACLE["convert_pages"]
 
+ORACLE["main_content_scored"] = CV.documents_sql(pages_sql=fragment_sql("frag_plain")) + (
+    "SELECT r.page_id, root_open, root_end, coalesce(sum(length(t.text)) FILTER (WHERE t.kind = 'text'), 0)::BIGINT AS chars "
+    "FROM root r LEFT JOIN ct t USING (page_id) GROUP BY ALL")
 _DOC_NOTES = CV.documents_sql(pages_sql=fragment_sql("frag_notes"))
 ORACLE["footnote_refs"] = _DOC_NOTES + "SELECT page_id, phase, ref_pos, target, raw_label FROM fn_refs"
 ORACLE["footnote_labels"] = _DOC_NOTES + "SELECT page_id, target, ord, label FROM fn_lab"

@@ -3,7 +3,8 @@
 Stages (each a relation, all keyed and partitioned by ``page_id``):
 
 1. ``root``      W4/J1: content root per page (site selector, else first
-                 ``article``/``main``, else ``body``, else the whole page).
+                 ``article``/``main``, else the container with the best text
+                 score, else ``body``, else the whole page).
 2. ``content``   tokens strictly inside the root.
 3. ``cleaned``   P1 default selectors, P2 site removals, P4 hidden, P5 empty,
                  P6 tiny images (sweeps over the token stream).
@@ -25,6 +26,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import clean as C
 from ..operators import select as S
+from ..operators.content import best_container
 from ..operators.tokens import BLOCK_TAGS, attr
 from ..sources import rules as R
 from .corpus import Corpus
@@ -36,7 +38,8 @@ CHUNK = 4096
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 # Root fallback selectors after the site selector, in order.
-ROOT_FALLBACK = [(1, "main"), (2, "article, main"), (3, "body")]
+ROOT_FALLBACK = [(1, "main"), (2, "article, main"), (4, "body")]
+SCORED = 3  # the place of the best container by text score among them
 
 
 # A part of a rendered page says one thing: text, a break, or that a quote or list item begins or ends.
@@ -115,6 +118,10 @@ class Conversion:
             g = g.join(with_rule.withColumn("_r", F.lit(1)), "page_id", "left").filter(
                 (F.col("rule_ord") > 1) | F.col("_r").isNull()).drop("_r")
             cand = g.unionByName(s).join(els.select("page_id", "open_pos", "end_pos"), ["page_id", "open_pos"])
+            # a page that names no main element: the container with the most text
+            unnamed = self.corpus.page_info.select("page_id").join(cand.filter(F.col("rule_ord") < SCORED).select("page_id").distinct(), "page_id", "left_anti")
+            text = best_container(els.join(unnamed, "page_id", "left_semi"), self.corpus.tokens.join(unnamed, "page_id", "left_semi"))
+            cand = cand.select("page_id", "open_pos", "rule_ord", "end_pos").unionByName(text.withColumn("rule_ord", F.lit(SCORED)))
             w = Window.partitionBy("page_id").orderBy("rule_ord", "open_pos")
             best = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             best = best.select("page_id", F.col("open_pos").alias("root_open"), F.col("end_pos").alias("root_end"))

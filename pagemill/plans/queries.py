@@ -55,6 +55,14 @@ def q_main_content(spark, d):
     return _conv(spark, d).root
 
 
+@register("main_content_scored")
+def q_main_content_scored(spark, d):
+    """Content root by text score, on pages without a main element built from ``supplier``, and the text in it."""
+    c = _frag(spark, d, "frag_plain")
+    text = c.content_tokens.filter(F.col("kind") == "text").groupBy("page_id").agg(F.sum(F.length("text")).alias("chars"))
+    return c.root.join(text, "page_id", "left").select("page_id", "root_open", "root_end", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"))
+
+
 @register("remove_default")
 def q_remove_default(spark, d):
     """P1 (+P2): content tokens left after the selector removals."""

@@ -77,6 +77,13 @@ RECIPES = {
         '<article><img src="javascript:x" onerror="e" alt="{n}"><img src="data:image/png;base64,AA" alt="d"><object data="/o{k}"><p>in object</p></object><a href="data:text/html,x" title="t">d</a></article>',
         '<article><form action="vbscript:z"><p style="color:red" title="t{k}" nonce="{s}">{n}</p></form><template><b>t</b></template><a href="https://x.org/{k}" target="_blank">ok</a></article>',
     ]),
+    "frag_plain": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
+        '<html><body><div class="top"><ul><li><a href="/a/{k}">A long menu entry for visitors</a></li><li><a href="/b">Another entry of the menu {k}</a></li></ul></div><div id="text"><h1>Head {k}</h1><p>First text of {n}, which is long, and has commas.</p><p>Second text of {n}, number {k}, as long as the first.</p></div><div class="end"><p>Short end.</p></div></body></html>',
+        '<body><div><div><p>Only {k}, a text that is nested once more, in two boxes of its own.</p></div><p>Beside it, {n} has this second text, somewhat longer, and it has commas, too, so that it counts.</p></div><p>Loose end</p></body>',
+        '<div><p>too short {k}</p></div><p>out</p>',
+        '<body><table><tr><td>Cell {k} with a text long enough to count, says {n}.</td><td><a href="/x">A linked cell that is as long as it</a></td></tr></table><section><div>bare text that is in no block, {n}, long as it may be</div></section></body>',
+        '<body><div><p>A quoted, shared, and divided text of {n}, long, long, long.</p></div><div><p>A quoted, shared, and divided text of {n}, long, long, long.</p></div></body>',
+    ]),
     "frag_tables": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<article><table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody><tr><td>{k}</td><td>{n}</td></tr></tbody></table></article>',
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',

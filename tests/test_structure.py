@@ -61,3 +61,18 @@ def test_the_latest_crawl_counts(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").selectExpr("page_id", "url", "html", "timestamp(at) AS crawled_at")
     docs = Conversion(spark, Corpus(spark, df)).documents.collect()
     assert [(r.url, r.body) for r in docs] == [(URL, "new")]
+
+
+LONG = "A text that is long enough to count, with commas, and with more words than a menu has."
+
+
+def test_pages_without_a_main_element_lose_their_menus(convert):
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>Menu entry {i} that is long</a></li>" for i in range(5)) + "</ul></div>"
+    cases = [
+        (f"<body>{menu}<div><p>{LONG}</p><p>{LONG}</p></div>{menu}</body>", f"{LONG}\n\n{LONG}"),
+        (f"<body><p>One.</p><div><p>{LONG}</p></div><div><p>{LONG}</p></div></body>", f"One.\n\n{LONG}\n\n{LONG}"),  # both halves are the body's
+        ("<body><div><p>short</p></div><p>end</p></body>", "short\n\nend"),  # nothing scores: the body
+        (f"<article><p>in</p></article><div><p>{LONG}</p></div>", "in"),  # a named element comes first
+        (f"<div>{LONG}</div>x", f"{LONG}\n\nx"),  # no block scores, no body: the page
+    ]
+    assert bodies(convert, cases) == [text for _, text in cases]
