@@ -18,10 +18,10 @@ CONTAINERS = ["article", "main", "section", "div", "td", "body"]
 LEAST = 25
 
 
-def scored_containers(elements: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(page_id, open_pos, end_pos, score)`` of containers with a scored block in or one level below them."""
+def scored_containers(elements: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(page_id, open_pos, end_pos, score)`` of containers with a scored block in or one level below them;
+    ``texts(page_id, pos, text)``."""
     spans = lambda *tags: elements.filter(F.col("tag").isin(*tags)).select("page_id", "open_pos", "end_pos")
-    texts = tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")
     block = ordered_concat(assign_owner(texts, spans(*BLOCKS), "b"), ["page_id", "b_open"], "pos", "text")
     text = trim_ws(collapse_inline_ws(F.col("text")))
     block = block.select("page_id", F.col("b_open").alias("pos"), text.alias("text")).filter(F.length("text") >= LEAST)
@@ -40,7 +40,7 @@ def scored_containers(elements: DataFrame, tokens: DataFrame) -> DataFrame:
     return total.select("page_id", "open_pos", "end_pos", score.alias("score"))
 
 
-def best_container(elements: DataFrame, tokens: DataFrame) -> DataFrame:
+def best_container(elements: DataFrame, texts: DataFrame) -> DataFrame:
     """``(page_id, open_pos, end_pos)`` of each page's best container."""
     first = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "open_pos"))
-    return scored_containers(elements, tokens).withColumn("_rn", first).filter("_rn = 1").select("page_id", "open_pos", "end_pos")
+    return scored_containers(elements, texts).withColumn("_rn", first).filter("_rn = 1").select("page_id", "open_pos", "end_pos")

@@ -26,7 +26,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import clean as C
 from ..operators import select as S
-from ..operators.content import best_container
+from ..operators.content import BLOCKS, CONTAINERS, best_container
 from ..operators.tokens import BLOCK_TAGS, attr
 from ..sources import rules as R
 from .corpus import Corpus
@@ -119,9 +119,11 @@ class Conversion:
                 (F.col("rule_ord") > 1) | F.col("_r").isNull()).drop("_r")
             cand = g.unionByName(s).join(els.select("page_id", "open_pos", "end_pos"), ["page_id", "open_pos"])
             # a page that names no main element: the container with the most text
+            cand = materialize(cand.select("page_id", "open_pos", "rule_ord", "end_pos"))
             unnamed = self.corpus.page_info.select("page_id").join(cand.filter(F.col("rule_ord") < SCORED).select("page_id").distinct(), "page_id", "left_anti")
-            text = best_container(els.join(unnamed, "page_id", "left_semi"), self.corpus.tokens.join(unnamed, "page_id", "left_semi"))
-            cand = cand.select("page_id", "open_pos", "rule_ord", "end_pos").unionByName(text.withColumn("rule_ord", F.lit(SCORED)))
+            spans = materialize(els.filter(F.col("tag").isin("a", *BLOCKS, *CONTAINERS)).select("page_id", "open_pos", "end_pos", "tag").join(unnamed, "page_id", "left_semi"))
+            texts = materialize(self.corpus.texts.join(unnamed, "page_id", "left_semi"))
+            cand = cand.unionByName(best_container(spans, texts).withColumn("rule_ord", F.lit(SCORED)))
             w = Window.partitionBy("page_id").orderBy("rule_ord", "open_pos")
             best = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             best = best.select("page_id", F.col("open_pos").alias("root_open"), F.col("end_pos").alias("root_end"))
