@@ -18,6 +18,7 @@ from ..functions import urls as U
 from ..operators.clean import icon_svg
 from ..operators.tokens import attr, has_class
 from ..plans.intervals import RUN, assign_owner, ordered_concat, outermost, sweep_keep
+from ..plans.materialize import materialize
 
 # Attribute orders of the lazy-image, srcset, media-source and
 # media-title lookups.
@@ -260,7 +261,8 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
     """
     e = conv.kept_elements
     widgets = code_widgets(conv)
-    toks = sweep_keep(conv.cleaned_tokens, widgets)
+    # written in pieces: a stage holds a sort for each window and join in it, and they share a task's memory
+    toks = materialize(sweep_keep(conv.cleaned_tokens, widgets))
     left = e.join(toks.filter(F.col("kind").isin("open", "void", "raw")).select("page_id", F.col("pos").alias("open_pos")),
                   ["page_id", "open_pos"], "left_semi")
     pre = e.filter(F.col("tag") == "pre").select("page_id", "open_pos", "end_pos", "attrs")
@@ -282,6 +284,7 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
     pf = assign_owner(pre.select("page_id", F.col("open_pos").alias("pos")), fig.select("page_id", "open_pos", "end_pos"), "f")
     pre = pre.join(pf.select("page_id", F.col("pos").alias("open_pos"), "f_open"), ["page_id", "open_pos"], "left")
     pre = pre.join(fig.select("page_id", F.col("open_pos").alias("f_open"), "f_attrs"), ["page_id", "f_open"], "left")
+    pre = materialize(pre)
     # What a figure's first pre takes from the figure, before the widgets go
     first_pre = _first_inside(at, f_spans).select("page_id", F.col("pos").alias("open_pos"), F.lit(True).alias("is_first"))
     pre = pre.join(first_pre, ["page_id", "open_pos"], "left")
@@ -300,12 +303,13 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
                   _first_text_inside(place(left, rehype_title), f_spans, toks, "fig_title"),
                   _first_text_inside(place(left, panel_title), f_spans, toks, "panel_title"),
                   labelled_by(conv).select("page_id", F.col("pos").alias("x_open"), "label")):
-        found = found.withColumnRenamed("x_open", "f_open").drop("pos")
+        found = materialize(found.withColumnRenamed("x_open", "f_open").drop("pos"))
         pre = pre.join(found, ["page_id", "f_open"], "left")
     tab = (attr("attrs", "role") == "tab") & (attr("attrs", "aria-selected") == "true")
     for found in (_first_text_inside(place(left, tab), demo, toks, "tab"),
                   _first_text_inside(place(left, attr("attrs", "data-selected").isNotNull()), demo, toks, "selected")):
-        pre = pre.join(found.withColumnRenamed("x_open", "d_open"), ["page_id", "d_open"], "left")
+        pre = pre.join(materialize(found.withColumnRenamed("x_open", "d_open")), ["page_id", "d_open"], "left")
+    pre = materialize(pre)
     # code text: the code element's text, else the pre's
     ctext = element_text(pre.filter(F.col("code_open").isNotNull()).select(
         "page_id", F.col("code_open").alias("open_pos"), F.col("code_end").alias("end_pos")), toks, "c")

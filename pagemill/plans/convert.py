@@ -300,7 +300,7 @@ class Conversion:
                 parts += [x.select("page_id", "open_pos", "md") for x in self.notes[:3]]
             r = parts[0]
             for x in parts[1:]:
-                r = r.unionByName(x)
+                r = r.unionByName(materialize(x))
             kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
                 "page_id", F.col("pos").alias("open_pos"))
             r = r.join(kept, ["page_id", "open_pos"], "left_semi")
