@@ -23,7 +23,7 @@ def register(key):
 
 @register("scan_pages")
 def q_scan_pages(spark, d):
-    return Corpus.from_dir(spark, d).page_info
+    return Corpus.from_dir(spark, d).page_info.select("page_id", "url", "host")
 
 
 @register("tokens")
