@@ -20,7 +20,7 @@ ATTR_NAMES = ["id", "class", "href", "title", "style", "hidden", "aria-hidden",
               "content", "src", "alt", "srcset", "type", "rel", "role", "data-src", "data-original", "data-lazy-src",
               "data-src-large", "data-image-src", "data-srcset", "data-lazy-srcset", "data-original-srcset", "data-url",
               "aria-label", "data-title", "data-language", "data-lang", "lang", "data-rehype-pretty-code-figure",
-              "data-rehype-pretty-code-title", "data-footnote-ref", "aria-labelledby", "aria-selected", "data-demo", "data-selected", "start"]
+              "data-rehype-pretty-code-title", "data-footnote-ref", "aria-labelledby", "aria-selected", "data-demo", "data-selected", "start", "checked"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
@@ -257,15 +257,15 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     esc = S.escape_markdown_text("description")
     ctes += footnote_ctes()
     ctes.append(
-        "repl0 AS (SELECT page_id, open_pos, md FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md FROM x_media "
-        "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END FROM x_svgs "
-        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_code WHERE fenced "
-        "UNION ALL SELECT page_id, open_pos, '' FROM x_widgets "
-        "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10) FROM x_tables "
-        "UNION ALL SELECT page_id, pos, markdown FROM x_images "
-        "UNION ALL SELECT page_id, pos, markdown FROM x_figures)")
+        "repl0 AS (SELECT page_id, open_pos, md, NULL AS how FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md, NULL FROM x_media "
+        "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END, NULL FROM x_svgs "
+        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), 'code' FROM x_code WHERE fenced "
+        "UNION ALL SELECT page_id, open_pos, '', NULL FROM x_widgets "
+        "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), NULL FROM x_tables "
+        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_images "
+        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_figures)")
     ctes.append(
-        "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md FROM repl0 r JOIN ce e USING (page_id, open_pos) "
+        "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md, r.how FROM repl0 r JOIN ce e USING (page_id, open_pos) "
         "WHERE EXISTS (SELECT 1 FROM kt WHERE kt.page_id = r.page_id AND kt.pos = r.open_pos AND kt.kind IN ('open','void')))")
     ctes.append("rt AS (SELECT t.* FROM kt t WHERE NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = t.page_id "
                 "AND t.pos > r.open_pos AND t.pos < r.stop_pos))")
@@ -291,19 +291,30 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "lis AS (SELECT t.page_id, t.pos AS open_pos, t.lst.t AS list_tag, row_number() OVER (PARTITION BY t.page_id, t.lst.p ORDER BY t.pos) "
         "- 1 + coalesce(TRY_CAST(regexp_extract(l.a_start, '^\\s*(\\d+)', 1) AS INTEGER), 1) AS ordinal FROM lt1 t "
         "LEFT JOIN ke l ON l.page_id = t.page_id AND l.open_pos = t.lst.p WHERE t.tag = 'li')")
+    ctes.append(
+        "spans0 AS (SELECT e.page_id, e.open_pos, string_agg(t.text, '' ORDER BY t.pos) AS ct FROM ke e JOIN kt t ON t.page_id = e.page_id "
+        "AND t.kind = 'text' AND t.pos > e.open_pos AND t.pos < e.end_pos WHERE e.tag = 'code' GROUP BY ALL)")
+    runs = "list_transform(regexp_extract_all(ct, '`+'), lambda x: length(x))"
+    ctes.append(
+        f"ticks AS (SELECT page_id, open_pos, repeat('`', (list_filter(range(1, len({runs}) + 2), lambda n: NOT list_contains({runs}, n)))[1]) "
+        f"|| CASE WHEN starts_with(ct, '`') OR ends_with(ct, '`') THEN ' ' ELSE '' END AS ticks FROM spans0 WHERE contains(ct, '`'))")
+    ctes.append(
+        "boxes AS (SELECT e.page_id, e.open_pos, CASE WHEN e.a_checked IS NOT NULL THEN 'x' ELSE ' ' END AS box FROM ke e "
+        "JOIN fn_par p ON p.page_id = e.page_id AND p.open_pos = e.open_pos JOIN ke l ON l.page_id = p.page_id AND l.open_pos = p.parent_open "
+        "WHERE e.tag = 'input' AND lower(e.a_type) = 'checkbox' AND l.tag = 'li')")
     link_ok = f"({S.safe_href('l.href_clean')} IS NOT NULL AND u.unwrap IS NULL)"
     title = "coalesce(e.a_title, '')"
     marker = "CASE WHEN e.tag = 'li' THEN CASE WHEN li.list_tag = 'ol' THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END END"
     open_md = (
         f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN repeat('#', substr(e.tag, 2, 1)::INTEGER) || ' ' "
         f"WHEN e.tag IN ('b','strong') THEN '**' WHEN e.tag IN ('i','em') THEN '_' "
-        f"WHEN e.tag IN ('del','s','strike') THEN '~' WHEN e.tag = 'code' THEN '`' "
+        f"WHEN e.tag IN ('del','s','strike') THEN '~~' WHEN e.tag = 'code' THEN coalesce(tk.ticks, '`') "
         f"WHEN e.tag = 'a' THEN CASE WHEN {link_ok} THEN '[' END "
-        f"WHEN e.tag = 'br' THEN '  ' || chr(10) WHEN e.tag = 'hr' THEN '* * *' END")
+        f"WHEN e.tag = 'input' THEN '[' || tb.box || '] ' WHEN e.tag = 'br' THEN '  ' || chr(10) WHEN e.tag = 'hr' THEN '* * *' END")
     close_md = (
         f"CASE WHEN e.tag IN {inlist(HEADINGS)} THEN CASE WHEN coalesce(hh.id, '') <> '' THEN ' {{#' || hh.id || '}}' END "
         f"WHEN e.tag IN ('b','strong') THEN '**' WHEN e.tag IN ('i','em') THEN '_' "
-        f"WHEN e.tag IN ('del','s','strike') THEN '~' WHEN e.tag = 'code' THEN '`' "
+        f"WHEN e.tag IN ('del','s','strike') THEN '~~' WHEN e.tag = 'code' THEN reverse(coalesce(tk.ticks, '`')) "
         f"WHEN e.tag = 'a' THEN CASE WHEN {link_ok} THEN '](' || l.href_clean || "
         f"CASE WHEN {title} <> '' THEN ' \"' || {title} || '\"' ELSE '' END || ')' END END")
     gap = f"CASE WHEN e.tag = 'li' THEN 1 WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN 2 END"
@@ -313,32 +324,40 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"LEFT JOIN headings hh ON hh.page_id = e.page_id AND hh.pos = e.open_pos "
         f"LEFT JOIN links l ON l.page_id = e.page_id AND l.pos = e.open_pos "
         f"LEFT JOIN unwrap u ON u.page_id = e.page_id AND u.open_pos = e.open_pos "
-        f"LEFT JOIN lis li ON li.page_id = e.page_id AND li.open_pos = e.open_pos)")
+        f"LEFT JOIN lis li ON li.page_id = e.page_id AND li.open_pos = e.open_pos "
+        f"LEFT JOIN ticks tk ON tk.page_id = e.page_id AND tk.open_pos = e.open_pos "
+        f"LEFT JOIN boxes tb ON tb.page_id = e.page_id AND tb.open_pos = e.open_pos)")
     blockish = f"((kind IN ('open','close','void') AND tag IN {inlist(BLOCK_TAGS)}) OR kind = 'raw')"
     ctes.append(
-        f"nb AS (SELECT *, coalesce(lag({blockish}) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b, "
+        f"nb AS (SELECT *, coalesce(lag({blockish} OR coalesce(tag = 'input', false)) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b, "
         f"sum(CASE WHEN tag = 'code' AND kind = 'open' THEN 1 WHEN tag = 'code' AND kind = 'close' THEN -1 ELSE 0 END) "
-        f"OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_code "
+        f"OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_code, "
+        f"sum(CASE WHEN tag = 'pre' AND kind = 'open' THEN 1 WHEN tag = 'pre' AND kind = 'close' THEN -1 ELSE 0 END) "
+        f"OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_pre "
         f"FROM rt WINDOW w AS (PARTITION BY page_id ORDER BY pos))")
     ctes.append("lr AS (SELECT * FROM repl WHERE md <> '' AND EXISTS (SELECT 1 FROM rt WHERE rt.page_id = repl.page_id "
                 "AND rt.pos = repl.open_pos AND rt.kind IN ('open','void')))")
     one = S.collapse_inline_ws("text")
     trimmed = f"regexp_replace(regexp_replace({one}, CASE WHEN prev_b THEN '^ +' ELSE '^$' END, ''), CASE WHEN next_b THEN ' +$' ELSE '^$' END, '')"
+    kept = S.rr("text", r"\r\n?", "\n")
+    kept = f"CASE WHEN prev_b THEN {S.rr(kept, r'^([ \t]*\n)+', '')} ELSE {kept} END"
+    kept = f"CASE WHEN next_b THEN {S.rr(kept, r'(\n[ \t]*)+\z', '')} ELSE {kept} END"
+    trimmed = f"(CASE WHEN in_pre > 0 THEN {kept} ELSE {trimmed} END)"
     ctes.append(
-        f"parts AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, 0 AS k4, NULL AS md, gap AS brk, tag, NULL AS marker FROM frag_el "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 1, NULL, NULL, tag, marker FROM frag_el WHERE tag IN ('li', 'blockquote') "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, omd, NULL, tag, NULL FROM frag_el "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, tag, NULL FROM frag_el WHERE tag = 'hr' "
-        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 0, cmd, NULL, tag, NULL FROM frag_el WHERE ekind = 'open' "
-        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 1, NULL, NULL, tag, NULL FROM frag_el WHERE ekind = 'open' AND tag IN ('li', 'blockquote') "
-        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 2, NULL, gap, tag, NULL FROM frag_el WHERE ekind = 'open' "
-        f"UNION ALL SELECT page_id, pos, 1, 0, 0, CASE WHEN in_code > 0 THEN {trimmed} ELSE {S.escape_markdown_text(trimmed)} END, NULL, NULL, NULL "
-        f"FROM nb WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 0, NULL, 2, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%' "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, regexp_replace(md, '^\\n+|\\n+$', '', 'g'), NULL, NULL, NULL FROM lr "
-        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%')")
-    ctes.append(
-        "part1 AS (SELECT row_number() OVER () AS rid, page_id, k1, k2, k3, k4, nullif(md, '') AS md, brk, tag, marker FROM parts "
+        f"parts AS (SELECT page_id, open_pos AS k1, 1 AS k2, 0 AS k3, 0 AS k4, NULL AS md, gap AS brk, tag, NULL AS marker, NULL AS how FROM frag_el "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 1, NULL, NULL, tag, marker, NULL FROM frag_el WHERE tag IN ('li', 'blockquote') "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, omd, NULL, tag, NULL, NULL FROM frag_el "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, tag, NULL, NULL FROM frag_el WHERE tag = 'hr' "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 0, cmd, NULL, tag, NULL, NULL FROM frag_el WHERE ekind = 'open' "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 1, NULL, NULL, tag, NULL, NULL FROM frag_el WHERE ekind = 'open' AND tag IN ('li', 'blockquote') "
+        f"UNION ALL SELECT page_id, end_pos, 0, -open_pos, 2, NULL, gap, tag, NULL, NULL FROM frag_el WHERE ekind = 'open' "
+        f"UNION ALL SELECT page_id, pos, 1, 0, 0, CASE WHEN in_code > 0 THEN {trimmed} ELSE {S.escape_markdown_text(trimmed)} END, NULL, NULL, NULL, "
+        f"CASE WHEN in_code > 0 THEN NULL ELSE 'text' END FROM nb WHERE kind = 'text' AND NOT ({S.trim_ws('text')} = '' AND (prev_b OR next_b)) "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 0, NULL, 2, NULL, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%' "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 2, regexp_replace(md, '^\\n+|\\n+$', '', 'g'), NULL, NULL, NULL, how FROM lr "
+        f"UNION ALL SELECT page_id, open_pos, 1, 0, 3, NULL, 2, NULL, NULL, NULL FROM lr WHERE md LIKE chr(10) || chr(10) || '%')")
+    ctes.append(
+        "part1 AS (SELECT row_number() OVER () AS rid, page_id, k1, k2, k3, k4, nullif(md, '') AS md, brk, tag, marker, how FROM parts "
         "WHERE nullif(md, '') IS NOT NULL OR brk IS NOT NULL OR (tag IN ('li', 'blockquote') AND k4 = 1))")
     # the prefix of a part: one piece for each quote or list item that it is in
     ctes.append(
@@ -357,12 +376,21 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         "frag1 AS (SELECT t.*, g.wide, g.low, CASE WHEN g.mark IS NOT NULL THEN substr(t.prefix, 1, length(t.prefix) - 4) || g.mark "
         "ELSE t.prefix END AS first FROM part2 t JOIN gaps g USING (page_id, n) WHERE t.md IS NOT NULL)")
     ctes.append(
-        "frags AS (SELECT page_id, k1, k2, k3, k4, CASE WHEN n = 0 THEN first WHEN wide = 0 THEN '' WHEN wide = 1 THEN chr(10) || first "
-        "ELSE chr(10) || rtrim(low, ' ') || chr(10) || first END || replace(md, chr(10), chr(10) || prefix) AS md FROM frag1)")
+        "frag2 AS (SELECT *, n = 0 OR wide > 0 OR ends_with(lag(md, 1, chr(10)) OVER w, chr(10)) AS starts, "
+        "2 * sum(CASE WHEN how = 'code' THEN 1 ELSE 0 END) OVER w - CASE WHEN how = 'code' THEN 1 ELSE 0 END AS seg "
+        "FROM frag1 WINDOW w AS (PARTITION BY page_id ORDER BY k1, k2, k3, k4))")
+    esc_line = "CASE WHEN (starts OR i > 1) AND how = 'text' THEN " + S.escape_line_start("l") + " ELSE l END"
+    ctes.append(
+        f"frags AS (SELECT page_id, k1, k2, k3, k4, seg, CASE WHEN n = 0 THEN first WHEN wide = 0 THEN '' WHEN wide = 1 THEN chr(10) || first "
+        f"ELSE chr(10) || rtrim(low, ' ') || chr(10) || first END || array_to_string(list_transform(string_split(md, chr(10)), "
+        f"lambda l, i: CASE WHEN i = 1 THEN '' WHEN l = '' AND i < len(string_split(md, chr(10))) THEN rtrim(prefix, ' ') ELSE prefix END "
+        f"|| {esc_line}), chr(10)) AS md FROM frag2)")
+    ctes.append(
+        f"segs AS (SELECT page_id, seg, CASE WHEN seg % 2 = 1 THEN string_agg(md, '' ORDER BY k1, k2, k3, k4) "
+        f"ELSE {S.normalize_markdown('string_agg(md, ' + q('') + ' ORDER BY k1, k2, k3, k4)')} END AS md FROM frags GROUP BY page_id, seg)")
     ctes.append(
-        f"body0 AS (SELECT p.page_id, {S.post_process_markdown('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
-        f"(SELECT page_id, string_agg(md, '' ORDER BY k1, k2, k3, k4) AS raw FROM frags WHERE md IS NOT NULL AND md <> '' "
-        f"GROUP BY page_id) b USING (page_id))")
+        f"body0 AS (SELECT p.page_id, {S.trim_ws('coalesce(b.raw, ' + q('') + ')')} AS body FROM pg p LEFT JOIN "
+        f"(SELECT page_id, string_agg(md, '' ORDER BY seg) AS raw FROM segs GROUP BY page_id) b USING (page_id))")
     ctes.append("body AS (SELECT b.page_id, CASE WHEN coalesce(a.appendix, '') <> '' THEN b.body || chr(10) || chr(10) || a.appendix "
                 "ELSE b.body END AS body FROM body0 b LEFT JOIN fn_app a USING (page_id))")
     return ctes

@@ -196,6 +196,8 @@ _FRAG_ALL = " UNION ALL ".join(
     for i, n in enumerate(["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures", "frag_notes"]))
 ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT page_id, body AS markdown FROM body"
 
+ORACLE["render_inline"] = CV.documents_sql(pages_sql=fragment_sql("frag_inline")) + "SELECT page_id, body AS markdown FROM body"
+
 # ---------------------------------------------------------------- canonical path
 _ALTS = ("SELECT 'https://site' || (s_suppkey % 7)::VARCHAR || '.example.org/' || CASE WHEN s_suppkey % 3 = 1 THEN 'd/md/' "
          "ELSE 'md/' END || s_suppkey::VARCHAR || '.md' AS url, CASE WHEN s_suppkey % 5 = 4 THEN 404 ELSE 200 END AS status, "

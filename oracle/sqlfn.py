@@ -70,13 +70,16 @@ def escape_info_string(x: str) -> str:
     return f"replace({x}, '\"', '\\\"')"
 
 
-def post_process_markdown(x: str) -> str:
+def normalize_markdown(x: str) -> str:
     s = rr(x, r"\n{3,}", "\n\n")
     s = rr(s, "[“”]", '"')
     s = rr(s, "[‘’]", "'")
     s = rr(s, " ", " ")
-    s = rr(s, f"[{WS_NO_LF}]+(\\n|\\z)", r"\1")
-    return trim_ws(s)
+    return rr(s, f"[{WS_NO_LF}]+(\\n|\\z)", r"\1")
+
+
+def post_process_markdown(x: str) -> str:
+    return trim_ws(normalize_markdown(x))
 
 
 def strip_front_matter(x: str) -> tuple[str, str]:
@@ -111,6 +114,12 @@ def escape_markdown_text(x: str) -> str:
     return rr(x, r"([\\*_\[\]`])", r"\\\1")
 
 
+def escape_line_start(x: str) -> str:
+    """Of one line of text."""
+    s = rr(x, r"^([ \t]*)(-[ \t-]|-$|=+[ \t]*$|>|~~~|\+[ \t]|\+$|#{1,6}[ \t]|#{1,6}$)", r"\1\\\2")
+    return rr(s, r"^([ \t]*[0-9]{1,9})([.)])([ \t]|$)", r"\1\\\2\3")
+
+
 def collapse_inline_ws(x: str) -> str:
     return rr(x, r"[ \t\n\r\f]+", " ")
 

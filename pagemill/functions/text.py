@@ -76,14 +76,18 @@ def escape_info_string(c) -> Column:
     return F.replace(_c(c), F.lit('"'), F.lit('\\"'))
 
 
-def post_process_markdown(c) -> Column:
-    """3+ LFs -> 2, curly quotes -> straight, NBSP -> space, trim line ends, trim."""
+def normalize_markdown(c) -> Column:
+    """F6 without the last step: 3+ LFs -> 2, curly quotes -> straight, NBSP -> space, trim line ends."""
     s = F.regexp_replace(_c(c), r"\n{3,}", "\n\n")
     s = F.regexp_replace(s, "[“”]", '"')
     s = F.regexp_replace(s, "[‘’]", "'")
     s = F.regexp_replace(s, " ", " ")
-    s = F.regexp_replace(s, f"[{WS_NO_LF}]+(\\n|\\z)", "$1")
-    return trim_ws(s)
+    return F.regexp_replace(s, f"[{WS_NO_LF}]+(\\n|\\z)", "$1")
+
+
+def post_process_markdown(c) -> Column:
+    """3+ LFs -> 2, curly quotes -> straight, NBSP -> space, trim line ends, trim."""
+    return trim_ws(normalize_markdown(c))
 
 
 def strip_front_matter(c) -> Column:
@@ -130,6 +134,19 @@ def escape_markdown_text(c) -> Column:
     return F.regexp_replace(_c(c), r"([\\*_\[\]`])", r"\\$1")
 
 
+# What makes a line of text a list, rule, heading, quote or fence.
+BLOCK_START = r"^([ \t]*)(-(?:[ \t-]|$)|=+[ \t]*$|>|~~~|\+(?:[ \t]|$)|#{1,6}(?:[ \t]|$))"
+ORDINAL_START = r"^([ \t]*[0-9]{1,9})([.)](?:[ \t]|$))"
+
+
+def escape_line_starts(c, at_start) -> Column:
+    """Backslash before what would make a line of text a block; the first line only where ``at_start``."""
+    md = _c(c)
+    first = F.when(at_start, F.lit("")).otherwise(F.substring_index(md, "\n", 1))
+    rest = F.regexp_replace(F.substring(md, F.length(first) + 1, F.length(md)), "(?md)" + BLOCK_START, r"$1\\$2")
+    return F.concat(first, F.regexp_replace(rest, "(?md)" + ORDINAL_START, r"$1\\$2"))
+
+
 def collapse_inline_ws(c) -> Column:
     """Whitespace of HTML text outside ``pre`` collapses to one space."""
     return F.regexp_replace(_c(c), r"[ \t\n\r\f]+", " ")

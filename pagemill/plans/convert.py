@@ -28,10 +28,12 @@ from ..operators import clean as C
 from ..operators import select as S
 from ..operators.content import BLOCKS, CONTAINERS, best_container
 from ..operators.tokens import BLOCK_TAGS, attr
+from ..session import taken_over
 from ..sources import rules as R
 from .corpus import Corpus
 from .intervals import assign_owner, interval_sums, ordered_concat, sweep_keep
 from .materialize import materialize
+from .render_rules import render_rules, written
 
 PAGE_END = 1 << 30
 CHUNK = 4096
@@ -46,8 +48,11 @@ SCORED = 3  # the place of the best container by text score among them
 PART_SAYS = "md IS NOT NULL OR brk IS NOT NULL OR push IS NOT NULL OR pop IS NOT NULL"
 
 
-def _part(k1, k2, k3, k4: int, md=None, brk=None, nested=None, push=None, pop=None, marker=None):
-    """A part and its place: token, close (0) before open (1), inner closes first, place in the element."""
+def _part(k1, k2, k3, k4: int, md=None, brk=None, nested=None, push=None, pop=None, marker=None, how=None):
+    """A part and its place: token, close (0) before open (1), inner closes first, place in the element.
+
+    ``how``: ``text`` is a page's own text, whose line starts are escaped, ``code`` is taken over as it is.
+    """
     text = F.when(md != "", md) if md is not None else F.lit(None)
     return F.struct(
         k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), k3.cast("int").alias("k3"), F.lit(k4).alias("k4"),
@@ -55,13 +60,18 @@ def _part(k1, k2, k3, k4: int, md=None, brk=None, nested=None, push=None, pop=No
         (F.lit(None) if nested is None else nested).cast("boolean").alias("nested"),
         (F.lit(None) if push is None else push).cast("string").alias("push"),
         (F.lit(None) if pop is None else pop).cast("int").alias("pop"),
-        (F.lit(None) if marker is None else marker).cast("string").alias("marker"))
+        (F.lit(None) if marker is None else marker).cast("string").alias("marker"),
+        (F.lit(None) if how is None else how).cast("string").alias("how"))
 
 
 @dataclass
 class Options:
+    """``gfm``: tables, struck text and task boxes; ``render_rules``: rows added to the renderer's rules (``render_rules.SCHEMA``)."""
+
     retrieved: str = "2025-01-01T00:00:00.000Z"
     extra_remove: tuple[str, ...] = ()
+    gfm: bool = True
+    render_rules: DataFrame | None = None
 
 
 class Conversion:
@@ -267,14 +277,14 @@ class Conversion:
     def replacements(self) -> DataFrame:
         """Elements rendered as one Markdown fragment: media quotes (E4/A6),
         SVG descriptions (E5), fenced code (E8/R3), GFM tables (R6), images (E3).
-        ``(page_id, open_pos, stop_pos, md)``; only elements still in the
+        ``(page_id, open_pos, stop_pos, md, how)``; only elements still in the
         cleaned token stream count.
         """
         def build():
             from ..operators import extract as EX
             esc = X.escape_markdown_text
             tags = self.present_tags
-            parts = [self.spark.createDataFrame([], "page_id long, open_pos int, md string")]
+            parts = [self.spark.createDataFrame([], "page_id long, open_pos int, md string, how string")]
             if tags & {"iframe", "video", "audio"}:
                 parts.append(EX.media(self).select("page_id", F.col("pos").alias("open_pos"), F.concat(
                     F.lit("\n\n> "), esc(F.col("description")), F.lit("\n\n")).alias("md")))
@@ -284,9 +294,9 @@ class Conversion:
                                                       F.concat(F.lit("\n\n"), F.col("description"), F.lit("\n\n"))).alias("md")))
             if "pre" in tags:
                 parts.append(EX.code_blocks(self, fenced_only=True).select("page_id", F.col("pos").alias("open_pos"), F.concat(
-                    F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
+                    F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md"), F.lit("code").alias("how")))
                 parts.append(EX.code_widgets(self).select("page_id", "open_pos", F.lit("").alias("md")))
-            if "table" in tags:
+            if "table" in tags and self.opt.gfm:
                 parts.append(EX.render_tables(EX.table_cells(self)).select(
                     "page_id", F.col("table_pos").alias("open_pos"),
                     F.concat(F.lit("\n\n"), F.col("markdown"), F.lit("\n\n")).alias("md")))
@@ -300,7 +310,7 @@ class Conversion:
                 parts += [x.select("page_id", "open_pos", "md") for x in self.notes[:3]]
             r = parts[0]
             for x in parts[1:]:
-                r = r.unionByName(materialize(x))
+                r = r.unionByName(materialize(x), allowMissingColumns=True)
             kept = self.cleaned_tokens.filter(F.col("kind").isin("open", "void")).select(
                 "page_id", F.col("pos").alias("open_pos"))
             r = r.join(kept, ["page_id", "open_pos"], "left_semi")
@@ -311,7 +321,7 @@ class Conversion:
     # Tags whose relations feed rendering; a conversion builds only the
     # sub-plans whose tags occur in the kept content (one small aggregate,
     # bounded by this list, decides).
-    GATED_TAGS = ["iframe", "video", "audio", "svg", "pre", "table", "img", "figure", "a"]
+    GATED_TAGS = ["iframe", "video", "audio", "svg", "pre", "table", "img", "figure", "a", "code", "input"]
 
     @property
     def present_tags(self) -> set:
@@ -352,35 +362,20 @@ class Conversion:
         e = e.join(self.links.select("page_id", F.col("pos").alias("open_pos"), "href_clean"), ["page_id", "open_pos"], "left")
         e = e.join(self._unwrapped_links(), ["page_id", "open_pos"], "left")
         e = e.join(self._list_items(), ["page_id", "open_pos"], "left")
+        nothing = F.lit(None).cast("string")
+        e = e.join(self._code_ticks(), ["page_id", "open_pos"], "left") if "code" in self.present_tags else e.withColumn("ticks", nothing)
+        e = e.join(self._task_boxes(), ["page_id", "open_pos"], "left") if "input" in self.present_tags and self.opt.gfm \
+            else e.withColumn("box", nothing)
         tag = F.col("tag")
-        level = F.substring("tag", 2, 1).cast("int")
-        title = attr("attrs", "title")
+        title = F.coalesce(attr("attrs", "title"), F.lit(""))
         linked = U.safe_href(F.col("href_clean")).isNotNull() & F.col("unwrap").isNull()
-        link_open = F.when(linked, F.lit("["))
-        link_close = F.when(linked, F.concat(
-            F.lit("]("), F.col("href_clean"),
-            F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")),
-            F.lit(")")))
+        e = written(e, self.render_rules, {
+            "id": F.when(F.col("hid") != "", F.col("hid")),
+            "link": F.when(linked, F.concat("href_clean", F.when(title != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")))),
+            "ticks": F.when(tag == "code", F.coalesce("ticks", F.lit("`"))),
+            "box": F.col("box")})
+        open_md, close_md = F.col("open_md"), F.col("close_md")
         marker = F.when(F.col("list_tag") == "ol", F.concat(F.col("ordinal").cast("string"), F.lit(".  "))).otherwise(F.lit("-   "))
-        open_md = (
-            F.when(tag.isin(*HEADINGS), F.concat(F.repeat(F.lit("#"), level), F.lit(" ")))
-            .when(tag.isin("b", "strong"), F.lit("**"))
-            .when(tag.isin("i", "em"), F.lit("_"))
-            .when(tag.isin("del", "s", "strike"), F.lit("~"))
-            .when(tag == "code", F.lit("`"))
-            .when(tag == "a", link_open)
-            .when(tag == "br", F.lit("  \n"))
-            .when(tag == "hr", F.lit("* * *"))
-        )
-        close_md = (
-            F.when(tag.isin(*HEADINGS), F.when(F.coalesce(F.col("hid"), F.lit("")) != "",
-                                               F.concat(F.lit(" {#"), F.col("hid"), F.lit("}"))))
-            .when(tag.isin("b", "strong"), F.lit("**"))
-            .when(tag.isin("i", "em"), F.lit("_"))
-            .when(tag.isin("del", "s", "strike"), F.lit("~"))
-            .when(tag == "code", F.lit("`"))
-            .when(tag == "a", link_close)
-        )
         gap = F.when(tag == "li", 1).when(tag.isin(*BLOCK_TAGS), 2)
         is_list = tag.isin("ul", "ol")
         holder = F.when(tag == "blockquote", F.lit("> ")).when(tag == "li", F.lit("    "))
@@ -398,6 +393,35 @@ class Conversion:
             _part(end, zero, -pos, 2, brk=gap, nested=is_list))).alias("f"))
         return opens.unionByName(closes).select("page_id", "f.*").filter(PART_SAYS)
 
+    @property
+    def render_rules(self) -> DataFrame:
+        """H1, H2: the renderer's rules with those of the options."""
+        def build():
+            extra = self.opt.render_rules
+            return render_rules(self.spark, self.opt.gfm, None if extra is None else taken_over(self.spark, extra))
+        return self._memo("render_rules", build)
+
+    def _code_ticks(self) -> DataFrame:
+        """Delimiters of code spans that hold backticks: the shortest run of them that the span doesn't hold, with a space
+        where the span begins or ends with a backtick."""
+        spans = self.kept_elements.filter(F.col("tag") == "code").select("page_id", "open_pos", "end_pos")
+        txt = self.cleaned_tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")
+        t = ordered_concat(assign_owner(txt, spans, "c"), ["page_id", "c_open"], "pos", "text").filter(F.col("text").contains("`"))
+        held = F.transform(F.regexp_extract_all("text", F.lit("`+"), 0), F.length)
+        free = F.filter(F.sequence(F.lit(1), F.size(held) + 1), lambda n: ~F.array_contains(held, n))
+        pad = F.when(F.col("text").startswith("`") | F.col("text").endswith("`"), F.lit(" ")).otherwise(F.lit(""))
+        return t.select("page_id", F.col("c_open").alias("open_pos"), F.concat(F.repeat(F.lit("`"), free[0]), pad).alias("ticks"))
+
+    def _task_boxes(self) -> DataFrame:
+        """The state of each checkbox whose parent is a list item, ``x`` or a space."""
+        from ..operators.extract import parent_of
+        e = self.kept_elements
+        box = e.filter((F.col("tag") == "input") & (F.lower(attr("attrs", "type")) == "checkbox")).select(
+            "page_id", "open_pos", F.when(attr("attrs", "checked").isNotNull(), F.lit("x")).otherwise(F.lit(" ")).alias("box"))
+        items = e.filter(F.col("tag") == "li").select("page_id", F.col("open_pos").alias("parent_open"))
+        parents = parent_of(e.select("page_id", "open_pos", "stop_pos")).join(items, ["page_id", "parent_open"], "left_semi")
+        return box.join(parents.select("page_id", "open_pos"), ["page_id", "open_pos"], "left_semi")
+
     def _unwrapped_links(self) -> DataFrame:
         """A heading whose only child element is a link renders the link's content only."""
         e = self.kept_elements
@@ -428,20 +452,29 @@ class Conversion:
         t = self.render_tokens
         blockish = (F.col("kind").isin("open", "close", "void") & F.col("tag").isin(*BLOCK_TAGS)) | F.col("kind").isin("raw")
         w = Window.partitionBy("page_id").orderBy("pos")
-        t = t.withColumn("_b", blockish).withColumn("_prev_b", F.lag("_b", 1, True).over(w)).withColumn(
+        before = F.col("_b") | F.coalesce(F.col("tag") == "input", F.lit(False))  # a box brings its own space
+        t = t.withColumn("_b", blockish).withColumn("_prev_b", F.lag(before, 1, True).over(w)).withColumn(
             "_next_b", F.lead("_b", 1, True).over(w))
-        code = F.when((F.col("tag") == "code") & (F.col("kind") == "open"), 1).when(
-            (F.col("tag") == "code") & (F.col("kind") == "close"), -1).otherwise(0)
-        t = t.withColumn("_code", F.sum(code).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+        def within(name):
+            return F.sum(F.when((F.col("tag") == name) & (F.col("kind") == "open"), 1).when(
+                (F.col("tag") == name) & (F.col("kind") == "close"), -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+        t = t.withColumns({"_code": within("code"), "_pre": within("pre")})
         t = t.filter(F.col("kind") == "text")
-        # no white space at the edges of a block, no escapes in inline code
-        md = X.collapse_inline_ws(F.col("text"))
-        md = F.when(F.col("_prev_b"), F.ltrim(md)).otherwise(md)
-        md = F.when(F.col("_next_b"), F.rtrim(md)).otherwise(md)
-        md = F.when(F.col("_code") > 0, md).otherwise(X.escape_markdown_text(md))
+        # no white space at the edges of a block, lines of a pre as they are, no escapes in inline code
+        flat = X.collapse_inline_ws(F.col("text"))
+        flat = F.when(F.col("_prev_b"), F.ltrim(flat)).otherwise(flat)
+        flat = F.when(F.col("_next_b"), F.rtrim(flat)).otherwise(flat)
+        lines = F.regexp_replace("text", r"\r\n?", "\n")
+        lines = F.when(F.col("_prev_b"), F.regexp_replace(lines, r"^([ \t]*\n)+", "")).otherwise(lines)
+        lines = F.when(F.col("_next_b"), F.regexp_replace(lines, r"(\n[ \t]*)+\z", "")).otherwise(lines)
+        md = F.when(F.col("_pre") > 0, lines).otherwise(flat)
+        plain = F.col("_code") <= 0
+        md = F.when(plain, X.escape_markdown_text(md)).otherwise(md)
         blank = X.trim_ws(F.col("text")) == ""
         t = t.filter(~blank | ~(F.col("_prev_b") | F.col("_next_b")))
-        part = _part(F.col("pos"), F.lit(1), F.lit(0), 0, md=md)
+        part = _part(F.col("pos"), F.lit(1), F.lit(0), 0, md=md, how=F.when(plain, F.lit("text")))
         return t.select("page_id", part.alias("f")).select("page_id", "f.*").filter(PART_SAYS)
 
     def _render_replacements(self) -> DataFrame:
@@ -452,7 +485,7 @@ class Conversion:
         edge = F.when(F.col("md").startswith("\n\n"), 2)
         md, pos, one, zero = F.regexp_replace("md", r"^\n+|\n+$", ""), F.col("open_pos"), F.lit(1), F.lit(0)
         rows = repl.filter(F.col("md") != "").select("page_id", F.explode(F.array(
-            _part(pos, one, zero, 0, brk=edge), _part(pos, one, zero, 2, md=md), _part(pos, one, zero, 3, brk=edge))).alias("f"))
+            _part(pos, one, zero, 0, brk=edge), _part(pos, one, zero, 2, md=md, how=F.col("how")), _part(pos, one, zero, 3, brk=edge))).alias("f"))
         return rows.select("page_id", "f.*").filter(PART_SAYS)
 
     @staticmethod
@@ -461,7 +494,8 @@ class Conversion:
 
         Quotes and list items push a prefix that every line in them begins
         with. A text takes the widest break since the text before it; the
-        blank line of a wide break has the shortest prefix in between.
+        blank line of a wide break has the shortest prefix in between. ``seg``
+        counts the stretches of a page: even ones are Markdown, odd ones code.
         """
         key = ["k1", "k2", "k3", "k4"]
         events = parts.filter(F.col("push").isNotNull() | F.col("pop").isNotNull())
@@ -476,8 +510,8 @@ class Conversion:
 
         start = F.struct(F.lit("").alias("prefix"), F.array().alias("out")).cast(state)
         held = steps.select("page_id", F.explode(F.aggregate("steps", start, step)["out"]).alias("f")).select("page_id", "f.*")
-        rows = parts.filter(F.col("push").isNull() & F.col("pop").isNull()).select("page_id", *key, "md", "brk", "nested")
-        nothing = {c: F.lit(None).cast(t) for c, t in (("md", "string"), ("brk", "int"), ("nested", "boolean"))}
+        rows = parts.filter(F.col("push").isNull() & F.col("pop").isNull()).select("page_id", *key, "md", "brk", "nested", "how")
+        nothing = {c: F.lit(None).cast(t) for c, t in (("md", "string"), ("brk", "int"), ("nested", "boolean"), ("how", "string"))}
         rows = rows.withColumns({"marker": F.lit(None).cast("string"), "prefix": F.lit(None).cast("string")})
         rows = rows.unionByName(held.withColumns(nothing))
         w = Window.partitionBy("page_id").orderBy(*key)
@@ -485,6 +519,9 @@ class Conversion:
         text = F.col("md").isNotNull().cast("int")
         rows = rows.withColumn("prefix", F.coalesce(F.last("prefix", ignorenulls=True).over(so_far), F.lit("")))
         rows = rows.withColumn("n", F.sum(text).over(so_far) - text)
+        last = F.last("md", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        code = F.coalesce(F.col("how") == "code", F.lit(False)).cast("int")
+        rows = rows.withColumns({"_broken": F.coalesce(last.endswith("\n"), F.lit(True)), "seg": F.sum(code).over(so_far) * 2 - code})
         in_item = F.coalesce("nested", F.lit(False)) & F.col("prefix").endswith("    ")
         rows = rows.withColumn("brk", F.when(in_item, 1).otherwise(F.col("brk")))
         gap = Window.partitionBy("page_id", "n")
@@ -496,23 +533,30 @@ class Conversion:
         before = (F.when(F.col("n") == 0, first).when(F.col("brk") == 0, F.lit(""))
                   .when(F.col("brk") == 1, F.concat(F.lit("\n"), first))
                   .otherwise(F.concat(F.lit("\n"), F.rtrim("low"), F.lit("\n"), first)))
-        md = F.concat(before, F.replace("md", F.lit("\n"), F.concat(F.lit("\n"), F.col("prefix"))))
-        return rows.filter(F.col("md").isNotNull()).select("page_id", *key, md.alias("md"))
+        at_start = (F.col("n") == 0) | (F.col("brk") > 0) | F.col("_broken")
+        md = F.when(F.col("how") == "text", X.escape_line_starts(F.col("md"), at_start)).otherwise(F.col("md"))
+        lines = F.split(md, "\n", -1)  # a blank line has no white space; the last one goes on with the next text
+        follow = F.transform(lines, lambda line, i: F.when(i == 0, line).when(
+            (line == "") & (i < F.size(lines) - 1), F.rtrim("prefix")).otherwise(F.concat("prefix", line)))
+        md = F.concat(before, F.when(F.instr(md, "\n") > 0, F.array_join(follow, "\n")).otherwise(md))
+        return rows.filter(F.col("md").isNotNull()).select("page_id", *key, "seg", md.alias("md"))
 
     @property
     def body(self) -> DataFrame:
-        """A4: two-level ordered aggregation of the fragments -> ``(page_id, body)``."""
+        """A4: ordered aggregation of the fragments by chunk, stretch and page -> ``(page_id, body)``; F6 leaves code alone."""
         def build():
             parts = self._render_elements().unionByName(self._render_text()).unionByName(self._render_replacements())
             frags = self._assembled(materialize(parts))
             frags = frags.withColumn("chunk", F.floor(F.col("k1") / CHUNK).cast("int"))
             arr = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "k4", "md")))
-            part = frags.groupBy("page_id", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))
-            whole = ordered_concat(part, ["page_id"], "chunk", "md", "", "raw_body")
+            part = frags.groupBy("page_id", "seg", "chunk").agg(F.array_join(F.transform(arr, lambda x: x["md"]), "").alias("md"))
+            segs = ordered_concat(part, ["page_id", "seg"], "chunk", "md", "", "md")
+            segs = segs.withColumn("md", F.when(F.col("seg") % 2 == 1, F.col("md")).otherwise(X.normalize_markdown("md")))
+            whole = ordered_concat(segs, ["page_id"], "seg", "md", "", "raw_body")
             app = self.notes[3] if self.notes is not None else \
                 self.spark.createDataFrame([], "page_id long, appendix string")
             b = self.corpus.page_info.select("page_id").join(whole, "page_id", "left").join(app, "page_id", "left")
-            body = X.post_process_markdown(F.coalesce("raw_body", F.lit("")))
+            body = X.trim_ws(F.coalesce("raw_body", F.lit("")))
             # A5: the footnote appendix follows the post-processed body, unprocessed
             body = F.when(F.coalesce("appendix", F.lit("")) != "", F.concat(body, F.lit("\n\n"), F.col("appendix"))).otherwise(body)
             return b.select("page_id", body.alias("body"))

@@ -611,6 +611,12 @@ def q_render_fragments(spark, d):
     return c.body.select("page_id", F.col("body").alias("markdown"))
 
 
+@register("render_inline")
+def q_render_inline(spark, d):
+    """Line starts, code spans, struck text, task boxes, code and preformatted text as Markdown."""
+    return _frag(spark, d, "frag_inline").body.select("page_id", F.col("body").alias("markdown"))
+
+
 # ---------------------------------------------------------------- canonical path
 def _alt_conv(spark, d):
     from ..sources.canonical import crawled_alternates

@@ -55,6 +55,13 @@ RECIPES = {
         '<article><div data-rehype-pretty-code-figure=""><div class="CodeBlockPanel"><span class="CodeBlockPanelTitle"> file {k}.css </span></div><pre><code>a b</code></pre><pre><code>b</code></pre></div></article>',
         '<article><div data-demo=""><div role="tab" aria-selected="true">Tab {k}</div><div role="figure"><div role="tablist">all</div><pre><code class="lang-Go">x</code></pre><button>Run</button></div></div></article>',
     ]),
+    "frag_inline": ("part", "p_partkey", "p_name", "p_size", [
+        '<article><p># {n}</p><p>{k}. x<br>- {n}</p><p><span>&gt; q {k}</span> <b># no</b></p><p>-{k} and {s}.{k}</p></article>',
+        '<article><p>use <code>a`{k}</code>, <code>``</code> and <code>{n}</code></p><p><del>{n}</del> <s>{k}</s></p></article>',
+        '<article><ul><li><input type="checkbox" checked> done {k}</li><li><input type="CHECKBOX">{n}</li><li><p><input type="checkbox"> in a paragraph</p></li></ul><p><input type="text">x</p></article>',
+        '<article><pre>\n{n}\n    # {k}  *x*\n\n\n\n- end\n</pre><blockquote><pre>a{k}\n\nb</pre></blockquote></article>',
+        '<article><p>say “{n}”</p><ul><li>x<pre><code>q = “{k}”\n\n\n\nend  </code></pre></li></ul><blockquote><pre><code>‘a’\n\nb</code></pre></blockquote><p>‘{k}’</p></article>',
+    ]),
     "frag_alternate": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
         '<html><head><title>Doc {k}</title><link rel="alternate" type="text/markdown" href="/md/{k}.md"></head><body><article><h1>Doc {k}</h1><p>{n}</p></article></body></html>',
         '<html><head><title>Doc {k}</title><link rel="alternate" type="text/html" href="/alt/{k}"><link rel="alternate" type="text/markdown" href="md/{k}.md"></head><body><main><h2>Page {k}</h2><p>{n}</p></main></body></html>',

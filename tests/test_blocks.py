@@ -29,6 +29,16 @@ PAGES = [
     ('<ol start="3"><li>a</li><li>b<ul><li>c</li></ul></li></ol>', "3.  a\n4.  b\n    -   c"),
     ('<p>p</p><img src="javascript:x" alt="i"><iframe src="java\tscript:y"></iframe><img src="data:image/png;base64,AA" alt="d">',
      "p\n\n> Embedded iframe\n\n![d](data:image/png;base64,AA)"),
+    ("<p>say “hi”</p><pre><code>x = “y”\n\n\n\nend  \n</code></pre><p>a\u00a0b</p>", 'say "hi"\n\n```\nx = “y”\n\n\n\nend  \n```\n\na b'),
+    ("<blockquote><pre><code>a\n\nb</code></pre></blockquote>", "> ```\n> a\n>\n> b\n> ```"),
+    ("<pre>\nfirst  line\n    second *x*\n# third\n</pre><p>b</p>", "first  line\n    second \\*x\\*\n\\# third\n\nb"),
+    ("<p>use <code>a`b</code> or <code>``</code></p>", "use ``a`b`` or ` `` `"),
+    ("<p># x</p><p>1. x</p><p>- x</p><p>+ x</p><p>&gt; q</p><p>a<br># b</p><p>===</p><p>~~~</p>",
+     "\\# x\n\n1\\. x\n\n\\- x\n\n\\+ x\n\n\\> q\n\na\n\\# b\n\n\\===\n\n\\~~~"),
+    ("<p><span># x</span> <b># y</b></p><p>-5 and +5, 3.14, #tag</p><h2># t</h2>", "\\# x **# y**\n\n-5 and +5, 3.14, #tag\n\n## # t {#t}"),
+    ("<ul><li><input type='checkbox' checked> done</li><li><input type=checkbox>open</li><li>none</li></ul><p><input type=checkbox>no</p>",
+     "-   [x] done\n-   [ ] open\n-   none\n\nno"),
+    ("<p><del>a</del> <s>b</s></p>", "~~a~~ ~~b~~"),
     ('<div data-demo><p role="tab" aria-selected="true">App</p><div role="figure"><button>Run</button><pre><code>y</code></pre></div></div>',
      'App\n\n``` title="App"\ny\n```'),
 ]
