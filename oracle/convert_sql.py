@@ -251,28 +251,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"coalesce((SELECT coalesce(a_content, '') FROM mt WHERE mt.page_id = p.page_id AND a_name = 'author'), '') AS author, "
         f"coalesce((SELECT coalesce(a_content, '') FROM mt WHERE mt.page_id = p.page_id AND a_name = 'description'), '') AS description "
         f"FROM pg p LEFT JOIN ttl_t tt USING (page_id))")
-    # replacements (media, svg, code, tables, images)
-    from . import extract_sql as EX
-    ctes += EX.all_ctes()
-    esc = S.escape_markdown_text("description")
-    ctes += footnote_ctes()
-    ctes.append(
-        "repl0 AS (SELECT page_id, open_pos, md, NULL AS how FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md, NULL FROM x_media "
-        "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END, NULL FROM x_svgs "
-        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), 'code' FROM x_code WHERE fenced "
-        "UNION ALL SELECT page_id, open_pos, '', NULL FROM x_widgets "
-        "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), NULL FROM x_tables "
-        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_images "
-        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_figures)")
-    ctes.append(
-        "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md, r.how FROM repl0 r JOIN ce e USING (page_id, open_pos) "
-        "WHERE EXISTS (SELECT 1 FROM kt WHERE kt.page_id = r.page_id AND kt.pos = r.open_pos AND kt.kind IN ('open','void')))")
-    ctes.append("rt AS (SELECT t.* FROM kt t WHERE NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = t.page_id "
-                "AND t.pos > r.open_pos AND t.pos < r.stop_pos))")
-    ctes.append("kr AS (SELECT e.* FROM ke e WHERE EXISTS (SELECT 1 FROM rt WHERE rt.page_id = e.page_id AND rt.pos = e.open_pos "
-                "AND rt.kind IN ('open','void','raw')) AND NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = e.page_id "
-                "AND r.open_pos = e.open_pos))")
-    # render
+    # what elements write
     ctes.append(
         "kin AS (SELECT e.page_id, e.open_pos, (SELECT count(*) FROM kt t WHERE t.page_id = e.page_id AND t.kind IN ('open','void') "
         "AND t.pos > e.open_pos AND t.pos < e.end_pos) AS w_el FROM ke e WHERE e.tag IN ('a', 'h1','h2','h3','h4','h5','h6'))")
@@ -300,8 +279,8 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"|| CASE WHEN starts_with(ct, '`') OR ends_with(ct, '`') THEN ' ' ELSE '' END AS ticks FROM spans0 WHERE contains(ct, '`'))")
     ctes.append(
         "boxes AS (SELECT e.page_id, e.open_pos, CASE WHEN e.a_checked IS NOT NULL THEN 'x' ELSE ' ' END AS box FROM ke e "
-        "JOIN fn_par p ON p.page_id = e.page_id AND p.open_pos = e.open_pos JOIN ke l ON l.page_id = p.page_id AND l.open_pos = p.parent_open "
-        "WHERE e.tag = 'input' AND lower(e.a_type) = 'checkbox' AND l.tag = 'li')")
+        "JOIN ke l ON l.page_id = e.page_id AND l.open_pos = (SELECT max(f.open_pos) FROM ke f WHERE f.page_id = e.page_id "
+        "AND f.open_pos < e.open_pos AND e.open_pos < f.stop_pos) WHERE e.tag = 'input' AND lower(e.a_type) = 'checkbox' AND l.tag = 'li')")
     link_ok = f"({S.safe_href('l.href_clean')} IS NOT NULL AND u.unwrap IS NULL)"
     title = "coalesce(e.a_title, '')"
     marker = "CASE WHEN e.tag = 'li' THEN CASE WHEN li.list_tag = 'ol' THEN li.ordinal::VARCHAR || '.  ' ELSE '-   ' END END"
@@ -317,16 +296,43 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
         f"WHEN e.tag IN ('del','s','strike') THEN '~~' WHEN e.tag = 'code' THEN reverse(coalesce(tk.ticks, '`')) "
         f"WHEN e.tag = 'a' THEN CASE WHEN {link_ok} THEN '](' || l.href_clean || "
         f"CASE WHEN {title} <> '' THEN ' \"' || {title} || '\"' ELSE '' END || ')' END END")
-    gap = f"CASE WHEN e.tag = 'li' THEN 1 WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN 2 END"
     ctes.append(
-        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, e.tag, {open_md} AS omd, {close_md} AS cmd, {gap} AS gap, "
-        f"{marker} AS marker FROM kr e "
+        f"el_md AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, e.tag, {open_md} AS omd, {close_md} AS cmd, {marker} AS marker FROM ke e "
         f"LEFT JOIN headings hh ON hh.page_id = e.page_id AND hh.pos = e.open_pos "
         f"LEFT JOIN links l ON l.page_id = e.page_id AND l.pos = e.open_pos "
         f"LEFT JOIN unwrap u ON u.page_id = e.page_id AND u.open_pos = e.open_pos "
         f"LEFT JOIN lis li ON li.page_id = e.page_id AND li.open_pos = e.open_pos "
         f"LEFT JOIN ticks tk ON tk.page_id = e.page_id AND tk.open_pos = e.open_pos "
         f"LEFT JOIN boxes tb ON tb.page_id = e.page_id AND tb.open_pos = e.open_pos)")
+    from . import extract_sql as EX
+    ctes += EX.images_ctes()
+    ctes.append("inl_img AS (SELECT e.page_id, e.open_pos, e.stop_pos, i.markdown AS md FROM x_images i JOIN ce e "
+                "ON e.page_id = i.page_id AND e.open_pos = i.pos)")
+    ctes += footnote_ctes()
+    # replacements (media, svg, code, tables, images)
+    ctes += EX.all_ctes()
+    esc = S.escape_markdown_text("description")
+    ctes.append(
+        "repl0 AS (SELECT page_id, open_pos, md, NULL AS how FROM fn_repl UNION ALL SELECT page_id, pos AS open_pos, chr(10) || chr(10) || '> ' || " + esc + " || chr(10) || chr(10) AS md, NULL FROM x_media "
+        "UNION ALL SELECT page_id, pos, CASE WHEN action = 'removed' THEN '' ELSE chr(10) || chr(10) || description || chr(10) || chr(10) END, NULL FROM x_svgs "
+        "UNION ALL SELECT page_id, pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), 'code' FROM x_code WHERE fenced "
+        "UNION ALL SELECT page_id, open_pos, '', NULL FROM x_widgets "
+        "UNION ALL SELECT page_id, table_pos, chr(10) || chr(10) || markdown || chr(10) || chr(10), NULL FROM x_tables "
+        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_images "
+        "UNION ALL SELECT page_id, pos, markdown, NULL FROM x_figures)")
+    ctes.append(
+        "repl AS (SELECT r.page_id, r.open_pos, e.stop_pos, r.md, r.how FROM repl0 r JOIN ce e USING (page_id, open_pos) "
+        "WHERE EXISTS (SELECT 1 FROM kt WHERE kt.page_id = r.page_id AND kt.pos = r.open_pos AND kt.kind IN ('open','void')))")
+    ctes.append("rt AS (SELECT t.* FROM kt t WHERE NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = t.page_id "
+                "AND t.pos > r.open_pos AND t.pos < r.stop_pos))")
+    ctes.append("kr AS (SELECT e.* FROM ke e WHERE EXISTS (SELECT 1 FROM rt WHERE rt.page_id = e.page_id AND rt.pos = e.open_pos "
+                "AND rt.kind IN ('open','void','raw')) AND NOT EXISTS (SELECT 1 FROM repl r WHERE r.page_id = e.page_id "
+                "AND r.open_pos = e.open_pos))")
+    # render
+    gap = f"CASE WHEN e.tag = 'li' THEN 1 WHEN e.tag IN {inlist(BLOCK_TAGS)} THEN 2 END"
+    ctes.append(
+        f"frag_el AS (SELECT e.page_id, e.open_pos, e.end_pos, e.ekind, e.tag, e.omd, e.cmd, {gap} AS gap, e.marker FROM el_md e "
+        "JOIN kr USING (page_id, open_pos))")
     blockish = f"((kind IN ('open','close','void') AND tag IN {inlist(BLOCK_TAGS)}) OR kind = 'raw')"
     ctes.append(
         f"nb AS (SELECT *, coalesce(lag({blockish} OR coalesce(tag = 'input', false)) OVER w, true) AS prev_b, coalesce(lead({blockish}) OVER w, true) AS next_b, "
@@ -396,6 +402,29 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
     return ctes
 
 
+def inline_ctes(name: str, containers: str, replaced: str) -> list[str]:
+    """``{name}_md(page_id, c_open, md)``: Markdown in one line of what ``containers`` hold, ``replaced`` as given."""
+    flat = S.collapse_inline_ws("text")
+    breaks = inlist([*BLOCK_TAGS, "br"])
+    inner = (f"FROM {containers} c WHERE c.page_id = t.page_id AND c.open_pos < t.pos AND c.end_pos > t.pos)")
+    line = "string_agg(md, '' ORDER BY k1, k2, k3)"
+    return [
+        f"{name}_t AS (SELECT t.*, (SELECT max(c.open_pos) {inner} AS c_open FROM kt t WHERE NOT EXISTS (SELECT 1 FROM {replaced} r "
+        "WHERE r.page_id = t.page_id AND t.pos >= r.open_pos AND t.pos < r.stop_pos))",
+        f"{name}_c AS (SELECT *, sum(CASE WHEN tag = 'code' AND kind = 'open' THEN 1 WHEN tag = 'code' AND kind = 'close' THEN -1 ELSE 0 END) "
+        f"OVER (PARTITION BY page_id, c_open ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_code FROM {name}_t WHERE c_open IS NOT NULL)",
+        f"{name}_e AS (SELECT e.*, t.c_open FROM el_md e JOIN {name}_c t ON t.page_id = e.page_id AND t.pos = e.open_pos "
+        f"WHERE t.kind IN ('open', 'void') AND e.tag NOT IN {breaks})",
+        f"{name}_r AS (SELECT t.*, (SELECT max(c.open_pos) {inner} AS c_open FROM (SELECT page_id, open_pos AS pos, md FROM {replaced}) t)",
+        f"{name}_p AS (SELECT page_id, c_open, pos AS k1, 1 AS k2, 0 AS k3, CASE WHEN kind = 'text' THEN CASE WHEN in_code > 0 THEN {flat} "
+        f"ELSE {S.escape_markdown_text(flat)} END ELSE ' ' END AS md FROM {name}_c WHERE kind = 'text' OR (kind IN ('open', 'close', 'void') AND tag IN {breaks}) "
+        f"UNION ALL SELECT page_id, c_open, open_pos, 1, 1, omd FROM {name}_e "
+        f"UNION ALL SELECT page_id, c_open, end_pos, 0, -open_pos, cmd FROM {name}_e WHERE ekind = 'open' "
+        f"UNION ALL SELECT page_id, c_open, pos, 1, 0, md FROM {name}_r WHERE c_open IS NOT NULL)",
+        f"{name}_md AS (SELECT page_id, c_open, {S.trim_ws(S.collapse_inline_ws(line))} AS md FROM {name}_p WHERE md IS NOT NULL GROUP BY page_id, c_open)",
+    ]
+
+
 def documents_sql(retrieved: str = "2025-01-01T00:00:00.000Z", **kw) -> str:
     ctes = convert_ctes(**kw)
     fm = S.build_front_matter("m.title", "m.source", "m.author", "m.description", q(retrieved))
@@ -418,8 +447,7 @@ def footnote_ctes() -> list[str]:
     cls = lambda a, c: f"list_contains(string_split_regex(coalesce({a}.a_class, ''), {ws}), {q(c)})"
     noteref = (f"(e.a_role = 'doc-noteref' OR e.a_data_footnote_ref IS NOT NULL OR {cls('e', 'footnote-ref')} "
                f"OR {cls('e', 'fnref')})")
-    coll = S.rr("coalesce(tx_, '')", r"[ \t\n\r\f]+", " ")
-    note = S.escape_markdown_text(S.trim_ws(coll))
+    note = S.escape_line_start("coalesce(m.md, '')")
     step_lab = ("CASE WHEN f.raw_label <> '' AND NOT list_contains(l.used, f.raw_label) THEN f.raw_label "
                 "ELSE (list_filter(range(f.ord, 2 * f.ord + 1), lambda n: NOT list_contains(l.used, n::VARCHAR))[1])::VARCHAR END")
     return [
@@ -450,10 +478,11 @@ def footnote_ctes() -> list[str]:
         "fn_def0 AS (SELECT e.page_id, e.a_id AS target, e.open_pos, e.end_pos, e.stop_pos FROM ke e WHERE e.a_id IS NOT NULL "
         "AND EXISTS (SELECT 1 FROM fn_lab l WHERE l.page_id = e.page_id AND l.target = e.a_id) "
         "QUALIFY row_number() OVER (PARTITION BY e.page_id, e.a_id ORDER BY e.open_pos) = 1)",
-        "fn_def1 AS (SELECT d.*, (SELECT string_agg(t.text, '' ORDER BY t.pos) FROM kt t WHERE t.page_id = d.page_id AND t.kind = 'text' "
-        "AND t.pos > d.open_pos AND t.pos < d.end_pos AND NOT EXISTS (SELECT 1 FROM fn_back b WHERE b.page_id = t.page_id "
-        "AND t.pos >= b.open_pos AND t.pos < b.stop_pos)) AS tx_ FROM fn_def0 d)",
-        f"fn_def AS (SELECT page_id, target, open_pos, stop_pos, {note} AS note FROM fn_def1)",
+        "fn_gone AS (SELECT page_id, open_pos, stop_pos, '' AS md FROM fn_back UNION ALL SELECT page_id, open_pos, stop_pos, md FROM inl_img i "
+        "WHERE NOT EXISTS (SELECT 1 FROM fn_back b WHERE b.page_id = i.page_id AND b.open_pos = i.open_pos))",
+        *inline_ctes("fn_in", "fn_def0", "fn_gone"),
+        f"fn_def AS (SELECT d.page_id, d.target, d.open_pos, d.stop_pos, {note} AS note FROM fn_def0 d LEFT JOIN fn_in_md m "
+        "ON m.page_id = d.page_id AND m.c_open = d.open_pos)",
         "fn_par AS (SELECT e.page_id, e.open_pos, (SELECT max(f.open_pos) FROM ke f WHERE f.page_id = e.page_id "
         "AND f.open_pos < e.open_pos AND e.open_pos < f.stop_pos) AS parent_open FROM ke e)",
         "fn_cnt AS (SELECT p.page_id, p.parent_open, count(*) AS n, count(d.open_pos) AS d FROM fn_par p LEFT JOIN fn_def d "

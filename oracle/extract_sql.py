@@ -151,7 +151,7 @@ def code_ctes() -> list[str]:
 
 
 def tables_ctes() -> list[str]:
-    clean = f"replace({S.trim_ws(S.rr('coalesce(txt, ' + q('') + ')', r'[ \t\n\r\f]+', ' '))}, '|', '\\|')"
+    clean = "replace(coalesce(m.md, ''), '|', '\\|')"
     return [
         "xt_ke AS (SELECT page_id, open_pos, end_pos, tag, CASE WHEN tag = 'th' THEN 'td' ELSE tag END AS g FROM ke "
         "WHERE tag IN ('table', 'tr', 'td', 'th'))",
@@ -163,10 +163,14 @@ def tables_ctes() -> list[str]:
         "xt_trs2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, t_open ORDER BY open_pos) AS row FROM xt_trs WHERE t_open IS NOT NULL)",
         "xt_cl AS (SELECT c.page_id, c.open_pos, c.end_pos, c.tag, (SELECT max(r.open_pos) FROM xt_trs2 r WHERE r.page_id = c.page_id "
         "AND c.open_pos > r.open_pos AND c.open_pos < r.end_pos) AS r_open FROM xt_o c WHERE c.tag IN ('td','th'))",
-        f"xt_cl2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id, c.r_open ORDER BY c.open_pos) AS col, "
-        f"{text_in('c', 'kt')} AS txt FROM xt_cl c WHERE r_open IS NOT NULL)",
+        "xt_cl2 AS (SELECT c.*, row_number() OVER (PARTITION BY c.page_id, c.r_open ORDER BY c.open_pos) AS col "
+        "FROM xt_cl c WHERE r_open IS NOT NULL)",
+        "xt_repl AS (SELECT page_id, open_pos, stop_pos, md FROM inl_img UNION ALL SELECT r.page_id, r.ref_pos, r.stop_pos, '[^' || l.label || ']' "
+        "FROM fn_refs r JOIN fn_lab l ON l.page_id = r.page_id AND l.target = r.target)",
+        *CV.inline_ctes("xt_in", "xt_cl", "xt_repl"),
         f"x_cells AS (SELECT c.page_id, r.t_open AS table_pos, r.row, c.col, c.tag = 'th' AS is_header, {clean} AS text "
-        "FROM xt_cl2 c JOIN xt_trs2 r ON r.page_id = c.page_id AND r.open_pos = c.r_open)",
+        "FROM xt_cl2 c JOIN xt_trs2 r ON r.page_id = c.page_id AND r.open_pos = c.r_open "
+        "LEFT JOIN xt_in_md m ON m.page_id = c.page_id AND m.c_open = c.open_pos)",
         "xt_rows AS (SELECT page_id, table_pos, row, '|' || string_agg(' ' || text || ' |', '' ORDER BY col) AS line "
         "FROM x_cells GROUP BY ALL)",
         "xt_nc AS (SELECT page_id, table_pos, count(*) AS n FROM x_cells WHERE row = 1 GROUP BY ALL)",
@@ -196,7 +200,8 @@ def figures_ctes() -> list[str]:
 
 
 def all_ctes() -> list[str]:
-    return images_ctes() + media_ctes() + svgs_ctes() + code_ctes() + tables_ctes() + figures_ctes()
+    """Of all but the images, which notes need."""
+    return media_ctes() + svgs_ctes() + code_ctes() + tables_ctes() + figures_ctes()
 
 
 def figures_sql() -> str:

@@ -19,6 +19,7 @@ from ..operators.clean import icon_svg
 from ..operators.tokens import attr, has_class
 from ..plans.intervals import RUN, assign_owner, ordered_concat, outermost, sweep_keep
 from ..plans.materialize import materialize
+from .inline import inline_markdown
 
 # Attribute orders of the lazy-image, srcset, media-source and
 # media-title lookups.
@@ -350,10 +351,9 @@ def code_blocks(conv, fenced_only: bool = False) -> DataFrame:
 def table_cells(conv) -> DataFrame:
     """``(page_id, table_pos, row, col, is_header, text)``; rows/cols 1-based in document order.
 
-    A table inside a cell is text of that cell.
+    ``text`` is the Markdown of the cell in one line, with note references and images. A table inside a cell is text of it.
     """
     e = conv.kept_elements
-    toks = conv.cleaned_tokens
 
     def outer(*tags):
         return outermost(e.filter(F.col("tag").isin(*tags)).select("page_id", "open_pos", "end_pos", "tag"))
@@ -366,9 +366,12 @@ def table_cells(conv) -> DataFrame:
     c_tr = assign_owner(cells, tr_t.select("page_id", F.col("pos").alias("open_pos"), "end_pos"), "r")
     c_tr = c_tr.withColumn("col", F.row_number().over(Window.partitionBy("page_id", "r_open").orderBy("pos")))
     c_tr = c_tr.join(tr_t.select("page_id", F.col("pos").alias("r_open"), "t_open", "row"), ["page_id", "r_open"])
-    txt = element_text(cells.select("page_id", F.col("pos").alias("open_pos"), "end_pos"), toks, "c")
-    c_tr = c_tr.join(txt.select("page_id", F.col("c_open").alias("pos"), "text"), ["page_id", "pos"], "left")
-    clean = F.replace(X.trim_ws(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+", " ")), F.lit("|"), F.lit("\\|"))
+    replaced = conv.inline_images
+    if conv.notes is not None:
+        replaced = replaced.unionByName(conv.notes[0])
+    txt = inline_markdown(conv, cells.select("page_id", F.col("pos").alias("open_pos"), "end_pos"), replaced)
+    c_tr = c_tr.join(txt.select("page_id", F.col("c_open").alias("pos"), "md"), ["page_id", "pos"], "left")
+    clean = F.replace(F.coalesce("md", F.lit("")), F.lit("|"), F.lit("\\|"))
     return c_tr.select("page_id", F.col("t_open").alias("table_pos"), F.col("row").cast("long").alias("row"),
                        F.col("col").cast("long").alias("col"), (F.col("tag") == "th").alias("is_header"),
                        clean.alias("text"))

@@ -9,11 +9,11 @@ such anchor), phase 2 every anchor marked as a note reference
 Labels (W2) are assigned per target in order of first reference: the
 anchor's text without brackets (F13), or, when blank or already taken, the
 smallest unused number greater than the count of labels so far. That rule is
-sequential, so each page's (small) ordered list of targets is folded with
-``aggregate``; pages are independent.
+sequential, so each page's ordered list of targets is folded with
+``aggregate``, which carries the last number dealt out; pages are independent.
 
 Definitions (J2) are the first element whose id is the target; back-links
-inside them are dropped (P11); the text becomes the note. Definitions leave
+inside them are dropped (P11); the content, as Markdown in one line, becomes the note. Definitions leave
 the body, and a list emptied by that leaves with them (P13). The appendix
 (A3) lists ``[^label]: text`` in label order of first reference.
 """
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators.tokens import attr, has_class
-from ..plans.intervals import assign_owner, ordered_concat, sweep_keep
+from ..plans.intervals import assign_owner, ordered_concat
+from .inline import inline_markdown
 
 NOTE_REF_CLASSES = ["footnote-ref", "fnref"]
 
@@ -72,16 +73,22 @@ def labels(refs: DataFrame) -> DataFrame:
         Window.partitionBy("page_id", "target").orderBy("phase", "ref_pos"))).filter("_rn = 1")
     arr = F.array_sort(F.collect_list(F.struct("phase", "ref_pos", "target", "raw_label")))
     per_page = first.groupBy("page_id").agg(arr.alias("items"))
-    init = F.struct(F.array().cast("array<string>").alias("used"),
-                    F.array().cast("array<struct<target:string,label:string>>").alias("out"))
+    state = "struct<used:array<string>,given:array<int>,last:int,out:array<struct<target:string,label:string>>>"
+    init = F.struct(F.array().alias("used"), F.array().alias("given"), F.lit(0).alias("last"), F.array().alias("out")).cast(state)
 
     def step(acc, x):
-        i = F.size(acc["used"]) + 1
-        free = F.filter(F.sequence(i, i * 2), lambda n: ~F.array_contains(acc["used"], n.cast("string")))
-        lab = F.when((x["raw_label"] != "") & ~F.array_contains(acc["used"], x["raw_label"]), x["raw_label"]) \
-            .otherwise(F.element_at(free, 1).cast("string"))
+        # numbers are dealt out in rising order; of those from ``low`` on, only labels that pages gave are taken
+        low = F.greatest(F.size(acc["used"]) + 1, acc["last"] + 1)
+        above = F.size(F.filter(acc["given"], lambda n: n >= low))
+        free = F.element_at(F.array_except(F.sequence(low, low + above), acc["given"]), 1)
+        own = (x["raw_label"] != "") & ~F.array_contains(acc["used"], x["raw_label"])
+        lab = F.when(own, x["raw_label"]).otherwise(free.cast("string"))
+        number = x["raw_label"].try_cast("int")
+        is_number = F.coalesce(own & (number.cast("string") == x["raw_label"]), F.lit(False))
         return F.struct(F.concat(acc["used"], F.array(lab)).alias("used"),
-                        F.concat(acc["out"], F.array(F.struct(x["target"].alias("target"), lab.alias("label")))).alias("out"))
+                        F.when(is_number, F.concat(acc["given"], F.array(number))).otherwise(acc["given"]).alias("given"),
+                        F.when(own, acc["last"]).otherwise(free).alias("last"),
+                        F.concat(acc["out"], F.array(F.struct(x["target"].alias("target"), lab.alias("label")))).alias("out")).cast(state)
 
     folded = per_page.select("page_id", F.aggregate("items", init, step)["out"].alias("out"))
     return folded.select("page_id", F.posexplode("out").alias("ord", "o")).select(
@@ -92,7 +99,6 @@ def labels(refs: DataFrame) -> DataFrame:
 def definitions(conv, labs: DataFrame) -> DataFrame:
     """J2 + P11: ``(page_id, target, open_pos, stop_pos, note)`` for labelled targets."""
     e = conv.kept_elements
-    toks = conv.cleaned_tokens
     d = e.filter(F.col("id").isNotNull()).select("page_id", F.col("id").alias("target"), "open_pos", "end_pos", "stop_pos")
     d = d.join(labs.select("page_id", "target"), ["page_id", "target"], "left_semi")
     d = d.withColumn("_rn", F.row_number().over(Window.partitionBy("page_id", "target").orderBy("open_pos"))) \
@@ -101,10 +107,10 @@ def definitions(conv, labs: DataFrame) -> DataFrame:
                                                | F.coalesce(attr("attrs", "href"), F.lit("")).startswith("#fnref")
                                                | F.coalesce(attr("attrs", "href"), F.lit("")).startswith("#ref")))
                     | has_class("attrs", "footnote-backref")).select("page_id", "open_pos", "stop_pos")
-    txt = sweep_keep(toks.filter(F.col("kind") == "text").select("page_id", "pos", "text"), back)
-    dt = ordered_concat(assign_owner(txt, d.select("page_id", "open_pos", "end_pos"), "d"), ["page_id", "d_open"], "pos", "text")
-    d = d.join(dt.select("page_id", F.col("d_open").alias("open_pos"), "text"), ["page_id", "open_pos"], "left")
-    note = X.escape_markdown_text(X.trim_ws(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f]+", " ")))
+    replaced = back.withColumn("md", F.lit("")).unionByName(conv.inline_images.join(back.select("page_id", "open_pos"), ["page_id", "open_pos"], "left_anti"))
+    dt = inline_markdown(conv, d.select("page_id", "open_pos", "end_pos"), replaced)
+    d = d.join(dt.withColumnRenamed("c_open", "open_pos"), ["page_id", "open_pos"], "left")
+    note = X.escape_line_starts(F.coalesce("md", F.lit("")), F.lit(True))
     return d.select("page_id", "target", "open_pos", "stop_pos", note.alias("note"))
 
 

@@ -359,21 +359,12 @@ class Conversion:
             self.replacements.select("page_id", "open_pos"), ["page_id", "open_pos"], "left_anti")
         h = self.headings.select("page_id", F.col("pos").alias("open_pos"), F.col("id").alias("hid"))
         e = e.join(h, ["page_id", "open_pos"], "left")
-        e = e.join(self.links.select("page_id", F.col("pos").alias("open_pos"), "href_clean"), ["page_id", "open_pos"], "left")
         e = e.join(self._unwrapped_links(), ["page_id", "open_pos"], "left")
         e = e.join(self._list_items(), ["page_id", "open_pos"], "left")
-        nothing = F.lit(None).cast("string")
-        e = e.join(self._code_ticks(), ["page_id", "open_pos"], "left") if "code" in self.present_tags else e.withColumn("ticks", nothing)
         e = e.join(self._task_boxes(), ["page_id", "open_pos"], "left") if "input" in self.present_tags and self.opt.gfm \
-            else e.withColumn("box", nothing)
+            else e.withColumn("box", F.lit(None).cast("string"))
         tag = F.col("tag")
-        title = F.coalesce(attr("attrs", "title"), F.lit(""))
-        linked = U.safe_href(F.col("href_clean")).isNotNull() & F.col("unwrap").isNull()
-        e = written(e, self.render_rules, {
-            "id": F.when(F.col("hid") != "", F.col("hid")),
-            "link": F.when(linked, F.concat("href_clean", F.when(title != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")))),
-            "ticks": F.when(tag == "code", F.coalesce("ticks", F.lit("`"))),
-            "box": F.col("box")})
+        e = self.element_texts(e)
         open_md, close_md = F.col("open_md"), F.col("close_md")
         marker = F.when(F.col("list_tag") == "ol", F.concat(F.col("ordinal").cast("string"), F.lit(".  "))).otherwise(F.lit("-   "))
         gap = F.when(tag == "li", 1).when(tag.isin(*BLOCK_TAGS), 2)
@@ -393,6 +384,37 @@ class Conversion:
             _part(end, zero, -pos, 2, brk=gap, nested=is_list))).alias("f"))
         return opens.unionByName(closes).select("page_id", "f.*").filter(PART_SAYS)
 
+    def element_texts(self, e: DataFrame) -> DataFrame:
+        """Elements with ``hid``, ``unwrap`` and ``box`` -> also ``open_md`` and ``close_md``, by the rendering rules."""
+        tags = self.present_tags
+        nothing = F.lit(None).cast("string")
+        e = e.join(self.links.select("page_id", F.col("pos").alias("open_pos"), "href_clean"), ["page_id", "open_pos"], "left") \
+            if "a" in tags else e.withColumn("href_clean", nothing)
+        e = e.join(self.code_ticks, ["page_id", "open_pos"], "left") if "code" in tags else e.withColumn("ticks", nothing)
+        title = F.coalesce(attr("attrs", "title"), F.lit(""))
+        linked = U.safe_href(F.col("href_clean")).isNotNull() & F.col("unwrap").isNull()
+        return written(e, self.render_rules, {
+            "id": F.when(F.col("hid") != "", F.col("hid")),
+            "link": F.when(linked, F.concat("href_clean", F.when(title != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")))),
+            "ticks": F.when(F.col("tag") == "code", F.coalesce("ticks", F.lit("`"))),
+            "box": F.col("box")})
+
+    @staticmethod
+    def written_out(df: DataFrame) -> DataFrame:
+        """``df``, read from a checkpoint: a stage holds a sort for each window in it, and they share a task's memory."""
+        return materialize(df)
+
+    @property
+    def inline_images(self) -> DataFrame:
+        """``(page_id, open_pos, stop_pos, md)`` of images, for text in one line."""
+        def build():
+            from ..operators.extract import images
+            if "img" not in self.present_tags:
+                return self.spark.createDataFrame([], "page_id long, open_pos int, stop_pos int, md string")
+            found = images(self).select("page_id", F.col("pos").alias("open_pos"), F.col("markdown").alias("md"))
+            return materialize(self.content_elements.select("page_id", "open_pos", "stop_pos").join(found, ["page_id", "open_pos"]))
+        return self._memo("inline_images", build)
+
     @property
     def render_rules(self) -> DataFrame:
         """H1, H2: the renderer's rules with those of the options."""
@@ -401,16 +423,21 @@ class Conversion:
             return render_rules(self.spark, self.opt.gfm, None if extra is None else taken_over(self.spark, extra))
         return self._memo("render_rules", build)
 
-    def _code_ticks(self) -> DataFrame:
+    @property
+    def code_ticks(self) -> DataFrame:
         """Delimiters of code spans that hold backticks: the shortest run of them that the span doesn't hold, with a space
         where the span begins or ends with a backtick."""
+        if "ticks" in self._cache:
+            return self._cache["ticks"]
         spans = self.kept_elements.filter(F.col("tag") == "code").select("page_id", "open_pos", "end_pos")
         txt = self.cleaned_tokens.filter(F.col("kind") == "text").select("page_id", "pos", "text")
         t = ordered_concat(assign_owner(txt, spans, "c"), ["page_id", "c_open"], "pos", "text").filter(F.col("text").contains("`"))
         held = F.transform(F.regexp_extract_all("text", F.lit("`+"), 0), F.length)
         free = F.filter(F.sequence(F.lit(1), F.size(held) + 1), lambda n: ~F.array_contains(held, n))
         pad = F.when(F.col("text").startswith("`") | F.col("text").endswith("`"), F.lit(" ")).otherwise(F.lit(""))
-        return t.select("page_id", F.col("c_open").alias("open_pos"), F.concat(F.repeat(F.lit("`"), free[0]), pad).alias("ticks"))
+        self._cache["ticks"] = materialize(t.select(
+            "page_id", F.col("c_open").alias("open_pos"), F.concat(F.repeat(F.lit("`"), free[0]), pad).alias("ticks")))
+        return self._cache["ticks"]
 
     def _task_boxes(self) -> DataFrame:
         """The state of each checkbox whose parent is a list item, ``x`` or a space."""

@@ -77,6 +77,7 @@ RECIPES = {
         '<article><p>Claim<sup><a href="#fn1">[1]</a></sup> and more<sup><a href="#fn2">[2]</a></sup>.</p><ol><li id="fn1">First note {k} <a href="#fnref1">back</a></li><li id="fn2">Second {n}<a class="footnote-backref" href="#x">back</a></li></ol></article>',
         '<article><p>A<sup><a href="#n{k}">1</a></sup> B<a class="fnref" href="#m{k}">[1]</a> C<sup><a href="#n{k}">1</a></sup></p><div><p id="n{k}">Note n</p><p id="m{k}">Note m {n}</p></div></article>',
         '<article><p>X<a data-footnote-ref="" href="#d{k}">x</a> Y<sup><a href="#missing">[9]</a></sup></p><ul><li id="d{k}">Def {k}</li></ul></article>',
+        '<article><p>Z<sup><a href="#z{k}">1</a></sup></p><div id="z{k}"><p>1. See <a href="https://x.org/{k}">the <b>{n}</b></a> and <code>a|`b</code></p><p>more*</p> <a href="#fnref1">back</a><img src="/n{k}.png" alt="pic"></div></article>',
         '<article><p>No notes {k}</p></article>',
     ]),
     "frag_sanitize": ("part", "p_partkey", "p_name", "p_size", [
@@ -96,6 +97,8 @@ RECIPES = {
         '<article><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>{k}</td><td>{s}</td><td>x|y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table></article>',
         '<article><table><tr><td>only {k}</td></tr></table></article>',
         '<article><table><tr><td>1<table><tr><td>in {k}</td><td>{n}</td></tr></table>after</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></article>',
+        '<article><table><tr><th>Markup</th><th><em>{n}</em></th></tr><tr><td><a href="/c/{k}" title="t">link <b>{s}</b></a><br><code>x|y</code></td><td><img src="/t{k}.png" alt="pic {k}"> and<p>a_b</p><ul><li>i</li><li>j</li></ul></td></tr></table></article>',
+        '<article><table><tr><td>Cell<sup><a href="#c{k}">1</a></sup></td></tr></table><p id="c{k}">Note of a cell</p></article>',
     ]),
 }
 

@@ -21,7 +21,7 @@ PAGES = [
      "x\n\n> Embedded iframe — from youtube.com — https://www.youtube.com/embed/abc"),
     ("<p>caf&eacute; &rarr; &uuml; &#38;lt; &amp;amp; &#x41;</p>", "café → ü &lt; &amp; A"),
     ("<table><tr><td>1<table><tr><td>x</td></tr></table>y</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table><p>z</p>",
-     "| 1xy | 2 |\n| --- | --- |\n| 3 | 4 |\n\nz"),
+     "| 1 x y | 2 |\n| --- | --- |\n| 3 | 4 |\n\nz"),
     ('<p>a</p><a href="/x"><svg width="16" height="16"><title>t</title></svg></a><ul><li><svg width="9" height="9"></svg></li></ul>'
      '<h2><svg width="20" height="20"></svg></h2><p>b</p>', "a\n\nb"),
     ('<h3 id="n">Name</h3><div data-rehype-pretty-code-figure aria-labelledby="n"><i data-language="Go">g</i><button>Copy</button>'
@@ -38,6 +38,11 @@ PAGES = [
     ("<p><span># x</span> <b># y</b></p><p>-5 and +5, 3.14, #tag</p><h2># t</h2>", "\\# x **# y**\n\n-5 and +5, 3.14, #tag\n\n## # t {#t}"),
     ("<ul><li><input type='checkbox' checked> done</li><li><input type=checkbox>open</li><li>none</li></ul><p><input type=checkbox>no</p>",
      "-   [x] done\n-   [ ] open\n-   none\n\nno"),
+    ("<table><tr><td>x <a href='/l'>l <b>k</b></a><br><code>p|q</code></td><td><img src='/i.png' alt='pic'><p>a*b</p><p>c</p></td></tr></table>",
+     "| x [l **k**](https://h.example/l) `p\\|q` | ![pic](https://h.example/i.png) a\\*b c |\n| --- | --- |"),
+    ("<p>A<sup><a href='#n'>1</a></sup></p><div id='n'><p>Note <a href='/l'>link</a></p><p>- more</p> <a href='#fnref1'>back</a></div>",
+     "A[^1]\n\n[^1]: Note [link](https://h.example/l) - more"),
+    ("<table><tr><td>c<sup><a href='#n'>1</a></sup></td></tr></table><p id='n'># note</p>", "| c[^1] |\n| --- |\n\n[^1]: \\# note"),
     ("<p><del>a</del> <s>b</s></p>", "~~a~~ ~~b~~"),
     ('<div data-demo><p role="tab" aria-selected="true">App</p><div role="figure"><button>Run</button><pre><code>y</code></pre></div></div>',
      'App\n\n``` title="App"\ny\n```'),
