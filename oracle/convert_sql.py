@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pagemill.functions.text import WS
 from pagemill.operators.clean import EMPTY_EXEMPT, MEDIA_CONTENT_TAGS, MEDIA_TAGS, REPLACED_TAGS
-from pagemill.operators.select import ATTR_SEL_RE, COMP_RE, DEFAULT_REMOVE_SELECTORS, OPS
+from pagemill.operators.select import ALTERNATIVE_RE, ATTR_SEL_RE, COMP_RE, DEFAULT_REMOVE_SELECTORS, OPS
+from pagemill.operators.sanitize import DROPPED_WITH_CONTENT
 from pagemill.operators.tokens import BLOCK_TAGS
 from pagemill.plans.convert import ROOT_FALLBACK
 from pagemill.sources.rules import BUILTIN_RULES
@@ -68,7 +69,7 @@ def selector_ctes(prefix: str, rules_src: str) -> list[str]:
     p = prefix
     return [
         f"{p}_a0 AS (SELECT scope, rule_ord, generate_subscripts(parts, 1) - 1 AS alt, unnest(parts) AS sel0 "
-        f"FROM (SELECT scope, rule_ord, string_split(selector, ',') AS parts FROM ({rules_src})))",
+        f"FROM (SELECT scope, rule_ord, regexp_extract_all(selector, {q(ALTERNATIVE_RE)}, 0) AS parts FROM ({rules_src})))",
         f"{p}_a1 AS (SELECT scope, rule_ord, alt, {S.trim_ws('sel0')} AS sel FROM {p}_a0)",
         f"{p}_a2 AS (SELECT *, regexp_extract_all(sel, {q(COMP_RE)}, 0) AS comps FROM {p}_a1)",
         f"{p}_a3 AS (SELECT * FROM {p}_a2 WHERE sel <> '' AND array_to_string(comps, '') = sel)",
@@ -172,7 +173,7 @@ def convert_ctes(extra_rules_sql: str | None = None, pages_sql: str | None = Non
                 + skip + ")")
     ctes.append("ce AS (SELECT e.* FROM ee e JOIN root r USING (page_id) WHERE e.open_pos > r.root_open AND e.open_pos < r.root_end)")
     # P1 / P2
-    dvals = ", ".join(f"('*', {i}, {q(s)})" for i, s in enumerate(DEFAULT_REMOVE_SELECTORS))
+    dvals = ", ".join(f"('*', {i}, {q(s)})" for i, s in enumerate([*DEFAULT_REMOVE_SELECTORS, ", ".join(DROPPED_WITH_CONTENT)]))
     extra = f" UNION ALL {extra_rules_sql}" if extra_rules_sql else ""
     ctes += selector_ctes("dr", f"SELECT * FROM (VALUES {dvals}) t(scope, rule_ord, selector){extra}")
     ctes += selector_ctes("sr", "SELECT domain AS scope, (generate_subscripts(remove, 1) - 1)::INTEGER AS rule_ord, "

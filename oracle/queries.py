@@ -198,6 +198,28 @@ ORACLE["render_fragments"] = CV.documents_sql(pages_sql=_FRAG_ALL) + "SELECT pag
 
 ORACLE["render_inline"] = CV.documents_sql(pages_sql=fragment_sql("frag_inline")) + "SELECT page_id, body AS markdown FROM body"
 
+_DOC_HEADINGS = CV.documents_sql(pages_sql=fragment_sql("frag_headings"))
+ORACLE["heading_fragments"] = _DOC_HEADINGS + "SELECT page_id, pos, level, text, id, slug FROM headings"
+ORACLE["toc_fragments"] = _DOC_HEADINGS + "SELECT page_id, toc FROM toc"
+ORACLE["link_fragments"] = CV.documents_sql(pages_sql=fragment_sql("frag_links")) + "SELECT page_id, pos, href_raw, href_clean, text FROM links"
+ORACLE["meta_fragments"] = CV.documents_sql(pages_sql=fragment_sql("frag_meta")) + "SELECT page_id, title, source, author, description FROM page_meta"
+ORACLE["noise_removal"] = CV.documents_sql(pages_sql=fragment_sql("frag_noise")) + "SELECT page_id, pos, kind, tag FROM kt"
+ORACLE["block_fragments"] = CV.documents_sql(pages_sql=" UNION ALL ".join(
+    f"SELECT page_id + {i * 1_000_000_000} AS page_id, url, html FROM ({fragment_sql(n)})"
+    for i, n in enumerate(["frag_headings", "frag_quotes_lists", "frag_noise", "frag_links"]))) + "SELECT page_id, body AS markdown FROM body"
+_ERROR_PAGES = ("SELECT page_id, url, CASE page_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE html END AS html "
+                f"FROM ({fragment_sql('frag_errors')})")
+_ERROR_RULES = ("SELECT DISTINCT 'site' || (s_suppkey % 7)::VARCHAR || '.example.org' AS domain, "
+                "CASE s_suppkey % 7 WHEN 2 THEN 'main:first-child' ELSE 'article' END AS selector, "
+                "CASE s_suppkey % 7 WHEN 1 THEN ['div > p', '.x'] WHEN 3 THEN ['[data-a=\"x,y\"]'] "
+                "WHEN 4 THEN ['p:empty, div > p', 'a b'] ELSE []::VARCHAR[] END AS remove FROM supplier")
+_BAD = ("(SELECT scope, string_agg(DISTINCT sel, ', ' ORDER BY sel) AS sels FROM (SELECT * FROM rs_a2 UNION ALL SELECT * FROM sr_a2) "
+        "WHERE array_to_string(comps, '') <> sel GROUP BY scope)")
+ORACLE["conversion_errors"] = CV.documents_sql(pages_sql=_ERROR_PAGES, rules_sql=_ERROR_RULES) + (
+    "SELECT page_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, body FROM (SELECT d.page_id, d.body, "
+    "CASE WHEN coalesce(p.html, '') = '' THEN 'page has no html' WHEN d.body = '' THEN 'page has no content' "
+    f"WHEN b.sels IS NOT NULL THEN 'unsupported selector: ' || b.sels END AS error FROM documents d JOIN pg p USING (page_id) LEFT JOIN {_BAD} b ON b.scope = p.host)")
+
 # ---------------------------------------------------------------- canonical path
 _ALTS = ("SELECT 'https://site' || (s_suppkey % 7)::VARCHAR || '.example.org/' || CASE WHEN s_suppkey % 3 = 1 THEN 'd/md/' "
          "ELSE 'md/' END || s_suppkey::VARCHAR || '.md' AS url, CASE WHEN s_suppkey % 5 = 4 THEN 404 ELSE 200 END AS status, "

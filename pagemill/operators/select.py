@@ -38,7 +38,10 @@ DEFAULT_REMOVE_SELECTORS = [
     ".related, .recommended",
 ]
 
-COMP_RE = r"^[A-Za-z][A-Za-z0-9-]*|^\*|\.[A-Za-z0-9_-]+|#[A-Za-z0-9_-]+|\[[^\]]*\]"
+BRACKET_RE = r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]"""
+# An alternative of a selector list: a comma in brackets doesn't end it.
+ALTERNATIVE_RE = rf"(?:[^,\[]+|{BRACKET_RE}|\[)+"
+COMP_RE = rf"^[A-Za-z][A-Za-z0-9-]*|^\*|\.[A-Za-z0-9_-]+|#[A-Za-z0-9_-]+|{BRACKET_RE}"
 ATTR_SEL_RE = (r"""^\[\s*([A-Za-z_:][-A-Za-z0-9_:.]*)\s*(?:([*^$~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s"']*)))?\s*\]$""")
 OPS = {"=": "eq", "*=": "contains", "^=": "prefix", "$=": "suffix", "~=": "word", "|=": "dash"}
 
@@ -59,7 +62,8 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def _alternatives(rules: DataFrame) -> DataFrame:
-    alts = rules.select("scope", "rule_ord", F.posexplode(F.split("selector", ",")).alias("alt", "sel"))
+    found = F.regexp_extract_all("selector", F.lit(ALTERNATIVE_RE), 0)
+    alts = rules.select("scope", "rule_ord", F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))).alias("alt", "sel"))
     alts = alts.withColumn("sel", trim_ws(F.col("sel")))
     comps = F.regexp_extract_all(F.col("sel"), F.lit(COMP_RE), 0)
     return alts.withColumn("comps", comps).withColumn(

@@ -27,10 +27,11 @@ from ..functions.text import WS, decode_entities
 RAW_TEXT_TAGS = ["textarea", "title", "iframe", "xmp", "noembed"]
 RAW_TEXT_OPEN = r"""(?:\s(?:[^>"'/]|"[^"]*"|'[^']*'|/[^>])*+)?>"""
 RAW_TEXT_PATTERN = "|".join(rf"<{t}{RAW_TEXT_OPEN}.*?</{t}\s*>" for t in RAW_TEXT_TAGS)
-TOKEN_PATTERN = (
+TAG_PATTERN = (
     r"""(?is)<!--.*?-->|""" + RAW_TEXT_PATTERN + r"""|<script\b.*?</script\s*>|<style\b.*?</style\s*>"""
-    r"""|</?[a-z!](?:[^>"']|"[^"]*"|'[^']*')*+>|[^<]+|<"""
+    r"""|</?[a-z!](?:[^>"']|"[^"]*"|'[^']*')*+>"""
 )
+TOKEN_PATTERN = TAG_PATTERN + r"|[^<]+|<"
 
 # HTML tag classes.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -89,6 +90,12 @@ def tokenize(pages: DataFrame) -> DataFrame:
     ).select("page_id", "pos", "kind", F.when(F.col("kind").isin("open", "close", "void", "raw"), F.col("tag")).alias("tag"), "tok")
 
 
+def tags_named(html: Column, *names: str) -> Column:
+    """The void, open and whole raw-text tags of these names in page order, of the page's row: what the tokens would hold."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TAG_PATTERN), 0)
+    return F.filter(found, lambda t: F.rlike(t, F.lit(rf"(?i)^<(?:{'|'.join(names)})(?![a-z0-9:-])")))
+
+
 def text_of(tok: Column) -> Column:
     """Decoded character data of a text token."""
     return decode_entities(tok)

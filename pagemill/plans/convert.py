@@ -27,6 +27,7 @@ from ..functions import urls as U
 from ..operators import clean as C
 from ..operators import select as S
 from ..operators.content import BLOCKS, CONTAINERS, best_container
+from ..operators.sanitize import DROPPED_WITH_CONTENT
 from ..operators.tokens import BLOCK_TAGS, attr
 from ..session import taken_over
 from ..sources import rules as R
@@ -80,7 +81,7 @@ class Conversion:
     def __init__(self, spark: SparkSession, corpus: Corpus, rules: DataFrame | None = None,
                  options: Options | None = None, alternates: DataFrame | None = None):
         self.spark = corpus.spark  # plans of pages have a session of their own
-        self.corpus = corpus
+        self.given = corpus
         self.rules = rules if rules is not None else R.builtin_rules(spark)
         self.opt = options or Options()
         self.alternates = alternates
@@ -95,10 +96,17 @@ class Conversion:
 
         def build():
             from ..sources.canonical import canonical_content, canonical_link
-            links = canonical_link(self.elements, self.corpus.page_info)
-            return materialize(canonical_content(links, self.alternates))
+            return materialize(canonical_content(canonical_link(self.given.pages), taken_over(self.spark, self.alternates)))
         return self._memo("canonical", build)
 
+    @property
+    def corpus(self) -> Corpus:
+        """The corpus given; of pages with usable alternates only the tags that metadata come from are tokenised."""
+        def build():
+            self.given.pages = materialize(self.given.pages)  # cut: links and tokens read them
+            return self.given.heads_of(self.canonical.select("page_id"))
+        return self.given if self.alternates is None else self._memo("corpus", build)
+
     def _memo(self, key, fn):
         if key not in self._cache:
             self._cache[key] = fn()
@@ -165,16 +173,36 @@ class Conversion:
         r = self.rules.select(F.col("domain").alias("scope"), F.posexplode(F.coalesce("remove", F.array().cast("array<string>"))).alias("rule_ord", "selector"))
         return r
 
+    def _extra_removals(self) -> DataFrame:
+        return self.spark.createDataFrame([("*", 100 + i, s) for i, s in enumerate(self.opt.extra_remove)], S.RULE_SCHEMA)
+
+    @property
+    def unsupported(self) -> DataFrame:
+        """``(page_id, selectors)`` of pages with selectors outside the supported syntax, which match nothing.
+
+        Those of the options concern every page; those of a site's rule its pages. A rule's selectors make one row, and
+        the rows are broadcast if they are ``S.BROADCAST_MAX_CONDITIONS`` at most.
+        """
+        def build():
+            rules = taken_over(self.spark, self.rules)
+            site = rules.select(F.col("domain").alias("scope"), F.lit(0).alias("rule_ord"), "selector").unionByName(self._site_removals())
+            names = F.array_join(F.array_sort(F.collect_set("sel")), ", ")
+            bad = materialize(S.quarantine(site).groupBy("scope").agg(names.alias("of_site")))
+            few = bad.limit(S.BROADCAST_MAX_CONDITIONS + 1).count() <= S.BROADCAST_MAX_CONDITIONS
+            pages = self.corpus.page_info.select("page_id", "host")
+            found = pages.join(F.broadcast(bad) if few else bad, F.col("host") == F.col("scope"), "left")
+            everywhere = S.quarantine(self._extra_removals()).agg(names).first()[0] if self.opt.extra_remove else ""
+            found = found.withColumn("everywhere", F.lit(everywhere or None).cast("string"))
+            return found.select("page_id", F.concat_ws(", ", "of_site", "everywhere").alias("selectors")).filter("selectors <> ''")
+        return self._memo("unsupported", build)
+
     @property
     def after_selectors(self) -> DataFrame:
-        """P1 then P2 (and H4 extra selectors, applied like the defaults)."""
+        """P1 then P2 (and H4 extra selectors, applied like the defaults), with what P9 lets go with all it holds."""
         def build():
             t, e = self.content_tokens, self.content_elements
-            defaults = S.default_rules(self.spark)
-            if self.opt.extra_remove:
-                extra = self.spark.createDataFrame(
-                    [("*", 100 + i, s) for i, s in enumerate(self.opt.extra_remove)], S.RULE_SCHEMA)
-                defaults = defaults.unionByName(extra)
+            unsafe = self.spark.createDataFrame([("*", 99, ", ".join(DROPPED_WITH_CONTENT))], S.RULE_SCHEMA)  # P9
+            defaults = S.default_rules(self.spark).unionByName(unsafe).unionByName(self._extra_removals())
             # cut: the next sweep reads these tokens three times
             return materialize(C.remove_selector_sets(t, e, [(defaults, False), (self._site_removals(), True)]))
         return self._memo("after_selectors", build)

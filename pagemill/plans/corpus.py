@@ -11,6 +11,7 @@ column, then the one of the greatest url, then of the greatest html (so exact co
 
 from __future__ import annotations
 
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,19 @@ class Corpus:
         """``(url, host)`` of the rows without a ``page_id``."""
         return self._given.where("page_id IS NULL").select("url", url_host(F.col("url")).alias("host"))
 
+    def heads_of(self, page_ids: DataFrame) -> "Corpus":
+        """This corpus, in which the pages of ``page_ids`` hold nothing but the tags that metadata come from.
+
+        An end tag of a title that is missing is not looked for: such a title is empty.
+        """
+        other = copy(self)
+        for name in ("tokens", "elements", "elements_attrs", "texts"):
+            other.__dict__.pop(name, None)
+        marked = self.pages.join(page_ids.withColumn("_head", F.lit(True)), "page_id", "left")
+        html = F.when(F.col("_head"), F.array_join(T.tags_named(F.col("html"), "title", "meta"), "")).otherwise(F.col("html"))
+        other.pages = marked.withColumn("html", html).drop("_head")
+        return other
+
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens plus decoded ``text`` of text tokens, written once."""

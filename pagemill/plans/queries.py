@@ -594,21 +594,25 @@ def q_render_table(spark, d):
 
 
 FRAGMENT_VIEWS = ["frag_images", "frag_media", "frag_svg", "frag_code", "frag_tables", "frag_figures", "frag_notes"]
+BLOCK_VIEWS = ["frag_headings", "frag_quotes_lists", "frag_noise", "frag_links"]
 
 
-@register("render_fragments")
-def q_render_fragments(spark, d):
-    """R1-R7 on all fragment views together: Markdown body with media quotes,
-    SVG descriptions, fenced code, GFM tables and images (page_id offset by view)."""
+def _frags(spark, d, views):
+    """One conversion of several fragment views, ``page_id`` offset by view."""
     from ..sources.fragments import fragment_pages
     from .convert import Conversion
     pages = None
-    for i, name in enumerate(FRAGMENT_VIEWS):
+    for i, name in enumerate(views):
         p = fragment_pages(spark, d, name).withColumn("page_id", F.col("page_id") + F.lit(i * 1_000_000_000))
         pages = p if pages is None else pages.unionByName(p)
-    pages = pages.withColumn("host", U.url_host(F.col("url")))
-    c = Conversion(spark, Corpus(spark, pages))
-    return c.body.select("page_id", F.col("body").alias("markdown"))
+    return Conversion(spark, Corpus(spark, pages.withColumn("host", U.url_host(F.col("url")))))
+
+
+@register("render_fragments")
+def q_render_fragments(spark, d):
+    """R1-R7 on all fragment views together: Markdown body with media quotes,
+    SVG descriptions, fenced code, GFM tables and images (page_id offset by view)."""
+    return _frags(spark, d, FRAGMENT_VIEWS).body.select("page_id", F.col("body").alias("markdown"))
 
 
 @register("render_inline")
@@ -617,6 +621,64 @@ def q_render_inline(spark, d):
     return _frag(spark, d, "frag_inline").body.select("page_id", F.col("body").alias("markdown"))
 
 
+@register("heading_fragments")
+def q_heading_fragments(spark, d):
+    """E6 + W1: repeated, named, linked and empty headings."""
+    return _frag(spark, d, "frag_headings").headings
+
+
+@register("toc_fragments")
+def q_toc_fragments(spark, d):
+    """A2 on heading fragments."""
+    return _frag(spark, d, "frag_headings").toc
+
+
+@register("link_fragments")
+def q_link_fragments(spark, d):
+    """E2 + F9 + F10: tracked, relative, unsafe and empty links."""
+    return _frag(spark, d, "frag_links").links
+
+
+@register("meta_fragments")
+def q_meta_fragments(spark, d):
+    """Titles, descriptions and authors, missing, empty or given twice."""
+    return _frag(spark, d, "frag_meta").page_meta
+
+
+@register("noise_removal")
+def q_noise_removal(spark, d):
+    """P1 + P3 + P4 + P5 + P9 + X1: tokens left of fragments with an element for each fixed selector, hidden and empty ones."""
+    return _frag(spark, d, "frag_noise").cleaned_tokens.select("page_id", "pos", "kind", "tag")
+
+
+@register("block_fragments")
+def q_block_fragments(spark, d):
+    """Headings, quotes, lists, task boxes and links as Markdown."""
+    return _frags(spark, d, BLOCK_VIEWS).body.select("page_id", F.col("body").alias("markdown"))
+
+
+def error_pages(spark, d):
+    """``frag_errors``, some pages without html, and the rules of their sites, some with unsupported selectors."""
+    from ..sources.fragments import fragment_pages
+    html = F.when(F.col("page_id") % 11 == 0, F.lit(None)).when(F.col("page_id") % 11 == 1, "").otherwise(F.col("html"))
+    pages = fragment_pages(spark, d, "frag_errors").withColumn("html", html)
+    n = F.col("n")
+    remove = (F.when(n == 1, F.array(F.lit("div > p"), F.lit(".x"))).when(n == 3, F.array(F.lit('[data-a="x,y"]')))
+              .when(n == 4, F.array(F.lit("p:empty, div > p"), F.lit("a b"))).otherwise(F.array().cast("array<string>")))
+    rules = table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("n")).distinct().select(
+        F.concat(F.lit("site"), n.cast("string"), F.lit(".example.org")).alias("domain"),
+        F.when(n == 2, "main:first-child").otherwise("article").alias("selector"), remove.alias("remove"))
+    return pages, rules
+
+
+@register("conversion_errors")
+def q_conversion_errors(spark, d):
+    """G3 + P3: pages without html or content, and those whose site's rule has unsupported selectors."""
+    from ..streaming.stream import convert_batch
+    pages, rules = error_pages(spark, d)
+    return convert_batch(spark, pages, rules).select("page_id", "status", "error", "body")
+
+
 # ---------------------------------------------------------------- canonical path
 def _alt_conv(spark, d):
     from ..sources.canonical import crawled_alternates
@@ -630,8 +692,7 @@ def _alt_conv(spark, d):
 def q_canonical_link(spark, d):
     """First Markdown alternate link per page, resolved."""
     from ..sources.canonical import canonical_link
-    c = _alt_conv(spark, d)
-    return canonical_link(c.elements, c.corpus.page_info)
+    return canonical_link(_alt_conv(spark, d).given.pages)
 
 
 @register("canonical_join")

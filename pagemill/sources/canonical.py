@@ -1,12 +1,11 @@
 """Published Markdown alternates.
 
 ``canonical_link`` finds each page's first ``link[rel=alternate][type=text/markdown]``
-and resolves its href against the page URL. ``canonical_content`` joins it
-with a table of crawled alternates ``(url, status, text)``: a 2xx response
-whose text, after trimming and dropping front matter (F7), is not blank
-replaces the converted body. ``canonical_pages`` are the page ids that skip
-conversion; the plan anti-joins them before the cleaning and rendering
-stages.
+on the page's row, before any token is made, and resolves its href against
+the page URL. ``canonical_content`` joins it with a table of crawled
+alternates ``(url, status, text)``: a 2xx response whose text, after trimming
+and dropping front matter (F7), is not blank replaces the converted body.
+Of such pages only the tags of their metadata are tokenised.
 """
 
 from __future__ import annotations
@@ -16,18 +15,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators.tokens import attr
+from ..operators.tokens import attr, parse_attrs, tags_named
 from .tables import table
 
 
-def canonical_link(elements: DataFrame, page_info: DataFrame) -> DataFrame:
-    """``(page_id, href)`` of the first Markdown alternate link (resolved)."""
-    links = elements.filter((F.col("tag") == "link") & (attr("attrs", "rel") == "alternate")
-                            & (attr("attrs", "type") == "text/markdown")
-                            & (F.coalesce(attr("attrs", "href"), F.lit("")) != ""))
-    first = links.withColumn("_rn", F.row_number().over(Window.partitionBy("page_id").orderBy("open_pos"))).filter("_rn = 1")
-    first = first.join(page_info.select("page_id", "url"), "page_id")
-    return first.select("page_id", U.resolve_url(attr("attrs", "href"), F.col("url")).alias("href"))
+def canonical_link(pages: DataFrame) -> DataFrame:
+    """``(page_id, href)`` of the first Markdown alternate link (resolved), from ``pages(page_id, url, html)``."""
+    def published(attrs):
+        return ((attr(attrs, "rel") == "alternate") & (attr(attrs, "type") == "text/markdown")
+                & (F.coalesce(attr(attrs, "href"), F.lit("")) != ""))
+
+    links = F.filter(F.transform(tags_named(F.col("html"), "link"), parse_attrs), published)
+    first = pages.filter(F.col("html").rlike(r"(?i)<link\b")).select("page_id", "url", F.get(links, F.lit(0)).alias("attrs"))
+    return first.filter(F.col("attrs").isNotNull()).select("page_id", U.resolve_url(attr("attrs", "href"), F.col("url")).alias("href"))
 
 
 def canonical_content(links: DataFrame, alternates: DataFrame) -> DataFrame:

@@ -100,6 +100,47 @@ RECIPES = {
         '<article><table><tr><th>Markup</th><th><em>{n}</em></th></tr><tr><td><a href="/c/{k}" title="t">link <b>{s}</b></a><br><code>x|y</code></td><td><img src="/t{k}.png" alt="pic {k}"> and<p>a_b</p><ul><li>i</li><li>j</li></ul></td></tr></table></article>',
         '<article><table><tr><td>Cell<sup><a href="#c{k}">1</a></sup></td></tr></table><p id="c{k}">Note of a cell</p></article>',
     ]),
+    "frag_headings": ("part", "p_partkey", "p_name", "p_size", [
+        '<article><h1>{n}</h1><h2>Part {k}</h2><p>a</p><h2>Part {k}</h2><h3>Part {k}</h3><p>b</p></article>',
+        '<article><h2 id="own-{k}">Named</h2><p>x</p><h4>own-{k}</h4><p>y</p></article>',
+        '<article><h2><a href="/h/{k}">Linked {n}</a></h2><p>t</p><h3><a href="/i">One</a> and <em>more</em></h3></article>',
+        '<article><h5>Größe &amp; {s}!</h5><h6>  spaced   out </h6><h6></h6><p>z</p></article>',
+        '<article><p>none {k}</p></article>',
+        '<article><h1>A</h1><h2>a-1</h2><h2>a</h2><h2>A</h2><p>q</p></article>',
+    ]),
+    "frag_noise": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
+        '<article><p>Keep {k}</p><script>var a = "{n}";</script><style>p {}</style><noscript>no</noscript></article>',
+        '<article><header>h</header><p>Keep {k}</p><nav><a href="/n">n</a></nav><aside>a</aside><footer>f</footer></article>',
+        '<article><p class="head-line">Keep {k}</p><div class="share">s</div><span aria-label="please share this">l</span><a role="button" data-action="do-share" href="/s">b</a><p>{n}</p></article>',
+        '<article><div class="ads">x</div><div class="top ad-slot">x</div><div id="ad-{k}">x</div><p>Keep {k}</p><div class="newsletter">x</div><div class="cookie">x</div><div class="banner">x</div><div class="modal">x</div></article>',
+        '<article><div class="my-popup">x</div><div class="overlay-{k}">x</div><p>Keep {k}</p><div class="comments">c</div><div id="comments">c</div><div class="related">r</div><ul class="recommended"><li>r</li></ul></article>',
+        '<article><p hidden>h</p><p aria-hidden="true">h</p><p aria-hidden="false">Shown {k}</p><p style="color:red; DISPLAY : none">h</p><p style="visibility:hidden !important">h</p><p style="display:none-such">Kept {n}</p></article>',
+        '<article><div><p> </p><span></span></div><p><br></p><p>&nbsp;</p><div><img src="/i{k}.png" alt="in"></div><p>Keep {k}</p></article>',
+        '<article><div class="related"><p>Keep not</p><nav>{k}</nav></div><p>Keep {k}</p><nav><div class="ads">x</div>y</nav><template><h2>t</h2></template><object data="/o"><p>old</p></object></article>',
+    ]),
+    "frag_quotes_lists": ("nation", "n_nationkey", "n_name", "n_regionkey", [
+        '<article><blockquote><p>Quote {k}</p><p>{n}</p></blockquote><p>after</p></article>',
+        '<article><blockquote><p>a</p><blockquote><p>b {k}</p></blockquote><ul><li>c</li></ul></blockquote></article>',
+        '<article><ul><li>one {k}</li><li>two<ul><li>in</li><li>deep<ol><li>x</li><li>y</li></ol></li></ul></li></ul></article>',
+        '<article><ol start="{k}"><li>a</li><li><p>b</p><p>c</p></li></ol><p><del>old</del> <em>e</em> <strong>s {n}</strong> <code>c{k}</code></p></article>',
+        '<article><ul><li><input type="checkbox" checked> done {k}</li><li><input type="checkbox"> open</li></ul><hr><p>x</p></article>',
+    ]),
+    "frag_links": ("part", "p_partkey", "p_name", "p_size", [
+        '<article><p><a href="/a/{k}?utm_source=x&amp;id={k}&amp;fbclid=1">One</a> <a href="#part">Two</a></p></article>',
+        '<article><p><a href="javascript:alert(1)">j</a> <a href="../up/{k}" title="T {s}">Up <b>{n}</b></a><a>none</a></p></article>',
+        '<article><p><a href="https://www.example.net/p?q={k}#f">{n}</a> <a href="mailto:a@b.example">m</a> <a href="">e</a></p><nav><a href="/gone">g</a></nav></article>',
+    ]),
+    "frag_meta": ("part", "p_partkey", "p_name", "p_size", [
+        '<head><title> Title  {k} &amp; more </title><meta name="description" content="About {n}"><meta name="author" content="W &quot;{s}&quot;"></head><body><article><p>x {k}</p></article></body>',
+        '<head><meta name="author"><meta name="author" content="second"><title></title></head><body><p>{k}</p></body>',
+        '<head><meta name="Description" content="case"><meta name="description" content=""></head><body><article><p>{n}</p></article></body>',
+        '<body><article><svg width="100" height="100"><title>In {k}</title></svg><p>x</p></article></body>',
+    ]),
+    "frag_errors": ("supplier", "s_suppkey", "s_name", "s_nationkey", [
+        '<article><p>Good {k}</p><div data-a="x,y">{n}</div></article>',
+        '<!-- only {k} -->',
+        '<article><nav>{n}</nav></article>',
+    ]),
 }
 
 

@@ -33,11 +33,15 @@ PAGES_SCHEMA = T.StructType([
 ])
 
 
-def with_status(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """``status``, ``error`` and ``crawls`` (rows given for the page); rows without an id are errors of their own."""
+def with_status(docs: DataFrame, corpus: Corpus, unsupported: DataFrame) -> DataFrame:
+    """``status``, ``error`` and ``crawls`` (rows given for the page); rows without an id are errors of their own.
+
+    A page whose selectors are ``unsupported`` in part has a document all the same, made without them.
+    """
     info = corpus.pages.select("page_id", (F.coalesce(F.length("html"), F.lit(0)) == 0).alias("_none"), "crawls")
-    error = F.when(F.col("_none"), "page has no html").when(F.col("body") == "", "page has no content")
-    docs = docs.join(info, "page_id").withColumn("error", error).drop("_none")
+    error = F.when(F.col("_none"), "page has no html").when(F.col("body") == "", "page has no content").when(
+        F.col("selectors").isNotNull(), F.concat(F.lit("unsupported selector: "), F.col("selectors")))
+    docs = docs.join(info, "page_id").join(unsupported, "page_id", "left").withColumn("error", error).drop("_none", "selectors")
     lost = corpus.nameless.withColumn("error", F.lit("page has no id")).withColumn("crawls", F.lit(1).cast("long"))
     docs = docs.unionByName(lost, allowMissingColumns=True)
     return docs.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
@@ -47,7 +51,8 @@ def convert_batch(spark: SparkSession, pages: DataFrame, rules: DataFrame | None
                   options: Options | None = None) -> DataFrame:
     """A document for each page, whatever is wrong with it (see ``with_status``); a page given more than once counts once."""
     corpus = Corpus(spark, pages)
-    return with_status(Conversion(corpus.spark, corpus, rules, options).documents, corpus)
+    conv = Conversion(corpus.spark, corpus, rules, options)
+    return with_status(conv.documents, corpus, conv.unsupported)
 
 
 def stream_convert(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
