@@ -14,9 +14,9 @@ FILES = 8
 def write_documents(docs: DataFrame, path: str, buckets: int = HOST_BUCKETS) -> None:
     """Write ``docs`` as Parquet, in a fixed number of folders by the hash of the host.
 
-    Rows are spread by host bucket and page, so no task writes all of a hot
-    host; a folder gets as many files as keep all ``spark.sql.shuffle.partitions``
-    tasks at work, ``FILES`` at least. Readers that filter on ``host`` can
+    Rows are spread by host bucket and page: each folder is written by as many
+    tasks as make ``spark.sql.shuffle.partitions`` in all, ``FILES`` at least,
+    whatever it holds. Readers that filter on ``host`` can
     add ``host_bucket = pmod(xxhash64(host), buckets)``.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
