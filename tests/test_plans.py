@@ -28,3 +28,13 @@ def test_tokens_are_not_shuffled(spark, plans):
     moved = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(plans) > 10 and len(moved) <= 10
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"  # the caller's session is as it was
+
+
+@pytest.mark.parametrize("query", ["images", "render_fragments", "footnotes"])
+def test_pages_are_not_broadcast(spark, plans, query):
+    """Fragments of small tables: what belongs to pages is joined where it is, however small its table was."""
+    from pagemill.plans.queries import REGISTRY
+
+    plans.append(REGISTRY[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert joins and not [line for line in joins if "page_id" in line or "NestedLoop" in line]
