@@ -38,3 +38,11 @@ def test_pages_are_not_broadcast(spark, plans, query):
     plans.append(REGISTRY[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
     joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert joins and not [line for line in joins if "page_id" in line or "NestedLoop" in line]
+
+
+def test_elements_pair_tags_once(spark):
+    """Each pairing of tags is in the plan once, whatever is read from it."""
+    from pagemill.plans.corpus import Corpus
+
+    plan = Corpus.from_dir(spark, "/root/testdata/sf0.001").elements._jdf.queryExecution().executedPlan().toString()
+    assert sum("+- Window [" in line or ":- Window [" in line for line in plan.splitlines()) <= 9
