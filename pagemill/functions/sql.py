@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .text import WS, WS_NO_LF
+from .text import WS, WS_CHARS, WS_NO_LF
 
 
 def _q(s: str) -> str:
@@ -21,7 +21,7 @@ def _each(x: str, *steps: tuple[str, str]) -> str:
 
 
 def _trim(x: str) -> str:
-    return _each(x, (f"^[{WS}]+|[{WS}]+$", ""))
+    return f"trim(BOTH {_q(WS_CHARS)} FROM {x})"
 
 
 def _replaced(x: str, *pairs: tuple[str, str]) -> str:

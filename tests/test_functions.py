@@ -89,3 +89,18 @@ def test_sql_functions(spark):
         column = {"squash_title": text.squash_ws}.get(name) or getattr(text, name)
         both = rows.select(F.expr(f"{name}(s)").alias("got"), column("s").alias("want")).collect()
         assert [r.got for r in both] == [r.want for r in both], name
+
+
+def test_trim_takes_white_space_of_both_ends_only(spark):
+    """A next-line character is no white space here; what stands before it stays."""
+    from pagemill.functions.sql import register_functions
+    from pagemill.functions.text import WS, WS_CHARS, trim_ws
+
+    register_functions(spark)
+    given = ["", " ", " a b\t", "\u3000x\ufeff\n", "a \u0085", "\u2028\u00a0", "\u200b y", None]
+    df = spark.createDataFrame([(x,) for x in given], "s string")
+    rows = df.select(trim_ws("s").alias("a"), F.expr("trim_ws(s)").alias("b")).collect()
+    want = ["", "", "a b", "x", "a \u0085", "", "\u200b y", None]
+    assert [r.a for r in rows] == want and [r.b for r in rows] == want
+    all_of_them = spark.createDataFrame([(c,) for c in map(chr, range(1, 0xD800))] + [("\ufeff",)], "c string")
+    assert sorted(r.c for r in all_of_them.where(F.col("c").rlike(f"^[{WS}]$")).collect()) == sorted(WS_CHARS)

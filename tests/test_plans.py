@@ -46,3 +46,29 @@ def test_elements_pair_tags_once(spark):
 
     plan = Corpus.from_dir(spark, "/root/testdata/sf0.001").elements._jdf.queryExecution().executedPlan().toString()
     assert sum("+- Window [" in line or ":- Window [" in line for line in plan.splitlines()) <= 9
+
+
+def test_steps_read_their_input_once(spark):
+    """Begins and ends of elements, and the conditions of selectors, come from one reading of their input."""
+    from pyspark.sql import functions as F
+
+    from pagemill.operators.extract import parent_of
+    from pagemill.operators.select import RULE_SCHEMA, conditions, match
+    from pagemill.plans.intervals import assign_owner, interval_sums, sweep_keep
+
+    points = spark.createDataFrame([(1, 3, 1)], "page_id long, pos int, w int")
+    n = F.col("id").cast("int")
+    spans = spark.range(5).select(F.lit(1).cast("long").alias("page_id"), n.alias("open_pos"), (n + 1).alias("end_pos"), (n + 2).alias("stop_pos"))
+    facts = spark.range(5).select(F.lit(1).cast("long").alias("page_id"), n.alias("open_pos"), F.lit("tag").alias("key"), n.cast("string").alias("val"))
+    conds = conditions(spark.createDataFrame([("*", 1, "b, [title]")], RULE_SCHEMA))
+    for df in (sweep_keep(points, spans), interval_sums(points, spans, ["w"]), assign_owner(points, spans), parent_of(spans), match(facts, conds)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_texts_are_collected_by_one_sort(spark):
+    """A page session collects texts of sorted groups: a hash of objects would begin again with a sort after 128 of them."""
+    from pagemill.plans.corpus import Corpus
+    from pagemill.plans.intervals import ordered_concat
+
+    plan = ordered_concat(Corpus.from_dir(spark, "/root/testdata/sf0.001").texts, ["page_id"], "pos", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" in plan
