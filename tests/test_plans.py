@@ -72,3 +72,25 @@ def test_texts_are_collected_by_one_sort(spark):
 
     plan = ordered_concat(Corpus.from_dir(spark, "/root/testdata/sf0.001").texts, ["page_id"], "pos", "text")._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" in plan
+
+
+@pytest.mark.parametrize("query", ["link_fragments", "footnote_appendix"])
+def test_broadcasts_have_one_long_as_key(spark, plans, query):
+    """Other keys take a memory page of the driver and of each executor for each broadcast, however few its rows are."""
+    from pagemill.plans.queries import REGISTRY
+
+    plans.append(REGISTRY[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    sent = [line for plan in plans for line in plan.splitlines() if "BroadcastExchange" in line]
+    assert len(sent) >= 4 and all("HashedRelationBroadcastMode(List(xxhash64(" in line and line.count("xxhash64(") == 1 for line in sent)
+
+
+def test_same_compares_values(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.functions.keys import same
+
+    left = spark.createDataFrame([("a", "b"), ("a", None), ("ab", "")], "x string, y string")
+    right = spark.createDataFrame([("a", "b"), ("a", None), ("a", "c")], "u string, v string")
+    for hinted in (F.broadcast(right), right):
+        rows = left.join(hinted, same((left["x"], right["u"]), (left["y"], right["v"])), "left").collect()
+        assert sorted(map(tuple, rows), key=str) == [("a", "b", "a", "b"), ("a", None, None, None), ("ab", "", None, None)]
