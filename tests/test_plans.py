@@ -94,3 +94,21 @@ def test_same_compares_values(spark):
     for hinted in (F.broadcast(right), right):
         rows = left.join(hinted, same((left["x"], right["u"]), (left["y"], right["v"])), "left").collect()
         assert sorted(map(tuple, rows), key=str) == [("a", "b", "a", "b"), ("a", None, None, None), ("ab", "", None, None)]
+
+
+@pytest.mark.parametrize("query", ["media", "footnotes"])
+def test_joins_ask_for_no_filters(spark, plans, monkeypatch, query):
+    """A filter of a join's keys would take another pass over pages and go through one task and the driver."""
+    from pagemill.plans import corpus
+    from pagemill.plans.queries import REGISTRY
+
+    real = corpus.page_session
+
+    def eager(s):  # as if every table were large enough
+        session = real(s)
+        session.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+        return session
+
+    monkeypatch.setattr(corpus, "page_session", eager)
+    plans.append(REGISTRY[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not [plan for plan in plans if "might_contain" in plan or "bloom_filter" in plan]
