@@ -112,3 +112,30 @@ def test_joins_ask_for_no_filters(spark, plans, monkeypatch, query):
     monkeypatch.setattr(corpus, "page_session", eager)
     plans.append(REGISTRY[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 4 and not [plan for plan in plans if "might_contain" in plan or "bloom_filter" in plan]
+
+
+@pytest.mark.parametrize("html, scored", [("<main><p>text</p></main>", 0), ("<div><p>text, of a page that names no main element</p></div>", 1)])
+def test_scores_are_for_pages_without_a_main_element(convert, monkeypatch, html, scored):
+    from pagemill.plans import convert as module
+
+    asked, real = [], module.best_container
+    monkeypatch.setattr(module, "best_container", lambda *a: asked.append(a) or real(*a))
+    conv = convert([(1, "https://a.example/", "<main><p>named</p></main>"), (2, "https://a.example/b", html)])
+    assert [r.page_id for r in conv.root.orderBy("page_id").collect()] == [1, 2] and len(asked) == scored
+
+
+def test_tokens_are_written_once_a_step(convert, monkeypatch):
+    """The whole pages' tokens, those that selectors leave and those that cleaning leaves."""
+    from pagemill.plans import convert as module
+    from pagemill.plans import corpus
+
+    written, real = [], module.materialize
+
+    def noted(df, how=None):
+        written.append({"pos", "kind", "text"} <= set(df.columns))
+        return real(df, how)
+
+    for m in (module, corpus):
+        monkeypatch.setattr(m, "materialize", noted)
+    conv = convert([(1, "https://a.example/", "<main><nav>n</nav><p>text</p><p> </p></main>")])
+    assert [r.tag for r in conv.cleaned_tokens.filter("kind = 'open'").collect()] == ["p"] and sum(written) == 3
