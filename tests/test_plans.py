@@ -139,3 +139,21 @@ def test_tokens_are_written_once_a_step(convert, monkeypatch):
         monkeypatch.setattr(m, "materialize", noted)
     conv = convert([(1, "https://a.example/", "<main><nav>n</nav><p>text</p><p> </p></main>")])
     assert [r.tag for r in conv.cleaned_tokens.filter("kind = 'open'").collect()] == ["p"] and sum(written) == 3
+
+
+def test_steps_that_others_read_are_written_once(convert, plans, monkeypatch):
+    """Images and widgets of code are found once, whatever reads them."""
+    from collections import Counter
+
+    from pagemill.operators import extract
+
+    asked = Counter()
+    for name in ("images", "code_widgets"):
+        monkeypatch.setattr(extract, name, lambda *a, name=name, real=getattr(extract, name): asked.update([name]) or real(*a))
+    html = ('<article><p>Text<sup><a href="#n1">1</a></sup> <img src="/a.png" alt="a"></p><pre><code>x</code></pre><table><tr><th>A</th></tr>'
+            '<tr><td>b<sup><a href="#n2">2</a></sup></td></tr></table><ol><li id="n1">One <b>note</b></li><li id="n2">Two</li></ol></article>')
+    body = convert([(1, "https://a.example/", html)]).body
+    plans.append(body._jdf.queryExecution().executedPlan().toString())
+    assert asked == {"images": 1, "code_widgets": 1}
+    assert body.first().body == ("Text[^1] ![a](https://a.example/a.png)\n\n```\nx\n```\n\n| A |\n| --- |\n| b[^2] |\n\n"
+                                 "[^1]: One **note**\n[^2]: Two")
