@@ -142,7 +142,7 @@ def test_tokens_are_written_once_a_step(convert, monkeypatch):
 
 
 def test_steps_that_others_read_are_written_once(convert, plans, monkeypatch):
-    """Images and widgets of code are found once, whatever reads them."""
+    """Notes, images, widgets of code and cells are found once, whatever reads them, and replacements stay with their page."""
     from collections import Counter
 
     from pagemill.operators import extract
@@ -155,5 +155,6 @@ def test_steps_that_others_read_are_written_once(convert, plans, monkeypatch):
     body = convert([(1, "https://a.example/", html)]).body
     plans.append(body._jdf.queryExecution().executedPlan().toString())
     assert asked == {"images": 1, "code_widgets": 1}
+    assert sum(plan.count("Window [") for plan in plans) <= 90 and sum(plan.count("Exchange hashpartitioning") for plan in plans) <= 2
     assert body.first().body == ("Text[^1] ![a](https://a.example/a.png)\n\n```\nx\n```\n\n| A |\n| --- |\n| b[^2] |\n\n"
                                  "[^1]: One **note**\n[^2]: Two")
