@@ -158,3 +158,12 @@ def test_steps_that_others_read_are_written_once(convert, plans, monkeypatch):
     assert sum(plan.count("Window [") for plan in plans) <= 90 and sum(plan.count("Exchange hashpartitioning") for plan in plans) <= 2
     assert body.first().body == ("Text[^1] ![a](https://a.example/a.png)\n\n```\nx\n```\n\n| A |\n| --- |\n| b[^2] |\n\n"
                                  "[^1]: One **note**\n[^2]: Two")
+
+
+def test_code_is_looked_for_on_pages_that_hold_some(convert):
+    """What is read many times for code holds no other pages."""
+    from pagemill.operators.extract import code_blocks
+
+    conv = convert([(1, "https://a.example/", "<main><p>a</p><pre><code>x</code></pre></main>"), (2, "https://a.example/b", "<main><p>b</p></main>")])
+    assert [{r.page_id for r in df.collect()} for df in conv.code_pages] == [{1}, {1}]
+    assert [(r.page_id, r.code) for r in code_blocks(conv).collect()] == [(1, "x")]
